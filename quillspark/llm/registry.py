@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "tokencount", "langid")
+MODULES = ("bpe", "packing", "tokencount", "langid", "toxicity")
 
 
 def queries() -> dict:
