@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as its own embedding and as the mean of embeddings of its letter trigrams, so unseen and altered words
-have an input too. The network reads windows of words that overlap by half; a document scores as its worst window.
+A word enters as its own embedding, and by its letters: the embedding of its first letters and the mean of embeddings
+of its letter trigrams, so unseen and altered words have an input too. The network reads windows of words that overlap by half; a document scores as its worst window.
 Training is multiple-instance: a document's label reaches the window that the model finds worst.
 """
 
@@ -21,10 +21,11 @@ from .bpe import portions
 from .common import held_out, learns, ship
 
 FOLDS = 5
-#: Bounds of what is learned from: labelled documents of each class, and words with an embedding of their own.
-TOXIC_DOCS, CLEAN_DOCS, MAX_WORDS = 1500, 3000, 30_000
+#: Bounds of what is learned from: labelled documents of each class; words and word beginnings with an embedding
+#: of their own.
+TOXIC_DOCS, CLEAN_DOCS, MAX_WORDS, MAX_STEMS = 1500, 3000, 30_000, 20_000
 WINDOW, STRIDE = 64, 32
-WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION, TRIGRAMS = 6, 6, 8, 8, 4096
+WORD_DIM, STEM_DIM, CHAR_DIM, HIDDEN, ATTENTION, TRIGRAMS, STEM_LETTERS = 4, 4, 6, 8, 8, 4096, 5
 EPOCHS, BATCH, RATE, SEED = (2, 2, 2), 32, 0.01, 7
 #: Words whose inputs a worker keeps.
 CACHE_WORDS = 300_000
@@ -53,21 +54,31 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Network:
     """Parameters, forward and backward pass. p: name to array."""
 
-    def __init__(self, p: dict[str, np.ndarray], vocabulary: list[str]):
-        self.p, self.vocabulary = p, vocabulary
+    def __init__(self, p: dict[str, np.ndarray], stems: list[str]):
+        self.p, self.stems = p, stems
+        self.stem_row = {x: i for i, x in enumerate(stems)}
 
     @staticmethod
-    def fresh(vocabulary: list[str], odds: np.ndarray) -> Network:
+    def fresh(odds: np.ndarray, stems: list[str], stem_odds: np.ndarray) -> Network:
         r = np.random.default_rng(SEED)
-        d, n, h = WORD_DIM + CHAR_DIM, len(vocabulary), HIDDEN
+        d, n, h = WORD_DIM + STEM_DIM + CHAR_DIM, len(odds), HIDDEN
         f = lambda *s, scale=None: (r.standard_normal(s) * (scale or s[0] ** -0.5)).astype(np.float32)
         words = f(n + 1, WORD_DIM, scale=0.1)
         words[:n, 0] = odds  # an embedding starts from how the word's documents are labelled
         words[n] = 0
-        p = {"words": words, "chars": f(TRIGRAMS, CHAR_DIM, scale=0.1), "att": f(2 * h, ATTENTION), "att_b": np.zeros(ATTENTION, np.float32), "att_v": f(ATTENTION), "out": f(2 * h), "out_b": np.zeros(1, np.float32)}
+        begin = f(len(stems) + 1, STEM_DIM, scale=0.1)
+        begin[: len(stems), 0] = stem_odds
+        begin[len(stems)] = 0
+        p = {"words": words, "stems": begin, "chars": f(TRIGRAMS, CHAR_DIM, scale=0.1), "att": f(2 * h, ATTENTION), "att_b": np.zeros(ATTENTION, np.float32), "att_v": f(ATTENTION), "out": f(2 * h), "out_b": np.zeros(1, np.float32)}
         for k in "fb":
             p |= {f"w{k}": f(d, 3 * h), f"u{k}": f(h, 3 * h), f"c{k}": np.zeros(3 * h, np.float32)}
-        return Network(p, vocabulary)
+        return Network(p, stems)
+
+    def stem_rows(self, words: list[str]) -> np.ndarray:
+        return np.array([self.stem_row.get(w[:STEM_LETTERS], len(self.stems)) for w in words], np.int64)
+
+    def inputs(self, word_rows: np.ndarray, words: list[str]) -> np.ndarray:
+        return np.hstack([self.p["words"][word_rows], self.p["stems"][self.stem_rows(words)], self.char_inputs(words)]).astype(np.float32)
 
     def char_inputs(self, words: list[str]) -> np.ndarray:
         t, begins = trigrams(words)
@@ -76,7 +87,7 @@ class Network:
 
     def gates(self, word_rows: np.ndarray, words: list[str]) -> np.ndarray:
         """Inputs to all gates of both directions for these words."""
-        x = np.hstack([self.p["words"][word_rows], self.char_inputs(words)]).astype(np.float32)
+        x = self.inputs(word_rows, words)
         return np.hstack([x @ self.p["wf"] + self.p["cf"], x @ self.p["wb"] + self.p["cb"]])
 
     def forward(self, gate: np.ndarray, ids: np.ndarray, lengths: np.ndarray, keep: bool = False):
@@ -163,21 +174,29 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> dict | N
     y = np.array([r[1] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    df = [Counter(), Counter()]
+    df, sf = [Counter(), Counter()], [Counter(), Counter()]
     for ws, label, _ in rows:
         df[label].update(set(ws))
+        sf[label].update({w[:STEM_LETTERS] for w in ws})
     n = [(y == 0).sum(), (y == 1).sum()]
     least = 3 if len(y) > 500 else 2
-    frequent = sorted((w for w in df[0].keys() | df[1].keys() if df[0][w] + df[1][w] >= least), key=lambda w: (-df[0][w] - df[1][w], w))[:MAX_WORDS]
-    odds = lambda w: np.log((df[1][w] + 0.5) / (n[1] + 1)) - np.log((df[0][w] + 0.5) / (n[0] + 1))
-    # shrunk towards 0 where few documents have the word
-    start = np.array([odds(w) * (df[0][w] + df[1][w]) / (df[0][w] + df[1][w] + 5) for w in frequent], np.float32)
-    net = Network.fresh(frequent, start)
+
+    def known(f: list[Counter], most: int) -> tuple[list[str], np.ndarray]:
+        """The most frequent keys, and how their documents' labels lean, shrunk towards 0 where few have them."""
+        total = f[0] + f[1]
+        top = sorted((k for k, v in total.items() if v >= least), key=lambda k: (-total[k], k))[:most]
+        odds = [(np.log((f[1][k] + 0.5) / (n[1] + 1)) - np.log((f[0][k] + 0.5) / (n[0] + 1))) * total[k] / (total[k] + 5) for k in top]
+        return top, np.array(odds, np.float32)
+
+    frequent, start = known(df, MAX_WORDS)
+    stems, stem_start = known(sf, MAX_STEMS)
+    net = Network.fresh(start, stems, stem_start)
     row_of = {w: i for i, w in enumerate(frequent)}
     every = list(dict.fromkeys(chain.from_iterable(r[0] for r in rows)))
     local = {w: i for i, w in enumerate(every)}
     word_rows = np.array([row_of.get(w, len(frequent)) for w in every])
-    word_odds = np.append(start, 0)[word_rows]
+    stem_rows = net.stem_rows(every)
+    word_odds = np.maximum(np.append(start, 0)[word_rows], np.append(stem_start, 0)[stem_rows])
     tri, tri_begin = trigrams(every)
     tri_end = np.append(tri_begin[1:], len(tri))
     flat = np.array([local[w] for r in rows for w in r[0]])
@@ -207,7 +226,7 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> dict | N
                 ids = gathered(flat, starts[win], lengths[win])
                 used, inside = np.unique(ids, return_inverse=True)
                 ws, wr = [every[i] for i in used], word_rows[used]
-                x = np.hstack([net.p["words"][wr], net.char_inputs(ws)]).astype(np.float32)
+                x = net.inputs(wr, ws)
                 gate = np.hstack([x @ net.p["wf"] + net.p["cf"], x @ net.p["wb"] + net.p["cb"]])
                 logit, kept = net.forward(gate, inside.reshape(ids.shape), lengths[win], True)
                 d = ((1 / (1 + np.exp(-logit)) - y[part]) * balance[part] / len(part)).astype(np.float32)
@@ -219,13 +238,14 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> dict | N
                     g = by_word[:, 3 * HIDDEN * at : 3 * HIDDEN * (at + 1)]
                     grads[f"w{k}"], grads[f"c{k}"] = x.T @ g, g.sum(axis=0)
                     dx += g @ net.p[f"w{k}"].T
-                gw, gc = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
+                gw, gs, gc = (np.zeros_like(net.p[k]) for k in ("words", "stems", "chars"))
                 np.add.at(gw, wr, dx[:, :WORD_DIM])
-                gw[len(frequent)] = 0
+                np.add.at(gs, stem_rows[used], dx[:, WORD_DIM : WORD_DIM + STEM_DIM])
+                gw[-1] = gs[-1] = 0
                 counts = (tri_end - tri_begin)[used]
                 spans = np.concatenate([tri[tri_begin[i] : tri_end[i]] for i in used])
-                np.add.at(gc, spans, np.repeat(dx[:, WORD_DIM:] / counts[:, None], counts, axis=0))
-                grads["words"], grads["chars"] = gw, gc
+                np.add.at(gc, spans, np.repeat(dx[:, WORD_DIM + STEM_DIM :] / counts[:, None], counts, axis=0))
+                grads["words"], grads["stems"], grads["chars"] = gw, gs, gc
                 step += 1
                 for k, g in grads.items():
                     m, v = moment[k]
@@ -243,14 +263,14 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> dict | N
         hess = np.array([[(k * top * top).sum() + 0.5, (k * top).sum()], [(k * top).sum(), k.sum() + 1e-3]])
         move = np.linalg.solve(hess, g)
         a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
-    return {"p": net.p, "vocabulary": frequent, "scale": (max(a, 0.05), b), "base": float((stands * y).sum() / stands.sum())}
+    return {"p": net.p, "vocabulary": frequent, "stems": stems, "scale": (max(a, 0.05), b), "base": float((stands * y).sum() / stands.sum())}
 
 
 class Scorer:
     """A worker's copy of the model, with the gate inputs of words met so far."""
 
     def __init__(self, model: dict):
-        self.model, self.net = model, Network(model["p"], model["vocabulary"])
+        self.model, self.net = model, Network(model["p"], model["stems"])
         self.unknown = len(model["vocabulary"])
         self.reset()
 
