@@ -3,13 +3,17 @@ connected components."""
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,8 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # Spark drops a finished job's shuffle files once nothing refers to them
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -90,6 +96,55 @@ def tiled(df: DataFrame, group: list[str], by: str, tile: int) -> DataFrame:
     return x.drop("_n", "_t", "_o")
 
 
+def spanning(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (name, smallest name of its component) that connect what the links a-b (row numbers) connect: one per row
+    at most."""
+    order = np.argsort(names, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(names))
+    root, x, y = np.arange(len(names)), place[a], place[b]
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[order[moved]], names[order[root[moved]]]
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of a stream that is sorted by its first columns (integers, without nulls): tables of about so many
+    rows, more where a group is larger, with the number of each row's group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def cut(table: pa.Table, last: bool):
+        change = np.zeros(table.num_rows, bool)
+        change[:1] = True
+        for k in range(keys):
+            x = table.column(k).to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        at = table.num_rows if last else int(np.flatnonzero(change)[-1])
+        return table.slice(0, at), np.cumsum(change[:at]) - 1, table.slice(at)
+
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            whole, group, rest = cut(pa.Table.from_batches(held), False)
+            if whole.num_rows:
+                yield whole, group
+            held, size = rest.to_batches(), rest.num_rows
+            rows = max(rows, 2 * size) if not whole.num_rows else rows
+    if size:
+        whole, group, _ = cut(pa.Table.from_batches(held), True)
+        yield whole, group
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Connected components of undirected edges by alternating large-star and small-star steps: (node, component),
     component being the smallest id reachable. Only nodes with an edge appear. Each round cuts lineage with a table in

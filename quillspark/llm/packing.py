@@ -29,6 +29,8 @@ GAP, SPACING = 1024, 256
 #: Ids held before cuts are settled; the windows nearest the end are settled with the next ids.
 HORIZON, TAIL = 524_288, 16 * LIMIT
 CACHE_WORDS = 600_000
+#: Stands between words that are encoded together; alone it is one id.
+MARK = "\x01"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -58,10 +60,20 @@ class WordEncoder:
         #: str.split() also takes these four for white space, the tokenizer doesn't
         self.odd = re.compile("[\x1c-\x1f]").search
         self.space = re.compile("[^\t-\r \x85\xa0  -     　]+").findall
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         ends = [i for t, i in self.tokenizer.get_vocab().items() if re.fullmatch(r"[^0-9A-Za-z]*[.!?][^0-9A-Za-z]*", t.removesuffix("</w>"))]
         self.sentence_end = np.zeros(65_536, bool)
         self.sentence_end[ends] = True
 
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: all are encoded as one text, with a mark between them that no word holds."""
+        if any(MARK in w or "<|" in w for w in words):
+            return [np.array(e.ids, "<u2").tobytes() for e in self.encode_batch(words, add_special_tokens=False)]
+        ids = np.array(self.encode_batch([f" {MARK} ".join([*words, ""])], add_special_tokens=False)[0].ids, "<u2")
+        ends = np.flatnonzero(ids == self.mark)
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[2 * a : 2 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for some in portions(texts):
             words = [self.space(t) if self.odd(t) else t.split() for t in some]
@@ -71,8 +83,8 @@ class WordEncoder:
             more: dict[str, bytes] = {}
             for i in range(0, len(missing), 20_000):
                 part = missing[i : i + 20_000]
-                for w, e in zip(part, self.encode_batch(part, add_special_tokens=False), strict=True):
-                    (self.cache if len(w) <= 64 else more)[w] = np.array(e.ids, "<u2").tobytes()
+                for w, ids in zip(part, self.apart(part), strict=True):
+                    (self.cache if len(w) <= 64 else more)[w] = ids
             cache = self.cache
             get = cache.__getitem__ if not more else (lambda w: cache[w] if w in cache else more[w])
             for x in words:
@@ -93,25 +105,29 @@ def cuts(places: list[int], costs: list[int], limit: int = LIMIT) -> list[int]:
     """Cheapest cuts of the stream 0..places[-1]. places: ascending positions, each within limit of the one before;
     costs: of cutting there. Returns the chosen positions, the last place always among them; of equal costs the
     earlier found start wins."""
-    powers = [1 << k for k in range(limit.bit_length()) if 1 << k <= limit]
-    pos, total, back = [0], [0], [0]
+    pos = [0, *places]
+    at = np.array(pos)
+    #: for each place, the places that lie a power of two before it
+    ahead: list[list[int]] = [[] for _ in pos]
+    for k in range(limit.bit_length()):
+        if 1 << k <= limit:
+            found = np.searchsorted(at, at - (1 << k))
+            for j in np.flatnonzero(at[found] == at - (1 << k)).tolist():
+                ahead[j].append(int(found[j]))
+    total, back = [0], [0]
     queue, keys, head = [0], [0], 0
-    at = {0: 0}
-    for j in range(1, len(places) + 1):
-        p = places[j - 1]
+    for j in range(1, len(pos)):
+        p = pos[j]
         while p - pos[queue[head]] > limit:
             head += 1
-        i = queue[head]
-        best, start = keys[head] + limit - p, i
-        for k in powers:
-            i = at.get(p - k)
-            if i is not None and total[i] < best:
+        start = queue[head]
+        best = keys[head] + limit - p
+        for i in ahead[j]:
+            if total[i] < best:
                 best, start = total[i], i
         best += costs[j - 1] + SEQUENCE_COST
-        pos.append(p)
         total.append(best)
         back.append(start)
-        at[p] = j
         key = best + p
         while len(queue) > head and keys[-1] >= key:
             queue.pop()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "tokencount", "langid", "toxicity", "lm", "vectors")
+MODULES = ("bpe", "packing", "tokencount", "langid", "toxicity", "lm", "vectors", "ngram")
 
 
 def queries() -> dict:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, scratch, ship, tiled
+from .common import components, scratch, ship, spanning, tiled
 
 # ---------------------------------------------------------------- exact top-k
 
@@ -308,28 +308,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def spanning(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (name, smallest name of its component) that connect what the links a-b connect: one per row at most."""
-    root = np.arange(len(names))
-    if not len(a):
-        return names[:0], names[:0]
-    order = np.argsort(names, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(names))
-    x, y = place[a], place[b]
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    moved = np.flatnonzero(root != np.arange(len(names)))
-    return names[order[moved]], names[order[root[moved]]]
-
-
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
