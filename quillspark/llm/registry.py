@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "tokencount", "langid", "toxicity", "lm", "vectors", "ngram")
+MODULES = ("bpe", "packing", "tokencount", "langid", "toxicity", "lm", "vectors", "ngram", "quotes")
 
 
 def queries() -> dict:
     out = {}
     for m in MODULES:
         out |= import_module(f"{__package__}.{m}").QUERIES
-    return out
+    import corpus_pipeline
+
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for m in MODULES:
         out |= import_module(f"{__package__}.{m}").ORACLES
-    return out
+    import corpus_pipeline
+
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
