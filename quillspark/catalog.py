@@ -1,11 +1,696 @@
-"""All queries of the search engine with their oracle SQL."""
+"""All queries of the search engine, each with the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import phonetic, stemmer, text
+from quillspark.operators import chunking, match, ranking, scoring
+from quillspark.operators import index as ix
+from quillspark.plans import search
+from quillspark.plans.query import Thesaurus
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: The queries' own search terms.
+TERMS, SYNONYMS = ("the", "erst", "tion"), ("and", "that")
+THESAURUS = Thesaurus({"the": {"direct": ["and", "of"], "concepts": ["tion"]}, "and": {"direct": ["that"], "concepts": ["erst"]}, "tion": ["thon"]})
+_T = "regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''_-]*')"
+_CTE = f"""
+tok AS (SELECT doc_id, lower(unnest({_T})) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT doc_id, coalesce(len({_T}), 0)::DOUBLE AS dl FROM documents),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
+stats AS (SELECT count(*)::DOUBLE AS n, coalesce(avg(dl), 0) AS avgdl FROM dl)"""
+
+
+def query(sql: str | None = None):
+    """Register a function as the query of its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def long(c) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def term_table(spark: SparkSession, terms, weight: float | None = None) -> DataFrame:
+    rows = [(t, list(terms).count(t)) for t in dict.fromkeys(terms)]
+    x = spark.createDataFrame(rows, "term string, qtf int")
+    return x if weight is None else x.withColumn("weight", F.lit(weight))
+
+
+def statistics(spark: SparkSession, d: str):
+    """(docs with dl, tf with dl, df, stats) of documents as one-chunk documents."""
+    docs = documents(spark, d).select("doc_id", "text", text.count_tokens(F.col("text")).cast("double").alias("dl"))
+    tf = ix.term_frequencies(docs, ["doc_id", "dl"])
+    return docs.select("doc_id", "dl"), tf, ix.document_frequencies(tf, "doc_id"), ix.corpus_stats(docs, F.col("dl"))
+
+
+# ------------------------------------------------------------------ text functions
+
+
+@query(f"SELECT doc_id, coalesce(len({_T}), 0)::BIGINT AS n_tokens FROM documents")
+def tokenize_counts(spark, d):
+    return documents(spark, d).select("doc_id", long(text.count_tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query(r"SELECT doc_id, greatest(1, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\r\n\f]+'), lambda x: x <> '')))::BIGINT AS n_words FROM documents")
+def doc_lengths(spark, d):
+    return documents(spark, d).select("doc_id", long(text.count_blank_separated(F.col("text"))).alias("n_words"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[a-zA-ZÀ-ɏ'']+'))::BIGINT AS letters, len(regexp_extract_all(lower(text), '[a-z]{2,}'))::BIGINT AS pairs FROM documents")
+def tokenizer_variants(spark, d):
+    low = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))
+    return documents(spark, d).select("doc_id", long(text.count_tokens(F.col("text"), "letters")).alias("letters"), long(F.size(low)).alias("pairs"))
+
+
+@query()
+def tokenizer_boundary_variants(spark, d):
+    return documents(spark, d).select("doc_id", *[long(text.count_tokens(F.col("text"), s)).alias(s) for s in ("unicode", "alpha2", "numbers")])
+
+
+_FILLER_LIST = "[" + ", ".join(f"'{w}'" for w in text.FILLER_WORDS) + "]"
+
+
+@query(f"WITH {_CTE} SELECT doc_id, term, tf FROM tf WHERE NOT list_contains({_FILLER_LIST}, term) AND length(term) > 1")
+def stopword_filtered_tf(spark, d):
+    return ix.term_frequencies(documents(spark, d), ["doc_id"], fillers=False)
+
+
+def _suffix_sql(rules) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with(term, '{s}') AND length(term) > {len(s) + rules[1]} THEN left(term, length(term) - {len(s)})" for s in rules[0]) + " ELSE term END"
+
+
+@query(f"WITH {_CTE} SELECT term, {_suffix_sql(text.SUFFIXES_LONG)} AS stem FROM df")
+def suffix_stems_long(spark, d):
+    t = documents(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
+    return t.select("term", text.suffix_stem(F.col("term"), text.SUFFIXES_LONG).alias("stem"))
+
+
+@query(f"WITH {_CTE} SELECT term, {_suffix_sql(text.SUFFIXES_SHORT)} AS stem FROM df")
+def suffix_stems_short(spark, d):
+    t = documents(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
+    return t.select("term", text.suffix_stem(F.col("term"), text.SUFFIXES_SHORT).alias("stem"))
+
+
+@query()
+def snowball_stems(spark, d):
+    return stemmer.stems(documents(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("term")))
+
+
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\n]+([A-Z""''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')".replace('""', '"')
+
+
+@query(f"SELECT doc_id, len({_SENT})::BIGINT AS n_sentences FROM documents")
+def sentence_split_counts(spark, d):
+    return documents(spark, d).select("doc_id", long(F.size(text.sentences(F.col("text")))).alias("n_sentences"))
+
+
+@query("SELECT doc_id, sha1(doc_id::VARCHAR || '|1|0|' || length(text)::VARCHAR) AS chunk_id, left(sha1(source), 12) AS short_id FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
+def stable_ids(spark, d):
+    x = documents(spark, d).filter("text IS NOT NULL AND source IS NOT NULL")
+    return x.select("doc_id", text.chunk_key(F.col("doc_id").cast("string"), F.lit(1), F.lit(0), F.length("text")).alias("chunk_id"), F.substring(F.sha1("source"), 1, 12).alias("short_id"))
+
+
+@query("SELECT doc_id, source || ', p. 1, ' || lang AS citation FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def citation(spark, d):
+    x = documents(spark, d).filter("source IS NOT NULL AND lang IS NOT NULL")
+    return x.select("doc_id", text.citation(F.col("source"), F.lit(1), F.col("lang")).alias("citation"))
+
+
+def _snippet_sql(at: str, before: int, width: int) -> str:
+    return rf"""CASE WHEN greatest(1, {at} - {before}) > 1 THEN '…' ELSE '' END
+      || trim(regexp_replace(substring(text, greatest(1, {at} - {before})::BIGINT, {width}), '[ \t\r\n]+', ' ', 'g'))
+      || CASE WHEN greatest(1, {at} - {before}) + {width} - 1 < length(text) THEN '…' ELSE '' END"""
+
+
+_FIRST = "coalesce(" + ", ".join(f"nullif(instr(lower(text), '{t}'), 0)" for t in TERMS) + ", 0)"
+_EARLY = "coalesce(list_min(list_filter([" + ", ".join(f"instr(lower(text), '{t}')" for t in TERMS) + "], lambda x: x > 0)), 0)"
+
+
+@query(f"SELECT doc_id, {_snippet_sql(_FIRST, 93, 280)} AS snippet FROM documents WHERE text IS NOT NULL")
+def snippet_first(spark, d):
+    return documents(spark, d).filter("text IS NOT NULL").select("doc_id", text.snippet_first(F.col("text"), list(TERMS)).alias("snippet"))
+
+
+@query(f"SELECT doc_id, {_snippet_sql(_EARLY, 80, 300)} AS snippet FROM documents WHERE text IS NOT NULL")
+def snippet_earliest(spark, d):
+    return documents(spark, d).filter("text IS NOT NULL").select("doc_id", text.snippet_earliest(F.col("text"), list(TERMS)).alias("snippet"))
+
+
+@query(r"""SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)),
+  lambda x: length(x) > 3 AND length(x) < 80 AND regexp_matches(x, '^(?:[A-Z][A-Z ]{2,}[A-Z]|(?:[A-Z][a-z]+ +){1,5}[A-Z][a-z]+)$'))[1] AS heading FROM documents""")
+def headings(spark, d):
+    return documents(spark, d).select("doc_id", text.heading(F.col("text")).alias("heading"))
+
+
+@query(r"""SELECT conv_id, turn, try_cast(coalesce(nullif(regexp_extract(role, '(?:^|[^0-9A-Za-z_])(1[6-9][0-9]{2}|20[0-2][0-9])(?:[^0-9A-Za-z_]|$)', 1), ''),
+  nullif(regexp_extract(substring(coalesce(text, ''), 1, 500), '(?:^|[^0-9A-Za-z_])(1[6-9][0-9]{2}|20[0-2][0-9])(?:[^0-9A-Za-z_]|$)', 1), '')) AS INTEGER) AS year FROM conversations""")
+def year_guess(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", text.year_guess(F.col("role"), F.col("text")).alias("year"))
+
+
+def _html_sql() -> str:
+    t = "coalesce(html, '')"
+    for tag in text.HTML_DROPPED["plain"]:
+        t = rf"regexp_replace({t}, '(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>', ' ', 'g')"
+    t = rf"regexp_replace({t}, '(?s)<[^>]*>', chr(10), 'g')"
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        t = f"replace({t}, '{a}', '{b}')"
+    t = rf"regexp_replace({t}, '[ \t]+', ' ', 'g')"
+    t = rf"regexp_replace({t}, ' ?\n ?', chr(10), 'g')"
+    t = rf"regexp_replace({t}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return rf"regexp_replace({t}, '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_html_sql()} AS text FROM pages")
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r"""SELECT page_id, nullif(substring(trim(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<h[1-3](?:\s[^>]*)?>(.*?)</h[1-3]\s*>', 1),
+  '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')), 1, 80), '') AS heading FROM pages""")
+def html_heading(spark, d):
+    return table(spark, d, "pages").select("page_id", text.html_heading(F.col("html")).alias("heading"))
+
+
+@query()
+def structure_type(spark, d):
+    s = text.structure(F.col("text"))
+    return documents(spark, d).select("doc_id", s["kind"].alias("kind"), F.round(s["density"], 6).alias("density"))
+
+
+def _intent_sql() -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in text.INTENTS) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT item_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'general' END AS intents FROM (SELECT item_id, {_intent_sql()} AS l FROM benchmark WHERE text IS NOT NULL)")
+def intent_labels(spark, d):
+    return table(spark, d, "benchmark").filter("text IS NOT NULL").select("item_id", F.array_join(text.intents(F.col("text")), ",").alias("intents"))
+
+
+@query("SELECT item_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in text.SINGLE_INTENTS) + " ELSE 'general' END AS intent FROM benchmark WHERE text IS NOT NULL")
+def intent_single(spark, d):
+    return table(spark, d, "benchmark").filter("text IS NOT NULL").select("item_id", text.single_intent(F.col("text")).alias("intent"))
+
+
+# ------------------------------------------------------------------ index
+
+
+@query(f"WITH {_CTE} SELECT doc_id, term, tf FROM tf")
+def term_freq(spark, d):
+    return ix.term_frequencies(documents(spark, d), ["doc_id"])
+
+
+@query(f"WITH {_CTE} SELECT term, df::BIGINT AS df FROM df")
+def term_df_chunk(spark, d):
+    return ix.document_frequencies(ix.term_frequencies(documents(spark, d), ["doc_id"]), "doc_id")
+
+
+@query("""WITH tok AS (SELECT conv_id, turn, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''_-]*'))) AS term FROM conversations)
+SELECT term, count(DISTINCT conv_id) AS df FROM tok GROUP BY term""")
+def term_df_doc(spark, d):
+    return ix.document_frequencies(ix.term_frequencies(table(spark, d, "conversations"), ["conv_id", "turn"]), "conv_id", distinct=True)
+
+
+@query(f"WITH {_CTE} SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl FROM stats")
+def corpus_stats(spark, d):
+    return ix.corpus_stats(documents(spark, d), text.count_tokens(F.col("text"))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query("""WITH t AS (SELECT conv_id, sum(len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''_-]*')))::BIGINT AS n_tokens, count(DISTINCT turn) AS n_chunks FROM conversations GROUP BY conv_id) SELECT * FROM t""")
+def document_totals(spark, d):
+    x = table(spark, d, "conversations").withColumn("n", long(text.count_tokens(F.col("text"))))
+    return x.groupBy("conv_id").agg(F.sum("n").alias("n_tokens"), F.count_distinct("turn").alias("n_chunks"))
+
+
+@query(f"WITH {_CTE} SELECT term, count(*) AS df FROM tf JOIN documents USING (doc_id) WHERE lang <> 'fr' GROUP BY term")
+def incremental_df(spark, d):
+    """Index of all but Spanish, then Spanish comes and French goes: equals a rebuild without French."""
+    docs = documents(spark, d).filter("lang IS NOT NULL")
+    tf = lambda x: ix.term_frequencies(x, ["doc_id"])
+    old = ix.document_frequencies(tf(docs.filter("lang <> 'es'")), "doc_id")
+    return ix.incremental_df(old, tf(docs.filter("lang = 'es'")), tf(docs.filter("lang = 'fr'")))
+
+
+_COOC = f"""t AS (SELECT doc_id, list_transform({_T}, lambda x: lower(x))[1:50] AS l FROM documents),
+p AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS i FROM t),
+cooc AS (SELECT least(a.term, b.term) AS term_a, greatest(a.term, b.term) AS term_b, count(*) AS n
+  FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + 1 AND a.i + 5 AND a.term <> b.term GROUP BY ALL)"""
+
+
+@query(f"WITH {_COOC} SELECT * FROM cooc")
+def cooccurrence(spark, d):
+    return ix.cooccurrence(documents(spark, d))
+
+
+@query(f"""WITH {_COOC},
+f AS (SELECT term_b AS term, sum(n)::BIGINT AS n, 0 AS back FROM cooc WHERE term_a IN {TERMS} AND term_b NOT IN {TERMS} GROUP BY 1 ORDER BY n DESC, term LIMIT 10),
+b AS (SELECT term_a AS term, sum(n)::BIGINT AS n, 1 AS back FROM cooc WHERE term_b IN {TERMS} AND term_a NOT IN {TERMS} GROUP BY 1 ORDER BY n DESC, term LIMIT 10)
+SELECT term, n FROM (SELECT * FROM f UNION ALL SELECT * FROM b WHERE term NOT IN (SELECT term FROM f)) ORDER BY back, n DESC, term LIMIT 10""")
+def cooc_expand_topk(spark, d):
+    return ix.cooccurring(ix.cooccurrence(documents(spark, d)), list(TERMS))
+
+
+_THES = "thes(word, concept, weight) AS (VALUES ('the', 'and', 0.85), ('the', 'of', 0.85), ('and', 'that', 0.85), ('tion', 'thon', 0.85), ('the', 'tion', 0.6), ('and', 'erst', 0.6))"
+
+
+@query(f"WITH {_CTE}, {_THES} SELECT doc_id, concept, max(weight)::DOUBLE AS weight FROM tf JOIN thes ON term = word GROUP BY ALL")
+def chunk_concepts(spark, d):
+    return ix.chunk_concepts(ix.term_frequencies(documents(spark, d), ["doc_id"]), THESAURUS.frame(spark), "doc_id")
+
+
+@query("""SELECT * FROM (VALUES ('the', 'direct', 'and'), ('the', 'direct', 'of'), ('the', 'direct', 'that'), ('the', 'concept', 'erst'), ('the', 'concept', 'tion'),
+  ('and', 'direct', 'that'), ('and', 'concept', 'erst'), ('tion', 'direct', 'thon')) AS t(word, kind, term)""")
+def two_hop_expand(spark, d):
+    rows = [(w, k, t) for w in ("the", "and", "tion") for k, ts in zip(("direct", "concept"), THESAURUS.expand(w), strict=True) for t in ts]
+    return spark.createDataFrame(rows, "word string, kind string, term string")
+
+
+# ------------------------------------------------------------------ match and filters
+
+
+def _postings(spark, d):
+    return ix.term_frequencies(documents(spark, d), ["doc_id"])
+
+
+@query(f"WITH {_CTE} SELECT DISTINCT doc_id FROM tf WHERE starts_with(term, 'erst')")
+def match_prefix(spark, d):
+    return match.prefix(_postings(spark, d), "erst")
+
+
+@query(f"WITH {_CTE} SELECT DISTINCT doc_id FROM tf WHERE term = 'erst'")
+def match_exact(spark, d):
+    return match.term(_postings(spark, d), "erst")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(list_transform({_T}, lambda x: lower(x)), ' ') || ' ', ' of the ')")
+def match_phrase(spark, d):
+    return match.phrase(documents(spark, d), "of the")
+
+
+@query(f"WITH {_CTE} SELECT DISTINCT doc_id FROM tf WHERE term IN ('erst', 'thon')")
+def match_or(spark, d):
+    p = _postings(spark, d)
+    return match.any_of(match.term(p, "erst"), match.term(p, "thon"))
+
+
+@query(f"WITH {_CTE} SELECT DISTINCT doc_id FROM tf a WHERE starts_with(term, 'erst') AND doc_id IN (SELECT doc_id FROM tf WHERE term = 'the')")
+def match_and(spark, d):
+    p = _postings(spark, d)
+    return match.all_of(match.prefix(p, "erst"), match.term(p, "the"))
+
+
+@query(r"SELECT doc_id FROM documents WHERE len(list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[a-z][a-z0-9''_-]*'), lambda x: starts_with(x, 'ecou'))) > 0")
+def match_fold(spark, d):
+    return match.fold_match(documents(spark, d), "ecou")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src1'")
+def filter_lang_source(spark, d):
+    return match.where(documents(spark, d), {"lang": "en", "source": "src1", "unknown": 1}).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (3, 5, 8, 13, 21)")
+def filter_scope(spark, d):
+    return match.where(documents(spark, d), {}, scope=[3, 5, 8, 13, 21]).select("doc_id")
+
+
+def _tags(spark, d):
+    x = table(spark, d, "labels")
+    return x.filter("quality = 1").select("doc_id", F.lit("good").alias("tag")).union(x.filter("toxic = 1").select("doc_id", F.lit("toxic")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def filter_tag_semi(spark, d):
+    return match.where(documents(spark, d), {"tags": ["good"]}, _tags(spark, d)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def filter_tag_and(spark, d):
+    return match.where(documents(spark, d), {"tags": ["good", "toxic"]}, _tags(spark, d)).select("doc_id")
+
+
+@query("SELECT doc_id, coalesce(quality, -1)::BIGINT AS quality FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)")
+def left_join_default(spark, d):
+    q = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return documents(spark, d).select("doc_id").join(q, "doc_id", "left").select("doc_id", long(F.coalesce("quality", F.lit(-1))).alias("quality"))
+
+
+# ------------------------------------------------------------------ scorers
+
+
+def _okapi_sql(terms, k1: float = 1.5, b: float = 0.75, weight: str = "1.0") -> str:
+    return f"""SELECT doc_id, sum({weight} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS score
+FROM tf JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN stats WHERE term IN {tuple(terms)} GROUP BY doc_id"""
+
+
+def _rounded(x: DataFrame) -> DataFrame:
+    return x.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _bm25(spark, d, terms=TERMS, **options):
+    _, tf, df, stats = statistics(spark, d)
+    return scoring.bm25(tf, df, term_table(spark, terms), stats, ["doc_id"], **options)
+
+
+@query(f"WITH {_CTE} SELECT doc_id, round(score, 6) AS score FROM ({_okapi_sql(TERMS)})")
+def bm25_okapi(spark, d):
+    return _rounded(_bm25(spark, d))
+
+
+@query(f"WITH {_CTE} SELECT doc_id, round(score, 6) AS score FROM ({_okapi_sql(TERMS, 1.2)})")
+def bm25_k12(spark, d):
+    return _rounded(_bm25(spark, d, k1=1.2))
+
+
+@query(f"WITH {_CTE} SELECT doc_id, round(score, 6) AS score FROM ({_okapi_sql(TERMS + SYNONYMS, weight='CASE WHEN term IN ' + str(SYNONYMS) + ' THEN 0.15 ELSE 1.0 END')})")
+def bm25_synonym_boost(spark, d):
+    _, tf, df, stats = statistics(spark, d)
+    q = term_table(spark, TERMS, 1.0).union(term_table(spark, SYNONYMS, 0.15))
+    return _rounded(scoring.bm25(tf, df, q, stats, ["doc_id"]))
+
+
+_CONV = """tok AS (SELECT conv_id, turn, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''_-]*'))) AS term FROM conversations),
+ctf AS (SELECT conv_id, turn, term, count(*) AS tf FROM tok GROUP BY ALL),
+dtf AS (SELECT conv_id, term, sum(tf) AS tf FROM ctf GROUP BY ALL),
+cl AS (SELECT conv_id, turn, len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''_-]*'))::DOUBLE AS dl FROM conversations),
+ddl AS (SELECT conv_id, sum(dl) AS dl FROM cl GROUP BY conv_id),
+df AS (SELECT term, count(DISTINCT conv_id)::DOUBLE AS df FROM ctf GROUP BY term),
+stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM ddl)"""
+
+
+def _conversations(spark, d):
+    x = table(spark, d, "conversations").select("conv_id", "turn", "text", text.count_tokens(F.col("text")).cast("double").alias("dl"))
+    tf = ix.term_frequencies(x, ["conv_id", "turn", "dl"])
+    whole = x.groupBy("conv_id").agg(F.sum("dl").alias("dl"))
+    return tf, whole, ix.document_frequencies(tf, "conv_id", distinct=True), ix.corpus_stats(whole, F.col("dl"))
+
+
+@query(f"""WITH {_CONV} SELECT conv_id, turn, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+FROM ctf JOIN df USING (term) JOIN cl USING (conv_id, turn) CROSS JOIN stats WHERE term IN {TERMS} GROUP BY conv_id, turn""")
+def bm25_mixed(spark, d):
+    """Documents' n, df and average length, chunks' tf and length."""
+    tf, _, df, stats = _conversations(spark, d)
+    x = scoring.bm25(tf, df, term_table(spark, TERMS), stats, ["conv_id", "turn"])
+    return x.select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_CONV} SELECT conv_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+FROM dtf JOIN df USING (term) JOIN ddl USING (conv_id) CROSS JOIN stats WHERE term IN {TERMS} GROUP BY conv_id""")
+def bm25_doc(spark, d):
+    tf, whole, df, stats = _conversations(spark, d)
+    dtf = tf.groupBy("conv_id", "term").agg(F.sum("tf").alias("tf")).join(whole, "conv_id")
+    x = scoring.bm25(dtf, df, term_table(spark, TERMS), stats, ["conv_id"])
+    return x.select("conv_id", F.round("score", 6).alias("score"))
+
+
+_CELLS = "cells AS (SELECT d.doc_id, q.term, coalesce(tf.tf, 0) AS tf, dl, df, n, avgdl FROM dl d CROSS JOIN (SELECT * FROM df WHERE term IN {t}) q LEFT JOIN tf ON tf.doc_id = d.doc_id AND tf.term = q.term CROSS JOIN stats)"
+_FAMILY = {
+    "okapi": "CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))",
+    "l": "(ln(n + 1) - ln(df + 0.5)) * 2.5 * (tf / (0.25 + 0.75 * dl / avgdl) + 0.5) / (1.5 + tf / (0.25 + 0.75 * dl / avgdl) + 0.5)",
+    "plus": "(ln(n + 1) - ln(df)) * (1 + tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))",
+}
+
+
+def _family_sql(kind: str) -> str:
+    return f"""WITH {_CTE}, {_CELLS.format(t=TERMS)},
+raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df CROSS JOIN stats), m AS (SELECT avg(idf) AS mean FROM raw),
+s AS (SELECT doc_id, sum({_FAMILY[kind]}) AS score FROM cells JOIN raw USING (term) CROSS JOIN m GROUP BY doc_id)
+SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM dl LEFT JOIN s USING (doc_id)"""
+
+
+def _family(spark, d, kind):
+    docs, tf, df, stats = statistics(spark, d)
+    return _rounded(scoring.rank_family(docs, tf, df, term_table(spark, TERMS), stats, kind))
+
+
+@query(_family_sql("okapi"))
+def memory_okapi_eps(spark, d):
+    return _family(spark, d, "okapi")
+
+
+@query(_family_sql("l"))
+def memory_bm25l(spark, d):
+    return _family(spark, d, "l")
+
+
+@query(_family_sql("plus"))
+def memory_bm25plus(spark, d):
+    return _family(spark, d, "plus")
+
+
+@query(f"SELECT s.* FROM ({_family_sql('okapi')}) s JOIN documents USING (doc_id) WHERE lang = 'de'")
+def memory_batch(spark, d):
+    """Statistics of all documents, scores of some."""
+    docs, tf, df, stats = statistics(spark, d)
+    some = docs.join(documents(spark, d).filter("lang = 'de'").select("doc_id"), "doc_id", "left_semi")
+    return _rounded(scoring.rank_family(some, tf, df, term_table(spark, TERMS), stats, "okapi"))
+
+
+@query(f"SELECT * FROM ({_family_sql('plus')}) ORDER BY score DESC, doc_id LIMIT 5")
+def memory_top_n(spark, d):
+    return ranking.top_k(_family(spark, d, "plus"), 5)
+
+
+@query(f"""WITH {_CTE}, a AS ({_okapi_sql(TERMS)}), b AS ({_okapi_sql(SYNONYMS)})
+SELECT doc_id, round(coalesce(a.score, 0) + 0.85 * coalesce(b.score, 0) + 0.3 * (lang = 'en')::INTEGER + 0.15 * (source = 'src1')::INTEGER, 6) AS score
+FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def composite_score(spark, d):
+    x = documents(spark, d).filter("lang IS NOT NULL AND source IS NOT NULL").select("doc_id", (F.col("lang") == "en").alias("structure"), (F.col("source") == "src1").alias("header"))
+    x = x.join(_bm25(spark, d).withColumnRenamed("score", "stem"), "doc_id", "left").join(_bm25(spark, d, SYNONYMS).withColumnRenamed("score", "direct"), "doc_id", "left")
+    return _rounded(scoring.composite(x))
+
+
+# ------------------------------------------------------------------ ranking
+
+
+@query(f"""WITH {_CTE}, s AS (SELECT doc_id, round(score, 6) AS score FROM ({_okapi_sql(TERMS)}) ORDER BY score DESC, doc_id LIMIT 25)
+SELECT doc_id, score, round(CASE WHEN max(score) OVER () - min(score) OVER () < 1e-12 THEN CASE WHEN max(score) OVER () > 0 THEN 1.0 ELSE 0.0 END
+  ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END, 6)::DOUBLE AS norm FROM s""")
+def topk_normalised(spark, d):
+    x = ranking.normalised(ranking.top_k(_rounded(_bm25(spark, d)), 25))
+    return x.select("doc_id", "score", F.round("norm", 6).alias("norm"))
+
+
+@query(f"""WITH {_CONV}, s AS (SELECT conv_id, turn, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+FROM ctf JOIN df USING (term) JOIN cl USING (conv_id, turn) CROSS JOIN stats WHERE term IN {TERMS} GROUP BY conv_id, turn)
+SELECT conv_id, turn, score FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) = 1""")
+def best_chunk_per_doc(spark, d):
+    return ranking.best_per_document(bm25_mixed(spark, d), "conv_id", "turn").select("conv_id", "turn", "score")
+
+
+@query(f"""WITH RECURSIVE {_CTE}, s AS (SELECT doc_id, round(score, 6) AS score FROM ({_okapi_sql(TERMS)}) ORDER BY score DESC, doc_id LIMIT 300),
+r AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS i, doc_id, list_distinct(regexp_extract_all(substring(lower(text), 1, 400), '[a-z]{{2,}}')) AS t FROM s JOIN documents USING (doc_id)),
+w(i, kept, sets) AS (SELECT 0::BIGINT, []::BIGINT[], []::VARCHAR[][] UNION ALL
+  SELECT r.i, CASE WHEN d THEN kept ELSE list_append(kept, doc_id) END, CASE WHEN d THEN sets ELSE list_append(sets, t) END
+  FROM (SELECT r.i, w.kept, w.sets, r.doc_id, r.t, len(list_filter(w.sets, lambda o: len(o) + len(r.t) > 0 AND len(list_intersect(o, r.t)) / (len(o) + len(r.t) - len(list_intersect(o, r.t)))::DOUBLE >= 0.7)) > 0 AS d
+    FROM w JOIN r ON r.i = w.i + 1) r)
+SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM w ORDER BY i DESC LIMIT 1)""")
+def greedy_dedup(spark, d):
+    x = _rounded(_bm25(spark, d)).join(documents(spark, d).select("doc_id", "text"), "doc_id")
+    return ranking.greedy_dedup(x, "text").select("doc_id")
+
+
+@query("""WITH u AS (SELECT 'lang' AS facet, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents),
+c AS (SELECT facet, value, count(*) AS n FROM u WHERE value IS NOT NULL AND value <> '' GROUP BY ALL)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) <= 25""")
+def facets(spark, d):
+    return ranking.facets(documents(spark, d), ["lang", "source"])
+
+
+@query("SELECT lang, source, count(*) AS n, grouping(lang, source)::INTEGER AS level FROM documents GROUP BY CUBE (lang, source)")
+def facets_grouping_sets(spark, d):
+    return ranking.facets_by_grouping_sets(documents(spark, d), "lang", "source")
+
+
+@query("""WITH r AS (SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS p, lead(doc_id) OVER (ORDER BY doc_id) AS nx FROM documents),
+h AS (SELECT doc_id FROM documents WHERE source = 'src1')
+SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN p IN (SELECT doc_id FROM h) OR nx IN (SELECT doc_id FROM h) THEN 0.52 ELSE 0.5 END::DOUBLE AS norm FROM r WHERE doc_id IN (SELECT doc_id FROM h)""")
+def adjacency_boost(spark, d):
+    from pyspark.sql import Window as W
+
+    w = W.orderBy("doc_id")
+    x = documents(spark, d).select("doc_id", "source", F.lag("doc_id").over(w).cast("string").alias("prev_id"), F.lead("doc_id").over(w).cast("string").alias("next_id")).filter("source = 'src1'")
+    return ranking.adjacency_boost(x.select(F.col("doc_id").cast("string").alias("chunk_id"), "prev_id", "next_id", F.lit(0.5).alias("norm"))).select("chunk_id", F.round("norm", 6).alias("norm"))
+
+
+# ------------------------------------------------------------------ chunking
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\r\n]+'), lambda w: w <> '')"
+_FIXED = f"""w AS (SELECT doc_id, {_WORDS} AS l FROM documents), s AS (SELECT doc_id, l, unnest(range(0, (len(l) + 511) // 512)) AS k FROM w),
+c AS (SELECT doc_id, k AS chunk_idx, array_to_string(l[k * 512 + 1 : k * 512 + 512], ' ') AS content,
+  sha1(doc_id::VARCHAR || '|1|' || (k * 512)::VARCHAR || '|' || (k * 512 + len(l[k * 512 + 1 : k * 512 + 512]))::VARCHAR) AS chunk_id FROM s)"""
+
+
+@query(f"WITH {_FIXED} SELECT doc_id, chunk_idx::BIGINT AS chunk_idx, content FROM c")
+def chunk_fixed_window(spark, d):
+    return chunking.fixed_chunks(documents(spark, d)).select("doc_id", long("chunk_idx").alias("chunk_idx"), "content")
+
+
+@query(f"WITH {_FIXED} SELECT doc_id, chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_idx)")
+def chunk_links(spark, d):
+    return chunking.fixed_chunks(documents(spark, d)).select("doc_id", "chunk_id", "prev_id", "next_id")
+
+
+def _as_pages(spark, d):
+    return documents(spark, d).select("doc_id", F.lit(1).alias("page_num"), "text")
+
+
+@query()
+def chunk_greedy(spark, d):
+    return chunking.chunk_pages(_as_pages(spark, d), "sentence")
+
+
+@query()
+def chunk_greedy_wordoverlap(spark, d):
+    return chunking.chunk_pages(_as_pages(spark, d), "words")
+
+
+@query()
+def chunk_paragraph(spark, d):
+    return chunking.chunk_pages(_as_pages(spark, d), "paragraph")
+
+
+# ------------------------------------------------------------------ fallbacks, vectors, history, upkeep
+
+
+@query("SELECT doc_id, 0.5::DOUBLE AS score FROM documents WHERE contains(lower(text), 'erst')")
+def like_fallback(spark, d):
+    return search.containing(documents(spark, d), ["erst"], "doc_id", "text").select("doc_id", F.col("score").cast("double").alias("score"))
+
+
+@query(f"WITH {_CTE}, s AS (SELECT doc_id, max(greatest(0.0, 1 - levenshtein(term, 'erstt') / greatest(length(term), 5)::DOUBLE)) AS score FROM tf GROUP BY doc_id) SELECT doc_id, round(score, 6)::DOUBLE AS score FROM s WHERE score >= 0.6")
+def levenshtein_fallback(spark, d):
+    return _rounded(search.spelling(documents(spark, d), ["erstt"], 0.6, "doc_id", "text"))
+
+
+@query()
+def phonetic_fallback(spark, d):
+    return search.sounding(documents(spark, d), ["tionn", "erst"], "doc_id", "text")
+
+
+@query()
+def phonetic_keys(spark, d):
+    return phonetic.keys(documents(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("term")))
+
+
+_VEC = "CASE WHEN sqrt(list_inner_product(v, v)) > 0 THEN sqrt(list_inner_product(v, v)) ELSE 1.0 END"
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT vec_id, v, {_VEC} AS norm FROM e), q AS (SELECT v, norm FROM n WHERE vec_id = (SELECT min(vec_id) FROM e))
+SELECT n.vec_id, round(list_inner_product(n.v, q.v) / (n.norm * q.norm), 6) AS score FROM n CROSS JOIN q ORDER BY score DESC, vec_id LIMIT 10""")
+def cosine_topk(spark, d):
+    """The ten vectors nearest to that with the smallest id."""
+    e = table(spark, d, "embeddings").filter("embedding IS NOT NULL")
+    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
+    x = e.crossJoin(F.broadcast(q)).select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return x.orderBy(F.desc("score"), "vec_id").limit(10)
+
+
+@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, round(v[1] / {_VEC}, 6) AS first, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM e")
+def l2_normalise(spark, d):
+    e = table(spark, d, "embeddings").filter("embedding IS NOT NULL")
+    return e.select("vec_id", F.round(text.unit_vector(F.col("embedding"))[0], 6).alias("first"), F.round(F.sqrt(text.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+
+
+@query("SELECT event_type AS query, max(event_id) AS last FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 10")
+def history_recent_distinct(spark, d):
+    return ranking.recent_distinct(table(spark, d, "events").withColumnRenamed("event_type", "query"), 10, "event_id", "query")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 200")
+def history_keep_last_n(spark, d):
+    return ranking.keep_last(table(spark, d, "events"), 200, "event_id").select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3")
+def history_keep_last_each(spark, d):
+    return ranking.keep_last(table(spark, d, "events"), 3, "event_id", F.col("user_id")).select("event_id", "user_id")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'de' THEN upper(source) ELSE source END AS source FROM documents WHERE lang IS NOT NULL")
+def upsert_plan(spark, d):
+    docs = documents(spark, d).filter("lang IS NOT NULL").select("doc_id", "lang", "source")
+    return ix.upsert(docs, docs.filter("lang = 'de'").withColumn("source", F.upper("source"))).select("doc_id", "source")
+
+
+@query("SELECT doc_id::VARCHAR AS path, n_chars AS size FROM documents WHERE lang = 'es' OR source = 'src2'")
+def changed_files(spark, d):
+    """What differs between a listing and an index that lacks Spanish and knows another size for one source."""
+    docs = documents(spark, d).select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.lit(1.0).alias("mtime"), "lang", "source")
+    known = docs.filter("lang <> 'es'").withColumn("size", F.when(F.col("source") == "src2", F.col("size") + 1).otherwise(F.col("size")))
+    return ix.changed(docs.select("path", "size", "mtime"), known).select("path", "size")
+
+
+@query(f"WITH {_CTE}, k AS (SELECT doc_id FROM documents WHERE lang <> 'fr') SELECT term, count(*) AS df FROM tf WHERE doc_id IN (SELECT doc_id FROM k) GROUP BY term")
+def delete_cascade(spark, d):
+    docs = documents(spark, d).filter("lang IS NOT NULL")
+    left = ix.delete({"tf": ix.term_frequencies(docs, ["doc_id"])}, docs.filter("lang = 'fr'"))
+    return ix.document_frequencies(left["tf"], "doc_id")
+
+
+@query("SELECT lang, max(n_chars) AS n_chars FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def merge_upsert(spark, d):
+    docs = documents(spark, d).filter("lang IS NOT NULL")
+    return ix.merge_counts(docs.filter("source = 'src0'"), docs.filter("source IS NULL OR source <> 'src0'"), ["lang"], "n_chars", "max")
+
+
+# ------------------------------------------------------------------ whole searches
+
+
+def _index(spark, d) -> search.Index:
+    docs = documents(spark, d)
+    return search.Index.build(docs.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content")), docs.select("doc_id", "lang", "source"))
+
+
+@query()
+def search_composite(spark, d):
+    """The whole ranking: phrases, stems, expansion, signals, duplicates, snippets."""
+    return search.search(_index(spark, d), 'the "of the" tion', thesaurus=THESAURUS)
+
+
+@query()
+def search_filtered(spark, d):
+    return search.search(_index(spark, d), "erst thon", filters={"lang": "en"})
+
+
+@query()
+def search_fallback(spark, d):
+    return search.fallback(_index(spark, d), "erstt", filters={"lang": "en"})
+
+
+@query()
+def batch_search(spark, d):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.batch_search(_index(spark, d), q)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return topk_normalised(spark, d)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -96,13 +96,13 @@ def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None,
             ask = spark.createDataFrame([(t, 1) for t in dict.fromkeys(terms)], "term string, qtf int")
             signals = signals.join(scoring.bm25(tf, index.df, ask, index.stats, ["chunk_id"]).withColumnRenamed("score", name), "chunk_id", "left")
     ids = cand.select(F.col("chunk_id").alias("_n"))
-    near = signals.select("chunk_id", F.explode(F.array("prev_id", "next_id")).alias("_n")).join(ids, "_n", "left_semi").select("chunk_id").distinct().withColumn("_near", F.lit(1))
+    near = signals.select("chunk_id", F.explode(F.array("prev_id", "next_id")).alias("_n")).join(ids, "_n", "left_semi").select("chunk_id").distinct().withColumn("_close", F.lit(1))
     signals = signals.join(near, "chunk_id", "left")
     words = F.array(*[F.lit(t) for t in q.tokens]) if q.tokens else F.array().cast("array<string>")
     signals = signals.withColumns(
         {
             "structure": F.coalesce("structure", F.lit("exposition")).isin(*q.structures) if q.structures else F.lit(False),
-            "proximity": F.col("_near").isNotNull(),
+            "proximity": F.col("_close").isNotNull(),
             "header": F.size(F.array_intersect(tokens(F.col("header")), words)) > 0,
         }
     )
