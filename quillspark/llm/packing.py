@@ -28,7 +28,9 @@ SENTENCE_COST, FORCED_COST, SEQUENCE_COST = 4, 64, 1
 GAP, SPACING = 1024, 256
 #: Ids held before cuts are settled; the windows nearest the end are settled with the next ids.
 HORIZON, TAIL = 524_288, 16 * LIMIT
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
+#: The split of the public tokenizer, as regular expression.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stands between words that are encoded together; alone it is one id.
 MARK = "\x01"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -47,8 +49,10 @@ class WordEncoder:
     def __init__(self, path: str):
         import os
 
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -56,7 +60,14 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids must fit in 16 bits")
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode_bare = getattr(bare, "encode_batch_fast", bare.encode_batch)
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.simple = re.compile("[!-~\xa1-\xff]+").fullmatch
+        self.split = regex.compile(SPLIT).findall
         #: str.split() also takes these four for white space, the tokenizer doesn't
         self.odd = re.compile("[\x1c-\x1f]").search
         self.space = re.compile("[^\t-\r \x85\xa0  -     　]+").findall
@@ -65,15 +76,35 @@ class WordEncoder:
         self.sentence_end = np.zeros(65_536, bool)
         self.sentence_end[ends] = True
 
-    def apart(self, words: list[str]) -> list[bytes]:
-        """Ids of each word: all are encoded as one text, with a mark between them that no word holds."""
-        if any(MARK in w or "<|" in w for w in words):
+    def apart(self, words: list[str], bare: bool = False) -> list[bytes]:
+        """Ids of each word: all are encoded as one text, with a mark between them that no word holds. bare: the words
+        are normalised and split already."""
+        if not bare and any(MARK in w or "<|" in w for w in words):
             return [np.array(e.ids, "<u2").tobytes() for e in self.encode_batch(words, add_special_tokens=False)]
-        ids = np.array(self.encode_batch([f" {MARK} ".join([*words, ""])], add_special_tokens=False)[0].ids, "<u2")
+        encode = self.encode_bare if bare else self.encode_batch
+        ids = np.array(encode([f" {MARK} ".join([*words, ""])], add_special_tokens=False)[0].ids, "<u2")
         ends = np.flatnonzero(ids == self.mark)
         data, ends = ids.tobytes(), ends.tolist()
         return [data[2 * a : 2 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
 
+    def learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words. Those of ASCII and Latin-1 letters are lower-cased and split here as the tokenizer does, so
+        that only parts not met before are encoded; the rest the tokenizer takes whole."""
+        whole = [w for w in words if not self.simple(w) or "<|" in w]
+        for i in range(0, len(whole), 20_000):
+            part = whole[i : i + 20_000]
+            yield from zip(part, self.apart(part), strict=True)
+        cut = [(w, self.split(w.lower())) for w in words if self.simple(w) and "<|" not in w]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        new = list(set(chain.from_iterable(x for _, x in cut)).difference(self.parts))
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            self.parts.update(zip(part, self.apart(part, True), strict=True))
+        get = self.parts.__getitem__
+        for w, x in cut:
+            yield w, b"".join(map(get, x))
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for some in portions(texts):
             words = [self.space(t) if self.odd(t) else t.split() for t in some]
@@ -81,10 +112,8 @@ class WordEncoder:
                 self.cache.clear()
             missing = list(set(chain.from_iterable(words)).difference(self.cache))
             more: dict[str, bytes] = {}
-            for i in range(0, len(missing), 20_000):
-                part = missing[i : i + 20_000]
-                for w, ids in zip(part, self.apart(part), strict=True):
-                    (self.cache if len(w) <= 64 else more)[w] = ids
+            for w, ids in self.learn(missing):
+                (self.cache if len(w) <= 64 else more)[w] = ids
             cache = self.cache
             get = cache.__getitem__ if not more else (lambda w: cache[w] if w in cache else more[w])
             for x in words:
