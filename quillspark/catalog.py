@@ -499,10 +499,10 @@ def best_chunk_per_doc(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_CTE}, s AS (SELECT doc_id, round(score, 6) AS score FROM ({_okapi_sql(TERMS)}) ORDER BY score DESC, doc_id LIMIT 300),
-r AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS i, doc_id, list_distinct(regexp_extract_all(substring(lower(text), 1, 400), '[a-z]{{2,}}')) AS t FROM s JOIN documents USING (doc_id)),
-w(i, kept, sets) AS (SELECT 0::BIGINT, []::BIGINT[], []::VARCHAR[][] UNION ALL
+r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS i, doc_id, list_distinct(list_transform(regexp_extract_all(substring(lower(text), 1, 400), '[a-z]{{2,}}'), lambda x: hash(x))) AS t FROM s JOIN documents USING (doc_id)),
+w(i, kept, sets) AS (SELECT 0::BIGINT, []::BIGINT[], []::UBIGINT[][] UNION ALL
   SELECT r.i, CASE WHEN d THEN kept ELSE list_append(kept, doc_id) END, CASE WHEN d THEN sets ELSE list_append(sets, t) END
-  FROM (SELECT r.i, w.kept, w.sets, r.doc_id, r.t, len(list_filter(w.sets, lambda o: len(o) + len(r.t) > 0 AND len(list_intersect(o, r.t)) / (len(o) + len(r.t) - len(list_intersect(o, r.t)))::DOUBLE >= 0.7)) > 0 AS d
+  FROM (SELECT r.i, w.kept, w.sets, r.doc_id, r.t, len(list_filter(w.sets, lambda o: len(o) + len(r.t) > 0 AND 17 * len(list_intersect(o, r.t)) >= 7 * (len(o) + len(r.t)))) > 0 AS d
     FROM w JOIN r ON r.i = w.i + 1) r)
 SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM w ORDER BY i DESC LIMIT 1)""")
 def greedy_dedup(spark, d):
@@ -659,7 +659,7 @@ def merge_upsert(spark, d):
 
 def _index(spark, d) -> search.Index:
     docs = documents(spark, d)
-    return search.Index.build(docs.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content")), docs.select("doc_id", "lang", "source"))
+    return search.Index.build(docs.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content")), docs.select("doc_id", "lang", "source")).cached()
 
 
 @query()

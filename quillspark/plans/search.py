@@ -41,6 +41,10 @@ class Index:
         tf = tf.join(chunks.select("chunk_id", F.col("token_count").alias("dl")), "chunk_id")
         return Index(chunks, documents, tf, ix.document_frequencies(tf, "chunk_id"), ix.cooccurrence(chunks, "content"), ix.corpus_stats(chunks, F.col("token_count")))
 
+    def cached(self) -> Index:
+        """With its tables kept in executors' memory or on their disks; lost parts are made anew."""
+        return Index(*(getattr(self, n).persist() for n in self.TABLES))
+
     def save(self, path: str) -> None:
         """Each table as Parquet; tf sorted by term, so that a term's row groups are few."""
         for name in self.TABLES:
@@ -106,10 +110,11 @@ def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None,
             "header": F.size(F.array_intersect(tokens(F.col("header")), words)) > 0,
         }
     )
-    top = scoring.composite(signals).orderBy(F.desc("score"), "chunk_id").limit(CANDIDATES)
+    # what follows reads these few rows more than once
+    top = scoring.composite(signals).orderBy(F.desc("score"), "chunk_id").limit(CANDIDATES).select("chunk_id", "doc_id", "content", "prev_id", "next_id", "score").persist()
     if dedup:
-        top = top.join(ranking.greedy_dedup(top, "content", "chunk_id", limit=CANDIDATES), "chunk_id")
-    top = ranking.normalised(top.orderBy(F.desc("score"), "chunk_id").limit(limit))
+        top = top.join(ranking.greedy_dedup(top, "content", "chunk_id", limit=CANDIDATES).persist(), "chunk_id")
+    top = ranking.normalised(top.orderBy(F.desc("score"), "chunk_id").limit(limit)).persist()
     top = ranking.adjacency_boost(top)
     return top.select("chunk_id", "doc_id", F.round("score", 4).alias("score"), F.round("norm", 4).alias("norm"), snippet_first(F.col("content"), q.tokens or q.phrases).alias("snippet"))
 
