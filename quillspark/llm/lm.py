@@ -25,7 +25,7 @@ from .common import discard, learns, scratch, ship
 
 FOLDS = 10
 #: Tokens of a chunk (a single longer document is a chunk of its own), and entries of one block range.
-CHUNK, RANGE = 2_500_000, 3_000_000
+CHUNK, RANGE = 1_000_000, 2_000_000
 ROUNDS = 60
 END_HASH = 0x9AE16A3B2F90404F
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -48,6 +48,13 @@ def unsqueeze(data: bytes, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(kind.itemsize, n).T).view(kind).ravel()
 
 
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: a row may be large."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased, split at ASCII white space."""
     return (text or "").encode("utf-8", "replace").lower().split()
@@ -219,28 +226,26 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     parts1, parts2 = (max(8, -(-int(x) // RANGE)) for x in words)
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillspark.llm.lm import _blocks, unsqueeze
+        from quillspark.llm.lm import _blocks, each, unsqueeze
 
-        for b in batches:
-            for r in b.to_pylist():
-                h, c = unsqueeze(r["words"], np.uint64, r["n_words"]), unsqueeze(r["counts"], np.int64, r["n_words"])
-                order = np.argsort(h, kind="stable")
-                yield _blocks(r["chunk"], h[order], c[order], None, parts1)
+        for r in each(batches):
+            h, c = unsqueeze(r["words"], np.uint64, r["n_words"]), unsqueeze(r["counts"], np.int64, r["n_words"])
+            order = np.argsort(h, kind="stable")
+            yield _blocks(r["chunk"], h[order], c[order], None, parts1)
 
     asked = chunks.select("chunk", "n_words", "words", "counts").mapInArrow(ask_words, _BLOCK)
     known = scratch(asked.groupBy("part").applyInPandas(_counted, _REPLY), "lm-words")
     types, total, once = (int(x or 0) for x in known.agg(F.sum("types"), F.sum("total"), F.sum("once")).first())
 
     def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillspark.llm.lm import _joined, squeeze, unsqueeze
+        from quillspark.llm.lm import _joined, each, squeeze, unsqueeze
 
-        for b in batches:
-            for r in b.to_pylist():
-                order = np.argsort(unsqueeze(r["words"], np.uint64, r["n_words"]), kind="stable")
-                c = np.zeros(r["n_words"], np.int64)
-                c[order] = _joined(r.pop("replies"))
-                r["counts"] = squeeze(c)
-                yield pa.RecordBatch.from_pylist([r], schema=pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in _CHUNK.split(", ")]))
+        for r in each(batches):
+            order = np.argsort(unsqueeze(r["words"], np.uint64, r["n_words"]), kind="stable")
+            c = np.zeros(r["n_words"], np.int64)
+            c[order] = _joined(r.pop("replies"))
+            r["counts"] = squeeze(c)
+            yield pa.RecordBatch.from_pylist([r], schema=pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in _CHUNK.split(", ")]))
 
     full = scratch(_with_replies(chunks, known).mapInArrow(with_counts, _CHUNK), "lm-counted")
     discard(chunks)
@@ -251,15 +256,14 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     uniform = 1 / (types + 1)
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillspark.llm.lm import Chunk, _blocks, _log2
+        from quillspark.llm.lm import Chunk, _blocks, _log2, each
 
-        for b in batches:
-            for r in b.to_pylist():
-                c = Chunk(r)
-                first, second, h, at = c.pairs()
-                n = np.bincount(at[np.repeat(c.learn, c.sizes)], minlength=len(h))
-                codes = np.stack([np.round(4 * _log2(c.counts[first])), np.round(4 * _log2(c.counts[second]))], axis=1).astype(np.uint8)
-                yield _blocks(c.id, h, n, codes.view(np.uint16).ravel(), parts2)
+        for r in each(batches):
+            c = Chunk(r)
+            first, second, h, at = c.pairs()
+            n = np.bincount(at[np.repeat(c.learn, c.sizes)], minlength=len(h))
+            codes = np.stack([np.round(4 * _log2(c.counts[first])), np.round(4 * _log2(c.counts[second]))], axis=1).astype(np.uint8)
+            yield _blocks(c.id, h, n, codes.view(np.uint16).ravel(), parts2)
 
     def count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         """Replies, and in one more row (chunk -1) the held-out tokens of this range by bucket and probabilities."""
@@ -306,33 +310,32 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     mix = weights(cells, uniform)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillspark.llm.lm import Chunk, _joined, _octave
-
-        for b in batches:
-            for r in b.to_pylist():
-                c = Chunk(r)
-                first, second, h, at = c.pairs()
-                c12 = _joined(r["replies"]).astype(float)
-                c1, c2 = c.counts[first], c.counts[second]
-                bucket = _octave(c1)
-                seen = np.array([mix.get(k, (0.0, 1.0 - 1e-6, 1e-6)) if total else (0.0, 0.0, 1.0) for k in range(int(bucket.max()) + 1)])
-                w2, w1, w0 = seen[bucket].T
-                idle = c1 == 0  # an unseen context says nothing: its bigram weight goes to the unigram
-                w1, w2 = np.where(idle, w1 + w2, w1), np.where(idle, 0.0, w2)
-                p1 = np.where(c2 > 0, (1 - unseen) * c2 / max(total, 1), unseen)
-                log_p = np.log10(w2 * c12 / np.maximum(c1, 1) + w1 * p1 + w0 * uniform)
-                base = np.log10((c.counts + 0.1) / (total + 0.1 * (types + 1)))
-                starts = np.cumsum(c.sizes) - c.sizes
-                cols = [
-                    pa.array(c.ids, pa.int64(), mask=c.nulls.astype(bool)),
-                    pa.array(~c.learn & ~c.nulls.astype(bool)),
-                    pa.array(c.sizes),
-                    pa.array(np.add.reduceat((c.counts > 0)[c.tokens].astype(np.int64), starts)),
-                    pa.array(np.full(len(c.ids), total)),
-                    pa.array(np.add.reduceat(base[c.tokens], starts)),
-                    pa.array(np.add.reduceat(log_p[at], starts)),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCHEMA.split(", ")])
+        from quillspark.llm.lm import Chunk, _joined, _octave, each
+
+        for r in each(batches):
+            c = Chunk(r)
+            first, second, h, at = c.pairs()
+            c12 = _joined(r["replies"]).astype(float)
+            c1, c2 = c.counts[first], c.counts[second]
+            bucket = _octave(c1)
+            seen = np.array([mix.get(k, (0.0, 1.0 - 1e-6, 1e-6)) if total else (0.0, 0.0, 1.0) for k in range(int(bucket.max()) + 1)])
+            w2, w1, w0 = seen[bucket].T
+            idle = c1 == 0  # an unseen context says nothing: its bigram weight goes to the unigram
+            w1, w2 = np.where(idle, w1 + w2, w1), np.where(idle, 0.0, w2)
+            p1 = np.where(c2 > 0, (1 - unseen) * c2 / max(total, 1), unseen)
+            log_p = np.log10(w2 * c12 / np.maximum(c1, 1) + w1 * p1 + w0 * uniform)
+            base = np.log10((c.counts + 0.1) / (total + 0.1 * (types + 1)))
+            starts = np.cumsum(c.sizes) - c.sizes
+            cols = [
+                pa.array(c.ids, pa.int64(), mask=c.nulls.astype(bool)),
+                pa.array(~c.learn & ~c.nulls.astype(bool)),
+                pa.array(c.sizes),
+                pa.array(np.add.reduceat((c.counts > 0)[c.tokens].astype(np.int64), starts)),
+                pa.array(np.full(len(c.ids), total)),
+                pa.array(np.add.reduceat(base[c.tokens], starts)),
+                pa.array(np.add.reduceat(log_p[at], starts)),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCHEMA.split(", ")])
 
     return _with_replies(full, replies.filter("chunk >= 0")).mapInArrow(scored, SCHEMA)
 

@@ -26,6 +26,8 @@ END_ID = 2
 SENTENCE_COST, FORCED_COST, SEQUENCE_COST = 4, 64, 1
 #: Longest stretch without a place to cut, and the spacing of forced places within.
 GAP, SPACING = 1024, 256
+#: Of the sentence ends in so many ids, one is a place to cut.
+APART = 32
 #: Ids held before cuts are settled; the windows nearest the end are settled with the next ids.
 HORIZON, TAIL = 524_288, 16 * LIMIT
 CACHE_WORDS = 900_000
@@ -90,11 +92,13 @@ class WordEncoder:
     def learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words. Those of ASCII and Latin-1 letters are lower-cased and split here as the tokenizer does, so
         that only parts not met before are encoded; the rest the tokenizer takes whole."""
-        whole = [w for w in words if not self.simple(w) or "<|" in w]
+        plain, whole = [], []
+        for w in words:
+            (plain if self.simple(w) and "<|" not in w else whole).append(w)
         for i in range(0, len(whole), 20_000):
             part = whole[i : i + 20_000]
             yield from zip(part, self.apart(part), strict=True)
-        cut = [(w, self.split(w.lower())) for w in words if self.simple(w) and "<|" not in w]
+        cut = [(w, self.split(w.lower())) for w in plain]
         if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
         new = list(set(chain.from_iterable(x for _, x in cut)).difference(self.parts))
@@ -186,7 +190,10 @@ class Packer:
 
     def places(self, ids: np.ndarray) -> tuple[list[int], list[int]]:
         cost = np.full(len(ids) + 1, -1, np.int32)
-        cost[1:][self.ends[ids]] = SENTENCE_COST
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends):  # of sentence ends that lie close, the last
+            ends = ends[np.append(ends[1:] // APART != ends[:-1] // APART, True)]
+        cost[ends] = SENTENCE_COST
         cost[[s + n for _, s, n in self.docs]] = 0
         cost[0] = 0
         found = np.flatnonzero(cost >= 0)
