@@ -125,7 +125,7 @@ class Parser:
         for k, table in enumerate(self.automata):
             state = np.zeros(x.shape[1], np.int32)
             count = np.zeros(x.shape[1], np.int32)
-            first = np.maximum(table[: self.letters], 0)
+            first = table[: self.letters]
             for t in range(len(x)):
                 n = live[t]
                 if not n:
@@ -133,10 +133,11 @@ class Parser:
                 c = x[t, :n]
                 to = table[state[:n] + c]
                 miss = np.flatnonzero(to < 0)
-                count[miss] += 1
-                to[miss] = first[c[miss]]
+                again = first[c[miss]]
+                count[miss] += (state[miss] > 0).astype(np.int32) + (again < 0)  # a letter never seen is a phrase
+                to[miss] = np.maximum(again, 0)
                 state[:n] = to
-            out[k, order] = count + 1
+            out[k, order] = count + (state > 0)
         return out
 
     def counts(self, texts: list[np.ndarray]) -> np.ndarray:
