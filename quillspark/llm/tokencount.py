@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import token_counts
+from .common import scratch
 
 LIMITS = tuple(1 << k for k in range(6, 18))
 _BLOCK = 1024
@@ -68,7 +69,8 @@ def quantiles(table: DataFrame, shares: tuple[float, ...]) -> DataFrame:
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
-    return answers(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    # written once: the suffix sums read it more than once
+    return answers(scratch(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "lengths"))
 
 
 QUERIES = {"op8_token_counts": op8_token_counts}
