@@ -136,4 +136,41 @@ def op7_chat_format(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_chat_format": op7_chat_format}
-ORACLES: dict[str, str] = {}
+
+_ATTRIBUTED = r"(?i)(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n?$"
+
+
+def _unit_sql(source: str, columns: str) -> str:
+    clean = r"lower(regexp_replace(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'))"
+    parts = r"list_concat([body], regexp_split_to_array(body, '\n[ \t\r]*\n'), string_split(body, chr(10)))"
+    return f"SELECT DISTINCT {columns}, u FROM (SELECT {columns}, {clean} AS u FROM (SELECT {columns}, unnest({parts}) AS x FROM {source})) WHERE u <> ''"
+
+
+_OP7_SQL = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, translate(coalesce(text, ''), chr(1) || chr(2), '  ') AS text FROM conversations),
+l AS (SELECT id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (SELECT id, regexp_split_to_array(text, '\r?\n') AS a FROM m)),
+v AS (SELECT id, i, length(regexp_replace(regexp_extract(line, '^([ \t]*>)+', 0), '[^>]', '', 'g')) AS level, regexp_replace(line, '^([ \t]*>)+[ ]?', '') AS body FROM l),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY i) AS run FROM (SELECT *, (level IS DISTINCT FROM lag(level) OVER (PARTITION BY id ORDER BY i))::INTEGER AS fresh FROM v)),
+r AS (SELECT id, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS body FROM g GROUP BY id, run),
+n AS (SELECT *, lead(level) OVER (PARTITION BY id ORDER BY run) AS following FROM r),
+own AS (SELECT id, regexp_replace(string_agg(CASE WHEN following > 0 AND regexp_matches(regexp_extract(body, '[^\n]*\n?$', 0), '{_ATTRIBUTED}')
+  THEN regexp_replace(body, '[^\n]*(\n?)$', '\1') ELSE body END, chr(10) ORDER BY run), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS body FROM n WHERE level = 0 GROUP BY id),
+x AS (SELECT m.*, coalesce(own.body, '') AS own_text, (SELECT count(*) FROM r WHERE r.id = m.id AND level > 0) AS n_quoted FROM m LEFT JOIN own USING (id)),
+said AS ({_unit_sql("(SELECT conv_id, turn, own_text AS body FROM x WHERE conv_id IS NOT NULL AND turn IS NOT NULL)", "conv_id, turn")}),
+asks AS (SELECT conv_id, turn, u, min(level) AS level FROM ({_unit_sql("(SELECT m.conv_id, m.turn, r.level, r.body FROM r JOIN m USING (id) WHERE r.level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL)", "conv_id, turn, level")}) GROUP BY ALL),
+firsts AS (SELECT conv_id, u, min(turn) AS orig FROM said GROUP BY ALL),
+here AS (SELECT a.conv_id, a.turn, first(orig ORDER BY level, length(u) DESC, orig DESC) AS orig FROM asks a JOIN firsts USING (conv_id, u) WHERE orig < a.turn GROUP BY ALL),
+origin AS (SELECT u, first(conv_id ORDER BY conv_id, turn) AS c, first(turn ORDER BY conv_id, turn) AS t FROM said GROUP BY u),
+away AS (SELECT conv_id, turn, first(c ORDER BY level, length(u) DESC, c DESC, t DESC) AS c, first(t ORDER BY level, length(u) DESC, c DESC, t DESC) AS t FROM asks JOIN origin USING (u) WHERE c <> conv_id GROUP BY conv_id, turn),
+turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM (SELECT DISTINCT conv_id, turn FROM x WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+tree AS (SELECT t.conv_id, t.turn, coalesce(h.orig, t.prior) AS parent, h.orig IS NOT NULL AS by_quote, a.c, a.t FROM turns t LEFT JOIN here h USING (conv_id, turn) LEFT JOIN away a USING (conv_id, turn)),
+deep AS (SELECT conv_id, turn, turn AS root_turn, 0::BIGINT AS depth FROM tree WHERE parent IS NULL
+  UNION ALL SELECT k.conv_id, k.turn, d.root_turn, d.depth + 1 FROM tree k JOIN deep d ON k.conv_id = d.conv_id AND k.parent = d.turn)
+SELECT x.conv_id, x.turn, x.role, own_text, n_quoted,
+  CASE WHEN c IS NOT NULL AND NOT by_quote THEN c WHEN parent IS NOT NULL THEN x.conv_id END AS reply_conv,
+  CASE WHEN c IS NOT NULL AND NOT by_quote THEN t ELSE parent END AS reply_turn,
+  coalesce(by_quote OR c IS NOT NULL, false) AS linked, root_turn, depth AS reply_depth,
+  CASE WHEN depth IS NOT NULL THEN row_number() OVER (PARTITION BY x.conv_id, depth IS NULL ORDER BY root_turn, depth, x.turn, x.role, own_text) - 1 END AS position
+FROM x LEFT JOIN tree USING (conv_id, turn) LEFT JOIN deep USING (conv_id, turn)
+"""
+ORACLES = {"op7_chat_format": _OP7_SQL}

@@ -146,8 +146,8 @@ def op1_top_k(spark, sf_dir: str) -> DataFrame:
 
 _OP1_SQL = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0
 ), s AS (
   SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v)::BIGINT AS score
   FROM e q JOIN e p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id AND len(q.v) = len(p.v)

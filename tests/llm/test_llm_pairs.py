@@ -201,6 +201,14 @@ def test_quotes(spark):
     assert x[3, None]["position"] is None and x[None, 1]["own_text"] == ""
     assert sorted(r["position"] for r in got if r["conv_id"] == 4) == [0, 1, 2]
     assert quotes.reply_ordered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    import duckdb
+    import pandas as pd
+
+    c = duckdb.connect()
+    conversations = pd.DataFrame(CONVERSATIONS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    c.register("conversations", conversations)
+    sql = c.sql(quotes.ORACLES["op7_chat_format"])
+    assert sorted(map(str, sql.fetchall())) == sorted(str(tuple(r[k] for k in sql.columns)) for r in got)
 
 
 def test_long_conversation(spark):
