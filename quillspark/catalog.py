@@ -9,7 +9,8 @@ from quillspark.functions import phonetic, stemmer, text
 from quillspark.operators import chunking, match, ranking, scoring
 from quillspark.operators import index as ix
 from quillspark.plans import search
-from quillspark.plans.query import Thesaurus
+from quillspark.plans.query import Thesaurus, parse
+from quillspark.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -212,6 +213,39 @@ def intent_single(spark, d):
     return table(spark, d, "benchmark").filter("text IS NOT NULL").select("item_id", text.single_intent(F.col("text")).alias("intent"))
 
 
+#: DuckDB's levenshtein counts bytes, so other letters than ASCII are left out on both sides
+_HEAD = "substring(regexp_replace(lower(coalesce(text, '')), '[^ -~]', '', 'g'), 1, 60)"
+
+
+@query(f"""WITH h AS (SELECT item_id, {_HEAD} AS t FROM benchmark), w AS (SELECT item_id, substring(t, unnest(range(1, greatest(1, length(t) - 3) + 1))::BIGINT, 4) AS s FROM h)
+SELECT item_id, round(max(greatest(0.0, 100 * (1 - levenshtein(s, 'erst') / 4.0::DOUBLE))), 6)::DOUBLE AS ratio FROM w GROUP BY item_id""")
+def fuzzy_partial_ratio(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.round(search.partial_ratio(F.substring(F.regexp_replace(F.lower("text"), "[^ -~]", ""), 1, 60), "erst"), 6).alias("ratio"))
+
+
+@query("SELECT conv_id, max(turn) AS n_pages, max(CASE WHEN turn <= 3 AND length(trim(text)) > 100 THEN 1 ELSE 0 END) = 1 AS has_text FROM conversations GROUP BY conv_id")
+def page_counts(spark, d):
+    """Conversations as documents, turns as pages."""
+    return files.page_counts(table(spark, d, "conversations").select("conv_id", F.col("turn").alias("page_num"), "text"), "conv_id")
+
+
+@query("SELECT doc_id FROM documents WHERE length(trim(coalesce(text, ''))) < 50")
+def thin_pages(spark, d):
+    return files.thin_pages(documents(spark, d)).select("doc_id")
+
+
+@query("SELECT turn, role, text FROM conversations WHERE conv_id = 3 AND turn = (SELECT greatest(1, least(99, max(turn))) FROM conversations WHERE conv_id = 3)")
+def page_view(spark, d):
+    """A page number past the last shows the last."""
+    x = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("page_num"), "role", "text")
+    return files.page(x, 3, 99, "conv_id").select(F.col("page_num").alias("turn"), "role", "text")
+
+
+@query("SELECT doc_id, source FROM documents")
+def library_listing(spark, d):
+    return files.library(documents(spark, d), "source").select("doc_id", "source")
+
+
 # ------------------------------------------------------------------ index
 
 
@@ -678,6 +712,19 @@ def search_fallback(spark, d):
     return search.fallback(_index(spark, d), "erstt", filters={"lang": "en"})
 
 
+@query()
+def search_diagnostics(spark, d):
+    return search.diagnostics(_index(spark, d), 'what is "of the" tion', THESAURUS)
+
+
+@query()
+def search_spelling_and_sound(spark, d):
+    """Both fallbacks' scores for a misspelt query, where either finds something."""
+    index, words = _index(spark, d), parse("erstt tionn").tokens
+    a, b = search.spelling(index.chunks, words).withColumnRenamed("score", "spelt"), search.sounding(index.chunks, words).withColumnRenamed("score", "heard")
+    return a.join(b, "chunk_id", "full")
+
+
 @query()
 def batch_search(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")

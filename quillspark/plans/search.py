@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import phonetic, stemmer
@@ -146,6 +146,26 @@ def fallback(index: Index, raw: str, limit: int = 25, filters: dict | None = Non
     return containing(chunks, [first]).orderBy("chunk_id").limit(limit).withColumn("how", F.lit("contains"))
 
 
+def diagnostics(index: Index, raw: str, thesaurus: Thesaurus | None = None, filters: dict | None = None) -> DataFrame:
+    """One row about a query: its intents, phrases, tokens, the first eight terms of each expansion, how many candidates it
+    has, and whether the fallback would answer it."""
+    q = parse(raw, thesaurus)
+    spark = index.chunks.sparkSession
+    row = [(raw, q.intents, q.phrases, q.tokens, q.direct[:8], q.concepts[:8])]
+    about = spark.createDataFrame(row, "query string, intents array<string>, phrases array<string>, tokens array<string>, direct array<string>, concepts array<string>")
+    n = candidates(index, q, filters).agg(F.count(F.lit(1)).alias("total_candidates")) if not q.empty else spark.createDataFrame([(0,)], "total_candidates long")
+    return about.crossJoin(F.broadcast(n)).withColumn("used_fallback", F.col("total_candidates") == 0)
+
+
+def partial_ratio(text: Column, needle: str) -> Column:
+    """How alike the needle and the stretch of text most like it are, 0 to 100: 100 (1 - levenshtein / length) of
+    the best window of the needle's length."""
+    n = max(1, len(needle))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - n + 1))
+    return F.array_max(F.transform(starts, lambda i: F.greatest(F.lit(0.0), 100 * (1 - F.levenshtein(F.substring(low, i, F.lit(n)), F.lit(needle.lower())) / n))))
+
+
 def spelling(chunks: DataFrame, words: list[str], least: float = 0.6, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """(key, score): the best similarity 1 - levenshtein / longer length of any token to any query word, if >= least."""
     x = chunks.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("t"))
