@@ -556,15 +556,11 @@ def facets_grouping_sets(spark, d):
     return ranking.facets_by_grouping_sets(documents(spark, d), "lang", "source")
 
 
-@query("""WITH r AS (SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS p, lead(doc_id) OVER (ORDER BY doc_id) AS nx FROM documents),
-h AS (SELECT doc_id FROM documents WHERE source = 'src1')
-SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN p IN (SELECT doc_id FROM h) OR nx IN (SELECT doc_id FROM h) THEN 0.52 ELSE 0.5 END::DOUBLE AS norm FROM r WHERE doc_id IN (SELECT doc_id FROM h)""")
+@query("""WITH h AS (SELECT doc_id FROM documents WHERE source = 'src1')
+SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id - 1 IN (SELECT doc_id FROM h) OR doc_id + 1 IN (SELECT doc_id FROM h) THEN 0.52 ELSE 0.5 END::DOUBLE AS norm FROM h""")
 def adjacency_boost(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.orderBy("doc_id")
-    x = documents(spark, d).select("doc_id", "source", F.lag("doc_id").over(w).cast("string").alias("prev_id"), F.lead("doc_id").over(w).cast("string").alias("next_id")).filter("source = 'src1'")
-    return ranking.adjacency_boost(x.select(F.col("doc_id").cast("string").alias("chunk_id"), "prev_id", "next_id", F.lit(0.5).alias("norm"))).select("chunk_id", F.round("norm", 6).alias("norm"))
+    x = documents(spark, d).filter("source = 'src1'").select(*[(F.col("doc_id") + k).cast("string").alias(c) for c, k in (("chunk_id", 0), ("prev_id", -1), ("next_id", 1))], F.lit(0.5).alias("norm"))
+    return ranking.adjacency_boost(x).select("chunk_id", F.round("norm", 6).alias("norm"))
 
 
 # ------------------------------------------------------------------ chunking

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +58,27 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{n}") for n in Index.TABLES))
 
     def upserted(self, chunks: DataFrame, documents: DataFrame) -> Index:
-        """With the documents in `documents` replaced by these chunks; tables that count are made from what stays."""
-        kept = self.chunks.join(documents.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "chunk_id", "content", "header", "prev_id", "next_id")
+        """With the documents in `documents` replaced by these chunks. Only their text is read: term, pair and document
+        counts of what goes are taken off, those of what comes added."""
         have = set(chunks.columns)
-        fresh = chunks.withColumns({c: F.lit(None).cast("string") for c in ("header", "prev_id", "next_id") if c not in have}).select(kept.columns)
-        return Index.build(kept.unionByName(fresh), ix.upsert(self.documents, documents))
+        fresh = chunks.withColumns({c: F.lit(None).cast("string") for c in ("header", "prev_id", "next_id") if c not in have})
+        return self._changed(documents.select("doc_id").distinct(), Index.build(fresh, documents))
 
     def deleted(self, gone: DataFrame) -> Index:
-        t = ix.delete({"chunks": self.chunks, "documents": self.documents, "tf": self.tf}, gone)
-        return Index(t["chunks"], t["documents"], t["tf"], ix.document_frequencies(t["tf"], "chunk_id"), ix.cooccurrence(t["chunks"], "content"), ix.corpus_stats(t["chunks"], F.col("token_count")))
+        return self._changed(gone.select("doc_id").distinct(), None)
+
+    def _changed(self, gone: DataFrame, fresh: Index | None) -> Index:
+        keep = lambda t: t.join(gone, "doc_id", "left_anti")
+        drop = lambda t: t.join(gone, "doc_id", "left_semi")
+        chunks, documents, tf = keep(self.chunks), keep(self.documents), keep(self.tf)
+        pairs = [self.cooc, ix.cooccurrence(drop(self.chunks), "content").withColumn("n", -F.col("n"))]
+        added = self.tf.limit(0)
+        if fresh is not None:
+            chunks, documents, tf = chunks.unionByName(fresh.chunks.select(chunks.columns)), documents.unionByName(fresh.documents), tf.unionByName(fresh.tf)
+            pairs.append(fresh.cooc)
+            added = fresh.tf
+        cooc = reduce(DataFrame.unionByName, pairs).groupBy("term_a", "term_b").agg(F.sum("n").alias("n")).filter("n > 0")
+        return Index(chunks, documents, tf, ix.incremental_df(self.df, added, drop(self.tf)), cooc, ix.corpus_stats(chunks, F.col("token_count")))
 
 
 def candidates(index: Index, q: Query, filters: dict | None = None, tags: DataFrame | None = None, scope: list | None = None) -> DataFrame:

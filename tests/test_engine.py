@@ -150,8 +150,10 @@ def test_search(spark, tmp_path):
     assert search.search(again, "BM25 probabilistic").collect() == got
     left = index.deleted(spark.createDataFrame([(1,)], "doc_id int"))
     assert rows_of(left.df.collect()) == rows_of(search.Index.build(index.chunks.filter("doc_id = 2").drop("token_count", "structure"), index.documents.filter("doc_id = 2")).df.collect())
+    assert rows_of(left.cooc.collect()) == rows_of(ix.cooccurrence(index.chunks.filter("doc_id = 2"), "content").collect())
     same = index.upserted(index.chunks.filter("doc_id = 1").drop("token_count", "structure"), index.documents.filter("doc_id = 1"))
     assert rows_of(same.tf.select("chunk_id", "term", "tf").collect()) == rows_of(index.tf.select("chunk_id", "term", "tf").collect())
+    assert rows_of(same.df.collect()) == rows_of(index.df.collect()) and rows_of(same.cooc.collect()) == rows_of(index.cooc.collect()) and rows_of(same.stats.collect()) == rows_of(index.stats.collect())
 
 
 def test_files(spark, tmp_path):
