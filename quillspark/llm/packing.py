@@ -89,7 +89,15 @@ class WordEncoder:
         data, ends = ids.tobytes(), ends.tolist()
         return [data[2 * a : 2 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
 
-    def learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    def cut(self, word: str) -> list[str]:
+        """Lower-cased parts of a word. Letters alone, or with one mark after them, are split without the pattern."""
+        if word.isalpha():
+            return [word.lower()]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1]]
+        return self.split(word.lower())
+
+    def learn(self, words: set[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words. Those of ASCII and Latin-1 letters are lower-cased and split here as the tokenizer does, so
         that only parts not met before are encoded; the rest the tokenizer takes whole."""
         plain, whole = [], []
@@ -98,7 +106,7 @@ class WordEncoder:
         for i in range(0, len(whole), 20_000):
             part = whole[i : i + 20_000]
             yield from zip(part, self.apart(part), strict=True)
-        cut = [(w, self.split(w.lower())) for w in plain]
+        cut = [(w, self.cut(w)) for w in plain]
         if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
         new = list(set(chain.from_iterable(x for _, x in cut)).difference(self.parts))
@@ -114,14 +122,19 @@ class WordEncoder:
             words = [self.space(t) if self.odd(t) else t.split() for t in some]
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            missing = list(set(chain.from_iterable(words)).difference(self.cache))
+            found = [list(map(self.cache.get, x)) for x in words]
+            missing = {w for x, f in zip(words, found, strict=True) for w, ids in zip(x, f, strict=True) if ids is None}
             more: dict[str, bytes] = {}
             for w, ids in self.learn(missing):
                 (self.cache if len(w) <= 64 else more)[w] = ids
             cache = self.cache
             get = cache.__getitem__ if not more else (lambda w: cache[w] if w in cache else more[w])
-            for x in words:
-                yield np.frombuffer(b"".join(map(get, x)), "<u2")
+            for x, f in zip(words, found, strict=True):
+                try:
+                    data = b"".join(f)
+                except TypeError:  # a word was missing
+                    data = b"".join(map(get, x))
+                yield np.frombuffer(data, "<u2")
 
 
 _LOADED: dict[str, WordEncoder] = {}
