@@ -97,16 +97,16 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     turns = turns.withColumn("prior", F.lag("turn").over(inside)).join(blocks, ["conv_id", "block"]).select("conv_id", "turn", F.coalesce("prior", "before").alias("prior"))
     tree = turns.join(here, ["conv_id", "turn"], "left").join(away, ["conv_id", "turn"], "left")
     tree = scratch(tree.select("conv_id", "turn", F.coalesce("orig", "prior").alias("parent"), F.col("orig").isNotNull().alias("by_quote"), "away"), "quotes-tree")
-    # roots and depths by doubling: up is an ancestor, depth the steps to it
-    now = scratch(tree.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")), "quotes-up")
-    while True:
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        new = scratch(now.join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth")), "quotes-up")
-        more = new.join(now.select("conv_id", "turn", F.col("depth").alias("was")), ["conv_id", "turn"]).filter("depth <> was").limit(1).count()
+    # roots and depths by doubling: up is an ancestor, depth the steps to it; a row whose up is known for a root rests
+    root = F.col("parent").isNull()
+    now = scratch(tree.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), (~root).cast("long").alias("depth"), root.alias("top")), "quotes-up")
+    while not now.filter("NOT top").isEmpty():
+        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("top").alias("top2"))
+        moved = now.filter("NOT top").join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("top2").alias("top"))
+        new = scratch(now.filter("top").unionByName(moved), "quotes-up")
         discard(now)
         now = new
-        if not more:
-            break
+    now = now.drop("top")
     tree = tree.join(now.withColumnRenamed("up", "root_turn"), ["conv_id", "turn"])
     x = m.join(tree, ["conv_id", "turn"], "left").withColumn("block", F.floor(F.col("depth") / BLOCK))
     sizes = x.filter("depth IS NOT NULL").groupBy("conv_id", "root_turn", "block").agg(F.count(F.lit(1)).alias("n"))
