@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import alone, ship
 
 #: The split of the public byte-level tokenizer, as regular expression.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -222,6 +222,7 @@ _LOADED: dict[str, ByteBpe] = {}
 
 def loaded(path: str) -> ByteBpe:
     """The encoder of this worker process."""
+    alone(_LOADED)
     if path not in _LOADED:
         _LOADED.clear()
         _LOADED[path] = ByteBpe(path)

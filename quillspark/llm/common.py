@@ -6,6 +6,7 @@ from __future__ import annotations
 import gc
 import io
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -37,6 +38,15 @@ def ship(spark: SparkSession) -> None:
     sc._quillspark_shipped = True
 
 
+def alone(mine: dict) -> None:
+    """Empty what the other operators keep in this worker process: workers outlive a stage, and a pipeline's models and
+    word caches would add up."""
+    for name, module in list(sys.modules.items()):
+        held = getattr(module, "_LOADED", None) if name.startswith(__package__ + ".") else None
+        if isinstance(held, dict) and held is not mine:
+            held.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and Spark runs in one
     machine (tests) is a temporary folder made."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import portions
-from .common import components, discard, runs, scratch, ship, spanning, tiled
+from .common import alone, components, discard, runs, scratch, ship, spanning, tiled
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the threshold agrees in no band with probability (1 - 0.8^5)^25 = 5e-5.
@@ -84,6 +84,7 @@ _LOADED: dict[int, Shingler] = {}
 
 
 def loaded(words: int) -> Shingler:
+    alone(_LOADED)
     if words not in _LOADED:
         _LOADED[words] = Shingler(words)
     return _LOADED[words]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import portions
-from .common import ship
+from .common import alone, ship
 
 LIMIT = 4096
 END_ID = 2
@@ -141,6 +141,7 @@ _LOADED: dict[str, WordEncoder] = {}
 
 
 def loaded(path: str) -> WordEncoder:
+    alone(_LOADED)
     if path not in _LOADED:
         _LOADED.clear()
         _LOADED[path] = WordEncoder(path)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import portions
-from .common import held_out, learns, ship
+from .common import alone, held_out, learns, ship
 
 FOLDS = 5
 #: Bounds of what is learned from: labelled documents of each class; words and word beginnings with an embedding
@@ -320,6 +320,7 @@ _LOADED: dict[int, Scorer] = {}
 
 
 def loaded(model: dict) -> Scorer:
+    alone(_LOADED)
     if id(model) not in _LOADED:
         _LOADED.clear()
         _LOADED[id(model)] = Scorer(model)
