@@ -26,8 +26,6 @@ END_ID = 2
 SENTENCE_COST, FORCED_COST, SEQUENCE_COST = 4, 64, 1
 #: Longest stretch without a place to cut, and the spacing of forced places within.
 GAP, SPACING = 1024, 256
-#: Of the sentence ends in so many ids, one is a place to cut.
-APART = 32
 #: Ids held before cuts are settled; the windows nearest the end are settled with the next ids.
 HORIZON, TAIL = 524_288, 16 * LIMIT
 CACHE_WORDS = 900_000
@@ -204,10 +202,7 @@ class Packer:
 
     def places(self, ids: np.ndarray) -> tuple[list[int], list[int]]:
         cost = np.full(len(ids) + 1, -1, np.int32)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends):  # of sentence ends that lie close, the last
-            ends = ends[np.append(ends[1:] // APART != ends[:-1] // APART, True)]
-        cost[ends] = SENTENCE_COST
+        cost[np.flatnonzero(self.ends[ids]) + 1] = SENTENCE_COST
         cost[[s + n for _, s, n in self.docs]] = 0
         cost[0] = 0
         found = np.flatnonzero(cost >= 0)

@@ -68,6 +68,33 @@ def test_cuts_are_cheapest():
         assert at == places[-1] and paid == brute_cost([int(p) for p in places], costs, limit)
 
 
+def test_every_sentence_end_is_a_place_to_cut():
+    """places() and cuts() together are as cheap as any choice among all document and sentence ends."""
+    r = random.Random(3)
+    for _ in range(60):
+        limit = r.choice([16, 64, 100])
+        ends = np.zeros(65_536, bool)
+        ends[5] = True
+        packer = packing.Packer(ends, 0, limit)
+        at, every = 0, {}
+        for i in range(r.randint(1, 12)):
+            ids = [r.choice((7, 7, 7, 5)) for _ in range(r.randint(0, 30))] + [2]
+            for k, x in enumerate(ids, at + 1):
+                if x == 5:
+                    every[k] = packing.SENTENCE_COST
+            at += len(ids)
+            every[at] = 0
+            packer.add(i, np.array(ids, "<u2"))
+        want = sorted(every)
+        if np.diff([0, *want]).max() > limit:
+            continue
+        places, costs = packer.places(np.concatenate(packer.ids))
+        chosen = packing.cuts(places, costs, limit)
+        sizes = np.diff([0, *chosen]).tolist()
+        paid = sum(every[c] + packing.SEQUENCE_COST + (0 if n & (n - 1) == 0 else limit - n) for c, n in zip(chosen, sizes, strict=True))
+        assert chosen[-1] == at and max(sizes) <= limit and paid == brute_cost(want, [every[p] for p in want], limit)
+
+
 def test_packing_covers_every_id_once(spark):
     rows = list(enumerate(texts() + ["word. " * 6000]))
     lib = library(packing.default_vocabulary())
