@@ -43,6 +43,23 @@ def test_query_equals_oracle(spark, duck, name):
     assert rows_of(tuple(x[c] for c in columns) for x in df.collect()) == rows_of(tuple(x[i] for i in at) for x in r.fetchall())
 
 
+def test_partial_ratio_sees_whole_texts(spark, tmp_path):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    texts = ["q" * 200 + " zuerst", "eérst und q", "eürsét", "e\u0301rst", "q" * 500 + "erzt", "Erst", "er", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: r["ratio"] for r in catalog.queries()["fuzzy_partial_ratio"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        t = (t or "").lower()
+        assert got[i] == max(max(0.0, 100 * (1 - distance(t[k : k + 4], "erst") / 4)) for k in range(max(1, len(t) - 3))), t
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, D).count() >= 0
