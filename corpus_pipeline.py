@@ -27,14 +27,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links of similarity >= 0.8 connect, the one with the smallest id; of rows
-    repeated with that id, one. Rows without id stay."""
-    kept = ngram.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    numbered = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not again.isEmpty():
-        numbered = numbered.dropDuplicates(["doc_id"])
-    return numbered.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    """Keeps one document of each group that links of similarity >= 0.8 connect, the one with the smallest id. Where an
+    id has several texts each is judged for itself. Of several rows with a group's smallest id, those of one shingle set
+    stand for it (the first hash), and of these the first in order of text and the other columns. Of rows without words,
+    which link with nothing, one per id and text stays. Rows without id stay."""
+    numbered = docs.filter("doc_id IS NOT NULL")
+    again = numbered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if again.isEmpty():
+        kept = ngram.near_duplicates(docs).filter("kept").select("doc_id")
+        return numbered.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    kept = ngram.decided(docs).filter("kept AND same IS NOT NULL")
+    kept = kept.groupBy("component").agg(F.min("same").alias("_same"), F.min("doc_id").alias("_id"))
+    keyed = ngram.hashed(numbered.withColumn("_text", F.col("text").cast("string")), "_text").withColumnRenamed("same", "_same")
+    worded = keyed.filter("_same IS NOT NULL").join(kept, [keyed["doc_id"].cast("long") == kept["_id"], keyed["_same"] == kept["_same"]], "left_semi")
+    row = F.struct("text", *(c for c in docs.columns if c != "text"))
+    one = lambda rows, *keys: rows.groupBy(*keys).agg(F.min(row).alias("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return one(worded, "doc_id", "_same").union(one(keyed.filter("_same IS NULL"), "doc_id", "text")).union(docs.filter("doc_id IS NULL"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

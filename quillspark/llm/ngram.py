@@ -182,9 +182,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     (doc_id = class_id).
 
     Words are \\w+ of the lower-cased text. A text without words (null, empty) links with nothing, not even its like; a
-    null doc_id comes back unlinked, with null class. Rows repeated with one id count as copies. No pair is left out
+    null doc_id comes back unlinked, with null class. Rows repeated with one id count as copies; texts that differ are
+    linked each for itself, even where they share an id. No pair is left out
     for the size of its group: buckets and clusters of any size are dealt in pairs of blocks of TILE rows; a task holds
     two blocks. Links are counted where pairs are compared; pairs never become rows."""
+    return decided(docs, words, similarity, tolerance).drop("same", "component")
+
+
+def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
+    """near_duplicates() with two more columns: same (hash of the shingle set, null without words) and component
+    (number of the group of texts that links connect)."""
     spark = docs.sparkSession
     ship(spark)
     least = least_agreeing(similarity, tolerance)
@@ -206,7 +213,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     every = scratch(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text).mapInArrow(prepared, "doc_id long, n long, same binary, sig binary"), "ngram-docs")
     held = every.filter("doc_id IS NOT NULL AND same IS NOT NULL")
-    classes = scratch(held.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "ngram-classes")
+    unique = _unique(every)
+    grouped = held.groupBy("same").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    # where an id has several texts it names none of them: classes get numbers
+    classes = scratch(grouped.withColumn("rep", F.col("low") if unique else F.monotonically_increasing_id()), "ngram-classes")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,9 +261,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["rep", "shingles"])
 
     # an id may come with several texts: the class hash picks the one that stands for its class
-    named = clusters.select("rep").join(classes.select("rep", "same"), "rep")
-    texts = docs.select(docs["doc_id"].cast("long").alias("rep"), text).join(clusters.select("rep"), "rep", "left_semi")
-    shingled = texts.mapInArrow(sets, "rep long, shingles binary").dropDuplicates(["rep"]) if _unique(every) else _chosen(texts, named, words)
+    named = clusters.select("rep").join(classes.select("rep", "low", "same"), "rep")
+    texts = docs.select(docs["doc_id"].cast("long").alias("low"), text).join(named.select("low"), "low", "left_semi")
+    shingled = texts.mapInArrow(sets, "rep long, shingles binary").dropDuplicates(["rep"]) if unique else _chosen(texts, named, words)
     shingled = scratch(shingled, "ngram-sets")
     dealt = tiled(clusters.select("cluster", "rep", "copies", "sig"), ["cluster"], "rep", TILE)
     dealt = dealt.join(shingled, "rep").select("cluster", "tile_i", "tile_j", "tile_own", "rep", "copies", "sig", "shingles")
@@ -287,17 +297,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     discard(shingled)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))).toDF("rep", "component")
-    reps = classes.select("same", "rep", "copies").join(links, "rep", "left").join(joined, "rep", "left")
-    own = reps.select("same", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    reps = classes.select("same", "rep", "low", "copies").join(links, "rep", "left").join(joined, "rep", "left")
+    own = reps.select("same", "rep", "low", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    if unique:
+        own = own.withColumn("least", F.col("component"))
+    else:
+        own = own.join(own.groupBy("component").agg(F.min("low").alias("least")), "component")
     out = every.select("doc_id", "same").join(own, "same", "left")
     fine = F.col("doc_id").isNotNull()
-    class_id = F.when(fine, F.coalesce("component", "doc_id"))
+    class_id = F.when(fine, F.coalesce("least", "doc_id"))
     return out.select(
         "doc_id",
         class_id.alias("class_id"),
         F.when(fine, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(fine, F.coalesce("rep", "doc_id")).alias("text_class"),
+        F.when(fine, F.coalesce("low", "doc_id")).alias("text_class"),
         F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"),
+        "same",
+        "component",
     )
 
 
@@ -309,17 +325,33 @@ def _unique(every: DataFrame) -> bool:
 
 def _chosen(texts: DataFrame, named: DataFrame, words: int) -> DataFrame:
     """Shingles of the texts whose set is their class's, where an id has several texts."""
+    made = hashed(texts.select("low", "text"), "text", words, "shingles binary, same binary")
+    return made.join(named, ["low", "same"]).select("rep", "shingles").dropDuplicates(["rep"])
+
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def hashed(rows: DataFrame, text: str, words: int = WORDS, adds: str = "same binary") -> DataFrame:
+    """rows with the shingles of their text and the hash of these (null without words), or with the hash alone."""
+    ship(rows.sparkSession)
+    at, sets = rows.columns.index(text), adds.startswith("shingles")
+    names = [*rows.columns, *(x.split()[0] for x in adds.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         from quillspark.llm.ngram import loaded
 
         for b in batches:
-            made = [s.tobytes() for s in loaded(words).shingles(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary()), pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary())], ["rep", "shingles", "same"])
-
-    return texts.mapInArrow(hashed, "rep long, shingles binary, same binary").join(named, ["rep", "same"]).dropDuplicates(["rep", "same"]).select("rep", "shingles")
+            made = [s.tobytes() for s in loaded(words).shingles(b.column(at).to_pylist())]
+            more = [pa.array([xxhash.xxh3_128_digest(x) if x else None for x in made], pa.binary())]
+            if sets:
+                more.insert(0, pa.array(made, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
+
+    added = [F.lit(b"").alias(x.split()[0]) for x in adds.split(", ")]
+    schema = rows.select(*rows.columns, *added).schema
+    for f in schema.fields:
+        f.nullable = True
+    return rows.mapInArrow(run, schema)
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -238,3 +238,31 @@ def test_pipeline(spark):
     assert left.columns == columns
     kept = {r["doc_id"] for r in ngram.near_duplicates(docs).filter("kept").collect()}
     assert {r["doc_id"] for r in left.select("doc_id").collect()} == kept - {10**6, 10**6 + 1}
+
+
+def test_pipeline_near_duplicates_by_text(spark):
+    """Ids that come with several texts: each text is judged for itself, whatever its id's other texts are."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (3, "k l m n o p q"),
+        (3, "r s t u v w x"),
+        (4, "r s t u v w x"),
+        (5, long + " end"),
+        (5, "a text of its own that is like no other"),
+        (2, long),
+        (2, long + "!"),
+        (6, "one two three four five six"),
+        (6, "one two three four five six"),
+        (7, ""),
+        (7, ""),
+        (7, "!!"),
+        (8, None),
+        (None, long),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    want = [rows[k] for k in (0, 1, 4, 5, 7, 9, 11, 12, 13)]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in left.collect())
