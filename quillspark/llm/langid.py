@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import alone, held_out, learns, ship
 
 FOLDS = 5
-#: Bounds of what is learned from: documents read for a language, letters kept of them, languages, distinct letters.
-SAMPLE_DOCS, SAMPLE_LETTERS, MAX_LANGUAGES, MAX_ALPHABET = 96, 40_000, 256, 200
+#: Bounds of what is learned from: documents read for a language, letters kept of them.
+SAMPLE_DOCS, SAMPLE_LETTERS = 96, 40_000
 #: Letters parsed in one stretch. A parse starts afresh at each stretch, which costs a phrase in so many letters.
 STRETCH = 512
 #: Letters of a batch parsed at once.
@@ -34,29 +34,35 @@ def normalised(text: str) -> str:
 
 def sample(docs: DataFrame, folds: int = FOLDS) -> dict[str, str]:
     """Training text of each language: bounded by SAMPLE_DOCS documents and SAMPLE_LETTERS letters, chosen by hash of
-    the id. Only text and lang of learnable rows are used. One pass counts languages, one reads the chosen texts."""
+    the id. No document has more of the letters than the others could fill. Only text and lang of learnable rows are
+    used. One pass counts languages, one reads the chosen texts."""
     rows = docs.select(docs["doc_id"], docs["lang"], docs["text"]).filter(learns(F.col("doc_id"), folds) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return {}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     h = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30))
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1 << 30, int((1 << 30) * SAMPLE_DOCS / n) + 1)))])
-    chosen = rows.filter(h < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
+    chosen = rows.join(F.broadcast(counts), "lang").filter(h < F.floor(F.lit(float((1 << 30) * SAMPLE_DOCS)) / F.col("_n")) + 1)
     read = chosen.select("lang", h.alias("h"), "doc_id", F.substring("text", 1, SAMPLE_LETTERS).alias("text")).collect()
-    parts: dict[str, list[str]] = {x: [] for x in counts}
-    room = dict.fromkeys(counts, SAMPLE_LETTERS)
-    for r in sorted(read, key=lambda r: (r["lang"], r["h"], r["doc_id"])):
-        t = normalised(r["text"] or "")[: room[r["lang"]]]
-        if t:
-            parts[r["lang"]].append(t)
-            room[r["lang"]] -= len(t) + 1
-            room[r["lang"]] = max(0, room[r["lang"]])
-    return {x: " ".join(p) for x, p in sorted(parts.items()) if p}
-
-
-def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a text: [state * letters + code] is the next state times letters, or -1.
-    State 0 is the start."""
+    parts: dict[str, list[str]] = {}
+    for r in sorted(read, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"] or "")):
+        if t := normalised(r["text"] or ""):
+            parts.setdefault(r["lang"], []).append(t)
+    return {x: " ".join(shared(p, SAMPLE_LETTERS)) for x, p in parts.items()}
+
+
+def shared(texts: list[str], letters: int) -> list[str]:
+    """Heads of texts that together, with a blank after each, have at most so many letters: the longest are cut to one
+    length, so that no text takes the room of others."""
+    room, most = letters, 0
+    for k, n in enumerate(sorted(len(t) + 1 for t in texts)):
+        most = room // (len(texts) - k)
+        if n > most:
+            break
+        room -= n
+        most = n
+    return [t[: most - 1] for t in texts if most > 1]
+
+
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a text: [state][code] is the next state. State 0 is the start."""
     link, length, moves = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -82,11 +88,59 @@ def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full(len(link) * letters, -1, np.int32)
-    for s, m in enumerate(moves):
-        for c, t in m.items():
-            table[s * letters + c] = t * letters
-    return table
+    return moves
+
+
+class Transitions:
+    """Sparse transitions, the rows of all states laid into one another: state s moves by code c where
+    owner[base[s] + c] == s, and then to state target[base[s] + c]."""
+
+    def __init__(self, moves: list[dict[int, int]], letters: int):
+        one = [s for s, m in enumerate(moves) if len(m) == 1]
+        many = sorted((s for s, m in enumerate(moves) if len(m) > 1), key=lambda s: -len(moves[s]))
+        size = 2 * letters + sum(map(len, moves))
+        taken = bytearray(size)
+        base = [0] * len(moves)
+        at, tries = letters, 0
+        for s in many:
+            codes = sorted(moves[s])
+            low, rest = codes[0], codes[1:]
+            tries, k = 0, taken.find(0, at)
+            while True:
+                if k < 0 or k + letters >= len(taken):
+                    taken.extend(bytes(len(taken)))
+                    k = taken.find(0, k if k >= 0 else at)
+                    continue
+                b = k - low
+                if not any(taken[b + c] for c in rest):
+                    break
+                tries += 1
+                k = taken.find(0, k + 1)
+            for c in codes:
+                taken[b + c] = 1
+            base[s] = b
+            if tries > 32:  # crowded so far: rows of one move fill what is left behind
+                at += (k - at) // 2
+        free = np.flatnonzero(np.frombuffer(taken, np.uint8)[letters:] == 0) + letters
+        if len(free) < len(one):
+            free = np.append(free, np.arange(len(taken), len(taken) + len(one) - len(free)))
+        for s, k in zip(one, free.tolist(), strict=False):
+            base[s] = k - next(iter(moves[s]))
+        self.base = np.array(base, np.int32)
+        self.owner = np.full(max(base) + letters + 1, -1, np.int32)
+        self.target = np.zeros(len(self.owner), np.int32)
+        state = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+        slot = self.base[state] + np.array([c for m in moves for c in m], np.int64)
+        self.owner[slot], self.target[slot] = state, np.array([t for m in moves for t in m.values()], np.int32)
+        #: of the start, for every code: the next state, or -1
+        self.first = np.full(letters, -1, np.int32)
+        for c, t in moves[0].items():
+            self.first[c] = t
+
+    def follow(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Next states, or -1."""
+        slot = self.base[state] + code
+        return np.where(self.owner[slot] == state, self.target[slot], np.int32(-1))
 
 
 class Parser:
@@ -98,17 +152,17 @@ class Parser:
         for t in texts.values():
             for c in set(t):
                 counts[c] = counts.get(c, 0) + t.count(c)
-        known = sorted((c for c in counts if c != " "), key=lambda c: (-counts[c], c))[: MAX_ALPHABET - 2]
+        known = sorted((c for c in counts if c != " "), key=lambda c: (-counts[c], c))
         #: code 0: no letter, 1: a letter that no training text has
         self.code = {" ": 0} | {c: i + 2 for i, c in enumerate(known)}
         self.letters = len(known) + 2
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.int32)
         for x in range(0x110000):
             if chr(x).isalpha():
                 self.table[x] = 1
         for c, i in self.code.items():
             self.table[ord(c)] = i
-        self.automata = [suffix_automaton([self.code.get(c, 1) for c in t], self.letters) for t in texts.values()]
+        self.automata = [Transitions(suffix_automaton([self.code[c] for c in t]), self.letters) for t in texts.values()]
         self.bits = np.array([np.log2(max(2, len(t))) for t in texts.values()])
 
     def codes(self, text: str) -> np.ndarray:
@@ -122,16 +176,16 @@ class Parser:
         out = np.zeros((len(self.automata), stretches.shape[1]), np.int32)
         order = np.argsort(-lengths, kind="stable")
         x, live = stretches[:, order].astype(np.int32), np.searchsorted(-lengths[order], -np.arange(len(stretches)), "left")
-        for k, table in enumerate(self.automata):
+        for k, automaton in enumerate(self.automata):
             state = np.zeros(x.shape[1], np.int32)
             count = np.zeros(x.shape[1], np.int32)
-            first = table[: self.letters]
+            first = automaton.first
             for t in range(len(x)):
                 n = live[t]
                 if not n:
                     break
                 c = x[t, :n]
-                to = table[state[:n] + c]
+                to = automaton.follow(state[:n], c)
                 miss = np.flatnonzero(to < 0)
                 again = first[c[miss]]
                 count[miss] += (state[miss] > 0).astype(np.int32) + (again < 0)  # a letter never seen is a phrase
@@ -151,7 +205,7 @@ class Parser:
         begin = begin + within * STRETCH
         lengths = np.minimum(STRETCH, np.repeat(sizes, parts) - within * STRETCH)
         at = begin[None, :] + np.arange(STRETCH)[:, None]
-        stretches = np.append(flat, np.zeros(STRETCH, np.uint8))[at]
+        stretches = np.append(flat, np.zeros(STRETCH, np.int32))[at]
         found = self.phrases(stretches, lengths)
         out = np.zeros((len(self.automata), len(texts)), np.int64)
         for k in range(len(out)):
@@ -206,7 +260,8 @@ def identify(docs: DataFrame, folds: int = FOLDS, keep: bool = False) -> DataFra
 
     Null texts and texts without a letter give `und` and 0, as does every row if nothing can be learned from. Ties go
     to the language first in order. Repeated rows are predicted each; very long texts are parsed whole, in stretches.
-    Memory: the automata (bounded by the sample) and PORTION letters."""
+    Every value of lang is learned and every letter of the sample has a code of its own; a letter that no training text
+    has matches nothing. Memory: the automata (bounded by the sample of each language) and PORTION letters."""
     spark = docs.sparkSession
     ship(spark)
     texts = spark.sparkContext.broadcast(sample(docs, folds))

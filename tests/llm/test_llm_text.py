@@ -153,6 +153,40 @@ def test_cross_parse_against_plain_parse():
             assert found[k] == n
 
 
+def test_every_letter_has_its_code():
+    """Languages of many letters, none of them frequent: of two that differ in letters alone each knows its own."""
+    r = random.Random(6)
+    words = {k: ["".join(chr(r.randrange(a, a + 512)) for _ in range(3)) for _ in range(400)] for k, a in (("a", 0x4E00), ("b", 0x6000), ("c", 0x7000))}
+    draw = lambda k, n: "".join(r.choice(words[k]) for _ in range(n))
+    p = langid.Parser({k: draw(k, 3000) for k in words})
+    assert [p.predict([draw(k, 60)])[0][0] for k in words for _ in range(10)] == [k for k in words for _ in range(10)]
+    assert p.counts([p.codes("\u9000" * 50)])[:, 0].tolist() == [50, 50, 50]
+
+
+def test_sparse_transitions_equal_the_automaton():
+    r = random.Random(8)
+    for letters, size in ((3, 300), (40, 4000), (900, 5000)):
+        moves = langid.suffix_automaton([r.randrange(letters) for _ in range(size)])
+        t = langid.Transitions(moves, letters)
+        state = np.repeat(np.arange(len(moves)), letters)[: 2_000_000]
+        code = np.tile(np.arange(letters), len(moves))[: 2_000_000]
+        assert t.follow(state.astype(np.int32), code.astype(np.int32)).tolist() == [moves[s].get(c, -1) for s, c in zip(state.tolist(), code.tolist(), strict=True)]
+
+
+def test_no_document_fills_the_sample():
+    got = langid.shared(["a" * 100_000, "b" * 10, "c" * 300], 400)
+    assert got[1:] == ["b" * 10, "c" * 193] and got[0] == "a" * 193
+    assert langid.shared(["ab", "c"], 400) == ["ab", "c"]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(10 * i + k, chr(0x4E00 + i) * 30, f"l{i:03d}") for i in range(300) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.sample(docs)
+    want = {r["lang"] for r in docs.filter(langid.learns(docs["doc_id"], langid.FOLDS)).select("lang").collect()}
+    assert set(learned) == want and len(want) > 256
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
