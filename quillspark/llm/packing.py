@@ -10,6 +10,7 @@ sliding range, held by a monotone queue; the second looks up the cut at exactly
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -18,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import portions
 from .common import alone, ship
+from .wordhash import BORDER, LONG, Kept, hashes, joined, letter_values, spans, stretches
 
 LIMIT = 4096
 END_ID = 2
@@ -28,9 +29,14 @@ SENTENCE_COST, FORCED_COST, SEQUENCE_COST = 4, 64, 1
 GAP, SPACING = 1024, 256
 #: Ids held before cuts are settled; the windows nearest the end are settled with the next ids.
 HORIZON, TAIL = 524_288, 16 * LIMIT
-CACHE_WORDS = 900_000
-#: The split of the public tokenizer, as regular expression.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Pieces of words that a worker keeps with their ids (about 60 MB), and letters encoded at once.
+CACHE_PIECES, PORTION = 1_000_000, 1_000_000
+#: What the public tokenizer takes for white space.
+SPACE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: Letters and signs that lower-case one to one and that no normalisation changes; words of others, and words that may
+#: hold contractions or special tokens, are given to the tokenizer whole.
+PLAIN = ((0x21, 0x7F), (0xA1, 0x180), (0x400, 0x460), (0x2010, 0x2028), (0x2030, 0x205F), (0x20AC, 0x20AD), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0xA000), (0xAC00, 0xD7A4))
+_SPACE, _NUMBER, _LETTER, _OTHER, _WHOLE = range(5)
 #: Stands between words that are encoded together; alone it is one id.
 MARK = "\x01"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -42,15 +48,27 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of every code. White space and borders part words; runs of one kind are pieces, each number
+    letter is one; words with a letter of kind _WHOLE are one piece."""
+    kind, lower = np.full(BORDER + 1, _WHOLE, np.uint8), np.arange(BORDER + 1, dtype=np.int32)
+    for x in chain.from_iterable(range(a, b) for a, b in PLAIN):
+        c = chr(x)
+        low = c.lower()
+        if len(low) == 1 and c not in "'<" and unicodedata.normalize("NFC", c) == c and unicodedata.normalize("NFC", low) == low:
+            kind[x] = {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(c)[0], _OTHER)
+            lower[x] = ord(low)
+    kind[[*SPACE, BORDER]] = _SPACE
+    return kind, lower
+
+
 class WordEncoder:
-    """Ids of the public tokenizer, kept by white-space-separated word: its normaliser and its splits never reach
-    across white space."""
+    """Ids of the public tokenizer, kept by piece: its normaliser and its splits never reach across white space, and
+    runs of letters, numbers and other signs are encoded each for itself."""
 
     def __init__(self, path: str):
         import os
 
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -64,75 +82,91 @@ class WordEncoder:
         bare.normalizer = normalizers.Sequence([])
         bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.encode_bare = getattr(bare, "encode_batch_fast", bare.encode_batch)
-        self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.simple = re.compile("[!-~\xa1-\xff]+").fullmatch
-        self.split = regex.compile(SPLIT).findall
-        #: str.split() also takes these four for white space, the tokenizer doesn't
-        self.odd = re.compile("[\x1c-\x1f]").search
-        self.space = re.compile("[^\t-\r \x85\xa0  -     　]+").findall
+        self.kept = Kept(CACHE_PIECES)
+        self.kind, lower = kinds()
+        self.value = letter_values()
+        self.low_value = self.value[lower]
+        self.breaks = re.compile("[" + "".join(map(chr, SPACE)) + "]")
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         ends = [i for t, i in self.tokenizer.get_vocab().items() if re.fullmatch(r"[^0-9A-Za-z]*[.!?][^0-9A-Za-z]*", t.removesuffix("</w>"))]
         self.sentence_end = np.zeros(65_536, bool)
         self.sentence_end[ends] = True
 
-    def apart(self, words: list[str], bare: bool = False) -> list[bytes]:
-        """Ids of each word: all are encoded as one text, with a mark between them that no word holds. bare: the words
-        are normalised and split already."""
+    def apart(self, words: list[str], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has: they are encoded as one text, with a mark between them that no word
+        holds. bare: the words are normalised and split already."""
         if not bare and any(MARK in w or "<|" in w for w in words):
-            return [np.array(e.ids, "<u2").tobytes() for e in self.encode_batch(words, add_special_tokens=False)]
+            each = [e.ids for e in self.encode_batch(words, add_special_tokens=False)]
+            return np.array([*chain.from_iterable(each)], np.uint16), np.array([len(x) for x in each], np.int32)
         encode = self.encode_bare if bare else self.encode_batch
-        ids = np.array(encode([f" {MARK} ".join([*words, ""])], add_special_tokens=False)[0].ids, "<u2")
-        ends = np.flatnonzero(ids == self.mark)
-        data, ends = ids.tobytes(), ends.tolist()
-        return [data[2 * a : 2 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
-
-    def cut(self, word: str) -> list[str]:
-        """Lower-cased parts of a word. Letters alone, or with one mark after them, are split without the pattern."""
-        if word.isalpha():
-            return [word.lower()]
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return [word[:-1].lower(), word[-1]]
-        return self.split(word.lower())
-
-    def learn(self, words: set[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words. Those of ASCII and Latin-1 letters are lower-cased and split here as the tokenizer does, so
-        that only parts not met before are encoded; the rest the tokenizer takes whole."""
-        plain, whole = [], []
-        for w in words:
-            (plain if self.simple(w) and "<|" not in w else whole).append(w)
-        for i in range(0, len(whole), 20_000):
-            part = whole[i : i + 20_000]
-            yield from zip(part, self.apart(part), strict=True)
-        cut = [(w, self.cut(w)) for w in plain]
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        new = list(set(chain.from_iterable(x for _, x in cut)).difference(self.parts))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.parts.update(zip(part, self.apart(part, True), strict=True))
-        get = self.parts.__getitem__
-        for w, x in cut:
-            yield w, b"".join(map(get, x))
+        ids = np.array(encode([f" {MARK} ".join([*words, ""])], add_special_tokens=False)[0].ids, np.uint16)
+        marks = ids == self.mark
+        return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1).astype(np.int32) - 1
+
+    def learn(self, words: list[str], bare: bool) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.apart(words[i : i + 20_000], bare) for i in range(0, len(words), 20_000)]
+        return (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.int32))
+
+    def encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's end."""
+        whole, codes, begins = joined(texts)
+        kind, values = self.kind[codes], self.low_value[codes]
+        odd = np.flatnonzero(kind == _WHOLE)
+        if len(odd):
+            space = np.flatnonzero(kind == _SPACE)
+            after = np.unique(np.searchsorted(space, odd))
+            first = np.where(after > 0, space[after - 1] + 1, 0)
+            rows = spans(first, space[after] - first)
+            kind[rows], values[rows] = _WHOLE, self.value[codes[rows]]
+        change = kind == _NUMBER
+        change[1:] |= kind[1:] != kind[:-1]
+        change[0] = True
+        edge = np.flatnonzero(change)
+        piece = kind[edge] != _SPACE
+        begin, end = edge[piece], np.append(edge[1:], len(kind))[piece]
+        key, is_whole, short = hashes(values, begin, end), kind[begin] == _WHOLE, end - begin <= LONG
+        row = self.kept.find(key)
+        new = np.flatnonzero((row < 0) & short)
+        if len(new):
+            fresh, at = np.unique(key[new], return_index=True)
+            at = new[at]
+            for bare in (True, False):
+                mine = is_whole[at] != bare
+                words = [whole[a:b] for a, b in zip(begin[at[mine]].tolist(), end[at[mine]].tolist(), strict=True)]
+                ids, length = self.learn([w.lower() for w in words] if bare else words, bare)
+                self.kept.add(fresh[mine], ids, length)
+            row[new] = self.kept.find(key[new])
+        start, size, flat = self.kept.begin[row], self.kept.length[row].astype(np.int64), self.kept.flat
+        if not short.all():  # encoded each time
+            self.kept.note(row[short])
+            flat = [flat[: self.kept.size]]
+            held = self.kept.size
+            for k in np.flatnonzero(~short).tolist():
+                w = whole[begin[k] : end[k]]
+                ids, _ = self.learn([w if is_whole[k] else w.lower()], not is_whole[k])
+                flat.append(ids)
+                start[k], size[k], held = held, len(ids), held + len(ids)
+            flat = np.concatenate(flat)
+        else:
+            self.kept.note(row)
+        stops = np.append(0, np.cumsum(size))[np.searchsorted(begin, begins[1:])]
+        out = flat[spans(start, size)]
+        self.kept.prune()
+        return out, stops
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for some in portions(texts):
-            words = [self.space(t) if self.odd(t) else t.split() for t in some]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            found = [list(map(self.cache.get, x)) for x in words]
-            missing = {w for x, f in zip(words, found, strict=True) for w, ids in zip(x, f, strict=True) if ids is None}
-            more: dict[str, bytes] = {}
-            for w, ids in self.learn(missing):
-                (self.cache if len(w) <= 64 else more)[w] = ids
-            cache = self.cache
-            get = cache.__getitem__ if not more else (lambda w: cache[w] if w in cache else more[w])
-            for x, f in zip(words, found, strict=True):
-                try:
-                    data = b"".join(f)
-                except TypeError:  # a word was missing
-                    data = b"".join(map(get, x))
-                yield np.frombuffer(data, "<u2")
+        """Ids of each text."""
+        held: list[np.ndarray] = []
+        now = 0
+        for some in stretches(texts, PORTION, self.breaks):
+            ids, stops = self.encode_some([t for _, t in some])
+            for (k, _), x in zip(some, np.split(ids, stops[:-1]), strict=True):
+                if k != now:
+                    yield np.concatenate(held)
+                    held, now = [], k
+                held.append(x)
+        if held:
+            yield np.concatenate(held)
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -152,13 +186,17 @@ def cuts(places: list[int], costs: list[int], limit: int = LIMIT) -> list[int]:
     earlier found start wins."""
     pos = [0, *places]
     at = np.array(pos)
-    #: for each place, the places that lie a power of two before it
-    ahead: list[list[int]] = [[] for _ in pos]
+    # pairs of places that lie a power of two apart, in order of the later one
+    later, earlier = [], []
     for k in range(limit.bit_length()):
         if 1 << k <= limit:
             found = np.searchsorted(at, at - (1 << k))
-            for j in np.flatnonzero(at[found] == at - (1 << k)).tolist():
-                ahead[j].append(int(found[j]))
+            j = np.flatnonzero(at[found] == at - (1 << k))
+            later.append(j)
+            earlier.append(found[j])
+    order = np.argsort(np.concatenate(later), kind="stable")
+    ahead, behind = [*np.concatenate(later)[order].tolist(), len(pos)], np.concatenate(earlier)[order].tolist()
+    pair = 0
     total, back = [0], [0]
     queue, keys, head = [0], [0], 0
     for j in range(1, len(pos)):
@@ -167,7 +205,9 @@ def cuts(places: list[int], costs: list[int], limit: int = LIMIT) -> list[int]:
             head += 1
         start = queue[head]
         best = keys[head] + limit - p
-        for i in ahead[j]:
+        while ahead[pair] == j:
+            i = behind[pair]
+            pair += 1
             if total[i] < best:
                 best, start = total[i], i
         best += costs[j - 1] + SEQUENCE_COST

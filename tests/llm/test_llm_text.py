@@ -45,6 +45,22 @@ def test_bpe_equals_library(spark):
         assert got[i]["decoded_sha256"] == hashlib.sha256(got[i]["decoded"].encode()).hexdigest()
 
 
+def test_pieces_of_any_letters_equal_the_libraries(monkeypatch):
+    """Strings of letters that are hard to split or normalise, in small portions and with a table that overflows."""
+    r = random.Random(7)
+    pool = "aAbéÉ'sStTlLrRvVmMdDßzZ.,!?12µª½İıŉſ\n\t\r \x0b\x1c\x85\xa0\u2003\u3000日本ガギが゙́é한ᆨЖжйЙ́Σσς<|>–—‘’“”…€ĐđŠš\x00\x01ǅﬁ🎉\u200b\xad٣Ⅷ²"
+    some = ["".join(r.choice(r.choice([pool, "aA's ,.", "bB  \n\n.1", "é日 ガ゙\n"])) for _ in range(r.choice([0, 1, 3, 10, 40, 120]))) for _ in range(1500)]
+    some += ["<|endoftext|>", "a<|endoftext|>b <|startoftext|>c", "x" * 70 + " '" + "y" * 90, " " * 100 + "a" + "\n" * 100, "".join(some[:300])]
+    for module, encoder in ((bpe, bpe.ByteBpe), (packing, packing.WordEncoder)):
+        lib = library(module.default_vocabulary())
+        want = [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+        for portion, most in ((module.PORTION, module.CACHE_PIECES), (200, 50)):
+            monkeypatch.setattr(module, "PORTION", portion)
+            e = encoder(module.default_vocabulary())
+            e.kept.most = most
+            assert [x.tolist() for x in e.encode(some)] == want
+
+
 def brute_cost(places, costs, limit):
     best = {0: 0}
     for p, c in zip(places, costs, strict=True):
