@@ -10,20 +10,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import alone, ship
+from .wordhash import BORDER, LONG, Kept, hashes, joined, letter_values, spans, stretches
 
 #: The split of the public byte-level tokenizer, as regular expression.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept with their ids; when full, the cache starts anew.
-CACHE_WORDS = 600_000
+#: Pieces that a worker keeps with their ids (about 60 MB), and letters encoded at once.
+CACHE_PIECES, PORTION = 1_000_000, 1_000_000
+_SPACE, _LETTER, _NUMBER, _OTHER, _WHOLE, _BORDER = range(6)
 
 
 def default_vocabulary() -> str:
@@ -60,6 +62,21 @@ def portions(texts: list[str], letters: int = 3_000_000) -> Iterator[list[str]]:
         yield some
 
 
+def kinds() -> np.ndarray:
+    """Kind of every code in the split: white space, letters, numbers, others. A word with an apostrophe, which may be
+    a contraction, is split by the pattern itself."""
+    import regex
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, BORDER))))
+    out = np.full(BORDER + 1, _OTHER, np.uint8)
+    for kind, p in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for m in regex.finditer(p, every):
+            a, b = ord(every[m.start()]), ord(every[m.end() - 1])
+            out[a : b + 1] = kind
+    out[ord("'")], out[BORDER] = _WHOLE, _BORDER
+    return out
+
+
 class ByteBpe:
     """Encoder and decoder for one vocabulary file."""
 
@@ -100,12 +117,11 @@ class ByteBpe:
             self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
         self.split = regex.compile(SPLIT).findall
-        import re
-
-        #: a word with the one blank before it, or one white-space letter
-        self.pieces = re.compile(r" ?\S+|\s").findall
-        self.runs = re.compile(r"\s\s").search
-        self.cache: dict[str, bytes] = {}
+        self.kind, self.value, self.kept = kinds(), letter_values(), Kept(CACHE_PIECES)
+        self.breaks = re.compile(r"(?<=\S)[ \t\n\r]")
+        self.byte_size = np.array([len(x) for x in self.bytes])
+        self.byte_begin = np.cumsum(self.byte_size) - self.byte_size
+        self.byte_flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def compatible(self, a: int, b: int) -> bool:
         """True if no merge ever joins the tokens a and b across their border, so that both stay side by side.
@@ -142,8 +158,8 @@ class ByteBpe:
         before."""
         compatible, fits, scan = self.compatible, self.fits.get, self.automaton.iter
         out: list[bytes] = []
-        last: list[int] = [-1]
-        start: list[int] = [0]
+        last, start = array("i", [-1]), array("i", [0])
+        unset, zero = array("i", [-1]), array("i", [0])
         prior = ""
         for w in mapped:
             n = len(w)
@@ -155,8 +171,8 @@ class ByteBpe:
             del last[same + 1 :], start[same + 1 :]
             prior = w
             fill = n - same
-            last += [-1] * fill
-            start += [0] * fill
+            last += unset * fill
+            start += zero * fill
             for at, (length, token) in scan(w):
                 if at < same or last[at + 1] >= 0:
                     continue
@@ -177,28 +193,69 @@ class ByteBpe:
             out.append(array("H", ids).tobytes())
         return out
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of these stretches of text without special tokens."""
-        parts = {p: self.split(p) for p in pieces}
-        cache, letters = self.cache, self.letters
-        new = {w for x in parts.values() for w in x if w not in cache}
-        mapped = sorted((w.encode().decode("latin-1").translate(letters), w) for w in new)
-        made = dict(zip((w for _, w in mapped), self.words([m for m, _ in mapped]), strict=True))
-        out = {p: b"".join([made.get(w) or cache[w] for w in x]) for p, x in parts.items()}
-        return made | out
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts without special tokens, several at once."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        pieces = [self.split(t) if self.runs(t) else self.pieces(t) for t in texts]
-        missing = set(chain.from_iterable(pieces)).difference(self.cache)
-        more: dict[str, bytes] = {}
-        if missing:
-            for p, ids in self.learn(missing).items():
-                (self.cache if len(p) <= 64 else more)[p] = ids
-        get = self.cache.__getitem__ if not more else (lambda p: more.get(p) or self.cache[p])
-        return [b"".join(map(get, x)) for x in pieces]
+    def learn(self, pieces: list[str], whole: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all these pieces, and how many each has. Those marked whole are words that the pattern splits."""
+        parts = [self.split(p) if w else (p,) for p, w in zip(pieces, whole, strict=True)]
+        letters = self.letters
+        mapped = sorted({w.encode().decode("latin-1").translate(letters) for x in parts for w in x})
+        made = dict(zip(mapped, self.words(mapped), strict=True))
+        ids = [b"".join([made[w.encode().decode("latin-1").translate(letters)] for w in x]) for x in parts]
+        return np.frombuffer(b"".join(ids), "<u2"), np.array([len(x) >> 1 for x in ids], np.int32)
+
+    def encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's end. No special tokens."""
+        whole, codes, begins = joined(texts)
+        kind, values = self.kind[codes], self.value[codes]
+        odd = np.flatnonzero(kind == _WHOLE)
+        if len(odd):
+            gap = np.flatnonzero((kind == _SPACE) | (kind == _BORDER))
+            after = np.unique(np.searchsorted(gap, odd))
+            first = np.where(after > 0, gap[after - 1] + 1, 0)
+            kind[spans(first, gap[after] - first)] = _WHOLE
+        edge = np.append(0, np.flatnonzero(kind[1:] != kind[:-1]) + 1)
+        end, what = np.append(edge[1:], len(kind)), kind[edge]
+        word, blank = (what != _SPACE) & (what != _BORDER), what == _SPACE
+        b, e = edge[word], end[word]
+        b = b - ((b > 0) & (codes[b - 1] == 32))  # the blank before a piece is part of it
+        # of a run of white space before a piece, all but the last letter is one piece; the last, unless a blank, another
+        wb, we = edge[blank], end[blank]
+        last = kind[we] != _BORDER
+        run = we - last
+        single = last & (codes[we - 1] != 32)
+        begin = np.concatenate([b, wb[run > wb], run[single]])
+        end = np.concatenate([e, run[run > wb], we[single]])
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], end[order]
+        key, short = hashes(values, begin, end), end - begin <= LONG
+        row = self.kept.find(key)
+        new = np.flatnonzero((row < 0) & short)
+        if len(new):
+            fresh, at = np.unique(key[new], return_index=True)
+            at = new[at]
+            words = [whole[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+            self.kept.add(fresh, *self.learn(words, (kind[end[at] - 1] == _WHOLE).tolist()))
+            row[new] = self.kept.find(key[new])
+        self.kept.note(row[short])
+        start, size, flat = self.kept.begin[row], self.kept.length[row].astype(np.int64), self.kept.flat
+        if not short.all():  # encoded each time
+            at = np.flatnonzero(~short)
+            words = [whole[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+            ids, length = self.learn(words, (kind[end[at] - 1] == _WHOLE).tolist())
+            flat = np.concatenate([flat[: self.kept.size], ids])
+            start[at], size[at] = self.kept.size + np.cumsum(length) - length, length
+        stops = np.append(0, np.cumsum(size))[np.searchsorted(begin, begins[1:])]
+        out = flat[spans(start, size)]
+        self.kept.prune()
+        return out, stops
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without special tokens."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for some in stretches(texts, PORTION, self.breaks):
+            ids, stops = self.encode_some([t for _, t in some])
+            for (k, _), x in zip(some, np.split(ids, stops[:-1]), strict=True):
+                out[k].append(x)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts; the strings of special tokens become their ids, as in the public library."""
@@ -207,14 +264,13 @@ class ByteBpe:
             if any(s in t for s in self.special for t in some):
                 cut = [[x for x in self.special_split.split(t) if x] for t in some]
                 ids = iter(self.plain([x for c in cut for x in c if x not in self.special]))
-                joined = [b"".join([array("H", [self.special[x]]).tobytes() if x in self.special else next(ids) for x in c]) for c in cut]
+                out += [np.concatenate([np.zeros(0, np.uint16), *(np.array([self.special[x]], np.uint16) if x in self.special else next(ids) for x in c)]) for c in cut]
             else:
-                joined = self.plain(some)
-            out += [np.frombuffer(x, "<u2") for x in joined]
+                out += self.plain(some)
         return out
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return self.byte_flat[spans(self.byte_begin[ids], self.byte_size[ids])].tobytes().decode("utf-8", "replace")
 
 
 _LOADED: dict[str, ByteBpe] = {}
@@ -246,11 +302,10 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_text: bool = Fa
             for ids in enc.encode([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                listed = ids.tolist()
-                decoded = enc.decode(listed)
+                decoded = enc.decode(ids)
                 b.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_text:
-                    ids_out.append(listed)
+                    ids_out.append(ids.tolist())
                     text_out.append(decoded)
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
