@@ -3,6 +3,7 @@ connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import io
 import os
@@ -11,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -39,12 +41,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def alone(mine: dict) -> None:
-    """Empty what the other operators keep in this worker process: workers outlive a stage, and a pipeline's models and
-    word caches would add up."""
+    """Empty what the other operators keep in this worker process and give the memory back: workers outlive a stage, and
+    a pipeline's models and tables of words would add up."""
+    freed = False
     for name, module in list(sys.modules.items()):
         held = getattr(module, "_LOADED", None) if name.startswith(__package__ + ".") else None
-        if isinstance(held, dict) and held is not mine:
+        if isinstance(held, dict) and held is not mine and held:
             held.clear()
+            freed = True
+    if freed:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # only where the C library has it
+        except (OSError, AttributeError):
+            pass
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,13 +73,27 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Queries run within leave no shuffle files behind. Else Spark keeps those of a finished query until the driver's
+    collector finds that nothing refers to them, and a chain of jobs fills the executors' disks."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # Spark drops a finished job's shuffle files once nothing refers to them
+    with tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -83,6 +108,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with marks after it if a column has it already."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def learns(doc_id, mod: int):
     """True for the rows that may be learned from: crc32 of the id as text, modulo mod, is not 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod != 0, F.lit(False))
@@ -92,18 +124,39 @@ def held_out(doc_id, mod: int):
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == 0, F.lit(False))
 
 
-def tiled(df: DataFrame, group: list[str], by: str, tile: int) -> DataFrame:
-    """Deal the rows of every group into blocks of about `tile` rows and repeat a row for each pair of blocks that it
-    takes part in. Adds tile_i <= tile_j (the pair) and tile_own (the row's own block). Two rows of one group meet in
-    the pair of their blocks; rows of one block meet where tile_i == tile_j. Groups of one row are dropped: they have
-    no pairs. No group, however large, lands in one task."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    t = F.ceil(F.col("_n") / tile).cast("int")
-    x = df.join(sizes, group).withColumn("_t", t)
+#: A key with more than one in so many rows is joined by broadcast: there can be no more such keys than this.
+HOT = 50_000
+
+
+def attached(rows: DataFrame, table: DataFrame, keys: list[str], total: int, least: int = 1_000) -> DataFrame:
+    """rows joined with table (keys, n: how many rows have them, more columns), so that no key's rows land in one task:
+    those of keys with over max(least, total / HOT) rows, at most HOT keys, meet their row of table by broadcast where
+    they are; all others by a shuffle, in which no key has more rows than that. Keys must not be null; rows whose keys
+    table lacks are dropped."""
+    limit = max(least, total // HOT)
+    hot, cold = table.filter(F.col("n") > limit), table.filter(F.col("n") <= limit)
+    here = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return here.select(*rows.columns, *(c for c in table.columns if c not in keys)).unionByName(rest.select(*rows.columns, *(c for c in table.columns if c not in keys)))
+
+
+def tiled(df: DataFrame, group: list[str], by: str, tile: int, held: list[DataFrame]) -> tuple[DataFrame, int]:
+    """Deal the rows of every group into blocks of at most about `tile` rows (fewer in small tables, so that all tasks
+    have some) and repeat a row for each pair of blocks that it takes part in. Adds tile_i <= tile_j (the pair) and
+    tile_own (the row's own block). Two rows of one group meet in the pair of their blocks; rows of one block meet where
+    tile_i == tile_j. Groups of one row are dropped: they have no pairs. No group, however large, lands in one task,
+    neither here (attached) nor where the caller deals the result by group and tiles, into as many partitions as the
+    second result says. held: gets the table of group sizes, to discard when the result has been read."""
+    sizes = scratch(df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    held.append(sizes)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    tile = min(tile, max(256, total // 512))
+    x = attached(df, sizes.withColumn("_t", F.ceil(F.col("n") / tile).cast("int")), group, total, tile)
+    x = x.drop("n")
     x = x.withColumn("tile_own", F.pmod(F.xxhash64(F.col(by), F.lit(17)), F.col("_t")).cast("int"))
     x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
     x = x.withColumn("tile_i", F.least("tile_own", "_o")).withColumn("tile_j", F.greatest("tile_own", "_o"))
-    return x.drop("_n", "_t", "_o")
+    return x.drop("_t", "_o"), max(32, total // 8_192)
 
 
 def spanning(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,19 +211,19 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[tu
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Connected components of undirected edges by alternating large-star and small-star steps: (node, component),
     component being the smallest id reachable. Only nodes with an edge appear. Each round cuts lineage with a table in
-    the shared folder; edges are reduced as they go, and nothing but a count reaches the driver."""
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    now = scratch(e, "edges")
-    done = None
-    for _ in range(rounds):
+    the shared folder; edges are reduced as they go, and nothing but a count reaches the driver. The edges of a hub are
+    spread over all tasks (attached)."""
+    mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    now = scratch(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    done = mark(now)
+    for _ in range(rounds if done[0] else 0):
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("u"), F.col("v"), F.col("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = attached(both, low, ["u"], 2 * done[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = attached(large, down, ["u"], done[0])
         star = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
         new = scratch(star, "edges")
-        mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         found = mark(new)
         discard(now)
         now = new
@@ -178,6 +231,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
             break
         done = found
     else:
-        raise RuntimeError("components: more rounds needed")
+        if done[0]:
+            raise RuntimeError("components: more rounds needed")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
