@@ -1,9 +1,10 @@
 """Near-duplicate texts: joins by Jaccard similarity of word n-grams with Bayesian pruning of candidates.
 
 Texts with equal shingle sets form a class, and one of each class goes on. Classes that agree in a band of their
-MinHash values are candidates. Their MinHash values are compared a few at a time; a pair is dropped once the
-posterior probability that its similarity reaches the threshold falls below a tolerance. What is left is verified on
-the shingle sets themselves.
+MinHash values are candidates, in the first band that they share. Their MinHash values are compared a few at a time; a
+pair is dropped once the posterior probability that its similarity reaches the threshold falls below a tolerance. What
+is left is verified on the shingle sets themselves. Pairs never become rows: a bucket passes on the texts that still
+have a pair in it, and these meet again, with their shingles, in the same bucket.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import portions
-from .common import alone, components, discard, runs, scratch, ship, spanning, tiled
+from .common import alone, attached, components, discard, runs, scratch, ship, spanning, tiled
+from .wordhash import BORDER, hashes, joined, letter_values, stretches
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the threshold agrees in no band with probability (1 - 0.8^5)^25 = 5e-5.
@@ -29,9 +31,19 @@ HASHES = BANDS * BAND
 TOLERANCE = 1e-5
 #: Rows of a block of a crowded bucket or cluster.
 TILE = 2_048
-CACHE_WORDS = 500_000
+#: Letters hashed at once.
+PORTION = 1_000_000
 
-_words = re.compile(r"\w+").findall
+_breaks = re.compile(r"\W")
+
+
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Which codes are part of a word, and the value of each."""
+    part = np.zeros(BORDER + 1, bool)
+    part[: 0x30000] = [chr(x).isalnum() or x == 95 for x in range(0x30000)]
+    part[0x30000:BORDER] = [chr(x).isalnum() for x in range(0x30000, BORDER)]
+    return part, letter_values()
 
 
 def multipliers() -> np.ndarray:
@@ -42,24 +54,28 @@ class Shingler:
     """Word n-grams as 64-bit hashes, and their MinHash values."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.cache, self.a = words, {}, multipliers()
-
-    def hashes(self, lists: list[list[str]]) -> list[np.ndarray]:
-        import xxhash
-
-        new = set(chain.from_iterable(lists)).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = set(chain.from_iterable(lists))
-        self.cache.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        get = self.cache.__getitem__
-        return [np.fromiter(map(get, x), np.uint64, len(x)) for x in lists]
+        self.words, self.a = words, multipliers()
+
+    def hashes(self, texts: list[str]) -> list[np.ndarray]:
+        """Hashes of each text's words, \\w+ of the lower-cased text."""
+        part, value = _letters()
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for some in stretches([t.lower() for t in texts], PORTION, _breaks):
+            _, codes, begins = joined([t for _, t in some])
+            word = part[codes]
+            edge = np.flatnonzero(word[1:] != word[:-1]) + 1  # a border ends the last word
+            edge = np.append(0, edge) if word[0] else edge
+            begin, end = edge[::2], edge[1::2]
+            h = hashes(value[codes], begin, end)
+            for (k, _), x in zip(some, np.split(h, np.searchsorted(begin, begins[1:-1])), strict=True):
+                out[k].append(x)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
     def shingles(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Sorted distinct shingles of each text. A text of fewer words than a shingle has is one shingle; a text
         without words has none."""
-        for some in portions([t or "" for t in texts], 2_000_000):
-            for h in self.hashes([_words(t.lower()) for t in some]):
+        for some in portions([t or "" for t in texts], PORTION):
+            for h in self.hashes(some):
                 n = min(self.words, len(h))
                 if not n:
                     yield h
@@ -103,12 +119,14 @@ def least_agreeing(similarity: float, tolerance: float) -> np.ndarray:
     return out
 
 
-def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs (a, b) of rows of sig that are not dropped, comparing BAND more values each time."""
+def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (a, b) of rows of sig that are not dropped, comparing BAND more values each time. band: the
+    band in which each row meets others here; pairs that share an earlier one meet there."""
     live, agree = np.arange(len(a)), np.zeros(len(a), np.int16)
     for k in range(0, HASHES, BAND):
-        agree = agree + (sig[a[live], k : k + BAND] == sig[b[live], k : k + BAND]).sum(axis=1, dtype=np.int16)
-        keep = agree >= least[k + BAND]
+        same = (sig[a[live], k : k + BAND] == sig[b[live], k : k + BAND]).sum(axis=1, dtype=np.int16)
+        agree = agree + same
+        keep = (agree >= least[k + BAND]) & ((same < BAND) | (band[a[live]] <= k // BAND))
         live, agree = live[keep], agree[keep]
         if not len(live):
             break
@@ -172,8 +190,8 @@ def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total[np.searchsorted(left, x), np.searchsorted(right, y)].astype(np.int64)
 
 
-def _sorted(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+def _sorted(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
@@ -184,8 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     Words are \\w+ of the lower-cased text. A text without words (null, empty) links with nothing, not even its like; a
     null doc_id comes back unlinked, with null class. Rows repeated with one id count as copies; texts that differ are
     linked each for itself, even where they share an id. No pair is left out
-    for the size of its group: buckets and clusters of any size are dealt in pairs of blocks of TILE rows; a task holds
-    two blocks. Links are counted where pairs are compared; pairs never become rows."""
+    for the size of its group: buckets of any size are dealt in pairs of blocks of TILE rows; a task holds two blocks. Links are counted where pairs are compared; pairs never become rows."""
     return decided(docs, words, similarity, tolerance).drop("same", "component")
 
 
@@ -222,35 +239,36 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         for b in batches:
             rep = b.column(0).to_numpy()
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, BAND).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
+            number = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2])
+            key = number.copy()
             for k in range(BAND):
                 key = (key ^ sig[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(rep, BANDS))], ["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(number.ravel().astype(np.int8) - 1, pa.int8()), pa.array(np.repeat(rep, BANDS))], ["key", "band", "rep"])
 
-    bands = classes.select("rep", "sig").mapInArrow(banded, "key long, rep long")
-    buckets = tiled(bands, ["key"], "rep", TILE).select("key", "tile_i", "tile_j", "tile_own", "rep")
-    buckets = buckets.join(classes.select("rep", "sig"), "rep").select("key", "tile_i", "tile_j", "tile_own", "rep", "sig")
+    held_tables: list[DataFrame] = []
+    bands = classes.select("rep", "sig").mapInArrow(banded, "key long, band byte, rep long")
+    place = ["key", "tile_i", "tile_j", "tile_own", "band", "rep"]
+    buckets, parts = tiled(bands, ["key", "band"], "rep", TILE, held_tables)
+    buckets = buckets.select(*place).join(classes.select("rep", "sig"), "rep").select(*place, "sig")
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillspark.llm.common import runs, spanning
+        from quillspark.llm.common import runs
         from quillspark.llm.ngram import pairs_of, surviving
 
         for t, group in runs(batches, 3, 50_000):
-            ti, tj, own, rep = (t.column(k).to_numpy() for k in (1, 2, 3, 4))
-            sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint32).reshape(-1, HASHES)
+            ti, tj, own, band = (t.column(k).to_numpy() for k in (1, 2, 3, 4))
+            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint32).reshape(-1, HASHES)
+            asks = np.zeros(t.num_rows, bool)
             for a, b in pairs_of(group, own, ti, tj):
-                live = surviving(sig, a, b, least)
-                if len(live):
-                    # rows of one text in several buckets are one name
-                    names, row = np.unique(rep, return_inverse=True)
-                    x, y = spanning(names, row[a[live]], row[b[live]])
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-
-    edges = scratch(_sorted(buckets, "key", "tile_i", "tile_j").mapInArrow(pruned, "a long, b long").distinct(), "ngram-candidates")
-    clusters = components(edges).toDF("rep", "cluster")
-    clusters = scratch(clusters.join(classes.select("rep", "copies", "sig"), "rep"), "ngram-clusters")
-    discard(edges)
+                live = surviving(sig, a, b, least, band)
+                asks[a[live]] = asks[b[live]] = True
+            yield from t.select(place).filter(pa.array(asks)).to_batches()
+
+    types = "key long, tile_i int, tile_j int, tile_own int, band byte, rep long"
+    asked = scratch(_sorted(buckets, parts, "key", "tile_i", "tile_j").mapInArrow(pruned, types), "ngram-asked")
+    for x in held_tables:
+        discard(x)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quillspark.llm.ngram import loaded
@@ -261,26 +279,30 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["rep", "shingles"])
 
     # an id may come with several texts: the class hash picks the one that stands for its class
-    named = clusters.select("rep").join(classes.select("rep", "low", "same"), "rep")
-    texts = docs.select(docs["doc_id"].cast("long").alias("low"), text).join(named.select("low"), "low", "left_semi")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    named = asked.select("rep").distinct().join(classes.select("rep", "low", "same", F.col("copies").alias("n")), "rep")
+    texts = docs.select(docs["doc_id"].cast("long").alias("low"), text)
+    if unique:
+        texts = attached(texts, named.select("low", "n"), ["low"], total).drop("n")
+    else:
+        texts = texts.join(named.select("low"), "low", "left_semi")
     shingled = texts.mapInArrow(sets, "rep long, shingles binary").dropDuplicates(["rep"]) if unique else _chosen(texts, named, words)
-    shingled = scratch(shingled, "ngram-sets")
-    dealt = tiled(clusters.select("cluster", "rep", "copies", "sig"), ["cluster"], "rep", TILE)
-    dealt = dealt.join(shingled, "rep").select("cluster", "tile_i", "tile_j", "tile_own", "rep", "copies", "sig", "shingles")
+    shingled = scratch(shingled.join(classes.select("rep", "copies", "sig"), "rep"), "ngram-sets")
+    dealt = asked.join(shingled, "rep").select(*place, "copies", "sig", "shingles")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quillspark.llm.common import runs, spanning
         from quillspark.llm.ngram import common, pairs_of, surviving
 
         for t, group in runs(batches, 3, 4_096):
-            ti, tj, own, rep, copies = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
-            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint32).reshape(-1, HASHES)
-            held = [np.frombuffer(x, np.uint64) for x in t.column(7).to_pylist()]
+            ti, tj, own, band, rep, copies = (t.column(k).to_numpy() for k in range(1, 7))
+            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint32).reshape(-1, HASHES)
+            held = [np.frombuffer(x, np.uint64) for x in t.column(8).to_pylist()]
             n = np.array([len(x) for x in held])
             links = np.zeros(len(rep), np.int64)
             some = []
             for a, b in pairs_of(group, own, ti, tj):
-                live = surviving(sig, a, b, least)
+                live = surviving(sig, a, b, least, band)
                 a, b = a[live], b[live]
                 if not len(a):
                     continue
@@ -288,30 +310,33 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
                 good = both * (1 + similarity) >= similarity * (n[a] + n[b]) - 1e-9
                 a, b = a[good], b[good]
                 links += np.bincount(a, copies[b], len(rep)).astype(np.int64) + np.bincount(b, copies[a], len(rep)).astype(np.int64)
-                some.append(np.stack(spanning(np.arange(len(rep)), a, b)))
+                names, row = np.unique(rep, return_inverse=True)  # one text may be here in several buckets
+                some.append(np.stack(spanning(names, row[a], row[b])))
             x, y = np.concatenate(some, axis=1) if some else np.zeros((2, 0), np.int64)
             at = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[at], rep[x]])), pa.array(np.concatenate([links[at], np.zeros(len(x), np.int64)])), pa.array(np.concatenate([rep[at], rep[y]]))], ["rep", "links", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[at], x])), pa.array(np.concatenate([links[at], np.zeros(len(x), np.int64)])), pa.array(np.concatenate([rep[at], y]))], ["rep", "links", "low"])
 
-    found = scratch(_sorted(dealt, "cluster", "tile_i", "tile_j").mapInArrow(verified, "rep long, links long, low long"), "ngram-links")
+    found = scratch(_sorted(dealt, parts, "key", "tile_i", "tile_j").mapInArrow(verified, "rep long, links long, low long"), "ngram-links")
     discard(shingled)
+    discard(asked)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))).toDF("rep", "component")
     reps = classes.select("same", "rep", "low", "copies").join(links, "rep", "left").join(joined, "rep", "left")
-    own = reps.select("same", "rep", "low", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    own = reps.select("same", "low", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     if unique:
         own = own.withColumn("least", F.col("component"))
     else:
-        own = own.join(own.groupBy("component").agg(F.min("low").alias("least")), "component")
-    out = every.select("doc_id", "same").join(own, "same", "left")
-    fine = F.col("doc_id").isNotNull()
-    class_id = F.when(fine, F.coalesce("least", "doc_id"))
-    return out.select(
+        own = attached(own, own.groupBy("component").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")), ["component"], total).drop("n")
+    columns = ["doc_id", "same", "low", "n_links", "component", "least"]
+    placed = attached(held.select("doc_id", "same"), own.select(*columns[1:], F.col("copies").alias("n")), ["same"], total).select(*columns)
+    null = F.lit(None).cast("long")
+    alone = every.filter("doc_id IS NULL OR same IS NULL").select("doc_id", "same", F.col("doc_id").alias("low"), F.lit(0).cast("long").alias("n_links"), null.alias("component"), F.col("doc_id").alias("least"))
+    return placed.union(alone).select(
         "doc_id",
-        class_id.alias("class_id"),
-        F.when(fine, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(fine, F.coalesce("low", "doc_id")).alias("text_class"),
-        F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.col("least").alias("class_id"),
+        "n_links",
+        F.col("low").alias("text_class"),
+        F.coalesce(F.col("least") == F.col("doc_id"), F.lit(True)).alias("kept"),
         "same",
         "component",
     )
