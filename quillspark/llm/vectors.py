@@ -12,64 +12,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, scratch, ship, spanning, tiled
+from .common import attached, components, discard, runs, scratch, ship, spanning, tiled
 
 # ---------------------------------------------------------------- exact top-k
 
 TOP, QUERY_MOD, SCALE = 20, 20, 64
-#: Candidates of a block with its own tree, queries of a group with its own tree, and rows of a leaf.
-BLOCK, GROUP, LEAF = 16_384, 4_096, 48
+#: Candidates of a block with its own tree, queries of a group with its own tree.
+BLOCK, GROUP = 16_384, 8_192
+#: Cells that rows are dealt into by nearest centre at most, and rows that the centres are found from.
+CELLS, SAMPLE, SEED_CELLS = 4_096, 8_192, 3
+#: Rows of a node that is not split, children of a node at most, and rows of a leaf compared at once.
+LEAF, FANOUT, STEP = 128, 64, 1_024
 
 
 class CoverTree:
-    """Rows in a tree of balls: every node has a centre among its rows, and a covering radius within which all rows
-    below it lie; children's radii shrink level by level. Nodes are listed parents first; rows are reordered so that a
-    node's are consecutive."""
+    """A cover tree. A node of level l has a centre among its rows and covers them all within 2**l. The centres of its
+    children, the first its own, lie more than 2**(l - 1) apart, and each row goes to the child with the nearest centre,
+    within 2**(l - 1). Levels at which a node would have one child are left out. A node whose next net would have more
+    than FANOUT centres is a leaf, as is one of at most LEAF rows: in many dimensions the last levels would give nearly
+    every row a child of its own. radius is the measured distance of the farthest row. Nodes are listed parents first;
+    rows are reordered so that a node's are consecutive."""
 
     def __init__(self, x: np.ndarray):
         self.order = np.arange(len(x))
-        self.begin, self.end, self.children = [], [], []
+        self.begin, self.end, self.children, self.level = [], [], [], []
         centres, radii = [], []
-        todo = [(0, len(x), -1)]
+        mean = x.mean(axis=0)
+        todo = [(0, len(x), int(np.argmin(((x - mean) ** 2).sum(axis=1))), -1)]
         while todo:
-            a, b, parent = todo.pop()
+            a, b, centre, parent = todo.pop()
             node = len(self.begin)
             rows = self.order[a:b]
-            mean = x[rows].mean(axis=0)
-            centre = x[rows[np.argmin(((x[rows] - mean) ** 2).sum(axis=1))]]
-            dist = np.sqrt(((x[rows] - centre) ** 2).sum(axis=1))
+            dist = np.sqrt(((x[rows] - x[centre]) ** 2).sum(axis=1))
+            radius = dist.max()
             self.begin.append(a)
             self.end.append(b)
             self.children.append([])
-            centres.append(centre)
-            radii.append(dist.max())
+            centres.append(x[centre])
+            radii.append(radius)
+            self.level.append(math.ceil(math.log2(radius)) if radius > 0 else None)
             if parent >= 0:
                 self.children[parent].append(node)
-            if b - a > LEAF and dist.max() > 0:
-                far = x[rows[np.argmax(dist)]]
-                to_far = ((x[rows] - far) ** 2).sum(axis=1)
-                other = x[rows[np.argmax(to_far)]]  # two far rows seed the halves; each row joins the nearer
-                near = to_far < ((x[rows] - other) ** 2).sum(axis=1)
-                cut = a + int(near.sum())
-                self.order[a:b] = np.concatenate([rows[near], rows[~near]])
-                if a < cut < b:
-                    todo += [(a, cut, node), (cut, b, node)]
+            if b - a <= LEAF or radius == 0:
+                continue
+            net, nearest, owner = [centre], dist, np.zeros(b - a, np.int64)
+            while nearest.max() > 2.0 ** (self.level[node] - 1) and len(net) <= FANOUT:
+                far = int(rows[np.argmax(nearest)])
+                d = np.sqrt(((x[rows] - x[far]) ** 2).sum(axis=1))
+                owner[d < nearest] = len(net)
+                nearest = np.minimum(nearest, d)
+                net.append(far)
+            if len(net) > FANOUT:
+                continue
+            by = np.argsort(owner, kind="stable")
+            self.order[a:b] = rows[by]
+            at = a + np.searchsorted(owner[by], np.arange(len(net) + 1))
+            todo += [(int(at[k]), int(at[k + 1]), c, node) for k, c in enumerate(net)]
         self.centre, self.radius = np.array(centres), np.array(radii)
         self.norm = np.sqrt((self.centre**2).sum(axis=1))
 
 
-def top_of_block(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every query's k best rows of p by inner product (integers as doubles), ties to smaller id, never the row with
-    the query's own id: query, id, score. Both trees are walked together: a pair of nodes is dropped if no inner
-    product below it can reach the worst k-th score of its queries."""
+def top_of_block(q: np.ndarray, q_rows: np.ndarray, p: np.ndarray, p_ids: np.ndarray, p_rows: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every query's k best rows of p by inner product, ties to smaller id, never the query's own row: number of the
+    query, id, score. q and p hold integers as doubles; products too large to be exact in them are taken as 64-bit
+    integers. least: scores below these don't matter. Both trees are walked together: a pair of nodes is dropped if no
+    inner product below it can reach the worst k-th score of its queries."""
     tq, tp = CoverTree(q), CoverTree(p)
-    q, qi, p, pi = q[tq.order], q_ids[tq.order], p[tp.order], p_ids[tp.order]
-    best = np.full((len(q), k), -np.inf)
+    q, qr, p, pi, pr = q[tq.order], q_rows[tq.order], p[tp.order], p_ids[tp.order], p_rows[tp.order]
+    large = np.abs(q).max() * np.abs(p).max() * q.shape[1] >= 2.0**53
+    worst = -np.inf if not large else np.iinfo(np.int64).min
+    best = np.full((len(q), k), worst)
     who = np.full((len(q), k), np.iinfo(np.int64).max)
-    floor = np.full(len(tq.begin), -np.inf)  # of each query node: the worst k-th score so far
+    bar = np.full(len(q), -np.inf) if least is None else least[tq.order].astype(float)
+    floor = np.array([bar[b:e].min() for b, e in zip(tq.begin, tq.end, strict=True)])  # of each query node
 
     def most(a: int, b) -> np.ndarray:
-        return tp.centre[b] @ tq.centre[a] + tq.radius[a] * tp.norm[b] + tp.radius[b] * tq.norm[a] + tq.radius[a] * tp.radius[b] + 1e-6
+        reach = (tq.norm[a] + tq.radius[a]) * (tp.norm[b] + tp.radius[b])
+        return tp.centre[b] @ tq.centre[a] + tq.radius[a] * tp.norm[b] + tp.radius[b] * tq.norm[a] + tq.radius[a] * tp.radius[b] + 1e-9 * reach
+
+    def compare(s: slice, e: slice) -> None:
+        got = q[s] @ p[e].T if not large else q[s].astype(np.int64) @ p[e].T.astype(np.int64)
+        _, x, y = np.intersect1d(qr[s], pr[e], return_indices=True)
+        got[x, y] = worst
+        hit = np.flatnonzero((got.max(axis=1) >= np.maximum(best[s, -1], bar[s])) & (got.max(axis=1) > worst))
+        if not len(hit):
+            return
+        every = np.hstack([best[s][hit], got[hit]])
+        cut = np.partition(every, every.shape[1] - k, axis=1)[:, -k]
+        row, col = np.nonzero((every >= cut[:, None]) & (every > worst))
+        name = np.where(col < k, who[s][hit][row, np.minimum(col, k - 1)], pi[e][np.maximum(col - k, 0)])
+        order = np.lexsort((name, -every[row, col], row))
+        row, col, name = row[order], col[order], name[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        at = s.start + hit[row[keep]]
+        best[s.start + hit], who[s.start + hit] = worst, np.iinfo(np.int64).max
+        best[at, place[keep]], who[at, place[keep]] = every[row[keep], col[keep]], name[keep]
 
     stack = [(0, 0, float("inf"))]
     while stack:
@@ -78,15 +116,10 @@ def top_of_block(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndar
             continue
         ca, cb = tq.children[a], tp.children[b]
         if not ca and not cb:
-            s, e = slice(tq.begin[a], tq.end[a]), slice(tp.begin[b], tp.end[b])
-            got = q[s] @ p[e].T
-            got[qi[s][:, None] == pi[e][None, :]] = -np.inf
-            every = np.hstack([best[s], got])
-            names = np.hstack([who[s], np.broadcast_to(pi[e], got.shape)])
-            names = np.where(np.isneginf(every), np.iinfo(np.int64).max, names)
-            order = np.lexsort((names, -every), axis=1)[:, :k]
-            best[s], who[s] = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
-            floor[a] = best[s][:, -1].min()
+            s = slice(tq.begin[a], tq.end[a])
+            for c in range(tp.begin[b], tp.end[b], STEP):
+                compare(s, slice(c, min(c + STEP, tp.end[b])))
+            floor[a] = np.maximum(best[s, -1].astype(float), bar[s]).min()
             continue
         if ca and (not cb or tq.end[a] - tq.begin[a] > tp.end[b] - tp.begin[b]):
             for x in ca:
@@ -95,8 +128,30 @@ def top_of_block(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndar
         else:
             bounds = most(a, np.array(cb))
             stack += [(a, cb[i], float(bounds[i])) for i in np.argsort(bounds)]  # the most promising comes off first
-    keep = ~np.isneginf(best)
-    return np.repeat(qi, keep.sum(axis=1)), who[keep], best[keep]
+    keep = best > worst
+    return np.repeat(tq.order, keep.sum(axis=1)), who[keep], best[keep].astype(np.int64)
+
+
+def centres_of(sample: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
+    """So many centres of the sample, by a few rounds of k-means."""
+    x = sample[np.random.default_rng(SEED_CELLS).permutation(len(sample))]
+    c = x[: min(n, len(x))].copy()
+    for _ in range(rounds):
+        own = np.argmax(x @ c.T - 0.5 * (c**2).sum(axis=1), axis=1)
+        n_own = np.bincount(own, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        c[n_own > 0] = total[n_own > 0] / n_own[n_own > 0, None]
+    return c
+
+
+def matrices(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of a list column (without nulls) by their length: row numbers, matrix."""
+    flat, at = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+    first = np.cumsum(at) - at
+    for d in np.unique(at):
+        rows = np.flatnonzero(at == d)
+        yield rows, flat[first[rows][:, None] + np.arange(d)]
 
 
 def usable(vector) -> F.Column:
@@ -107,36 +162,96 @@ def usable(vector) -> F.Column:
 
 def exact_top_k(vectors: DataFrame, k: int = TOP, query_mod: int = QUERY_MOD, scale: int = SCALE) -> DataFrame:
     """The k highest inner products of floor(scale * x) of every row whose vec_id is divisible by query_mod, against
-    every other row: query_id, rank, vec_id, score; fewer rows if there are fewer candidates.
-
-    Vectors that are null or hold null or non-finite components take no part, nor do rows without id; ids are taken
-    as unique, of equal ones one is kept. Only vectors of equal length meet. Candidates are dealt into blocks and queries
-    into groups by hash; each pair of a block and a group is searched with two trees in one task, and k rows per query
-    and block go on to the final ranking. Memory: a block, a group and their trees."""
-    ship(vectors.sparkSession)
+    every other row: query_id, rank, vec_id, score; fewer rows if there are fewer candidates. Ties go to the smaller
+    vec_id.
+
+    Vectors that are null or hold null or non-finite components take no part, nor do rows without id. Rows that share an
+    id are rows of their own: each is a candidate (also of the others), and each a query with its own ranks. Only
+    vectors of equal length meet.
+
+    Rows are dealt into cells by nearest centre (of a bounded sample), cells into blocks by hash. A query is first
+    searched in its own cell; its k-th score there then tells which other cells can hold better ones, by their centre and
+    radius, and only to these is it sent. A task searches one block for one group of queries with two trees; k rows per
+    query and block go on to the final ranking. Memory: a block, a group and their trees; the driver holds at most CELLS
+    centres of each length."""
+    spark = vectors.sparkSession
+    ship(spark)
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    rows = rows.dropDuplicates(["vec_id"]).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double"))).withColumn("n", F.size("v"))
+    rows = rows.select(F.monotonically_increasing_id().alias("r"), "vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"), F.size("v").alias("n"))
     rows = scratch(rows, "topk-rows")
+    totals = {x["n"]: x["c"] for x in rows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+    some = rows.filter(F.pmod(F.xxhash64("r", F.lit(7)), F.lit(max(1, sum(totals.values()) // SAMPLE))) == 0).select("n", "v").collect()
+    found: dict[int, list] = {}
+    for x in sorted(some, key=lambda x: x["v"]):
+        found.setdefault(x["n"], []).append(x["v"])
+    centres = {n: centres_of(np.array(found[n]), min(CELLS, -(-c // BLOCK))) if n in found else np.zeros((1, n)) for n, c in totals.items()}
+    shared = spark.sparkContext.broadcast(centres)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quillspark.llm.vectors import matrices
+
+        for b in batches:
+            cell, dist = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for at, x in matrices(b.column(2)):
+                c = shared.value[x.shape[1]]
+                cell[at] = np.argmax(x @ c.T - 0.5 * (c**2).sum(axis=1), axis=1)
+                dist[at] = np.sqrt(((x - c[cell[at]]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], ["r", "vec_id", "v", "n", "cell", "dist"])
+
+    rows = scratch(rows.mapInArrow(dealt, "r long, vec_id long, v array<double>, n int, cell int, dist double"), "topk-cells")
+    cells = rows.groupBy("n", "cell").agg(F.max("dist").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).collect()
+    sizes = spark.createDataFrame([(x["n"], x["cell"], x["blocks"]) for x in cells], "n int, cell int, blocks int")
+    reach = spark.sparkContext.broadcast({n: [(x["cell"], x["radius"], x["blocks"]) for x in cells if x["n"] == n] for n in totals})
+    rows = rows.drop("dist").join(F.broadcast(sizes), ["n", "cell"]).withColumn("block", F.pmod(F.xxhash64("r", F.lit(1)), F.col("blocks")).cast("int"))
     is_query = F.pmod("vec_id", F.lit(query_mod)) == 0
-    total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(is_query.cast("long")), F.lit(0))).first()
-    blocks, groups = max(1, -(-total[0] // BLOCK)), max(1, -(-total[1] // GROUP))
-    dealt = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n))
-    p = rows.select("n", "vec_id", "v", dealt(blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(0).alias("side"))
-    q = rows.filter(is_query).select("n", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), dealt(groups, 2).alias("g"), F.lit(1).alias("side"))
-    schema = "query_id long, vec_id long, score long"
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    low = F.lit(float("-inf"))
+
+    def search(asks: DataFrame) -> DataFrame:
+        """asks: (r, vec_id, v, least, n, cell, block): r of the query, query_id, vec_id, score."""
+        load = asks.groupBy("n", "cell", "block").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
+        q = asks.join(load, ["n", "cell", "block"]).withColumn("g", F.pmod(F.xxhash64("r", F.lit(2)), F.col("groups")).cast("int"))
+        p = rows.join(load, ["n", "cell", "block"]).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        columns = ["n", "cell", "block", "g", "r", "vec_id", "v"]
+        both = p.select(*columns, low.alias("least"), F.lit(0).alias("side")).unionByName(q.select(*columns, "least", F.lit(1).alias("side")))
+        return both.groupBy("n", "cell", "block", "g").applyInPandas(task, "r long, query_id long, vec_id long, score long")
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
         from quillspark.llm.vectors import top_of_block
 
-        a, b = pdf[pdf["side"] == 1].sort_values("vec_id"), pdf[pdf["side"] == 0].sort_values("vec_id")
+        a, b = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        x, y, s = top_of_block(np.stack(a["v"]), a["vec_id"].to_numpy(), np.stack(b["v"]), b["vec_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": x, "vec_id": y, "score": s.astype(np.int64)})
+            return pd.DataFrame({"r": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+        x, y, s = top_of_block(np.stack(a["v"]), a["r"].to_numpy(), np.stack(b["v"]), b["vec_id"].to_numpy(), b["r"].to_numpy(), k, a["least"].to_numpy())
+        return pd.DataFrame({"r": a["r"].to_numpy()[x], "query_id": a["vec_id"].to_numpy()[x], "vec_id": y, "score": s})
+
+    own = rows.filter(is_query).select("r", "vec_id", "v", low.alias("least"), "n", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    near = scratch(search(own), "topk-near")
+    by_score = W.partitionBy("r").orderBy(F.desc("score"))
+    worst = near.select("r", "score", F.row_number().over(by_score).alias("rank")).filter(F.col("rank") == k).select("r", F.col("score").alias("least"))
 
-    found = p.unionByName(q).groupBy("n", "b", "g").applyInPandas(search, schema)
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for every block of the other cells that can hold one of its k best."""
+        from quillspark.llm.vectors import matrices
+
+        for b in batches:
+            own_cell, least = b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
+            least = np.where(np.isnan(least), -np.inf, least)
+            for at, x in matrices(b.column(2)):
+                norm = np.sqrt((x * x).sum(axis=1))
+                for cell, radius, blocks in reach.value[x.shape[1]]:
+                    c = shared.value[x.shape[1]][cell]
+                    most = x @ c + norm * radius
+                    go = at[(most + 1e-9 * norm * (radius + np.sqrt((c * c).sum())) >= least[at]) & (own_cell[at] != cell)]
+                    for block in range(blocks if len(go) else 0):
+                        part = b.take(pa.array(go))
+                        n = len(go)
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(least[go]), pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, cell, np.int32)), pa.array(np.full(n, block, np.int32))], ["r", "vec_id", "v", "least", "n", "cell", "block"])
+
+    asks = rows.filter(is_query).select("r", "vec_id", "v", "cell").join(worst, "r", "left").select("r", "vec_id", "v", "cell", F.col("least").cast("double").alias("least"))
+    asks = scratch(asks.mapInArrow(sent, "r long, vec_id long, v array<double>, least double, n int, cell int, block int"), "topk-asks")
+    found = near.unionByName(search(asks))
+    w = W.partitionBy("r").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -146,15 +261,15 @@ def op1_top_k(spark, sf_dir: str) -> DataFrame:
 
 _OP1_SQL = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0
 ), s AS (
-  SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v)::BIGINT AS score
-  FROM e q JOIN e p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id AND len(q.v) = len(p.v)
-), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+  SELECT q.r, q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v)::BIGINT AS score
+  FROM e q JOIN e p ON q.vec_id % 20 = 0 AND q.r <> p.r AND len(q.v) = len(p.v)
+), t AS (
+  SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 )
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 """
 
 # ---------------------------------------------------------------- near duplicates
@@ -162,12 +277,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 COSINE = 0.98
 #: Projections counted, and the chance that a linked pair at the threshold misses the count asked for.
 PROJECTIONS, MISS = 64, 1e-6
-#: Width of a counting window in standard deviations of a projected difference at the threshold.
-SPREAD = 1.75
-#: Sorting projections that deal the vectors, and their slabs' width in the same standard deviations.
-DEALERS, SLAB = 2, 5.0
-#: Projections whose sorted order is walked; the count over the others is taken only of pairs that may reach it.
-SORTED = 24
+#: Width of a counting window, and of a slab, in standard deviations of a projected difference at the threshold.
+SPREAD, SLAB = 1.75, 8.0
 TILE, SEED = 2_048, 11
 
 
@@ -187,125 +298,142 @@ def projections(dim: int, n: int, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, n))
 
 
-def collisions(y: np.ndarray, z: np.ndarray, same: bool, width: float, asked: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of y, row of z; with same, each once) that collide at least asked times: in so many projections the
-    row of z lies in the window centred on the row of y. The rows of z are sorted by each of the first SORTED
-    projections, and a window's members counted from there; pairs that can still reach the count go on to the rest."""
+def same_slab(spread: float, width: float) -> float:
+    """Chance that two values whose difference is normal with this spread fall into one slab of a random grid."""
+    r = width / spread
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def layout(n: int, sigma: float, miss: float = MISS) -> tuple[int, int]:
+    """Tables, and projections of each, for n vectors: so many projections that an unlike vector shares all slabs of a
+    table with about one other, and so many tables that a pair at the threshold meets in none with probability miss."""
+    each = max(1, math.ceil(math.log(max(n, 2)) / -math.log(same_slab(math.sqrt(2), SLAB * sigma))))
+    meet = same_slab(sigma, SLAB * sigma) ** each
+    return math.ceil(math.log(miss) / math.log(1 - meet)), each
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def table_keys(x: np.ndarray, label: np.ndarray, tables: int, each: int, slab: float) -> np.ndarray:
+    """Of unit vectors, a key in each table: of their label, length and slabs in its projections."""
+    r = np.random.default_rng([SEED, x.shape[1], tables, each])
+    p, shift = r.standard_normal((x.shape[1], tables * each)), r.random(tables * each)
+    s = np.floor(x @ p / slab + shift).astype(np.int64).astype(np.uint64).reshape(len(x), tables, each)
+    key = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(x.shape[1]), s.shape[:2]) ^ label[:, None].astype(np.int64).view(np.uint64)
+    for k in range(each):
+        key = (key ^ s[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def colliding(y: np.ndarray, a: np.ndarray, b: np.ndarray, width: float, asked: int) -> np.ndarray:
+    """Numbers of the pairs (a, b) of rows of y that collide at least asked times: in so many projections the second
+    lies in the window centred on the first. Pairs that can't reach the count any more go as soon as that is known."""
     n = y.shape[1]
-    spare, head = n - asked, min(SORTED, n)
-    orders = [np.argsort(z[:, k], kind="stable") for k in range(head)]
-    low = [np.searchsorted(z[o, k], y[:, k] - width, "left") for k, o in enumerate(orders)]
-    high = [np.searchsorted(z[o, k], y[:, k] + width, "right") for k, o in enumerate(orders)]
-    out_a, out_b = [], []
-    for a in range(len(y)):
-        count = np.zeros(len(z), np.int16)
-        for k in range(head):
-            count[orders[k][low[k][a] : high[k][a]]] += 1
-        if same:
-            count[: a + 1] = -1
-        b = np.flatnonzero(count >= head - spare)
-        b = b[count[b] >= 0]
-        misses = head - count[b]
-        for k in range(head, n, 8):
-            if not len(b):
-                break
-            misses = misses + (np.abs(z[b, k : k + 8] - y[a, k : k + 8]) > width).sum(axis=1)
-            keep = misses <= spare
-            b, misses = b[keep], misses[keep]
-        out_a.append(np.full(len(b), a))
-        out_b.append(b)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, int),) * 2
+    live, misses = np.arange(len(a)), np.zeros(len(a), np.int16)
+    for k in range(0, n, 8):
+        misses = misses + (np.abs(y[b[live], k : k + 8] - y[a[live], k : k + 8]) > width).sum(axis=1, dtype=np.int16)
+        keep = misses <= n - asked
+        live, misses = live[keep], misses[keep]
+        if not len(live):
+            break
+    return live
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Links between vectors of the same label with cosine >= the threshold, in double precision: vec_id, n_links,
     component_id, kept.
 
-    Rows with null label, or a vector that is null, empty, zero or holds null or non-finite components, link with
+    Rows with null id or label, or a vector that is null, empty, zero or holds null or non-finite components, link with
     nothing: they return with 0 links as their own component. Equal vectors of a label are one class with a count;
     only different vectors are compared, and a class's links count all members. Vectors of different length never
-    link. Repeated ids: each row is returned, with the links of its id's vector.
-
-    Vectors are dealt by slabs of DEALERS wide projections (a vector also to the next slab, so that close ones meet),
-    crowded slabs further by blocks, so a task holds two blocks. There the windows of PROJECTIONS narrow projections
-    are counted; pairs that reach the count are verified. The count is set so that a pair at the threshold is missed
-    with probability MISS (slabs: 6e-7 each); pairs above it more rarely."""
+    link. Rows that share an id are rows of their own: each returns with its own vector's links.
+
+    Several tables of projections are cut into slabs and their keys sorted; vectors with one key in a table, crowded
+    keys in pairs of blocks, are candidates, each pair in the first table where it meets. There the collisions of
+    PROJECTIONS further projections, windows centred on one vector, are counted; pairs that reach the count are
+    verified. Tables and count are set so that a pair at the threshold is missed with probability MISS each, pairs above
+    it more rarely; with n vectors of a label there are about n**0.12 tables times a logarithm, so work grows little
+    faster than the rows. A task holds two blocks."""
     spark = vectors.sparkSession
     ship(spark)
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    ids = scratch(vectors.select(F.monotonically_increasing_id().alias("r"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v")), "dedup-rows")
     nonzero = F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    valid = ids.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")) & nonzero)
-    classes = scratch(valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "dedup-classes")
+    fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")) & nonzero
+    valid = ids.filter(fine)
+    classes = valid.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    classes = scratch(classes.select(F.monotonically_increasing_id().alias("rep"), F.xxhash64("label").alias("mark"), "label", "v", "low", "n"), "dedup-classes")
+    most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    total = classes.agg(F.sum("n")).first()[0] or 0
     sigma = math.sqrt(2 - 2 * cosine)
-    slab, width = SLAB * sigma, SPREAD * sigma
-    asked = asked_count(PROJECTIONS, SPREAD, MISS)
+    slab, width, asked = SLAB * sigma, SPREAD * sigma, asked_count(PROJECTIONS, SPREAD, MISS)
+    tables, each = layout(most, sigma)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillspark.llm.vectors import projections
+        from quillspark.llm.vectors import matrices, table_keys, units
 
         for b in batches:
-            out = []
-            for rep, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.array(v)
-                top = np.abs(x).max()
-                x = x / top
-                x /= np.sqrt((x * x).sum())
-                out.append((rep, len(x), np.floor(x @ projections_of(len(x))[:, :DEALERS] / slab).astype(int).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["rep", "dim", "slab"])
-
-    def projections_of(dim: int, known: dict = {}):  # noqa: B006
-        from quillspark.llm.vectors import projections
-
-        if dim not in known:
-            known[dim] = projections(dim, DEALERS + PROJECTIONS)
-        return known[dim]
-
-    slabs = classes.select("rep", "v").mapInArrow(dealt, "rep long, dim int, slab array<long>")
-    x = classes.join(slabs, "rep")
-    for i in range(DEALERS):
-        x = x.withColumn(f"s{i}", F.explode(F.array(F.col("slab")[i], F.col("slab")[i] + 1)))
-    group = ["label", "dim", *(f"s{i}" for i in range(DEALERS))]
-    rows = tiled(x.drop("dim").withColumn("dim", F.size("v")), group, "rep", TILE)
-    schema = "rep long, links long, low long"
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links of each row in this pair of blocks, its copies counted, and its smallest neighbour. Of the slabs in
-        which a pair meets, only the one that is the larger of both rows' own slabs in each direction counts it."""
-        from quillspark.llm.vectors import collisions
-
-        cell, ti, tj = np.array(key[2 : 2 + DEALERS]), key[-2], key[-1]
-        pdf = pdf.sort_values("rep")
-        own = pdf["tile_own"].to_numpy()
-        v = np.stack(pdf["v"])
-        v = v / np.abs(v).max(axis=1, keepdims=True)
-        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-        y = v @ projections_of(v.shape[1])[:, DEALERS:]
-        home = np.stack(pdf["slab"])
-        rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
-        first, second = np.flatnonzero(own == ti), np.flatnonzero(own == tj)
-        a, b = collisions(y[first], y[second], ti == tj, width, asked)
-        a, b = first[a], second[b]
-        here = (np.maximum(home[a], home[b]) == cell).all(axis=1)
-        a, b = a[here], b[here]
-        good = np.concatenate([np.einsum("ij,ij->i", v[a[i : i + 65536]], v[b[i : i + 65536]]) >= cosine for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-        a, b = a[good], b[good]
-        links = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
-        low = rep.copy()
-        np.minimum.at(low, a, rep[b])
-        np.minimum.at(low, b, rep[a])
-        some = links > 0
-        edges = spanning(rep, a, b)
-        return pd.concat([pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "low": rep[some]}), pd.DataFrame({"rep": edges[0], "links": 0, "low": edges[1]})])
-
-    found = scratch(rows.groupBy(*group, "tile_i", "tile_j").applyInPandas(compare, schema), "dedup-links")
+            rep, mark = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for at, x in matrices(b.column(2)):
+                for i in range(0, len(at), 4_096):
+                    rows = at[i : i + 4_096]
+                    key = table_keys(units(x[i : i + 4_096]), mark[rows], tables, each, slab)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(np.repeat(rep[rows], tables))], ["key", "table", "rep"])
+
+    held: list[DataFrame] = []
+    keyed = classes.select("rep", "mark", "v").mapInArrow(dealt, "key long, table int, rep long")
+    rows, parts = tiled(keyed, ["key", "table"], "rep", TILE, held)
+    rows = rows.join(classes.select("rep", "mark", F.col("n").alias("copies"), "v"), "rep")
+    rows = rows.select("key", "tile_i", "tile_j", "tile_own", "table", "rep", "mark", "copies", "v").repartition(parts, "key", "tile_i", "tile_j").sortWithinPartitions("key", "tile_i", "tile_j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each vector in a pair of blocks, its neighbours' copies counted, and edges that connect what the
+        links do."""
+        from quillspark.llm.common import runs, spanning
+        from quillspark.llm.ngram import pairs_of
+        from quillspark.llm.vectors import colliding, matrices, projections, table_keys, units
+
+        for t, group in runs(batches, 3, 16_384):
+            t = t.combine_chunks()
+            ti, tj, own, table, rep, mark, copies = (t.column(k).to_numpy() for k in range(1, 8))
+            for at, x in matrices(t.column(8).chunk(0)):
+                v = units(x)
+                y, keys = v @ projections(v.shape[1], PROJECTIONS), table_keys(v, mark[at], tables, each, slab)
+                when = table[at]
+                for a, b in pairs_of(group[at], own[at], ti[at], tj[at], 1 << 18):
+                    for k in range(tables):  # a pair that shares an earlier table meets there
+                        fresh = (when[a] <= k) | (keys[a, k] != keys[b, k])
+                        a, b = a[fresh], b[fresh]
+                    keep = (mark[at][a] == mark[at][b]) & (when[a] == when[b])
+                    a, b = a[keep], b[keep]
+                    live = colliding(y, a, b, width, asked)
+                    a, b = a[live], b[live]
+                    good = np.einsum("ij,ij->i", v[a], v[b]) >= cosine
+                    a, b = a[good], b[good]
+                    if not len(a):
+                        continue
+                    n = copies[at]
+                    links = np.bincount(a, n[b], len(at)) + np.bincount(b, n[a], len(at))
+                    some = np.flatnonzero(links)
+                    names, row = np.unique(rep[at], return_inverse=True)
+                    low, high = spanning(names, row[a], row[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[at][some], low])), pa.array(np.concatenate([links[some].astype(np.int64), np.zeros(len(low), np.int64)])), pa.array(np.concatenate([rep[at][some], high]))], ["rep", "links", "low"])
+
+    found = scratch(rows.mapInArrow(compare, "rep long, links long, low long"), "dedup-links")
+    for x in held:
+        discard(x)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(found.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    reps = classes.join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    member = valid.select("vec_id", "label", "v").join(reps.select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), ["label", "v"])
-    member = member.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = ids.select("vec_id").join(member, "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    joined = components(found.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))).toDF("rep", "component")
+    reps = classes.join(links, "rep", "left").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = reps.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    own = attached(reps.select("label", "v", "component", F.col("n").alias("copies"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), least, ["component"], total)
+    own = own.select("label", "v", "n_links", "component_id", F.col("copies").alias("n"))
+    linked = attached(valid.select("vec_id", "label", "v"), own, ["label", "v"], total).select("vec_id", "n_links", "component_id")
+    rest = ids.filter(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(rest).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -313,4 +441,16 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_top_k": op1_top_k, "op10_near_dedup": op10_near_dedup}
-ORACLES = {"op1_top_k": _OP1_SQL}
+_OP10_SQL = """
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v,
+    coalesce(vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS fine FROM embeddings
+), f AS MATERIALIZED (SELECT r, vec_id, label, v FROM e WHERE fine),
+u AS MATERIALIZED (SELECT r, vec_id, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM f),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND CASE WHEN len(a.v) = len(b.v) THEN list_inner_product(a.v, b.v) >= 0.98 ELSE false END),
+c(r, low) AS (SELECT r, vec_id FROM u UNION SELECT l.a, c.low FROM c JOIN l ON l.b = c.r)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.r) AS n_links, coalesce(m.low, e.vec_id) AS component_id, coalesce(coalesce(m.low, e.vec_id) = e.vec_id, true) AS kept
+FROM e LEFT JOIN (SELECT r, min(low) AS low FROM c GROUP BY r) m USING (r)
+"""
+ORACLES = {"op1_top_k": _OP1_SQL, "op10_near_dedup": _OP10_SQL}
