@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, held_out, learns, ship
+from .common import alone, held_out, learns, ship, unused
 
 FOLDS = 5
 #: Bounds of what is learned from: documents read for a language, letters kept of them.
 SAMPLE_DOCS, SAMPLE_LETTERS = 96, 40_000
-#: Letters parsed in one stretch. A parse starts afresh at each stretch, which costs a phrase in so many letters.
+#: Letters of a stretch. All stretches of many texts are parsed in step, and then joined (counts).
 STRETCH = 512
 #: Letters of a batch parsed at once.
 PORTION = 4_000_000
@@ -171,45 +171,72 @@ class Parser:
         keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
         return x[keep]
 
-    def phrases(self, stretches: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each stretch (a column of codes) in each language."""
-        out = np.zeros((len(self.automata), stretches.shape[1]), np.int32)
-        order = np.argsort(-lengths, kind="stable")
-        x, live = stretches[:, order].astype(np.int32), np.searchsorted(-lengths[order], -np.arange(len(stretches)), "left")
-        for k, automaton in enumerate(self.automata):
-            state = np.zeros(x.shape[1], np.int32)
-            count = np.zeros(x.shape[1], np.int32)
-            first = automaton.first
-            for t in range(len(x)):
-                n = live[t]
-                if not n:
-                    break
-                c = x[t, :n]
-                to = automaton.follow(state[:n], c)
-                miss = np.flatnonzero(to < 0)
-                again = first[c[miss]]
-                count[miss] += (state[miss] > 0).astype(np.int32) + (again < 0)  # a letter never seen is a phrase
-                to[miss] = np.maximum(again, 0)
-                state[:n] = to
-            out[k, order] = count + (state > 0)
-        return out
+    def step(self, automaton: Transitions, state: np.ndarray, code: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Next states; adds to count the phrases that end before this letter, or with it if it was never seen."""
+        to = automaton.follow(state, code)
+        miss = np.flatnonzero(to < 0)
+        again = automaton.first[code[miss]]
+        count[miss] += (state[miss] > 0).astype(np.int32) + (again < 0)
+        to[miss] = np.maximum(again, 0)
+        return to
+
+    def parsed(self, automaton: Transitions, x: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases ended in, and state at the end of, each stretch (a column of codes, the longest first) that begins a
+        new phrase."""
+        state, count = np.zeros(x.shape[1], np.int32), np.zeros(x.shape[1], np.int32)
+        for t in range(len(x)):
+            n = live[t]
+            if not n:
+                break
+            state[:n] = self.step(automaton, state[:n], x[t, :n], count[:n])
+        return count, state
 
     def counts(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text in each language."""
+        """Phrases of each whole text in each language. Every stretch is first parsed as if it began a phrase. Then those
+        that continue a text are parsed again from the state that the one before ends in, beside the first parse, until
+        both are in one state: from there on they agree. A stretch where that never happens hands its own end state on,
+        and the next is done once more."""
         flat = np.concatenate(texts)
         sizes = np.array([len(t) for t in texts])
         parts = np.maximum(1, -(-sizes // STRETCH))
         owner = np.repeat(np.arange(len(texts)), parts)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])[owner]
         within = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = begin + within * STRETCH
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])[owner] + within * STRETCH
         lengths = np.minimum(STRETCH, np.repeat(sizes, parts) - within * STRETCH)
-        at = begin[None, :] + np.arange(STRETCH)[:, None]
-        stretches = np.append(flat, np.zeros(STRETCH, np.int32))[at]
-        found = self.phrases(stretches, lengths)
+        order = np.argsort(-lengths, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        x = np.append(flat, np.zeros(STRETCH, np.int32))[begin[order][None, :] + np.arange(STRETCH)[:, None]]
+        live = np.searchsorted(-lengths[order], -np.arange(STRETCH), "left")
+        later = np.flatnonzero(within > 0)
+        last = np.cumsum(parts) - 1
         out = np.zeros((len(self.automata), len(texts)), np.int64)
-        for k in range(len(out)):
-            out[k] = np.bincount(owner, found[k], len(texts))
+        for k, automaton in enumerate(self.automata):
+            count, state = (v[place] for v in self.parsed(automaton, x, live))
+            fresh, came = state.copy(), np.zeros(len(owner), np.int32)
+            change = np.zeros(len(owner), np.int64)
+            todo = later[state[later - 1] != 0]
+            while len(todo):
+                came[todo] = state[todo - 1]
+                a, b = came[todo], np.zeros(len(todo), np.int32)
+                ca, cb = np.zeros(len(todo), np.int32), np.zeros(len(todo), np.int32)
+                going, end = np.arange(len(todo)), fresh[todo]
+                for t in range(STRETCH):
+                    going = going[lengths[todo[going]] > t]
+                    if not len(going):
+                        break
+                    code = x[t, place[todo[going]]]
+                    na, nb = ca[going], cb[going]
+                    a[going], b[going] = self.step(automaton, a[going], code, na), self.step(automaton, b[going], code, nb)
+                    ca[going], cb[going] = na, nb
+                    apart = a[going] != b[going]
+                    done = (lengths[todo[going]] == t + 1) & apart
+                    end[going[done]] = a[going[done]]
+                    going = going[apart]
+                change[todo], state[todo] = ca - cb, end
+                after = todo[(todo + 1 < len(owner))] + 1
+                todo = after[(within[after] > 0) & (state[after - 1] != came[after])]
+            out[k] = np.bincount(owner, count + change, len(texts)).astype(np.int64) + (state[last] > 0)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -256,10 +283,11 @@ def loaded(texts: dict[str, str]) -> Parser:
 
 def identify(docs: DataFrame, folds: int = FOLDS, keep: bool = False) -> DataFrame:
     """Predict the language of every whole text: doc_id, held_out, lang_pred, score (0 to 1: the share of the best
-    language among all, by phrases to the power -8); with keep, docs' own columns and lang_pred instead.
+    language among all, by phrases to the power -8); with keep, docs' own columns and lang_pred and lang_score instead
+    (the last two, with marks after their names where docs has columns named so).
 
     Null texts and texts without a letter give `und` and 0, as does every row if nothing can be learned from. Ties go
-    to the language first in order. Repeated rows are predicted each; very long texts are parsed whole, in stretches.
+    to the language first in order. Repeated rows are predicted each; very long texts are parsed whole.
     Every value of lang is learned and every letter of the sample has a code of its own; a letter that no training text
     has matches nothing. Memory: the automata (bounded by the sample of each language) and PORTION letters."""
     spark = docs.sparkSession
@@ -277,8 +305,8 @@ def identify(docs: DataFrame, folds: int = FOLDS, keep: bool = False) -> DataFra
 
     text = docs["text"].cast("string").alias("_text")
     if keep:
-        names = [*docs.columns, "lang_pred", "lang_score"]
-        schema = docs.select(*docs.columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
+        names = [*docs.columns, unused("lang_pred", docs.columns), unused("lang_score", docs.columns)]
+        schema = docs.select(*docs.columns, F.lit("").alias(names[-2]), F.lit(0.0).alias(names[-1])).schema
         return docs.select(*docs.columns, text).mapInArrow(run, schema)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"], folds).alias("held_out"), text).mapInArrow(run, SCHEMA)
