@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import portions
-from .common import alone, held_out, learns, ship
+from .common import alone, held_out, learns, ship, unused
 
 FOLDS = 5
 #: Bounds of what is learned from: labelled documents of each class; words and word beginnings with an embedding
 #: of their own.
 TOXIC_DOCS, CLEAN_DOCS, MAX_WORDS, MAX_STEMS = 1500, 3000, 30_000, 20_000
+#: Letters of a training document that are read; documents that a word or beginning must have, in samples of over
+#: SMALL documents and in smaller ones.
+TRAIN_LETTERS, LEAST_DOCS, SMALL = 100_000, (3, 2), 500
 WINDOW, STRIDE = 64, 32
 WORD_DIM, STEM_DIM, CHAR_DIM, HIDDEN, ATTENTION, TRIGRAMS, STEM_LETTERS = 4, 4, 6, 8, 8, 4096, 5
 EPOCHS, BATCH, RATE, SEED = (2, 2, 2), 32, 0.01, 7
@@ -179,7 +182,7 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> dict | N
         df[label].update(set(ws))
         sf[label].update({w[:STEM_LETTERS] for w in ws})
     n = [(y == 0).sum(), (y == 1).sum()]
-    least = 3 if len(y) > 500 else 2
+    least = LEAST_DOCS[len(y) <= SMALL]
 
     def known(f: list[Counter], most: int) -> tuple[list[str], np.ndarray]:
         """The most frequent keys, and how their documents' labels lean, shrunk towards 0 where few have them."""
@@ -328,13 +331,15 @@ def loaded(model: dict) -> Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> dict | None:
-    """Train on a bounded sample of the learnable labelled documents: TOXIC_DOCS and CLEAN_DOCS whole texts at most,
-    chosen by hash of the id. A document labelled more than once is toxic if one label says so."""
+    """Train on a bounded sample of the learnable labelled documents: TOXIC_DOCS and CLEAN_DOCS texts at most, chosen by
+    hash of the id, TRAIN_LETTERS of each at most. A document labelled more than once is toxic if one label says so; of an
+    id with several texts, the first in order is learned from."""
     known = labels.filter(F.col("toxic").isNotNull() & learns(F.col("doc_id"), folds)).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     h = F.xxhash64("_id", F.lit(5))
     counts = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     some = known.filter("_toxic = 1").orderBy(h, "_id").limit(TOXIC_DOCS).union(known.filter("_toxic = 0").orderBy(h, "_id").limit(CLEAN_DOCS))
-    rows = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("string").alias("_text")).join(F.broadcast(some), "_id").collect()
+    texts = docs.select(docs["doc_id"].alias("_id"), F.substring(docs["text"].cast("string"), 1, TRAIN_LETTERS).alias("_text"))
+    rows = texts.join(F.broadcast(some), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).collect()
     rows = sorted(rows, key=lambda r: (r["_id"], r["_text"] or ""))
     stands = {k: counts.get(k, 0) / max(1, min(counts.get(k, 0), m)) for k, m in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))}
     return train([r["_text"] or "" for r in rows], [r["_toxic"] for r in rows], [stands[r["_toxic"]] for r in rows])
@@ -342,7 +347,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> dict | None:
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, keep: bool = False, training: DataFrame | None = None) -> DataFrame:
     """Score every whole text: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on); with keep, docs' own
-    columns, toxic_score and toxic_predicted instead. training: the documents that labels speak of, if not docs.
+    columns, toxic_score and toxic_predicted instead (the last two, with marks after their names where docs has columns
+    named so). training: the documents that labels speak of, if not docs.
 
     Null, empty and wordless texts score the share of toxic labels (0 if that is half or more); without labels of both
     kinds every row scores 0. Repeated rows score alike. A long text is read whole, window after window. Memory:
@@ -364,8 +370,8 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, keep: bool = F
 
     text = docs["text"].cast("string").alias("_text")
     if keep:
-        names = [*docs.columns, "toxic_score", "toxic_predicted"]
-        schema = docs.select(*docs.columns, F.lit(0.0).alias("toxic_score"), F.lit(0).alias("toxic_predicted")).schema
+        names = [*docs.columns, unused("toxic_score", docs.columns), unused("toxic_predicted", docs.columns)]
+        schema = docs.select(*docs.columns, F.lit(0.0).alias(names[-2]), F.lit(0).alias(names[-1])).schema
         return docs.select(*docs.columns, text).mapInArrow(run, schema)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"], folds).alias("held_out"), text).mapInArrow(run, SCHEMA)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("quillspark.llm")
 from quillspark.llm import lm, ngram, quotes, vectors  # noqa: E402
@@ -60,6 +61,75 @@ def test_near_vectors(spark, monkeypatch, tile):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_repeated_ids_of_vectors(spark):
+    """Rows that share an id are rows of their own, in searches and links."""
+    near = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [1.0, 0.0, 0.01]
+    rows = [(5, near[0], 1, "s"), (5, [0.0, 0.0, 9.0], 1, "s"), (7, near[1], 1, "s"), (8, near[2], 1, "s"), (None, near[0], 1, "s"), (9, near[0], None, "s")]
+    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1, r["kept"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == [(-1, 0, -1, True), (5, 0, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 2, 5, False), (9, 0, 9, True)]
+    rows = [(0, [1.0, 2.0], 1, "s"), *[(5, [float(k), 1.0], 1, "s") for k in range(6)], (20, [3.0, 3.0], 1, "s"), (20, [3.0, 3.0], 1, "s")]
+    got = sorted(tuple(r) for r in vectors.exact_top_k(spark.createDataFrame(rows, VECTORS)).select("query_id", "rank", "vec_id", "score").collect())
+    assert [r[:3] for r in got if r[0] == 0] == [(0, 1, 20), (0, 2, 20), *[(0, k, 5) for k in range(3, 9)]]
+    assert len([r for r in got if r[0] == 20]) == 16 and [{r[2] for r in got if r[0] == 20 and r[1] == k} for k in (1, 2)] == [{5}, {20}]  # a tie goes to the smaller id
+
+
+@pytest.mark.parametrize("query", ["op1_top_k", "op10_near_dedup"])
+def test_vectors_against_sql(spark, query, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([*some_vectors(300), (5, [0.5] * 8, 1, "s"), (20, [0.5] * 8, 1, "s"), (20, [0.1] * 8, 1, "s")], VECTORS).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    sql = c.sql(vectors.ORACLES[query])
+    got = vectors.QUERIES[query](spark, str(tmp_path)).select(*sql.columns).collect()
+    assert Counter(map(str, sql.fetchall())) == Counter(str(tuple(r)) for r in got)
+
+
+def test_cover_tree():
+    """Covering, separation, nesting; every row below one leaf; and the search against brute force."""
+    r = np.random.default_rng(5)
+    middles = r.standard_normal((12, 6)) * 300
+    x = np.floor(np.concatenate([m + r.standard_normal((200, 6)) * r.choice([1, 10, 40]) for m in middles]))
+    x = np.concatenate([x, np.repeat(x[:1], 300, axis=0)])
+    t = vectors.CoverTree(x)
+    assert sorted(t.order.tolist()) == list(range(len(x))) and len(t.begin) > 30
+    for k, children in enumerate(t.children):
+        rows = x[t.order[t.begin[k] : t.end[k]]]
+        assert np.sqrt(((rows - t.centre[k]) ** 2).sum(axis=1)).max() <= t.radius[k] + 1e-9 and (t.radius[k] == 0 or t.radius[k] <= 2.0 ** t.level[k])
+        if children:
+            c, below = t.centre[children], 2.0 ** (t.level[k] - 1)
+            gaps = np.sqrt(((c[:, None] - c[None]) ** 2).sum(axis=2))[np.triu_indices(len(c), 1)]
+            assert (gaps > below).all() and max(t.radius[i] for i in children) <= below and (c == t.centre[k]).all(axis=1).any()
+            assert sorted((t.begin[i], t.end[i]) for i in children)[0][0] == t.begin[k] and sum(t.end[i] - t.begin[i] for i in children) == t.end[k] - t.begin[k]
+    ids = r.permutation(len(x)) // 2
+    rows = np.arange(len(x))
+    q = np.arange(0, len(x), 9)
+    for large in (1, 2**18):
+        a, b, s = vectors.top_of_block(x[q] * large, rows[q], x * large, ids, rows, 20)
+        got = {}
+        for i, j, v in zip(a, b, s, strict=True):
+            got.setdefault(q[i], []).append((-int(v), int(j)))
+        for i in q.tolist():
+            scores = x.astype(np.int64) @ x[i].astype(np.int64) * large * large
+            assert sorted(got[i]) == sorted((-int(scores[j]), int(ids[j])) for j in rows if j != i)[:20]
+
+
+def test_hot_groups_are_spread(spark):
+    """Without broadcasts of any size but the hot keys', no task gets much more than its share."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id div 4 END AS g", "id")
+        x = tiled(rows, ["g"], "id", 100, [])[0].repartition(16, "g", "tile_i", "tile_j")
+        sizes = sorted(r["count"] for r in x.groupBy(F.spark_partition_id()).count().collect())
+        assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+        hub = spark.range(1, 5000).selectExpr("id AS a", "CAST(0 AS LONG) AS b")
+        assert components(hub).filter("component = 0").count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def rows_label(rows, i):
     return next(r[2] for r in rows if r[0] == i)
 
@@ -85,7 +155,7 @@ def test_components_chain(spark):
 
 def test_tiles_meet_once(spark):
     rows = [("hot", i) for i in range(50)] + [("one", 99), ("two", 1), ("two", 2)]
-    got = tiled(spark.createDataFrame(rows, "g string, id long"), ["g"], "id", 7).collect()
+    got = tiled(spark.createDataFrame(rows, "g string, id long"), ["g"], "id", 7, [])[0].collect()
     seen = Counter()
     cells = {}
     for r in got:
@@ -169,18 +239,76 @@ def test_language_model(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def octave(c):
+    return c.bit_length()
+
+
+def test_language_model_scores_against_plain_counts(spark, monkeypatch):
+    """The interpolated score, from counters of words, pairs and triples; in many small chunks."""
+    monkeypatch.setattr(lm, "chunk_size", lambda letters: 200)
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join(words[min(24, int(r.expovariate(0.25)))] for _ in range(r.randint(0, 40)))) for i in range(150)]
+    rows += [(i + 1000, rows[i][1]) for i in range(0, 60, 2)] + [(5000, None)]
+    got = {x["doc_id"]: x["score"] for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    toks = {i: [*(t or "").split(), None] for i, t in rows}
+    learn = {i for i in toks if zlib.crc32(str(i).encode()) % 10 != 0}
+    c1, c2, c3, docs = Counter(), Counter(), Counter(), len(learn)
+    grams = lambda t: zip([None, None, *t], [None, *t], t)
+    for i in learn:
+        for a, b, w in grams(toks[i]):
+            c1[w] += 1
+            c2[b, w] += 1
+            c3[a, b, w] += 1
+    two_before = lambda a, b, k: docs if k == 0 else c2[a, b]
+    total = sum(c1.values())
+    model = lm.Model(len(c1), total, sum(n == 1 for n in c1.values()))
+    q = lambda n: round(4 * math.log2(n)) if n else 0
+    cells = Counter()
+    for (b, w), n in c2.items():
+        cells[octave(c1[b] - 1) << 24 | q(c1[w]) << 16 | q(c1[b]) << 8 | (1 + q(n - 1) if n > 1 else 0)] += n
+    model.two = lm.weights([lm._two_cell(model, k, n) for k, n in cells.items()])
+    below = lambda *x: float(model.below(*(np.array([v]) for v in x[:3]), x[3])[0])
+    cells = Counter()
+    for i in learn:
+        for k, (a, b, w) in enumerate(grams(toks[i])):
+            two = two_before(a, b, k) - 1
+            if two > 0:
+                n, p2 = c3[a, b, w] - 1, below(c1[w] - 1, c1[b] - 1, c2[b, w] - 1, total - 1)
+                cells[octave(two), round(-4 * math.log2(n / two)) if n else None, round(-4 * math.log2(p2))] += 1
+    model.three = lm.weights([(k, 0.0 if x is None else 2 ** (-x / 4), 2 ** (-y / 4), n) for (k, x, y), n in cells.items()])
+    for i, t in toks.items():
+        want = 0.0
+        for k, (a, b, w) in enumerate(grams(t)):
+            two = two_before(a, b, k)
+            v = model.three.get(octave(two), (0.0,))[0] if two else 0.0
+            want += math.log10(v * c3[a, b, w] / max(two, 1) + (1 - v) * below(c1[w], c1[b], c2[b, w], total))
+        assert abs(got[i] - want) < 1e-6, i
+
+
+def test_counts_beyond_32_bits():
+    import pandas as pd
+
+    keys = np.array([3, 9], np.uint64)
+    blocks = [lm._blocks(c, keys, np.array([n, 1]), None, 1, 64).to_pandas() for c, n in ((1, 6_000_000_000), (2, 5))]
+    out = lm.count_words(pd.concat(blocks))
+    assert [lm.unsqueeze(x, np.int64, 2).tolist() for x in out["counts"]] == [[6_000_000_005, 2]] * 2 and out["total"].sum() == 6_000_000_007
+
+
 def test_mixture_is_a_distribution():
-    mix = lm.weights([(1, 0.5, 0.1, 10.0), (1, 0.0, 0.2, 5.0), (2, 0.9, 0.01, 3.0)], 0.001)
+    mix = lm.weights([(1, 0.5, 0.1, 0.001, 10.0), (1, 0.0, 0.2, 0.001, 5.0), (2, 0.9, 0.01, 0.001, 3.0)])
     assert all(abs(sum(w) - 1) < 1e-9 and min(w) > 0 for w in mix.values())
 
 
 CONVERSATIONS = [
     (1, 0, "user", "Hello there friend.\nHow are you?"),
-    (1, 1, "assistant", "Fine, thanks.\n\nAnd you?"),
+    (1, 1, "assistant", "Fine, thanks, and well.\n\nAnd you?"),
     (1, 2, "user", "On Monday X wrote:\n> Hello there   friend.\n> How are you?\nI said that."),
-    (1, 3, "user", "> > Hello there friend.\n> fine, THANKS.\nGood"),
+    (1, 3, "user", "> > Hello there friend.\n> fine, THANKS,  and well.\nGood"),
     (2, 0, "user", "new conv"),
-    (2, 5, "user", "> Fine, thanks.\nquoting other"),
+    (2, 5, "user", "> Fine, thanks, and well.\nquoting other"),
+    (6, 0, "user", "ok"),
+    (7, 4, "user", "> ok\ntoo short a line to come from elsewhere"),
     (3, None, "user", "x"),
     (None, 1, "user", None),
     (4, 0, "user", None),
@@ -197,6 +325,7 @@ def test_quotes(spark):
     assert x[1, 2]["own_text"] == "I said that." and (x[1, 2]["reply_turn"], x[1, 2]["linked"], x[1, 2]["reply_depth"]) == (0, True, 1)
     assert (x[1, 3]["reply_turn"], x[1, 3]["n_quoted"], x[1, 3]["reply_depth"], x[1, 3]["position"]) == (1, 2, 2, 3)
     assert (x[2, 5]["reply_conv"], x[2, 5]["reply_turn"], x[2, 5]["linked"], x[2, 5]["root_turn"]) == (1, 1, True, 0)
+    assert x[7, 4]["reply_conv"] is None and not x[7, 4]["linked"]
     assert x[5, 0]["reply_turn"] is None and not x[5, 0]["linked"] and x[5, 0]["own_text"] == "ok"
     assert x[3, None]["position"] is None and x[None, 1]["own_text"] == ""
     assert sorted(r["position"] for r in got if r["conv_id"] == 4) == [0, 1, 2]
@@ -220,6 +349,14 @@ def test_long_conversation(spark):
     assert sorted(r["position"] for r in got.values()) == list(range(1100)) and all(r["root_turn"] == 0 for r in got.values())
 
 
+def test_all_reply_to_one(spark):
+    """Thousands of replies to one message, far apart in turn: no block of the orders holds them all."""
+    rows = [(7, 0, "u", "the first message of all"), *((7, 3 * i, "u", f"> the first message of all\nanswer {i}") for i in range(1, 2000))]
+    got = {r["turn"]: r for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(r["reply_turn"] == 0 and r["reply_depth"] == 1 for t, r in got.items() if t)
+    assert [got[t]["position"] for t in sorted(got)] == list(range(2000))
+
+
 def test_native_plan(spark):
     plan = quotes.op7_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

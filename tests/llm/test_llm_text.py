@@ -149,23 +149,26 @@ def test_token_counts(spark):
         assert r["context_limit"] == min(x["context_limit"] for x in got if x["share_within"] >= r["share"])
 
 
-def test_cross_parse_against_plain_parse():
-    trained = {"a": "abcabcabdx", "b": "zzyzxyzzab"}
+@pytest.mark.parametrize("stretch", [512, 7, 2, 1])
+def test_cross_parse_against_plain_parse(monkeypatch, stretch):
+    """Whole texts, over many stretches, among others."""
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    r = random.Random(3)
+    trained = {"a": "abcabcabdx" * 3, "b": "zzyzxyzzab" + "abdxabcabc" * 40}
     p = langid.Parser(trained)
-    for t in ("abcab zzy", "xxxx", "q", "abdxabcabc" * 200):
+    texts = ["abcab zzy", "xxxx", "q", "abdxabcabc" * 200, *("".join(r.choice("abcdxyzq ") for _ in range(r.randint(1, 1300))) for _ in range(12))]
+    every = p.counts([p.codes(t) for t in texts])
+    for t, found in zip(texts, every.T, strict=True):
         codes = p.codes(t)
-        found = p.counts([codes])[:, 0]
         for k, text in enumerate(trained.values()):
             inner = "".join(chr(p.code.get(c, 1) + 65) for c in text)
-            n = 0
-            for s in range(0, len(codes), langid.STRETCH):
-                part = "".join(chr(c + 65) for c in codes[s : s + langid.STRETCH])
-                i = 0
-                while i < len(part):
-                    j = i + 1
-                    while j < len(part) and part[i : j + 1] in inner and part[i:j] in inner:
-                        j += 1
-                    i, n = j, n + 1
+            whole = "".join(chr(c + 65) for c in codes)
+            i = n = 0
+            while i < len(whole):
+                j = i + 1
+                while j < len(whole) and whole[i : j + 1] in inner and whole[i:j] in inner:
+                    j += 1
+                i, n = j, n + 1
             assert found[k] == n
 
 
@@ -233,6 +236,45 @@ def test_toxicity_gradient():
         assert abs((up - down) / 2e-3 - grads[k][at]) < 2e-2 * max(1, abs(grads[k][at]))
 
 
+def test_toxicity_scores_against_a_plain_network():
+    """Both recurrences, attention and the worst of all windows, step by step in plain numpy."""
+    r = random.Random(4)
+    words = ["sun", "moon", "tree", "river", "awful", "stone"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    model = toxicity.train(texts, [int("awful" in t) for t in texts], [1.0] * 60)
+    p, h = {k: v.astype(float) for k, v in model["p"].items()}, toxicity.HIDDEN
+    row, stem = {w: i for i, w in enumerate(model["vocabulary"])}, {w: i for i, w in enumerate(model["stems"])}
+    gate = lambda x: 1 / (1 + np.exp(-x))
+
+    def inputs(w):
+        tri, _ = toxicity.trigrams([w])
+        return np.concatenate([p["words"][row.get(w, len(row))], p["stems"][stem.get(w[: toxicity.STEM_LETTERS], len(stem))], p["chars"][tri].mean(axis=0)])
+
+    def logit(ws):
+        states = []
+        for k, order in (("f", ws), ("b", ws[::-1])):
+            s, out = np.zeros(h), []
+            for w in order:
+                a, b = inputs(w) @ p[f"w{k}"] + p[f"c{k}"], s @ p[f"u{k}"]
+                z, g = gate(a[:h] + b[:h]), gate(a[h : 2 * h] + b[h : 2 * h])
+                c = np.tanh(a[2 * h :] + g * b[2 * h :])
+                s = (1 - z) * c + z * s
+                out.append(s)
+            states.append(out if k == "f" else out[::-1])
+        states = np.hstack(states)
+        e = np.exp(np.tanh(states @ p["att"] + p["att_b"]) @ p["att_v"])
+        return float((e / e.sum()) @ states @ p["out"] + p["out_b"][0])
+
+    some = [*texts[:8], "", "unknownword awfully sun", " ".join(r.choice([*words, "new"]) for _ in range(300)), "awful"]
+    a, b = model["scale"]
+    for t, got in zip(some, toxicity.Scorer(model).scores(some), strict=True):
+        ws = t.split()
+        last = max(0, len(ws) - (toxicity.WINDOW - toxicity.STRIDE))
+        tops = [logit(ws[i : i + toxicity.WINDOW]) for i in range(0, max(1, last), toxicity.STRIDE)] if ws else None
+        want = 1 / (1 + np.exp(-(a * max(tops) + b))) if ws else (model["base"] if model["base"] < 0.5 else 0.0)
+        assert abs(got - want) < 1e-3
+
+
 def test_windows_cover_and_overlap():
     owner, begin, length = toxicity.windows(np.array([0, 1, 64, 65, 200]))
     for i, n in enumerate((0, 1, 64, 65, 200)):
