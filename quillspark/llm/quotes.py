@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, scratch
+from .common import attached, discard, scratch
 
-#: Turns, or depths, of one block of the two-step windows; keeps any one conversation from landing in one task.
+#: Turns, or depths, of one block of the stepwise windows; keeps any one conversation from landing in one task.
 BLOCK = 512
+#: Letters that a passage must have to be linked to another conversation: what is shorter is said in many.
+AWAY_LETTERS = 16
 #: How mail programs close the line that introduces a quotation.
 ATTRIBUTION = r"(?i)(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
 MARK = r"^([ \t]*>)+"
@@ -65,11 +67,13 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     and position (from 0) in the reply order of its conversation: by root, depth, turn.
 
     Originals are earlier messages of the conversation; of several, the first that said the passage. Of several
-    passages found, those of the outermost level count, then the longest, then the later original. A passage found only in other conversations gives
-    reply_conv and linked, but leaves the message's place to its own conversation. Null or empty texts quote nothing.
+    passages found, those of the outermost level count, then the longest, then the later original. A passage of at least
+    AWAY_LETTERS letters that is found only in other conversations links to the first of them: that gives reply_conv and
+    linked, but leaves the message's place to its own conversation. Null or empty texts quote nothing.
     Rows without conv_id or turn come back with no reply, place or position. Repeated (conv_id, turn) rows share a
     place, ties in position going by role and text. Extra columns are dropped. No conversation or passage, however
-    common, is gathered in one task: originals are aggregated per passage before the join, orders made in blocks."""
+    common, is gathered in one task: originals are aggregated per passage before the join, rows that share a passage or
+    an ancestor meet it where they are (attached), orders are made in blocks."""
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), passages(F.col("text").cast("string")).alias("runs"))
     m = m.select(
         "conv_id",
@@ -82,13 +86,16 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     placed = m.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
     hashed = lambda c: F.struct(F.xxhash64(c).alias("h1"), F.crc32(c).alias("h2"), F.length(c).alias("n"))
     said = placed.select("conv_id", "turn", F.explode(units(F.array("own_text"))).alias("u")).select("conv_id", "turn", hashed(F.col("u")).alias("h"))
+    said = scratch(said.groupBy("conv_id", "h").agg(F.min("turn").alias("turn")), "quotes-said")
     asks = placed.filter(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", (-F.col("q.level")).alias("near"), F.explode(units(F.array("q.body"))).alias("u"))
-    asks = asks.groupBy("conv_id", "turn", hashed(F.col("u")).alias("h")).agg(F.max("near").alias("near"))
-    first = said.groupBy("conv_id", "h").agg(F.min("turn").alias("orig"))
-    here = asks.join(first, ["conv_id", "h"]).filter("orig < turn").select("conv_id", "turn", F.struct("near", F.col("h.n").alias("n"), F.col("orig")).alias("best"))
+    asks = scratch(asks.groupBy("conv_id", "turn", hashed(F.col("u")).alias("h")).agg(F.max("near").alias("near")), "quotes-asks")
+    n_asks = asks.count()
+    times = lambda rows, *keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    first = said.select("conv_id", "h", F.col("turn").alias("orig")).join(times(asks, "conv_id", "h"), ["conv_id", "h"])
+    here = attached(asks, first, ["conv_id", "h"], n_asks).filter("orig < turn").select("conv_id", "turn", F.struct("near", F.col("h.n").alias("n"), F.col("orig")).alias("best"))
     here = here.groupBy("conv_id", "turn").agg(F.max("best").alias("best")).select("conv_id", "turn", F.col("best.orig").alias("orig"))
-    origin = said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    away = asks.join(origin, "h").filter("first.conv_id <> conv_id").groupBy("conv_id", "turn").agg(F.max(F.struct("near", F.col("h.n").alias("n"), F.col("first.conv_id").alias("c"), F.col("first.turn").alias("t"))).alias("away"))
+    origin = said.filter(F.col("h.n") >= AWAY_LETTERS).groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first")).join(times(asks, "h"), "h")
+    away = attached(asks, origin, ["h"], n_asks).filter("first.conv_id <> conv_id").groupBy("conv_id", "turn").agg(F.max(F.struct("near", F.col("h.n").alias("n"), F.col("first.conv_id").alias("c"), F.col("first.turn").alias("t"))).alias("away"))
     # the turn before, in blocks of turns
     turns = placed.select("conv_id", "turn").distinct().withColumn("block", F.floor(F.col("turn") / BLOCK))
     inside = W.partitionBy("conv_id", "block").orderBy("turn")
@@ -100,35 +107,40 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     # roots and depths by doubling: up is an ancestor, depth the steps to it; a row whose up is known for a root rests
     root = F.col("parent").isNull()
     now = scratch(tree.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), (~root).cast("long").alias("depth"), root.alias("top")), "quotes-up")
-    while not now.filter("NOT top").isEmpty():
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("top").alias("top2"))
-        moved = now.filter("NOT top").join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("top2").alias("top"))
+    discard(asks)
+    discard(said)
+    while going := now.filter("NOT top").count():
+        left = now.filter("NOT top")
+        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("top").alias("top2")).join(times(left, "conv_id", "up"), ["conv_id", "up"])
+        moved = attached(left, above, ["conv_id", "up"], going).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("top2").alias("top"))
         new = scratch(now.filter("top").unionByName(moved), "quotes-up")
         discard(now)
         now = new
     now = now.drop("top")
     tree = tree.join(now.withColumnRenamed("up", "root_turn"), ["conv_id", "turn"])
-    x = m.join(tree, ["conv_id", "turn"], "left").withColumn("block", F.floor(F.col("depth") / BLOCK))
-    sizes = x.filter("depth IS NOT NULL").groupBy("conv_id", "root_turn", "block").agg(F.count(F.lit(1)).alias("n"))
-    ahead = W.partitionBy("conv_id").orderBy("root_turn", "block").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    place = F.row_number().over(W.partitionBy("conv_id", "root_turn", "block").orderBy("depth", "turn", "role", "own_text")) - 1
-    fine = F.col("depth").isNotNull()
-    x = x.withColumn("place", F.when(fine, place)).join(sizes, ["conv_id", "root_turn", "block"], "left")
+    # position: rows before in the cell of a depth and some turns, cells before in the block of some depths, blocks before
+    x = placed.join(tree, ["conv_id", "turn"]).withColumns({"block": F.floor(F.col("depth") / BLOCK), "cell": F.floor(F.col("turn") / BLOCK)})
+    ahead = lambda rows, by, order, name: rows.withColumn(name, F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    cells = times(x, "conv_id", "root_turn", "block", "depth", "cell")
+    blocks = ahead(cells.groupBy("conv_id", "root_turn", "block").agg(F.sum("n").alias("n")), ["conv_id"], ["root_turn", "block"], "ahead").drop("n")
+    cells = ahead(cells, ["conv_id", "root_turn", "block"], ["depth", "cell"], "within").drop("n")
+    cells = cells.join(blocks, ["conv_id", "root_turn", "block"]).select("conv_id", "root_turn", "depth", "cell", (F.col("ahead") + F.col("within")).alias("ahead"))
+    place = F.row_number().over(W.partitionBy("conv_id", "root_turn", "depth", "cell").orderBy("turn", "role", "own_text")) - 1
+    x = x.withColumn("place", place).join(cells, ["conv_id", "root_turn", "depth", "cell"])
     away_only = F.col("away").isNotNull() & ~F.col("by_quote")
-    return x.select(
-        "conv_id",
-        "turn",
-        "role",
-        "own_text",
-        F.size("quoted").cast("long").alias("n_quoted"),
+    said_by = ["conv_id", "turn", "role", "own_text", F.size("quoted").cast("long").alias("n_quoted")]
+    null = F.lit(None).cast("long")
+    no_place = m.filter("conv_id IS NULL OR turn IS NULL").select(*said_by, null.alias("reply_conv"), null.alias("reply_turn"), F.lit(False).alias("linked"), *(null.alias(c) for c in ("root_turn", "reply_depth", "position")))
+    in_place = x.select(
+        *said_by,
         F.when(away_only, F.col("away.c")).when(F.col("parent").isNotNull(), F.col("conv_id")).alias("reply_conv"),
         F.when(away_only, F.col("away.t")).otherwise(F.col("parent")).alias("reply_turn"),
-        F.coalesce(F.col("by_quote") | F.col("away").isNotNull(), F.lit(False)).alias("linked"),
+        (F.col("by_quote") | F.col("away").isNotNull()).alias("linked"),
         "root_turn",
         F.col("depth").alias("reply_depth"),
         (F.col("ahead") + F.col("place")).alias("position"),
     )
+    return in_place.union(no_place)
 
 
 def op7_chat_format(spark, sf_dir: str) -> DataFrame:
@@ -160,7 +172,7 @@ said AS ({_unit_sql("(SELECT conv_id, turn, own_text AS body FROM x WHERE conv_i
 asks AS (SELECT conv_id, turn, u, min(level) AS level FROM ({_unit_sql("(SELECT m.conv_id, m.turn, r.level, r.body FROM r JOIN m USING (id) WHERE r.level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL)", "conv_id, turn, level")}) GROUP BY ALL),
 firsts AS (SELECT conv_id, u, min(turn) AS orig FROM said GROUP BY ALL),
 here AS (SELECT a.conv_id, a.turn, first(orig ORDER BY level, length(u) DESC, orig DESC) AS orig FROM asks a JOIN firsts USING (conv_id, u) WHERE orig < a.turn GROUP BY ALL),
-origin AS (SELECT u, first(conv_id ORDER BY conv_id, turn) AS c, first(turn ORDER BY conv_id, turn) AS t FROM said GROUP BY u),
+origin AS (SELECT u, first(conv_id ORDER BY conv_id, turn) AS c, first(turn ORDER BY conv_id, turn) AS t FROM said WHERE length(u) >= {AWAY_LETTERS} GROUP BY u),
 away AS (SELECT conv_id, turn, first(c ORDER BY level, length(u) DESC, c DESC, t DESC) AS c, first(t ORDER BY level, length(u) DESC, c DESC, t DESC) AS t FROM asks JOIN origin USING (u) WHERE c <> conv_id GROUP BY conv_id, turn),
 turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM (SELECT DISTINCT conv_id, turn FROM x WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
 tree AS (SELECT t.conv_id, t.turn, coalesce(h.orig, t.prior) AS parent, h.orig IS NOT NULL AS by_quote, a.c, a.t FROM turns t LEFT JOIN here h USING (conv_id, turn) LEFT JOIN away a USING (conv_id, turn)),
