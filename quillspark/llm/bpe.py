@@ -18,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import alone, ship
+from .common import alone, parts, ship
 from .wordhash import BORDER, LONG, Kept, hashes, joined, letter_values, spans, stretches
 
 #: The split of the public byte-level tokenizer, as regular expression.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker keeps with their ids (about 60 MB), and letters encoded at once.
-CACHE_PIECES, PORTION = 1_000_000, 1_000_000
+CACHE_PIECES, PORTION = 1_000_000, 400_000
 _SPACE, _LETTER, _NUMBER, _OTHER, _WHOLE, _BORDER = range(6)
 
 
@@ -48,7 +48,7 @@ def byte_letters() -> list[str]:
     return out
 
 
-def portions(texts: list[str], letters: int = 3_000_000) -> Iterator[list[str]]:
+def portions(texts: list[str], letters: int = 1_000_000) -> Iterator[list[str]]:
     """Consecutive texts, about so many letters at a time."""
     some: list[str] = []
     size = 0
@@ -195,11 +195,11 @@ class ByteBpe:
 
     def learn(self, pieces: list[str], whole: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all these pieces, and how many each has. Those marked whole are words that the pattern splits."""
-        parts = [self.split(p) if w else (p,) for p, w in zip(pieces, whole, strict=True)]
+        cut = [self.split(p) if w else (p,) for p, w in zip(pieces, whole, strict=True)]
         letters = self.letters
-        mapped = sorted({w.encode().decode("latin-1").translate(letters) for x in parts for w in x})
+        mapped = sorted({w.encode().decode("latin-1").translate(letters) for x in cut for w in x})
         made = dict(zip(mapped, self.words(mapped), strict=True))
-        ids = [b"".join([made[w.encode().decode("latin-1").translate(letters)] for w in x]) for x in parts]
+        ids = [b"".join([made[w.encode().decode("latin-1").translate(letters)] for w in x]) for x in cut]
         return np.frombuffer(b"".join(ids), "<u2"), np.array([len(x) >> 1 for x in ids], np.int32)
 
     def encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +297,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_text: bool = Fa
         from quillspark.llm.bpe import loaded
 
         enc = loaded(path)
-        for batch in batches:
+        for batch in parts(batches):
             n, a, b, ids_out, text_out = [], [], [], [], []
             for ids in enc.encode([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(ids))
@@ -328,7 +328,7 @@ def token_counts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...]
         from quillspark.llm.bpe import loaded
 
         enc = loaded(path)
-        for batch in batches:
+        for batch in parts(batches):
             at = batch.num_columns - 1
             n = [len(x) for x in enc.encode([t or "" for t in batch.column(at).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(n, pa.int64())], [*keep, "n_tokens"])

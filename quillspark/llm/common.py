@@ -51,11 +51,24 @@ def alone(mine: dict) -> None:
             freed = True
     if freed:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)  # only where the C library has it
-        except (OSError, AttributeError):
-            pass
+        give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows: what is made of a part is freed before the next."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+        give_back()
 
 
 def shared_dir(spark: SparkSession) -> str:

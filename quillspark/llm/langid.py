@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, held_out, learns, ship, unused
+from .common import alone, held_out, learns, parts, ship, unused
 
 FOLDS = 5
 #: Bounds of what is learned from: documents read for a language, letters kept of them.
@@ -22,7 +22,7 @@ SAMPLE_DOCS, SAMPLE_LETTERS = 96, 40_000
 #: Letters of a stretch. All stretches of many texts are parsed in step, and then joined (counts).
 STRETCH = 512
 #: Letters of a batch parsed at once.
-PORTION = 4_000_000
+PORTION = 2_000_000
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -198,18 +198,18 @@ class Parser:
         and the next is done once more."""
         flat = np.concatenate(texts)
         sizes = np.array([len(t) for t in texts])
-        parts = np.maximum(1, -(-sizes // STRETCH))
-        owner = np.repeat(np.arange(len(texts)), parts)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        pieces = np.maximum(1, -(-sizes // STRETCH))
+        owner = np.repeat(np.arange(len(texts)), pieces)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])[owner] + within * STRETCH
-        lengths = np.minimum(STRETCH, np.repeat(sizes, parts) - within * STRETCH)
+        lengths = np.minimum(STRETCH, np.repeat(sizes, pieces) - within * STRETCH)
         order = np.argsort(-lengths, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         x = np.append(flat, np.zeros(STRETCH, np.int32))[begin[order][None, :] + np.arange(STRETCH)[:, None]]
         live = np.searchsorted(-lengths[order], -np.arange(STRETCH), "left")
         later = np.flatnonzero(within > 0)
-        last = np.cumsum(parts) - 1
+        last = np.cumsum(pieces) - 1
         out = np.zeros((len(self.automata), len(texts)), np.int64)
         for k, automaton in enumerate(self.automata):
             count, state = (v[place] for v in self.parsed(automaton, x, live))
@@ -298,7 +298,7 @@ def identify(docs: DataFrame, folds: int = FOLDS, keep: bool = False) -> DataFra
         from quillspark.llm.langid import loaded
 
         parser = loaded(texts.value)
-        for b in batches:
+        for b in parts(batches, 2_000):
             at = b.num_columns - 1
             langs, scores = parser.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, discard, learns, scratch, ship, tidy
+from .common import alone, discard, learns, parts, scratch, ship, tidy
 from .wordhash import BORDER, hashes, joined, letter_values, stretches
 
 FOLDS = 10
 #: Tokens of a chunk (a single longer document is a chunk of its own): least, most, and the entries a block should have.
 CHUNK, CHUNK_MOST, BLOCK = 1_000_000, 16_000_000, 1_000
 #: Letters hashed at once; bits of an n-gram's hash beyond those that number the tokens.
-PORTION, SPARE = 1_000_000, 14
+PORTION, SPARE = 400_000, 14
 ROUNDS = 60
 END_HASH = 0x9AE16A3B2F90404F
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -141,7 +141,7 @@ def chunked(docs: DataFrame, folds: int = FOLDS, size: int = CHUNK) -> DataFrame
             kinds = [pa.int64()] * 4 + [pa.binary()] * 7
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _CHUNK.split(", ")])
 
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for i, can, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), word_hashes(texts), strict=True):
                 ids.append(i)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import portions
-from .common import alone, attached, components, discard, runs, scratch, ship, spanning, tiled
+from .common import alone, attached, components, discard, parts, runs, scratch, ship, spanning, tiled
 from .wordhash import BORDER, hashes, joined, letter_values, stretches
 
 WORDS, SIMILARITY = 5, 0.8
@@ -32,7 +32,7 @@ TOLERANCE = 1e-5
 #: Rows of a block of a crowded bucket or cluster.
 TILE = 2_048
 #: Letters hashed at once.
-PORTION = 1_000_000
+PORTION = 400_000
 
 _breaks = re.compile(r"\W")
 
@@ -190,8 +190,8 @@ def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total[np.searchsorted(left, x), np.searchsorted(right, y)].astype(np.int64)
 
 
-def _sorted(df: DataFrame, parts: int, *keys: str) -> DataFrame:
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys)
+def _sorted(df: DataFrame, spread: int, *keys: str) -> DataFrame:
+    return df.repartition(spread, *keys).sortWithinPartitions(*keys)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
@@ -220,7 +220,7 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         from quillspark.llm.ngram import loaded
 
         shingler = loaded(words)
-        for b in batches:
+        for b in parts(batches):
             same, sigs, n = [], [], []
             for s in shingler.shingles(b.column(1).to_pylist()):
                 n.append(len(s))
@@ -249,7 +249,7 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     held_tables: list[DataFrame] = []
     bands = classes.select("rep", "sig").mapInArrow(banded, "key long, band byte, rep long")
     place = ["key", "tile_i", "tile_j", "tile_own", "band", "rep"]
-    buckets, parts = tiled(bands, ["key", "band"], "rep", TILE, held_tables)
+    buckets, spread = tiled(bands, ["key", "band"], "rep", TILE, held_tables)
     buckets = buckets.select(*place).join(classes.select("rep", "sig"), "rep").select(*place, "sig")
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +266,7 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
             yield from t.select(place).filter(pa.array(asks)).to_batches()
 
     types = "key long, tile_i int, tile_j int, tile_own int, band byte, rep long"
-    asked = scratch(_sorted(buckets, parts, "key", "tile_i", "tile_j").mapInArrow(pruned, types), "ngram-asked")
+    asked = scratch(_sorted(buckets, spread, "key", "tile_i", "tile_j").mapInArrow(pruned, types), "ngram-asked")
     for x in held_tables:
         discard(x)
 
@@ -274,7 +274,7 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         from quillspark.llm.ngram import loaded
 
         shingler = loaded(words)
-        for b in batches:
+        for b in parts(batches):
             made = [s.tobytes() for s in shingler.shingles(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["rep", "shingles"])
 
@@ -316,7 +316,7 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
             at = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[at], x])), pa.array(np.concatenate([links[at], np.zeros(len(x), np.int64)])), pa.array(np.concatenate([rep[at], y]))], ["rep", "links", "low"])
 
-    found = scratch(_sorted(dealt, parts, "key", "tile_i", "tile_j").mapInArrow(verified, "rep long, links long, low long"), "ngram-links")
+    found = scratch(_sorted(dealt, spread, "key", "tile_i", "tile_j").mapInArrow(verified, "rep long, links long, low long"), "ngram-links")
     discard(shingled)
     discard(asked)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -365,7 +365,7 @@ def hashed(rows: DataFrame, text: str, words: int = WORDS, adds: str = "same bin
 
         from quillspark.llm.ngram import loaded
 
-        for b in batches:
+        for b in parts(batches):
             made = [s.tobytes() for s in loaded(words).shingles(b.column(at).to_pylist())]
             more = [pa.array([xxhash.xxh3_128_digest(x) if x else None for x in made], pa.binary())]
             if sets:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import alone, ship
+from .common import alone, parts, ship
 from .wordhash import BORDER, LONG, Kept, hashes, joined, letter_values, spans, stretches
 
 LIMIT = 4096
@@ -30,7 +30,7 @@ GAP, SPACING = 1024, 256
 #: Ids held before cuts are settled; the windows nearest the end are settled with the next ids.
 HORIZON, TAIL = 524_288, 16 * LIMIT
 #: Pieces of words that a worker keeps with their ids (about 60 MB), and letters encoded at once.
-CACHE_PIECES, PORTION = 1_000_000, 1_000_000
+CACHE_PIECES, PORTION = 1_000_000, 400_000
 #: What the public tokenizer takes for white space.
 SPACE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Letters and signs that lower-case one to one and that no normalisation changes; words of others, and words that may
@@ -104,8 +104,8 @@ class WordEncoder:
         return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1).astype(np.int32) - 1
 
     def learn(self, words: list[str], bare: bool) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.apart(words[i : i + 20_000], bare) for i in range(0, len(words), 20_000)]
-        return (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.int32))
+        found = [self.apart(words[i : i + 20_000], bare) for i in range(0, len(words), 20_000)]
+        return (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint16), np.zeros(0, np.int32))
 
     def encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's end."""
@@ -300,7 +300,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: i
             kinds = [pa.int64()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
                 packer.add(doc_id, np.concatenate([ids, end]))

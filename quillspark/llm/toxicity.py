@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import portions
-from .common import alone, held_out, learns, ship, unused
+from .common import alone, held_out, learns, parts, ship, unused
 
 FOLDS = 5
 #: Bounds of what is learned from: labelled documents of each class; words and word beginnings with an embedding
@@ -31,7 +31,7 @@ WINDOW, STRIDE = 64, 32
 WORD_DIM, STEM_DIM, CHAR_DIM, HIDDEN, ATTENTION, TRIGRAMS, STEM_LETTERS = 4, 4, 6, 8, 8, 4096, 5
 EPOCHS, BATCH, RATE, SEED = (2, 2, 2), 32, 0.01, 7
 #: Words whose inputs a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 words_of = re.compile(r"\w+").findall
@@ -284,12 +284,12 @@ class Scorer:
         self.size = len(self.gate)
 
     def admit(self, new: list[str]) -> None:
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
             g = self.net.gates(np.full(len(part), self.unknown), part)
             need = self.size + len(part)
             if need > len(self.gate):
-                self.gate = np.vstack([self.gate[: self.size], np.empty((max(need, 2 * self.size) - self.size, g.shape[1]), np.float32)])
+                self.gate = np.vstack([self.gate[: self.size], np.empty((max(need, self.size * 3 // 2) - self.size, g.shape[1]), np.float32)])
             self.gate[self.size : need] = g
             self.rows.update(zip(part, range(self.size, need), strict=True))
             self.size = need
@@ -297,7 +297,7 @@ class Scorer:
     def scores(self, texts: list[str]) -> list[float]:
         out: list[float] = []
         a, b = self.model["scale"]
-        for some in portions(texts, 1_500_000):
+        for some in portions(texts, 500_000):
             lists = [words_of(t.lower()) for t in some]
             new = set(chain.from_iterable(lists)).difference(self.rows)
             if self.size + len(new) > CACHE_WORDS and self.size > self.unknown:
@@ -311,8 +311,8 @@ class Scorer:
             owner, begin, lengths = windows(sizes)
             starts = (np.cumsum(sizes) - sizes)[owner] + begin
             top = np.full(len(some), -np.inf)
-            for i in range(0, len(owner), 8192):
-                s = slice(i, i + 8192)
+            for i in range(0, len(owner), 2048):
+                s = slice(i, i + 2048)
                 np.maximum.at(top, owner[s], self.net.forward(self.gate, gathered(flat, starts[s], lengths[s]), lengths[s]))
             q = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
             out += np.where(sizes > 0, q, self.model["base"] if self.model["base"] < 0.5 else 0.0).tolist()
@@ -362,7 +362,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, keep: bool = F
 
         m = model.value
         scorer = loaded(m) if m else None
-        for b in batches:
+        for b in parts(batches):
             at = b.num_columns - 1
             texts = [t or "" for t in b.column(at).to_pylist()]
             s = scorer.scores(texts) if scorer else [0.0] * len(texts)
