@@ -15,15 +15,18 @@ from quillspark.llm.common import scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told: null texts and texts without a letter."""
+    """Drops documents in which no language can be told: null texts and texts without a letter, and all if docs has no
+    text with a lang to learn from. Repeated rows are judged alike; an empty table stays empty."""
     found = langid.identify(docs, keep=True)
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return found.filter(found[found.columns[-2]] != langid.UNKNOWN).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents predicted toxic; learns from the labelled ones among docs."""
+    """Drops documents predicted toxic; learns from the labelled ones among docs. Null and empty texts stay, as does
+    every document if there are not labels of both kinds. Repeated rows are judged alike; an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, labels, keep=True).filter("toxic_predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, labels, keep=True)
+    return scored.filter(scored[scored.columns[-1]] == 0).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 ids: one row per piece."""
+    """Packs what is left into sequences of 4096 ids: one row per piece. A null or empty text is its end id alone,
+    repeated rows are packed each, an empty table gives no rows."""
     return packing.pack(docs)
 
 
