@@ -11,6 +11,7 @@ from quillspark.operators import index as ix
 from quillspark.plans import search
 from quillspark.plans.query import Thesaurus, parse
 from quillspark.sources import files
+from quillspark.sources.tables import balanced
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +45,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return balanced(table(spark, d, "documents"))
 
 
 def long(c) -> Column:
@@ -57,10 +58,10 @@ def term_table(spark: SparkSession, terms, weight: float | None = None) -> DataF
     return x if weight is None else x.withColumn("weight", F.lit(weight))
 
 
-def statistics(spark: SparkSession, d: str):
-    """(docs with dl, tf with dl, df, stats) of documents as one-chunk documents."""
+def statistics(spark: SparkSession, d: str, only: tuple[str, ...] | None = None):
+    """(docs with dl, tf with dl, df, stats) of documents as one-chunk documents. only: the postings of these terms."""
     docs = documents(spark, d).select("doc_id", "text", text.count_tokens(F.col("text")).cast("double").alias("dl"))
-    tf = ix.term_frequencies(docs, ["doc_id", "dl"])
+    tf = ix.term_frequencies(docs, ["doc_id", "dl"], only=list(only) if only else None)
     return docs.select("doc_id", "dl"), tf, ix.document_frequencies(tf, "doc_id"), ix.corpus_stats(docs, F.col("dl"))
 
 
@@ -213,17 +214,35 @@ def intent_single(spark, d):
     return table(spark, d, "benchmark").filter("text IS NOT NULL").select("item_id", text.single_intent(F.col("text")).alias("intent"))
 
 
-#: DuckDB's levenshtein counts bytes, so the SQL leaves out other letters than ASCII
-_HEAD = "substring(regexp_replace(lower(coalesce(text, '')), '[^ -~]', '', 'g'), 1, 60)"
-
-
-@query(f"""WITH h AS (SELECT item_id, {_HEAD} AS t FROM benchmark), w AS (SELECT item_id, substring(t, unnest(range(1, greatest(1, length(t) - 3) + 1))::BIGINT, 4) AS s FROM h)
-SELECT item_id, round(max(greatest(0.0, 100 * (1 - levenshtein(s, 'erst') / 4.0::DOUBLE))), 6)::DOUBLE AS ratio FROM w GROUP BY item_id""")
+@query()
 def fuzzy_partial_ratio(spark, d):
-    """Over whole texts and all their letters; the SQL still sees the first 60 ASCII letters only."""
+    """Over whole texts and all their letters. No SQL: DuckDB's levenshtein counts bytes; the tests compare with brute
+    force."""
     return table(spark, d, "benchmark").select("item_id", F.round(search.partial_ratio(F.col("text"), "erst"), 6).alias("ratio"))
 
 
+@query("""SELECT item_id, CASE WHEN regexp_matches(text, '(?i)^(?:define|definition of|what is|what''s|meaning of)[ \t\r\n]+[^\r\n]') THEN 'definition'
+  WHEN regexp_matches(text, '"[^"]{1,200}"') THEN 'phrase' ELSE 'general' END AS first,
+  CASE WHEN contains(lower(text), 'quote') OR contains(lower(text), 'said') OR contains(lower(text), 'passage') THEN 'quotes'
+  WHEN contains(lower(text), 'define') OR contains(lower(text), 'meaning') OR contains(lower(text), 'what is') THEN 'definition' ELSE 'general' END AS second
+  FROM (SELECT item_id, trim(text) AS text FROM benchmark WHERE text IS NOT NULL)""")
+def intent_variants(spark, d):
+    """The intents of a query that asks for a definition or a phrase, and of one told by parts of words."""
+    x = table(spark, d, "benchmark").filter("text IS NOT NULL").withColumn("text", F.trim("text"))
+    return x.select("item_id", text.phrase_intent(F.col("text")).alias("first"), text.substring_intent(F.col("text")).alias("second"))
+
+
+_SETS = "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(substring(lower(coalesce(text, '')), 1, 400), '[a-z]{2,}'))) AS t FROM documents"
+
+
+@query(f"""WITH s AS ({_SETS}), c AS (SELECT min(doc_id) AS id, t FROM s WHERE len(t) > 0 GROUP BY t)
+SELECT a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE, 6) AS similarity
+FROM c a JOIN c b ON a.id < b.id AND 17 * len(list_intersect(a.t, b.t)) >= 7 * (len(a.t) + len(b.t))""")
+def jaccard_pairs(spark, d):
+    """Pairs of documents with different heads that resemble each other; equal heads count as one, by the smallest id."""
+    return ranking.jaccard_pairs(documents(spark, d), "text")
+
+
 @query("SELECT conv_id, max(turn) AS n_pages, max(CASE WHEN turn <= 3 AND length(trim(text)) > 100 THEN 1 ELSE 0 END) = 1 AS has_text FROM conversations GROUP BY conv_id")
 def page_counts(spark, d):
     """Conversations as documents, turns as pages."""
@@ -403,7 +422,7 @@ def _rounded(x: DataFrame) -> DataFrame:
 
 
 def _bm25(spark, d, terms=TERMS, **options):
-    _, tf, df, stats = statistics(spark, d)
+    _, tf, df, stats = statistics(spark, d, terms)
     return scoring.bm25(tf, df, term_table(spark, terms), stats, ["doc_id"], **options)
 
 
@@ -419,7 +438,7 @@ def bm25_k12(spark, d):
 
 @query(f"WITH {_CTE} SELECT doc_id, round(score, 6) AS score FROM ({_okapi_sql(TERMS + SYNONYMS, weight='CASE WHEN term IN ' + str(SYNONYMS) + ' THEN 0.15 ELSE 1.0 END')})")
 def bm25_synonym_boost(spark, d):
-    _, tf, df, stats = statistics(spark, d)
+    _, tf, df, stats = statistics(spark, d, TERMS + SYNONYMS)
     q = term_table(spark, TERMS, 1.0).union(term_table(spark, SYNONYMS, 0.15))
     return _rounded(scoring.bm25(tf, df, q, stats, ["doc_id"]))
 
@@ -474,7 +493,7 @@ SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM dl LEFT JOIN s USING (
 
 
 def _family(spark, d, kind):
-    docs, tf, df, stats = statistics(spark, d)
+    docs, tf, df, stats = statistics(spark, d, None if kind == "okapi" else TERMS)  # okapi asks for the mean idf of all terms
     return _rounded(scoring.rank_family(docs, tf, df, term_table(spark, TERMS), stats, kind))
 
 
@@ -596,6 +615,11 @@ def chunk_greedy_wordoverlap(spark, d):
     return chunking.chunk_pages(_as_pages(spark, d), "words")
 
 
+@query()
+def chunk_flush(spark, d):
+    return chunking.chunk_pages(_as_pages(spark, d), "flush")
+
+
 @query()
 def chunk_paragraph(spark, d):
     return chunking.chunk_pages(_as_pages(spark, d), "paragraph")

@@ -8,32 +8,46 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Letter groups and their sounds, first and second reading, the longest group first. `^`: at the start of a word
-#: only; `_`: before a vowel only. Doubled letters sound once.
+#: Fixed values, in order of the alphabet: letters, and how they sound in a first and a second reading. Of the rows that
+#: fit, the longest counts. Letters in brackets must follow but are not used up; `^` stands for the start of the word.
 SOUNDS = (
-    ("SCH", "SK", "SK"), ("TIO", "X", "X"), ("TIA", "X", "X"), ("SIO", "X", "X"), ("SIA", "X", "X"), ("CIA", "X", "X"),
-    ("CH", "X", "K"), ("SH", "X", "X"), ("TH", "0", "T"), ("PH", "F", "F"), ("GH", "K", "K"), ("GN", "N", "KN"),
-    ("CE", "S", "S"), ("CI", "S", "S"), ("CY", "S", "S"), ("GE", "J", "K"), ("GI", "J", "K"), ("GY", "J", "K"),
-    ("CK", "K", "K"), ("B", "P", "P"), ("C", "K", "K"), ("D", "T", "T"), ("F", "F", "F"), ("G", "K", "K"),
-    ("H_", "H", "H"), ("J", "J", "H"), ("K", "K", "K"), ("L", "L", "L"), ("M", "M", "M"), ("N", "N", "N"),
-    ("P", "P", "P"), ("Q", "K", "K"), ("R", "R", "R"), ("S", "S", "S"), ("T", "T", "T"), ("V", "F", "F"),
-    ("W_", "W", "W"), ("X", "SK", "SK"), ("Y_", "Y", "Y"), ("Z", "S", "S"), ("^V", "A", "A"),
+    ("^A", "A", "A"), ("^E", "A", "A"), ("^I", "A", "A"), ("^O", "A", "A"), ("^U", "A", "A"),
+    ("B", "P", "P"), ("BB", "P", "P"),
+    ("C", "K", "K"), ("C(E)", "S", "S"), ("C(I)", "S", "S"), ("C(Y)", "S", "S"), ("CH", "X", "K"),
+    ("D", "T", "T"), ("DGE", "J", "J"), ("DGI", "J", "J"), ("DGY", "J", "J"),
+    ("F", "F", "F"), ("FF", "F", "F"),
+    ("G", "K", "K"), ("G(E)", "J", "K"), ("G(I)", "J", "K"), ("G(N)", "N", "KN"), ("G(Y)", "J", "K"), ("GH", "K", "K"),
+    ("H(A)", "H", "H"), ("H(E)", "H", "H"), ("H(I)", "H", "H"), ("H(O)", "H", "H"), ("H(U)", "H", "H"),
+    ("J", "J", "H"), ("K", "K", "K"), ("KK", "K", "K"), ("L", "L", "L"), ("LL", "L", "L"),
+    ("M", "M", "M"), ("MM", "M", "M"), ("N", "N", "N"), ("NN", "N", "N"),
+    ("P", "P", "P"), ("PH", "F", "F"), ("PP", "P", "P"), ("Q", "K", "K"), ("QQ", "K", "K"), ("R", "R", "R"), ("RR", "R", "R"),
+    ("S", "S", "S"), ("SCH", "SK", "SK"), ("SH", "X", "X"), ("SI(A)", "X", "X"), ("SI(O)", "X", "X"), ("SS", "S", "S"),
+    ("T", "T", "T"), ("T(IA)", "X", "X"), ("T(IO)", "X", "X"), ("TH", "0", "T"), ("TT", "T", "T"),
+    ("V", "F", "F"), ("VV", "F", "F"),
+    ("W(A)", "W", "W"), ("W(E)", "W", "W"), ("W(I)", "W", "W"), ("W(O)", "W", "W"), ("W(U)", "W", "W"),
+    ("X", "SK", "SK"),
+    ("Y(A)", "Y", "Y"), ("Y(E)", "Y", "Y"), ("Y(I)", "Y", "Y"), ("Y(O)", "Y", "Y"), ("Y(U)", "Y", "Y"),
+    ("Z", "S", "S"), ("ZZ", "S", "S"),
 )
-_BY_GROUP = {g.strip("_"): (a, b) for g, a, b in SOUNDS if g[0] != "^"}
-_PATTERN = re.compile("|".join([r"^[AEIOU]", *(g.replace("_", "(?=[AEIOU])") for g, _, _ in SOUNDS if g[0] != "^")]))
+#: Letters of each reading that a key keeps.
+LENGTH = 6
+
+
+def _readers() -> re.Pattern:
+    """One pattern of all rows, each a group of its number, the longest first."""
+    rows = sorted(enumerate(SOUNDS), key=lambda r: -len(re.sub(r"[()^]", "", r[1][0])))
+    return re.compile("|".join(f"(?P<r{i}>{group.replace('(', '(?=')})" for i, (group, _, _) in rows))
+
+
+_PATTERN = _readers()
 
 
 def key(word: str) -> str:
-    """Both readings of a word, at most six sounds each; one if they agree."""
-    letters = re.sub(r"(.)\1", r"\1", re.sub("[^A-Z]", "", word.upper()))
-    first, second = [], []
-    for m in _PATTERN.finditer(letters):
-        a, b = ("A", "A") if m[0] in "AEIOU" else _BY_GROUP[m[0]]
-        first.append(a)
-        second.append(b)
-        # a vowel or h that only tells how to read the letter before is heard no further
-    a, b = "".join(first)[:6], "".join(second)[:6]
-    return a if a == b else f"{a}|{b}"
+    """Both readings of a word, LENGTH letters each; one if they agree or the second is empty. Other letters than A to Z
+    are left out; letters that no row fits are silent."""
+    found = [SOUNDS[int(m.lastgroup[1:])] for m in _PATTERN.finditer(re.sub("[^A-Z]", "", word.upper()))]
+    first, second = ("".join(row[k] for row in found)[:LENGTH] for k in (1, 2))
+    return f"{first}|{second}" if second and second != first else first
 
 
 def keys(terms: DataFrame, term: str = "term") -> DataFrame:

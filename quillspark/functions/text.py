@@ -215,6 +215,25 @@ def single_intent(text: Column) -> Column:
     return out.otherwise("general")
 
 
+#: Beginnings that ask for a definition, and parts of words that tell an intent.
+ASKS_DEFINITION = r"(?i)^(?:define|definition of|what is|what's|meaning of)[ \t\r\n]+[^\r\n]"
+PARTS_OF_INTENTS = (("quotes", ("quote", "said", "passage")), ("definition", ("define", "meaning", "what is")))
+
+
+def phrase_intent(text: Column) -> Column:
+    """definition, phrase (something in quotation marks) or general."""
+    return F.when(text.rlike(ASKS_DEFINITION), "definition").when(text.rlike('"[^"]{1,200}"'), "phrase").otherwise("general")
+
+
+def substring_intent(text: Column) -> Column:
+    """The first intent of which a part occurs anywhere, else general."""
+    out = None
+    for name, parts in PARTS_OF_INTENTS:
+        found = F.greatest(*(F.lower(text).contains(x) for x in parts))
+        out = F.when(found, name) if out is None else out.when(found, name)
+    return out.otherwise("general")
+
+
 def structure(text: Column) -> Column:
     """struct<kind, density> of a chunk: list, quote_block, poetry, dialogue, heading_body or exposition, the first
     whose marks are there."""

@@ -38,6 +38,28 @@ def greedy_dedup(ranked: DataFrame, text: str, key: str = "doc_id", threshold: f
     return rows.select(F.posexplode(kept).alias("position", "r")).select(F.col("r.k").alias(key), "position")
 
 
+def jaccard_pairs(docs: DataFrame, text: str, key: str = "doc_id", threshold: float = 0.70) -> DataFrame:
+    """(id_a < id_b, similarity) of all pairs of different token sets that resemble each other. Rows with one set are one
+    class, named by the smallest key; empty sets resemble nothing.
+
+    Two sets of n and m tokens with similarity >= t share at least one of the first n - ceil(t n) + 1 tokens of the
+    first and of the likewise first of the second, in any one order: rare ones come first, so few classes share one.
+    Pairs are made of these prefixes only, and then verified."""
+    sets = docs.select(key, F.array_sort(token_set(F.col(text))).alias("t")).filter(F.size("t") > 0)
+    classes = sets.groupBy("t").agg(F.min(key).alias("id")).select("id", "t")
+    each = classes.select("id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "token"))
+    prefix = each.join(df, "token").withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("id", "n", "token")
+    a, b = prefix.toDF("id_a", "n_a", "token"), prefix.toDF("id_b", "n_b", "token")
+    sized = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
+    pairs = a.join(b, "token").filter((F.col("id_a") < F.col("id_b")) & sized).select("id_a", "id_b").distinct()
+    x = pairs.join(classes.toDF("id_a", "t_a"), "id_a").join(classes.toDF("id_b", "t_b"), "id_b")
+    both = F.size(F.array_intersect("t_a", "t_b"))
+    x = x.select("id_a", "id_b", both.alias("both"), (F.size("t_a") + F.size("t_b")).alias("sizes"))
+    return x.filter(F.col("both") * (1 + threshold) >= threshold * F.col("sizes") - 1e-9).select("id_a", "id_b", F.round(F.col("both") / (F.col("sizes") - F.col("both")), 6).alias("similarity"))
+
+
 def best_per_document(scores: DataFrame, doc: str, key: str) -> DataFrame:
     w = W.partitionBy(doc).orderBy(F.desc("score"), key)
     return scores.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.tables import bounded
+
 K1, B, EPSILON, DELTA_L, DELTA_PLUS = 1.5, 0.75, 0.25, 0.5, 1.0
 #: Weights of the signals of the composite score.
 WEIGHTS = {"stem": 1.0, "direct": 0.85, "concept": 0.60, "cooc": 0.45, "cosine": 0.30, "structure": 0.30, "proximity": 0.20, "header": 0.15}
@@ -24,10 +26,12 @@ def saturation(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float =
 
 def bm25(tf: DataFrame, df: DataFrame, query: DataFrame, stats: DataFrame, keys: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """Okapi with the smoothed idf that is never negative. A term repeated in the query counts again; unknown terms and
-    texts without tokens score nothing. With a weight column, terms count by it. Query terms and statistics are small and
-    fixed in number, so they are broadcast."""
+    texts without tokens score nothing. With a weight column, terms count by it. The query terms are broadcast if they are
+    few (bounded); the statistics are one row."""
     weight = F.col("weight") if "weight" in query.columns else F.lit(1.0)
-    x = tf.join(F.broadcast(query), "term").join(F.broadcast(df.join(F.broadcast(query.select("term").distinct()), "term", "left_semi")), "term").crossJoin(F.broadcast(stats))
+    small = F.broadcast if bounded(query) else lambda d: d
+    known = small(query.join(small(df.join(small(query.select("term").distinct()), "term", "left_semi")), "term"))
+    x = tf.join(known, "term").crossJoin(F.broadcast(stats))
     x = x.filter("tf > 0 AND df > 0 AND dl > 0")
     part = weight * F.col("qtf") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return x.groupBy(*keys).agg(F.sum(part).alias("score"))
@@ -45,17 +49,21 @@ def rank_family(docs: DataFrame, tf: DataFrame, df: DataFrame, query: DataFrame,
     else:
         half = 0.5 if kind == "l" else 0.0
         terms = known.join(F.broadcast(query), "term").select("term", "qtf", (F.log(F.col("n") + 1) - F.log(F.col("df") + half)).alias("idf"))
-    cells = docs.crossJoin(F.broadcast(terms)).crossJoin(F.broadcast(stats.select("avgdl")))
-    hits = tf.select(key, "term", "tf").join(F.broadcast(query.select("term").distinct()), "term", "left_semi")
-    cells = cells.join(hits, [key, "term"], "left")
-    t, dl, avg = F.coalesce("tf", F.lit(0)), F.col("dl"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    if kind == "l":
-        ctd = t / (1 - b + b * dl / avg) + DELTA_L
-        part = (k1 + 1) * ctd / (k1 + ctd)
-    else:
-        part = t * (k1 + 1) / (t + k1 * (1 - b + b * dl / avg)) + (DELTA_PLUS if kind == "plus" else 0.0)
-    scored = cells.groupBy(key).agg(F.sum(F.col("qtf") * F.col("idf") * part).alias("score"))
-    return docs.select(key).join(scored, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+    avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
+
+    def part(t: Column) -> Column:
+        spread = 1 - b + b * F.col("dl") / avgdl
+        if kind == "l":
+            ctd = t / spread + DELTA_L
+            return (k1 + 1) * ctd / (k1 + ctd)
+        return t * (k1 + 1) / (t + k1 * spread) + (DELTA_PLUS if kind == "plus" else 0.0)
+
+    # a term that a document lacks adds the same to every document: only the hits are joined
+    none = {"okapi": 0.0, "l": (k1 + 1) * DELTA_L / (k1 + DELTA_L), "plus": DELTA_PLUS}[kind]
+    base = terms.agg(F.coalesce(F.sum(F.col("qtf") * F.col("idf")) * none, F.lit(0.0)).alias("base"))
+    hits = tf.select(key, "term", "tf").join(F.broadcast(terms), "term").join(docs.select(key, "dl"), key).crossJoin(F.broadcast(stats.select("avgdl")))
+    more = hits.groupBy(key).agg(F.sum(F.col("qtf") * F.col("idf") * (part(F.col("tf")) - none)).alias("more"))
+    return docs.select(key).join(more, key, "left").crossJoin(F.broadcast(base)).select(key, (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def composite(signals: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -82,21 +82,23 @@ class Index:
 
 
 def candidates(index: Index, q: Query, filters: dict | None = None, tags: DataFrame | None = None, scope: list | None = None) -> DataFrame:
-    """chunk_ids of chunks that hold all phrases and, if there are tokens, a term that begins with one; under filters."""
+    """chunk_ids of chunks that hold all phrases and, if there are tokens, a term of the content or the header that begins
+    with one; under filters."""
     docs = match.where(index.documents, filters or {}, tags, scope)
     found = index.chunks.join(docs.select("doc_id"), "doc_id", "left_semi")
     for p in q.phrases:
         found = found.filter(match.has_phrase(F.col("content"), p))
     if q.tokens:
-        starts = F.lit(False)
-        for t in {*q.stems, *q.direct, *q.concepts}:
-            starts = starts | F.col("term").startswith(t)
-        found = found.join(index.tf.filter(starts).select("chunk_id").distinct(), "chunk_id", "left_semi")
+        begins = lambda c: reduce(lambda a, t: a | c.startswith(t), {*q.stems, *q.direct, *q.concepts}, F.lit(False))
+        hits = index.tf.filter(begins(F.col("term"))).select("chunk_id")
+        headed = index.chunks.filter(F.exists(tokens(F.col("header")), begins)).select("chunk_id")
+        found = found.join(hits.union(headed).distinct(), "chunk_id", "left_semi")
     return found.select("chunk_id", "doc_id")
 
 
 def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None, thesaurus: Thesaurus | None = None, tags: DataFrame | None = None, scope: list | None = None, dedup: bool = True) -> DataFrame:
-    """Ranked chunks: chunk_id, doc_id, score, norm (0 to 1), snippet. An empty query gives no rows. Signals: BM25 of
+    """Ranked chunks: chunk_id, doc_id, score, norm (0 to 1), snippet. An empty query gives no rows; one without
+    candidates is answered by fallback(). Signals: BM25 of
     stems, synonyms, concepts and co-occurring terms, structure asked for, neighbour among the candidates, header."""
     spark = index.chunks.sparkSession
     q = parse(raw, thesaurus)
@@ -104,6 +106,10 @@ def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None,
     if q.empty:
         return spark.createDataFrame([], out)
     cand = candidates(index, q, filters, tags, scope)
+    if cand.isEmpty():
+        found = ranking.normalised(fallback(index, raw, limit, filters, tags=tags, scope=scope).drop("how"))
+        found = found.join(index.chunks.select("chunk_id", "doc_id", "content"), "chunk_id")
+        return found.select("chunk_id", "doc_id", F.round("score", 4).alias("score"), F.round("norm", 4).alias("norm"), snippet_first(F.col("content"), q.tokens or q.phrases).alias("snippet"))
     tf = index.tf.join(cand.select("chunk_id"), "chunk_id", "left_semi")
     signals = cand.join(index.chunks.select("chunk_id", "content", "structure", "header", "prev_id", "next_id"), "chunk_id")
     extra = [r["term"] for r in ix.cooccurring(index.cooc, q.tokens).collect()] if q.tokens else []
@@ -143,11 +149,11 @@ def batch_search(index: Index, queries: DataFrame, limit: int = 25) -> DataFrame
     return ranking.top_k_each(x.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")), limit, "query_id", "chunk_id")
 
 
-def fallback(index: Index, raw: str, limit: int = 25, filters: dict | None = None, least: float = 0.6) -> DataFrame:
+def fallback(index: Index, raw: str, limit: int = 25, filters: dict | None = None, least: float = 0.6, tags: DataFrame | None = None, scope: list | None = None) -> DataFrame:
     """For queries without candidates: chunks by closest spelling, else by sound, else by containing the first token.
     Filters apply. (chunk_id, score, how)."""
     q = parse(raw)
-    docs = match.where(index.documents, filters or {})
+    docs = match.where(index.documents, filters or {}, tags, scope)
     chunks = index.chunks.join(docs.select("doc_id"), "doc_id", "left_semi")
     spelt = spelling(chunks, q.tokens, least).orderBy(F.desc("score"), "chunk_id").limit(limit)
     if q.tokens and not spelt.isEmpty():

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.operators.index import upsert
-
 
 def latest(batch: DataFrame, key: str = "doc_id", order: str = "mtime") -> DataFrame:
     w = W.partitionBy(key).orderBy(F.desc(order))
@@ -15,15 +13,18 @@ def latest(batch: DataFrame, key: str = "doc_id", order: str = "mtime") -> DataF
 
 
 def keep_current(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id", order: str = "mtime"):
-    """Start a query that upserts each micro-batch into versions below path: v<batch> holds the table after that batch.
-    A batch that runs again overwrites its own version, so replays change nothing."""
+    """Start a query that merges each micro-batch into versions below path: v<batch> holds the table after that batch, of
+    each key the row with the highest order, whenever it came. A batch that runs again overwrites its own version, so
+    replays change nothing; versions that no replay can need are deleted."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = latest(batch, key, order)
         if number:
-            fresh = upsert(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}"), fresh, key)
+            fresh = latest(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}").unionByName(fresh), key, order)
         fresh.write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
