@@ -384,4 +384,19 @@ def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+
+_OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS l FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) < {WORDS} THEN [array_to_string(l, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(l) - {WORDS - 2}), lambda i: array_to_string(l[i : i + {WORDS - 1}], ' '))) END AS g FROM w),
+h AS MATERIALIZED (SELECT doc_id, g, md5(array_to_string(list_sort(g), chr(1))) AS same FROM s),
+k AS MATERIALIZED (SELECT same, min(doc_id) AS low, count(*) AS copies, any_value(g) AS g FROM h WHERE len(g) > 0 GROUP BY same),
+x AS (SELECT low, len(g) AS n, unnest(g) AS t FROM k),
+p AS MATERIALIZED (SELECT a.low AS a, b.low AS b FROM x a JOIN x b ON a.t = b.t AND a.low <> b.low GROUP BY a.low, b.low, a.n, b.n HAVING count(*) * {1 + SIMILARITY} >= {SIMILARITY} * (a.n + b.n) - 1e-9),
+c(low, least) AS (SELECT low, low FROM k UNION SELECT p.a, c.least FROM c JOIN p ON p.b = c.low),
+r AS (SELECT k.same, k.low, k.copies - 1 + coalesce((SELECT sum(o.copies) FROM p JOIN k o ON o.low = p.b WHERE p.a = k.low), 0) AS n_links, m.least
+  FROM k JOIN (SELECT low, min(least) AS least FROM c GROUP BY low) m USING (low))
+SELECT d.doc_id, coalesce(r.least, d.doc_id) AS class_id, coalesce(r.n_links, 0)::BIGINT AS n_links, coalesce(r.low, d.doc_id) AS text_class, coalesce(coalesce(r.least, d.doc_id) = d.doc_id, true) AS kept
+FROM (SELECT documents.doc_id, h.same FROM documents LEFT JOIN h ON h.doc_id = documents.doc_id) d LEFT JOIN r ON r.same = d.same
+"""
+ORACLES = {"op2_ngram_jaccard": _OP2_SQL}

@@ -403,3 +403,58 @@ def test_pipeline_near_duplicates_by_text(spark):
     assert left.columns == docs.columns
     want = [rows[k] for k in (0, 1, 4, 5, 7, 9, 11, 12, 13)]
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in left.collect())
+
+
+def test_near_texts_against_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    sql = c.sql(ngram.ORACLES["op2_ngram_jaccard"])
+    got = ngram.op2_ngram_jaccard(spark, "/root/testdata/sf0.001").select(*sql.columns).collect()
+    assert Counter(map(str, sql.fetchall())) == Counter(str(tuple(r)) for r in got)
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage against brute force over what the one before kept; run() gives what the stages give. The table has
+    null, empty, wordless, toxic and repeated texts, copies, near copies, and columns with the names that stages add."""
+    import corpus_pipeline
+
+    from quillspark.llm import packing, toxicity
+
+    r = random.Random(3)
+    plain = lambda n: " ".join(r.choice("sun moon tree river stone cloud field grass hill lake".split()) + r.choice("abcdefgh") for _ in range(n))
+    texts = [plain(r.randint(30, 120)) for _ in range(220)]
+    for i in range(0, 220, 3):
+        texts[i] += " awfulword" * 2
+    near = texts[1].split()
+    near[5] = "changed"
+    texts += [texts[1], " ".join(near), texts[1], None, "", "123 !", texts[2].upper()]
+    rows = [(i, t, "en" if t and i % 2 else "de", "s", len(t or ""), "x", 7) for i, t in enumerate(texts)]
+    rows.append(rows[4])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, toxic_predicted int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(220)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda d: Counter((x["doc_id"], x["text"]) for x in d.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["language"](spark, now, str(tmp_path))
+    assert kept.columns == now.columns and key(kept) == Counter({k: n for k, n in key(now).items() if any(c.isalpha() for c in k[1] or "")})
+    clean = stages["toxicity"](spark, kept, str(tmp_path))
+    want = {x["doc_id"] for x in toxicity.score(kept, labels).collect() if x["predicted"] == 0}
+    assert clean.columns == now.columns and key(clean) == Counter({k: n for k, n in key(kept).items() if k[0] in want})
+    assert len([i for i in want if i < 220 and i % 3]) > 130 and len([i for i in want if i < 220 and i % 3 == 0]) < 10
+    single = stages["near_duplicates"](spark, clean, str(tmp_path))
+    sets = {}
+    for i, t in key(clean):
+        w = re.findall(r"\w+", t.lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    links = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
+    assert single.columns == now.columns and Counter(i for i, _ in key(single).elements()) == Counter(i for i, low in brute_components(links).items() if i == low)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    enc = packing.WordEncoder(packing.default_vocabulary())
+    for i, t in key(single):
+        own = pieces[pieces.doc_id == i].sort_values("start")
+        assert own.length.sum() == own.doc_tokens.iloc[0] == len(next(enc.encode([t]))) + 1
+    assert set(pieces.doc_id) == {i for i, _ in key(single)}
