@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Fixed values of the published algorithm.
@@ -110,3 +111,16 @@ def stems(terms: DataFrame, term: str = "term") -> DataFrame:
             yield pd.DataFrame({"term": p["term"], "stem": [stem(t) for t in p["term"]]})
 
     return terms.select(terms[term].alias("term")).filter("term IS NOT NULL").distinct().mapInPandas(run, "term string, stem string")
+
+
+def replaced(rows: DataFrame, term: str = "term") -> DataFrame:
+    """rows with stems in the term's place. The different terms of a batch are stemmed, each once per worker."""
+    at, names = rows.columns.index(term), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(at).dictionary_encode()
+            cut = pa.array([None if w is None else stem(w) for w in words.dictionary.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], cut.take(words.indices), *b.columns[at + 1 :]], names)
+
+    return rows.mapInArrow(run, rows.schema)

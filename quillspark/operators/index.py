@@ -6,17 +6,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.stemmer import replaced
 from quillspark.functions.text import tokens, without_fillers
 
 
-def term_frequencies(chunks: DataFrame, keys: list[str], text: str = "text", style: str = "words", fillers: bool = True, stem: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
-    """(keys, term, tf). only: the postings of these terms alone; others never leave their row. stem: a table (term, stem) of distinct terms; its stems take the terms' place."""
+def term_frequencies(chunks: DataFrame, keys: list[str], text: str = "text", style: str = "words", fillers: bool = True, stem: DataFrame | None = None, only: list[str] | None = None, stems: bool = False) -> DataFrame:
+    """(keys, term, tf). stems: Porter2 stems for terms, taken before they are counted. only: the postings of these terms alone; others never leave their row. stem: a table (term, stem) of distinct terms; its stems take the terms' place."""
     toks = tokens(F.col(text), style)
     if not fillers:
         toks = without_fillers(toks)
     if only is not None:
         toks = F.filter(toks, lambda t: t.isin(*only))
     x = chunks.select(*keys, F.explode(toks).alias("term"))
+    x = replaced(x) if stems else x
     tf = x.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     if stem is not None:
         tf = tf.join(stem, "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))

@@ -37,9 +37,7 @@ class Index:
         have = set(chunks.columns)
         chunks = chunks.withColumns({c: F.lit(None).cast("string") for c in ("header", "prev_id", "next_id") if c not in have})
         chunks = chunks.withColumns({"token_count": count_tokens(F.col("content")), "structure": structure(F.col("content"))["kind"]})
-        raw = ix.term_frequencies(chunks, ["doc_id", "chunk_id"], "content")
-        tf = ix.term_frequencies(chunks, ["doc_id", "chunk_id"], "content", stem=stemmer.stems(raw)) if stem else raw
-        tf = tf.join(chunks.select("chunk_id", F.col("token_count").alias("dl")), "chunk_id")
+        tf = ix.term_frequencies(chunks.withColumn("dl", F.col("token_count")), ["doc_id", "chunk_id", "dl"], "content", stems=stem).select("doc_id", "chunk_id", "term", "tf", "dl")
         return Index(chunks, documents, tf, ix.document_frequencies(tf, "chunk_id"), ix.cooccurrence(chunks, "content"), ix.corpus_stats(chunks, F.col("token_count")))
 
     def cached(self) -> Index:
