@@ -103,7 +103,7 @@ def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None,
     out = "chunk_id string, doc_id {}, score double, norm double, snippet string".format(index.chunks.schema["doc_id"].dataType.simpleString())
     if q.empty:
         return spark.createDataFrame([], out)
-    cand = candidates(index, q, filters, tags, scope)
+    cand = candidates(index, q, filters, tags, scope).persist()  # read more than once; a few ids
     if cand.isEmpty():
         found = ranking.normalised(fallback(index, raw, limit, filters, tags=tags, scope=scope).drop("how"))
         found = found.join(index.chunks.select("chunk_id", "doc_id", "content"), "chunk_id")
@@ -112,10 +112,15 @@ def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None,
     signals = cand.join(index.chunks.select("chunk_id", "content", "structure", "header", "prev_id", "next_id"), "chunk_id")
     extra = [r["term"] for r in ix.cooccurring(index.cooc, q.tokens).collect()] if q.tokens else []
     sets = {"stem": q.stems, "direct": q.direct, "concept": q.concepts, "cooc": [t for t in dict.fromkeys(stemmer.stem(x) for x in extra) if t not in {*q.stems, *q.direct, *q.concepts}]}
-    for name, terms in sets.items():
-        if terms:
-            ask = spark.createDataFrame([(t, 1) for t in dict.fromkeys(terms)], "term string, qtf int")
-            signals = signals.join(scoring.bm25(tf, index.df, ask, index.stats, ["chunk_id"]).withColumnRenamed("score", name), "chunk_id", "left")
+    # one pass over the postings scores all signals
+    ask = [(t, name) for name, terms in sets.items() for t in dict.fromkeys(terms)]
+    if ask:
+        asked = spark.createDataFrame(ask, "term string, signal string")
+        known = asked.join(index.df.filter(F.col("term").isin(*{t for t, _ in ask})), "term").crossJoin(index.stats)
+        hits = tf.join(F.broadcast(known), "term").filter("tf > 0 AND df > 0 AND dl > 0")
+        part = scoring.idf(F.col("n"), F.col("df")) * scoring.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
+        scores = hits.groupBy("chunk_id").agg(*(F.sum(F.when(F.col("signal") == name, part)).alias(name) for name in sets))
+        signals = signals.join(scores, "chunk_id", "left")
     ids = cand.select(F.col("chunk_id").alias("_n"))
     near = signals.select("chunk_id", F.explode(F.array("prev_id", "next_id")).alias("_n")).join(ids, "_n", "left_semi").select("chunk_id").distinct().withColumn("_close", F.lit(1))
     signals = signals.join(near, "chunk_id", "left")
