@@ -141,14 +141,16 @@ def held_out(doc_id, mod: int):
 HOT = 50_000
 
 
-def attached(rows: DataFrame, table: DataFrame, keys: list[str], total: int, least: int = 1_000) -> DataFrame:
+def attached(rows: DataFrame, table: DataFrame, keys: list[str], total: int, least: int = 256, shuffled: bool = False) -> DataFrame:
     """rows joined with table (keys, n: how many rows have them, more columns), so that no key's rows land in one task:
-    those of keys with over max(least, total / HOT) rows, at most HOT keys, meet their row of table by broadcast where
-    they are; all others by a shuffle, in which no key has more rows than that. Keys must not be null; rows whose keys
-    table lacks are dropped."""
+    those of keys with over max(least, total / HOT) rows, at most HOT keys or what least allows in small tables, meet
+    their row of table by broadcast where they are; all others by a shuffle, in which no key has more rows than that.
+    shuffled: never broadcast the rest of table instead, so that plans are alike at every size. Keys must not be null;
+    rows whose keys table lacks are dropped."""
     limit = max(least, total // HOT)
     hot, cold = table.filter(F.col("n") > limit), table.filter(F.col("n") <= limit)
     here = rows.join(F.broadcast(hot), keys)
+    cold = cold.hint("merge") if shuffled else cold
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return here.select(*rows.columns, *(c for c in table.columns if c not in keys)).unionByName(rest.select(*rows.columns, *(c for c in table.columns if c not in keys)))
 

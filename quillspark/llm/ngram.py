@@ -250,7 +250,7 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     bands = classes.select("rep", "sig").mapInArrow(banded, "key long, band byte, rep long")
     place = ["key", "tile_i", "tile_j", "tile_own", "band", "rep"]
     buckets, spread = tiled(bands, ["key", "band"], "rep", TILE, held_tables)
-    buckets = buckets.select(*place).join(classes.select("rep", "sig"), "rep").select(*place, "sig")
+    buckets = buckets.select(*place).hint("merge").join(classes.select("rep", "sig"), "rep").select(*place, "sig")
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quillspark.llm.common import runs
@@ -283,12 +283,12 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     named = asked.select("rep").distinct().join(classes.select("rep", "low", "same", F.col("copies").alias("n")), "rep")
     texts = docs.select(docs["doc_id"].cast("long").alias("low"), text)
     if unique:
-        texts = attached(texts, named.select("low", "n"), ["low"], total).drop("n")
+        texts = attached(texts, named.select("low", "n"), ["low"], total, shuffled=True).drop("n")
     else:
-        texts = texts.join(named.select("low"), "low", "left_semi")
+        texts = texts.join(named.select("low").hint("merge"), "low", "left_semi")
     shingled = texts.mapInArrow(sets, "rep long, shingles binary").dropDuplicates(["rep"]) if unique else _chosen(texts, named, words)
-    shingled = scratch(shingled.join(classes.select("rep", "copies", "sig"), "rep"), "ngram-sets")
-    dealt = asked.join(shingled, "rep").select(*place, "copies", "sig", "shingles")
+    shingled = scratch(shingled.hint("merge").join(classes.select("rep", "copies", "sig"), "rep"), "ngram-sets")
+    dealt = asked.hint("merge").join(shingled, "rep").select(*place, "copies", "sig", "shingles")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quillspark.llm.common import runs, spanning
@@ -328,7 +328,7 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     else:
         own = attached(own, own.groupBy("component").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")), ["component"], total).drop("n")
     columns = ["doc_id", "same", "low", "n_links", "component", "least"]
-    placed = attached(held.select("doc_id", "same"), own.select(*columns[1:], F.col("copies").alias("n")), ["same"], total).select(*columns)
+    placed = attached(held.select("doc_id", "same"), own.select(*columns[1:], F.col("copies").alias("n")), ["same"], total, shuffled=True).select(*columns)
     null = F.lit(None).cast("long")
     alone = every.filter("doc_id IS NULL OR same IS NULL").select("doc_id", "same", F.col("doc_id").alias("low"), F.lit(0).cast("long").alias("n_links"), null.alias("component"), F.col("doc_id").alias("least"))
     return placed.union(alone).select(
