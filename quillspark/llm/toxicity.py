@@ -215,9 +215,9 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> dict | N
 
     def values() -> np.ndarray:
         gate = net.gates(word_rows, every)
-        return np.concatenate([net.forward(gate, gathered(flat, starts[i : i + 8192], lengths[i : i + 8192]), lengths[i : i + 8192]) for i in range(0, len(owner), 8192)])
+        return np.concatenate([net.forward(gate, gathered(flat, starts[i : i + 2048], lengths[i : i + 2048]), lengths[i : i + 2048]) for i in range(0, len(owner), 2048)])
 
-    seen = np.concatenate([word_odds[gathered(flat, starts[i : i + 8192], lengths[i : i + 8192])].max(axis=0) for i in range(0, len(owner), 8192)])
+    seen = np.concatenate([word_odds[gathered(flat, starts[i : i + 2048], lengths[i : i + 2048])].max(axis=0) for i in range(0, len(owner), 2048)])
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     balance = np.where(y == 1, len(y) / (2 * n[1]), len(y) / (2 * n[0])).astype(np.float32)
