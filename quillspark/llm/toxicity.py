@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import portions
-from .common import alone, held_out, learns, parts, ship, unused
+from .common import alone, give_back, held_out, learns, parts, ship, unused
 
 FOLDS = 5
 #: Bounds of what is learned from: labelled documents of each class; words and word beginnings with an embedding
@@ -172,15 +172,17 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 def train(texts: list[str], labels: list[int], weights: list[float]) -> dict | None:
     """Fit on labelled texts: parameters, vocabulary and calibration. None unless both labels occur. weights: how many
     labelled documents each stands for, used for the calibration only."""
-    rows = [(words_of(t.lower()), y, w) for t, y, w in zip(texts, labels, weights, strict=True)]
-    rows = [r for r in rows if r[0]]
+    # words become numbers document by document: their strings, far larger, never stand all at once
+    rows, local = [], {}
+    df, sf = [Counter(), Counter()], [Counter(), Counter()]
+    for text, label, weight in zip(texts, labels, weights, strict=True):
+        if ws := words_of(text.lower()):
+            df[label].update(set(ws))
+            sf[label].update({w[:STEM_LETTERS] for w in ws})
+            rows.append((np.array([local.setdefault(w, len(local)) for w in ws], np.int32), label, weight))
     y = np.array([r[1] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    df, sf = [Counter(), Counter()], [Counter(), Counter()]
-    for ws, label, _ in rows:
-        df[label].update(set(ws))
-        sf[label].update({w[:STEM_LETTERS] for w in ws})
     n = [(y == 0).sum(), (y == 1).sum()]
     least = LEAST_DOCS[len(y) <= SMALL]
 
@@ -195,14 +197,13 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> dict | N
     stems, stem_start = known(sf, MAX_STEMS)
     net = Network.fresh(start, stems, stem_start)
     row_of = {w: i for i, w in enumerate(frequent)}
-    every = list(dict.fromkeys(chain.from_iterable(r[0] for r in rows)))
-    local = {w: i for i, w in enumerate(every)}
+    every = list(local)
     word_rows = np.array([row_of.get(w, len(frequent)) for w in every])
     stem_rows = net.stem_rows(every)
     word_odds = np.maximum(np.append(start, 0)[word_rows], np.append(stem_start, 0)[stem_rows])
     tri, tri_begin = trigrams(every)
     tri_end = np.append(tri_begin[1:], len(tri))
-    flat = np.array([local[w] for r in rows for w in r[0]])
+    flat = np.concatenate([r[0] for r in rows])
     sizes = np.array([len(r[0]) for r in rows])
     first = np.cumsum(sizes) - sizes
     owner, begin, lengths = windows(sizes)
@@ -342,7 +343,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> dict | None:
     rows = texts.join(F.broadcast(some), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).collect()
     rows = sorted(rows, key=lambda r: (r["_id"], r["_text"] or ""))
     stands = {k: counts.get(k, 0) / max(1, min(counts.get(k, 0), m)) for k, m in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))}
-    return train([r["_text"] or "" for r in rows], [r["_toxic"] for r in rows], [stands[r["_toxic"]] for r in rows])
+    model = train([r["_text"] or "" for r in rows], [r["_toxic"] for r in rows], [stands[r["_toxic"]] for r in rows])
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, keep: bool = False, training: DataFrame | None = None) -> DataFrame:
