@@ -324,7 +324,7 @@ def cooc_expand_topk(spark, d):
     return ix.cooccurring(ix.cooccurrence(documents(spark, d)), list(TERMS))
 
 
-_THES = "thes(word, concept, weight) AS (VALUES ('the', 'and', 0.85), ('the', 'of', 0.85), ('and', 'that', 0.85), ('tion', 'thon', 0.85), ('the', 'tion', 0.6), ('and', 'erst', 0.6))"
+_THES = "thes(word, concept, weight) AS (VALUES ('the', 'and', 0.85), ('the', 'of', 0.85), ('the', 'that', 0.85), ('and', 'that', 0.85), ('tion', 'thon', 0.85), ('the', 'tion', 0.6), ('the', 'erst', 0.6), ('and', 'erst', 0.6))"
 
 
 @query(f"WITH {_CTE}, {_THES} SELECT doc_id, concept, max(weight)::DOUBLE AS weight FROM tf JOIN thes ON term = word GROUP BY ALL")
@@ -661,10 +661,11 @@ def cosine_topk(spark, d):
     return x.orderBy(F.desc("score"), "vec_id").limit(10)
 
 
-@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, round(v[1] / {_VEC}, 6) AS first, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM e")
+@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, unnest(range(len(v))) AS at, round(unnest(v) / {_VEC}, 6) AS value FROM e")
 def l2_normalise(spark, d):
+    """Every component of every unit vector."""
     e = table(spark, d, "embeddings").filter("embedding IS NOT NULL")
-    return e.select("vec_id", F.round(text.unit_vector(F.col("embedding"))[0], 6).alias("first"), F.round(F.sqrt(text.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+    return e.select("vec_id", F.posexplode(text.unit_vector(F.col("embedding"))).alias("at", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT event_type AS query, max(event_id) AS last FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 10")
@@ -696,6 +697,14 @@ def changed_files(spark, d):
     return ix.changed(docs.select("path", "size", "mtime"), known).select("path", "size")
 
 
+@query("""SELECT doc_id::VARCHAR AS path, CASE WHEN lang = 'fr' THEN 'delete' WHEN lang = 'es' OR source = 'src2' THEN 'index' ELSE 'skip' END AS action FROM documents""")
+def scan_actions(spark, d):
+    """What a scan does: French files are gone, Spanish ones new, those of one source have another size."""
+    docs = documents(spark, d).select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.lit(1.0).alias("mtime"), "lang", "source")
+    known = docs.filter("lang IS NULL OR lang <> 'es'").withColumn("size", F.when(F.col("source") == "src2", F.col("size") + 1).otherwise(F.col("size")))
+    return ix.scan_plan(docs.filter("lang IS NULL OR lang <> 'fr'").select("path", "size", "mtime"), known)
+
+
 @query(f"WITH {_CTE}, k AS (SELECT doc_id FROM documents WHERE lang <> 'fr') SELECT term, count(*) AS df FROM tf WHERE doc_id IN (SELECT doc_id FROM k) GROUP BY term")
 def delete_cascade(spark, d):
     docs = documents(spark, d).filter("lang IS NOT NULL")

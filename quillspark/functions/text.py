@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,9 +65,20 @@ def suffix_stem(term: Column, rules=SUFFIXES_LONG) -> Column:
     return out.otherwise(term)
 
 
+def _accented() -> dict[str, str]:
+    """Lower-case letters of the Latin blocks that Unicode takes apart into a letter a to z and marks."""
+    blocks = (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    apart = {chr(i): unicodedata.normalize("NFD", chr(i)) for i in blocks if chr(i).islower()}
+    return {letter: x[0] for letter, x in apart.items() if len(x) > 1 and "a" <= x[0] <= "z"}
+
+
+_ACCENTED = _accented()
+
+
 def folded(text: Column) -> Column:
-    """Lower case without the accents of Latin-1 letters."""
-    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case without the accents of Latin letters, whether one letter with its accent or marks of their own."""
+    bare = F.translate(F.lower(text), "".join(_ACCENTED), "".join(_ACCENTED.values()))
+    return F.regexp_replace(bare, "[\u0300-\u036f]+", "")
 
 
 def _window(text: Column, at: Column, before: int, width: int) -> Column:

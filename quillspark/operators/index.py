@@ -66,11 +66,23 @@ def cooccurring(cooc: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
 
 
 def chunk_concepts(tf: DataFrame, thesaurus: DataFrame, key: str) -> DataFrame:
-    """(key, concept, weight): thesaurus neighbours (word, concept, weight) of a chunk's terms, the highest weight."""
+    """(key, concept, weight): thesaurus neighbours (word, concept, weight), such as Thesaurus.frame gives, of a chunk's
+    terms, the highest weight."""
     x = tf.join(thesaurus, tf["term"] == thesaurus["word"]).filter("concept <> term")
     return x.groupBy(key, "concept").agg(F.max("weight").alias("weight"))
 
 
+def scan_plan(listing: DataFrame, known: DataFrame, tolerance: float = 0.0, force: bool = False) -> DataFrame:
+    """(path, action) of a scan of listing against known, both (path, size, mtime): index what is new or differs, skip
+    what does not, delete what is known and no longer there. force: nothing is skipped. A file of unknown (null) size or
+    time differs. Paths are unique on either side."""
+    there = listing.select("path", F.col("size").alias("_s"), F.col("mtime").alias("_m"), F.lit(True).alias("_there"))
+    old = known.select("path", F.col("size").alias("_s0"), F.col("mtime").alias("_m0"))
+    same = F.coalesce((F.col("_s") == F.col("_s0")) & (F.abs(F.col("_m") - F.col("_m0")) <= tolerance), F.lit(False))
+    action = F.when(F.col("_there").isNull(), "delete").when(same & F.lit(not force), "skip").otherwise("index")
+    return there.join(old, "path", "full").select("path", action.alias("action"))
+
+
 def changed(listing: DataFrame, known: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Rows of listing (path, size, mtime) that are new or differ in size or time from known."""
     same = known.select("path", F.col("size").alias("s0"), F.col("mtime").alias("m0"))

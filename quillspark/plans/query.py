@@ -80,9 +80,12 @@ class Thesaurus:
         concepts = set(self.concepts.get(word, ())).union(*(self.concepts.get(w, ()) for w in near)) - {word}
         return sorted(direct - concepts)[:limit], sorted(concepts)[:limit]
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """(word, concept, weight) of all entries."""
-        rows = [(w, x, weight) for m, weight in ((self.direct, DIRECT_WEIGHT), (self.concepts, CONCEPT_WEIGHT)) for w, xs in m.items() for x in xs]
+    def frame(self, spark: SparkSession, stemmer: str = "porter2") -> DataFrame:
+        """(word, concept, weight) of every word's two-hop expansion, the stems of phrases' words apart."""
+        rows = []
+        for word in dict.fromkeys((*self.direct, *self.concepts)):
+            for terms, weight in zip(self.expand(word), (DIRECT_WEIGHT, CONCEPT_WEIGHT), strict=True):
+                rows += [(word, STEMMERS[stemmer](w), weight) for t in terms for w in t.split()]
         return spark.createDataFrame(rows, "word string, concept string, weight double")
 
 

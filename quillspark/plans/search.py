@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import phonetic, stemmer
-from quillspark.functions.text import count_tokens, intents, snippet_first, structure, tokens
+from quillspark.functions.text import cosine, count_tokens, intents, snippet_first, structure, tokens
 from quillspark.operators import index as ix
 from quillspark.operators import match, ranking, scoring
 from quillspark.plans.query import Query, Thesaurus, parse
@@ -94,10 +94,11 @@ def candidates(index: Index, q: Query, filters: dict | None = None, tags: DataFr
     return found.select("chunk_id", "doc_id")
 
 
-def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None, thesaurus: Thesaurus | None = None, tags: DataFrame | None = None, scope: list | None = None, dedup: bool = True) -> DataFrame:
+def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None, thesaurus: Thesaurus | None = None, tags: DataFrame | None = None, scope: list | None = None, dedup: bool = True, vector: list[float] | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Ranked chunks: chunk_id, doc_id, score, norm (0 to 1), snippet. An empty query gives no rows; one without
     candidates is answered by fallback(). Signals: BM25 of
-    stems, synonyms, concepts and co-occurring terms, structure asked for, neighbour among the candidates, header."""
+    stems, synonyms, concepts and co-occurring terms, structure asked for, neighbour among the candidates, header; with
+    the query's vector and vectors (chunk_id, vector) also their cosine, 0 for chunks that have none."""
     spark = index.chunks.sparkSession
     q = parse(raw, thesaurus)
     out = "chunk_id string, doc_id {}, score double, norm double, snippet string".format(index.chunks.schema["doc_id"].dataType.simpleString())
@@ -121,6 +122,10 @@ def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None,
         part = scoring.idf(F.col("n"), F.col("df")) * scoring.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
         scores = hits.groupBy("chunk_id").agg(*(F.sum(F.when(F.col("signal") == name, part)).alias(name) for name in sets))
         signals = signals.join(scores, "chunk_id", "left")
+    if vector is not None and vectors is not None:
+        asked = F.array(*[F.lit(float(x)) for x in vector])
+        near = vectors.join(cand.select("chunk_id"), "chunk_id", "left_semi").filter("vector IS NOT NULL")
+        signals = signals.join(near.groupBy("chunk_id").agg(F.max(cosine(F.col("vector"), asked)).alias("cosine")), "chunk_id", "left")
     ids = cand.select(F.col("chunk_id").alias("_n"))
     near = signals.select("chunk_id", F.explode(F.array("prev_id", "next_id")).alias("_n")).join(ids, "_n", "left_semi").select("chunk_id").distinct().withColumn("_close", F.lit(1))
     signals = signals.join(near, "chunk_id", "left")

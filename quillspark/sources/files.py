@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import json
+import posixpath
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,16 +22,38 @@ PAGES = "path string, page_num int, raw string, error string"
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.{pdf,epub,html,txt}") -> DataFrame:
-    """(path, size, mtime, content) of the files below folder."""
+    """(path, size, mtime, content) of the files below folder. Without the column content no file is opened."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return x.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").cast("double").alias("mtime"), "content")
 
 
+def _package(z: zipfile.ZipFile) -> tuple[ElementTree.Element | None, str]:
+    """A book's package document and its folder; None without one that can be read."""
+    try:
+        box = ElementTree.fromstring(z.read("META-INF/container.xml"))
+        path = box.find(".//{*}rootfile").get("full-path")
+        return ElementTree.fromstring(z.read(path)), posixpath.dirname(path)
+    except Exception:  # noqa: BLE001
+        return None, ""
+
+
+def _reading_order(z: zipfile.ZipFile) -> list[str]:
+    """Chapter files as the package's spine orders them, then those that it does not name, by name."""
+    package, folder = _package(z)
+    spine: list[str] = []
+    if package is not None:
+        href = {i.get("id"): i.get("href") for i in package.findall(".//{*}manifest/{*}item")}
+        named = [href.get(i.get("idref")) for i in package.findall(".//{*}spine/{*}itemref")]
+        spine = [posixpath.normpath(posixpath.join(folder, unquote(n))) for n in named if n]
+    rest = sorted(n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm")))
+    return list(dict.fromkeys(spine + rest))
+
+
 def epub_chapters(data: bytes) -> list[tuple[str, str | None]]:
-    """(html, error) of each chapter file, in order of name; a broken chapter has an error, not the book."""
+    """(html, error) of each chapter file in reading order; a broken or missing chapter has an error, not the book."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in sorted(n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))):
+        for name in _reading_order(z):
             try:
                 out.append((z.read(name).decode("utf-8"), None))
             except Exception as e:  # noqa: BLE001
@@ -36,21 +61,82 @@ def epub_chapters(data: bytes) -> list[tuple[str, str | None]]:
     return out
 
 
-def pdf_pages(data: bytes) -> list[tuple[str, str | None]]:
-    """(text, error) of each page, where a PDF library is installed."""
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        return [("", "no PDF library installed")]
+def epub_metadata(data: bytes) -> dict[str, str]:
+    """Title and author that a book's package names."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        package, _ = _package(z)
+    found = {} if package is None else {k: package.findtext(f".//{{*}}metadata/{{*}}{tag}") for k, tag in (("title", "title"), ("author", "creator"))}
+    return {k: v.strip() for k, v in found.items() if v and v.strip()}
+
+
+def _with_pdfplumber(data: bytes) -> tuple[dict, list[tuple[str, str | None]]]:
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(data)) as pdf:
+        return dict(pdf.metadata or {}), _texts(pdf.pages)
+
+
+def _with_pypdf(data: bytes) -> tuple[dict, list[tuple[str, str | None]]]:
+    from pypdf import PdfReader
+
+    pdf = PdfReader(io.BytesIO(data))
+    return {k.lstrip("/"): v for k, v in (pdf.metadata or {}).items()}, _texts(pdf.pages)
+
+
+def _texts(found) -> list[tuple[str, str | None]]:
+    """(text, error) of each page; a broken page has an error, not the file."""
     out = []
-    for page in PdfReader(io.BytesIO(data)).pages:
+    for p in found:
         try:
-            out.append((page.extract_text() or "", None))
+            out.append((p.extract_text() or "", None))
         except Exception as e:  # noqa: BLE001
             out.append(("", str(e)))
     return out
 
 
+def _read_pdf(data: bytes) -> tuple[dict, list[tuple[str, str | None]]]:
+    """Metadata and pages by the first reader that is installed and opens the file."""
+    error = "no PDF library installed"
+    for reader in (_with_pdfplumber, _with_pypdf):
+        try:
+            return reader(bytes(data))
+        except ImportError:
+            continue
+        except Exception as e:  # noqa: BLE001
+            error = str(e)
+    return {}, [("", error)]
+
+
+def pdf_pages(data: bytes) -> list[tuple[str, str | None]]:
+    """(text, error) of each page, where a PDF library is installed."""
+    return _read_pdf(data)[1]
+
+
+def pdf_metadata(data: bytes) -> dict[str, str]:
+    """Title and author that a PDF names, where a PDF library is installed."""
+    meta = _read_pdf(data)[0]
+    return {k: str(meta[k.title()]).strip() for k in ("title", "author") if str(meta.get(k.title()) or "").strip()}
+
+
+def metadata(files: DataFrame) -> DataFrame:
+    """(path, title, author) as EPUB and PDF files name them; else the title is the file's name and the author empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            rows = []
+            for path, data in zip(p["path"], p["content"], strict=True):
+                kind = path.rsplit(".", 1)[-1].lower()
+                try:
+                    found = epub_metadata(data) if kind == "epub" else pdf_metadata(data) if kind == "pdf" else {}
+                except Exception:  # noqa: BLE001
+                    found = {}
+                rows.append((path, found.get("title"), found.get("author", "")))
+            yield pd.DataFrame(rows, columns=["path", "title", "author"])
+
+    x = files.select("path", "content").mapInPandas(run, "path string, title string, author string")
+    return x.withColumn("title", F.coalesce("title", title_from_path(F.col("path"))))
+
+
 def pages(files: DataFrame, keep_empty: bool = True) -> DataFrame:
     """Files to pages: path, title, file_type, page_num (from 1), text, heading, year, error. A file that can't be read is
     one page with an error."""
@@ -86,9 +172,13 @@ def thin_pages(x: DataFrame, least: int = 50) -> DataFrame:
     return x.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) < least)
 
 
-def ingest_report(x: DataFrame, key: str = "path") -> DataFrame:
-    """(status, n): ok and failed documents; one bad file doesn't stop the rest."""
-    return x.groupBy(key).agg(F.max(F.col("error").isNull()).alias("ok")).groupBy(F.when(F.col("ok"), "ok").otherwise("failed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+def ingest_report(x: DataFrame, key: str = "path", plan: DataFrame | None = None) -> DataFrame:
+    """(status, n): ok and failed documents; one bad file doesn't stop the rest. plan: of index.scan_plan, whose skipped
+    and deleted documents are counted too."""
+    each = x.groupBy(key).agg(F.max(F.col("error").isNull()).alias("ok")).select(F.when(F.col("ok"), "ok").otherwise("failed").alias("status"))
+    if plan is not None:
+        each = each.union(plan.filter("action <> 'index'").select(F.when(F.col("action") == "skip", "skipped").otherwise("deleted")))
+    return each.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def page(x: DataFrame, doc_id, number: int, key: str = "doc_id") -> DataFrame:

@@ -1,6 +1,8 @@
 """The search engine: facts that must hold, and every query against its DuckDB oracle on the smallest tables."""
 
 import io
+import sys
+import types
 import zipfile
 
 import duckdb
@@ -218,6 +220,99 @@ def test_files(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out"), wholetext=True).first()[0].startswith("a\n\nb")
 
 
+BOX = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>'
+OPF = """<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/">
+<metadata><dc:title>A Book</dc:title><dc:creator> Some Body </dc:creator></metadata>
+<manifest><item id="x" href="z%20first.xhtml"/><item id="y" href="a.xhtml"/><item id="m" href="gone.xhtml"/></manifest>
+<spine><itemref idref="x"/><itemref idref="m"/><itemref idref="y"/><itemref idref="unknown"/></spine></package>"""
+
+
+def zipped(**content):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name, body in content.items():
+            z.writestr(name, body)
+    return data.getvalue()
+
+
+def test_epub_reading_order():
+    book = zipped(**{"META-INF/container.xml": BOX, "OPS/book.opf": OPF, "OPS/a.xhtml": "second", "OPS/z first.xhtml": "first", "OPS/notes.html": "last"})
+    found = files.epub_chapters(book)
+    assert [t for t, e in found if not e] == ["first", "second", "last"] and [bool(e) for _, e in found] == [False, True, False, False]
+    bare = zipped(**{"b.html": "two", "a.html": "one", "META-INF/container.xml": "no xml"})
+    assert [t for t, _ in files.epub_chapters(bare)] == ["one", "two"]
+    assert files.epub_metadata(book) == {"title": "A Book", "author": "Some Body"} and files.epub_metadata(bare) == {}
+
+
+def test_metadata(spark):
+    book = zipped(**{"META-INF/container.xml": BOX, "OPS/book.opf": OPF})
+    rows = [("/x/one.epub", bytearray(book)), ("/x/bad.epub", bytearray(b"?")), ("/x/plain.txt", bytearray(b"text"))]
+    got = files.metadata(spark.createDataFrame(rows, "path string, content binary")).collect()
+    assert sorted((r["title"], r["author"]) for r in got) == [("A Book", "Some Body"), ("bad", ""), ("plain", "")]
+
+
+def test_pdf_readers_take_turns(monkeypatch):
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            if self.text == "bad":
+                raise ValueError("bad page")
+            return self.text
+
+    class Reader:
+        def __init__(self, _):
+            self.pages, self.metadata = [Page("hello"), Page("bad"), Page(None)], {"/Title": " T ", "/Author": None}
+
+    def fails(_):
+        raise ValueError("not for me")
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", None)
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    assert files.pdf_pages(b"x") == [("", "no PDF library installed")] and files.pdf_metadata(b"x") == {}
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=fails))
+    assert files.pdf_pages(b"x") == [("", "not for me")]
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=Reader))
+    assert files.pdf_pages(b"x") == [("hello", None), ("", "bad page"), ("", None)] and files.pdf_metadata(b"x") == {"title": "T"}
+
+
+def test_scan_plan_and_report(spark):
+    kind = "path string, size int, mtime double"
+    now = spark.createDataFrame([("same", 1, 1.0), ("grown", 2, 1.0), ("new", 1, 1.0), ("odd", None, 1.0)], kind)
+    known = spark.createDataFrame([("same", 1, 1.4), ("grown", 1, 1.0), ("gone", 1, 1.0), ("odd", None, 1.0)], kind)
+    want = {"same": "skip", "grown": "index", "new": "index", "odd": "index", "gone": "delete"}
+    plan = ix.scan_plan(now, known, tolerance=0.5)
+    assert dict(plan.collect()) == want
+    assert dict(ix.scan_plan(now, known, tolerance=0.5, force=True).collect()) == want | {"same": "index"}
+    read = spark.createDataFrame([("grown", None), ("new", "broken")], "path string, error string")
+    assert dict(files.ingest_report(read, plan=plan).collect()) == {"ok": 1, "failed": 1, "skipped": 1, "deleted": 1}
+    assert ix.scan_plan(now.limit(0), known.limit(0)).collect() == []
+
+
+def test_folded_letters(spark):
+    words = ["Écoute", "Łódź", "Dvořák", "ñandú", "Việt", "e\u0301te\u0301", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(text.folded(F.col("w"))).collect()]
+    assert got == ["ecoute", "łodz", "dvorak", "nandu", "viet", "ete", None, ""]
+
+
+def test_concepts_take_two_hops(spark):
+    t = Thesaurus({"cat": {"direct": ["feline", "big cats"], "concepts": ["pets"]}, "feline": {"direct": ["lion"], "concepts": ["animals"]}, "only": {"concepts": ["one"]}})
+    got = {(r["word"], r["concept"]): r["weight"] for r in t.frame(spark).collect()}
+    assert got["cat", "lion"] == 0.85 and got["cat", "anim"] == 0.6 and got["cat", "big"] == 0.85 and got["only", "one"] == 0.6
+    assert t.frame(spark, "none").filter("concept = 'animals'").count() == 2 and Thesaurus({}).frame(spark).count() == 0
+
+
+def test_search_with_vectors(spark):
+    chunks = spark.createDataFrame([(1, "a", "green apple tree"), (2, "b", "green apple pie"), (3, "c", "green apple juice"), (4, "d", "blue car")], "doc_id int, chunk_id string, content string")
+    index = search.Index.build(chunks, chunks.select("doc_id"))
+    vectors = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [2.0, 0.0]), ("b", [2.0, 0.0]), ("c", None), ("d", [1.0, 0.0])], "chunk_id string, vector array<double>")
+    plain = {r["chunk_id"]: r["score"] for r in search.search(index, "green apple").collect()}
+    got = {r["chunk_id"]: r["score"] for r in search.search(index, "green apple", vector=[1, 0], vectors=vectors).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"] == plain["a"] and got["c"] == plain["c"]
+    assert abs(got["b"] - plain["b"] - scoring.WEIGHTS["cosine"]) < 2e-4
+
+
 def test_upkeep(spark):
     old = spark.createDataFrame([("a", 1), ("b", 5)], "k string, v int")
     new = spark.createDataFrame([("b", 2), ("c", 3)], "k string, v int")
