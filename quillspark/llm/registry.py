@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "tokencount", "langid", "toxicity", "lm", "vectors", "ngram", "quotes")
+MODULES = ("bpe", "packing", "tokencount", "langid", "toxicity", "lm", "vectors", "ngram", "quotes", "fim", "importance", "exact")
 
 
 def queries() -> dict:
