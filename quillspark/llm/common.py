@@ -155,18 +155,21 @@ def attached(rows: DataFrame, table: DataFrame, keys: list[str], total: int, lea
     return here.select(*rows.columns, *(c for c in table.columns if c not in keys)).unionByName(rest.select(*rows.columns, *(c for c in table.columns if c not in keys)))
 
 
-def tiled(df: DataFrame, group: list[str], by: str, tile: int, held: list[DataFrame]) -> tuple[DataFrame, int]:
+def tiled(df: DataFrame, group: list[str], by: str, tile: int, held: list[DataFrame], weight: str | None = None, heavy: int = 1) -> tuple[DataFrame, int]:
     """Deal the rows of every group into blocks of at most about `tile` rows (fewer in small tables, so that all tasks
     have some) and repeat a row for each pair of blocks that it takes part in. Adds tile_i <= tile_j (the pair) and
     tile_own (the row's own block). Two rows of one group meet in the pair of their blocks; rows of one block meet where
     tile_i == tile_j. Groups of one row are dropped: they have no pairs. No group, however large, lands in one task,
     neither here (attached) nor where the caller deals the result by group and tiles, into as many partitions as the
-    second result says. held: gets the table of group sizes, to discard when the result has been read."""
-    sizes = scratch(df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    second result says. held: gets the table of group sizes, to discard when the result has been read. weight: a column
+    of which a block gets about `heavy` at most, if its rows are alike."""
+    weighed = F.sum(weight) if weight else F.lit(0)
+    sizes = scratch(df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), weighed.cast("long").alias("_w")).filter("n > 1"), "sizes")
     held.append(sizes)
     total = sizes.agg(F.sum("n")).first()[0] or 0
     tile = min(tile, max(256, total // 512))
-    x = attached(df, sizes.withColumn("_t", F.ceil(F.col("n") / tile).cast("int")), group, total, tile)
+    blocks = F.greatest(F.ceil(F.col("n") / tile), F.least(F.ceil(F.col("_w") / F.lit(heavy)), F.col("n")))
+    x = attached(df, sizes.select(*group, "n", blocks.cast("int").alias("_t")), group, total, tile)
     x = x.drop("n")
     x = x.withColumn("tile_own", F.pmod(F.xxhash64(F.col(by), F.lit(17)), F.col("_t")).cast("int"))
     x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
@@ -194,12 +197,17 @@ def spanning(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     return names[order[moved]], names[order[root[moved]]]
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int, most: int = 64 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of a stream that is sorted by its first columns (integers, without nulls): tables of about so many
-    rows, more where a group is larger, with the number of each row's group."""
+    rows, or so many bytes, more where a group is larger, with the number of each row's group."""
     held: list[pa.RecordBatch] = []
     size = 0
 
+    def small(batches):
+        for b in batches:
+            step = max(1, int(b.num_rows * most / max(1, 4 * b.nbytes)))
+            yield from (b.slice(i, step) for i in range(0, b.num_rows, step))
+
     def cut(table: pa.Table, last: bool):
         change = np.zeros(table.num_rows, bool)
         change[:1] = True
@@ -209,21 +217,24 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[tu
         at = table.num_rows if last else int(np.flatnonzero(change)[-1])
         return table.slice(0, at), np.cumsum(change[:at]) - 1, table.slice(at)
 
-    for b in batches:
+    weight = 0
+    for b in small(batches):
         held.append(b)
         size += b.num_rows
-        if size >= rows:
+        weight += b.nbytes
+        if size >= rows or weight >= most:
             whole, group, rest = cut(pa.Table.from_batches(held), False)
             if whole.num_rows:
                 yield whole, group
-            held, size = rest.to_batches(), rest.num_rows
-            rows = max(rows, 2 * size) if not whole.num_rows else rows
+            held, size, weight = rest.to_batches(), rest.num_rows, rest.nbytes
+            if not whole.num_rows:
+                rows, most = max(rows, 2 * size), max(most, 2 * weight)
     if size:
         whole, group, _ = cut(pa.Table.from_batches(held), True)
         yield whole, group
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges by alternating large-star and small-star steps: (node, component),
     component being the smallest id reachable. Only nodes with an edge appear. Each round cuts lineage with a table in
     the shared folder; edges are reduced as they go, and nothing but a count reaches the driver. The edges of a hub are
@@ -231,7 +242,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     now = scratch(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     done = mark(now)
-    for _ in range(rounds if done[0] else 0):
+    while done[0]:
         both = now.union(now.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = attached(both, low, ["u"], 2 * done[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -245,8 +256,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         if found == done:
             break
         done = found
-    else:
-        if done[0]:
-            raise RuntimeError("components: more rounds needed")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

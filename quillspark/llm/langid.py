@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, held_out, learns, parts, ship, unused
+from .common import alone, attached, discard, held_out, learns, parts, scratch, ship, unused
 
 FOLDS = 5
 #: Bounds of what is learned from: documents read for a language, letters kept of them.
@@ -33,19 +33,26 @@ def normalised(text: str) -> str:
 
 
 def sample(docs: DataFrame, folds: int = FOLDS) -> dict[str, str]:
-    """Training text of each language: bounded by SAMPLE_DOCS documents and SAMPLE_LETTERS letters, chosen by hash of
-    the id. No document has more of the letters than the others could fill. Only text and lang of learnable rows are
-    used. One pass counts languages, one reads the chosen texts."""
+    """Training text of each language: about SAMPLE_DOCS documents, chosen by hash of the id, and SAMPLE_LETTERS letters
+    of them at most. No document has more of the letters than the others could fill. Only text and lang of learnable rows
+    are used; an id counts once in a language, with the first of its texts in order. One pass counts languages, one reads
+    the chosen texts; these are cut to their share in a task for each language, so that the driver gets SAMPLE_LETTERS
+    letters of each."""
     rows = docs.select(docs["doc_id"], docs["lang"], docs["text"]).filter(learns(F.col("doc_id"), folds) & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = scratch(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     h = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30))
-    chosen = rows.join(F.broadcast(counts), "lang").filter(h < F.floor(F.lit(float((1 << 30) * SAMPLE_DOCS)) / F.col("_n")) + 1)
-    read = chosen.select("lang", h.alias("h"), "doc_id", F.substring("text", 1, SAMPLE_LETTERS).alias("text")).collect()
-    parts: dict[str, list[str]] = {}
-    for r in sorted(read, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"] or "")):
-        if t := normalised(r["text"] or ""):
-            parts.setdefault(r["lang"], []).append(t)
-    return {x: " ".join(shared(p, SAMPLE_LETTERS)) for x, p in parts.items()}
+    chosen = attached(rows, counts.withColumn("few", F.col("n")), ["lang"], counts.agg(F.sum("n")).first()[0] or 0).filter(h < F.floor(F.lit(float((1 << 30) * SAMPLE_DOCS)) / F.col("few")) + 1)
+    chosen = chosen.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, SAMPLE_LETTERS)).alias("text")).select("lang", h.alias("h"), "doc_id", "text")
+
+    def cut(some: pa.Table) -> pa.Table:
+        from quillspark.llm.langid import normalised, shared
+
+        read = sorted((r["h"], r["doc_id"], normalised(r["text"] or "")) for r in some.to_pylist())
+        return pa.table({"lang": some.column("lang")[:1], "text": [" ".join(shared([t for *_, t in read if t], SAMPLE_LETTERS))]})
+
+    read = chosen.groupBy("lang").applyInArrow(cut, "lang string, text string").filter("text <> ''").collect()
+    discard(counts)
+    return {r["lang"]: r["text"] for r in sorted(read)}
 
 
 def shared(texts: list[str], letters: int) -> list[str]:
@@ -269,18 +276,6 @@ class Parser:
         return langs, scores
 
 
-_LOADED: dict[int, Parser] = {}
-
-
-def loaded(texts: dict[str, str]) -> Parser:
-    alone(_LOADED)
-    key = hash(tuple(texts.items()))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Parser(texts)
-    return _LOADED[key]
-
-
 def identify(docs: DataFrame, folds: int = FOLDS, keep: bool = False) -> DataFrame:
     """Predict the language of every whole text: doc_id, held_out, lang_pred, score (0 to 1: the share of the best
     language among all, by phrases to the power -8); with keep, docs' own columns and lang_pred and lang_score instead
@@ -292,18 +287,18 @@ def identify(docs: DataFrame, folds: int = FOLDS, keep: bool = False) -> DataFra
     has matches nothing. Memory: the automata (bounded by the sample of each language) and PORTION letters."""
     spark = docs.sparkSession
     ship(spark)
-    texts = spark.sparkContext.broadcast(sample(docs, folds))
+    # built once; a worker gets the arrays
+    shared_parser = spark.sparkContext.broadcast(Parser(sample(docs, folds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillspark.llm.langid import loaded
-
-        parser = loaded(texts.value)
+        alone({})
+        parser = shared_parser.value
         for b in parts(batches, 2_000):
             at = b.num_columns - 1
             langs, scores = parser.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    text = docs["text"].cast("string").alias("_text")
+    text = docs["text"].cast("string").alias(unused("_text", docs.columns))
     if keep:
         names = [*docs.columns, unused("lang_pred", docs.columns), unused("lang_score", docs.columns)]
         schema = docs.select(*docs.columns, F.lit("").alias(names[-2]), F.lit(0.0).alias(names[-1])).schema

@@ -29,8 +29,8 @@ BANDS, BAND = 25, 5
 HASHES = BANDS * BAND
 #: A pair is dropped when its posterior probability of reaching the threshold is lower.
 TOLERANCE = 1e-5
-#: Rows of a block of a crowded bucket or cluster.
-TILE = 2_048
+#: Rows of a block of a crowded bucket or cluster, and shingles of all its rows, if these are alike.
+TILE, HEAVY = 2_048, 4_000_000
 #: Letters hashed at once.
 PORTION = 400_000
 
@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     Words are \\w+ of the lower-cased text. A text without words (null, empty) links with nothing, not even its like; a
     null doc_id comes back unlinked, with null class. Rows repeated with one id count as copies; texts that differ are
     linked each for itself, even where they share an id. No pair is left out
-    for the size of its group: buckets of any size are dealt in pairs of blocks of TILE rows; a task holds two blocks. Links are counted where pairs are compared; pairs never become rows."""
+    for the size of its group: buckets of any size are dealt in pairs of blocks of TILE rows, fewer where texts are very
+    long (HEAVY shingles); a task holds two blocks, and the shingles of any one text. Links are counted where pairs are compared; pairs never become rows."""
     return decided(docs, words, similarity, tolerance).drop("same", "component")
 
 
@@ -231,7 +232,7 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     every = scratch(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text).mapInArrow(prepared, "doc_id long, n long, same binary, sig binary"), "ngram-docs")
     held = every.filter("doc_id IS NOT NULL AND same IS NOT NULL")
     unique = _unique(every)
-    grouped = held.groupBy("same").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    grouped = held.groupBy("same").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     # where an id has several texts it names none of them: classes get numbers
     classes = scratch(grouped.withColumn("rep", F.col("low") if unique else F.monotonically_increasing_id()), "ngram-classes")
 
@@ -244,12 +245,12 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
             for k in range(BAND):
                 key = (key ^ sig[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(number.ravel().astype(np.int8) - 1, pa.int8()), pa.array(np.repeat(rep, BANDS))], ["key", "band", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(number.ravel().astype(np.int8) - 1, pa.int8()), pa.array(np.repeat(rep, BANDS)), pa.array(np.repeat(b.column(2).to_numpy(), BANDS))], ["key", "band", "rep", "size"])
 
     held_tables: list[DataFrame] = []
-    bands = classes.select("rep", "sig").mapInArrow(banded, "key long, band byte, rep long")
+    bands = classes.select("rep", "sig", F.col("n").cast("int")).mapInArrow(banded, "key long, band byte, rep long, size int")
     place = ["key", "tile_i", "tile_j", "tile_own", "band", "rep"]
-    buckets, spread = tiled(bands, ["key", "band"], "rep", TILE, held_tables)
+    buckets, spread = tiled(bands, ["key", "band"], "rep", TILE, held_tables, "size", HEAVY)
     buckets = buckets.select(*place).hint("merge").join(classes.select("rep", "sig"), "rep").select(*place, "sig")
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +286,9 @@ def decided(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     if unique:
         texts = attached(texts, named.select("low", "n"), ["low"], total, shuffled=True).drop("n")
     else:
-        texts = texts.join(named.select("low").hint("merge"), "low", "left_semi")
-    shingled = texts.mapInArrow(sets, "rep long, shingles binary").dropDuplicates(["rep"]) if unique else _chosen(texts, named, words)
+        rows_of = held.groupBy(F.col("doc_id").alias("low")).agg(F.count(F.lit(1)).alias("n"))
+        texts = attached(texts, named.select("low").distinct().join(rows_of, "low"), ["low"], total, shuffled=True)
+    shingled = texts.mapInArrow(sets, "rep long, shingles binary").dropDuplicates(["rep"]) if unique else _chosen(texts.select("low", "text"), named, words, total)
     shingled = scratch(shingled.hint("merge").join(classes.select("rep", "copies", "sig"), "rep"), "ngram-sets")
     dealt = asked.hint("merge").join(shingled, "rep").select(*place, "copies", "sig", "shingles")
 
@@ -348,10 +350,11 @@ def _unique(every: DataFrame) -> bool:
     return n.isEmpty()
 
 
-def _chosen(texts: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """Shingles of the texts whose set is their class's, where an id has several texts."""
-    made = hashed(texts.select("low", "text"), "text", words, "shingles binary, same binary")
-    return made.join(named, ["low", "same"]).select("rep", "shingles").dropDuplicates(["rep"])
+def _chosen(texts: DataFrame, named: DataFrame, words: int, total: int) -> DataFrame:
+    """Shingles of the texts whose set is their class's, where an id has several texts. A class's rows are no fewer than
+    those of one id in it, so n bounds them."""
+    made = hashed(texts, "text", words, "shingles binary, same binary").filter("same IS NOT NULL")
+    return attached(made, named.select("low", "same", "rep", "n"), ["low", "same"], total, shuffled=True).select("rep", "shingles").dropDuplicates(["rep"])
 
 
 def hashed(rows: DataFrame, text: str, words: int = WORDS, adds: str = "same binary") -> DataFrame:

@@ -24,7 +24,7 @@ from .wordhash import BORDER, LONG, Kept, hashes, joined, letter_values, spans,
 
 LIMIT = 4096
 END_ID = 2
-SENTENCE_COST, FORCED_COST, SEQUENCE_COST = 4, 64, 1
+SENTENCE_COST, FORCED_COST, SEQUENCE_COST = 4, 64, 64
 #: Longest stretch without a place to cut, and the spacing of forced places within.
 GAP, SPACING = 1024, 256
 #: Ids held before cuts are settled; the windows nearest the end are settled with the next ids.

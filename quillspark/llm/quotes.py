@@ -68,8 +68,8 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
 
     Originals are earlier messages of the conversation; of several, the first that said the passage. Of several
     passages found, those of the outermost level count, then the longest, then the later original. A passage of at least
-    AWAY_LETTERS letters that is found only in other conversations links to the first of them: that gives reply_conv and
-    linked, but leaves the message's place to its own conversation. Null or empty texts quote nothing.
+    AWAY_LETTERS letters that is found only in other conversations (or later in its own) links to the first of them: that
+    gives reply_conv and linked, but leaves the message's place to its own conversation. Null or empty texts quote nothing.
     Rows without conv_id or turn come back with no reply, place or position. Repeated (conv_id, turn) rows share a
     place, ties in position going by role and text. Extra columns are dropped. No conversation or passage, however
     common, is gathered in one task: originals are aggregated per passage before the join, rows that share a passage or
@@ -94,8 +94,16 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     first = said.select("conv_id", "h", F.col("turn").alias("orig")).join(times(asks, "conv_id", "h"), ["conv_id", "h"])
     here = attached(asks, first, ["conv_id", "h"], n_asks).filter("orig < turn").select("conv_id", "turn", F.struct("near", F.col("h.n").alias("n"), F.col("orig")).alias("best"))
     here = here.groupBy("conv_id", "turn").agg(F.max("best").alias("best")).select("conv_id", "turn", F.col("best.orig").alias("orig"))
-    origin = said.filter(F.col("h.n") >= AWAY_LETTERS).groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first")).join(times(asks, "h"), "h")
-    away = attached(asks, origin, ["h"], n_asks).filter("first.conv_id <> conv_id").groupBy("conv_id", "turn").agg(F.max(F.struct("near", F.col("h.n").alias("n"), F.col("first.conv_id").alias("c"), F.col("first.turn").alias("t"))).alias("away"))
+    # of each passage the first conversation that said it, and the first but that one, which the first one's own rows take
+    asked_n = times(asks, "h")
+    long_said = said.filter(F.col("h.n") >= AWAY_LETTERS)
+    ahead_of = long_said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.count(F.lit(1)).alias("n"))
+    ahead_of = scratch(ahead_of.join(asked_n.select("h"), "h", "left_semi"), "quotes-first")
+    others = attached(long_said, ahead_of, ["h"], said.count()).filter("first.conv_id <> conv_id")
+    others = others.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("second"))
+    origin = ahead_of.drop("n").join(others, "h", "left").join(asked_n, "h")
+    found = attached(asks, origin, ["h"], n_asks).withColumn("first", F.when(F.col("first.conv_id") == F.col("conv_id"), F.col("second")).otherwise(F.col("first")))
+    away = found.filter("first IS NOT NULL").groupBy("conv_id", "turn").agg(F.max(F.struct("near", F.col("h.n").alias("n"), F.col("first.conv_id").alias("c"), F.col("first.turn").alias("t"))).alias("away"))
     # the turn before, in blocks of turns
     turns = placed.select("conv_id", "turn").distinct().withColumn("block", F.floor(F.col("turn") / BLOCK))
     inside = W.partitionBy("conv_id", "block").orderBy("turn")
@@ -109,6 +117,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     now = scratch(tree.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), (~root).cast("long").alias("depth"), root.alias("top")), "quotes-up")
     discard(asks)
     discard(said)
+    discard(ahead_of)
     while going := now.filter("NOT top").count():
         left = now.filter("NOT top")
         above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("top").alias("top2")).join(times(left, "conv_id", "up"), ["conv_id", "up"])
@@ -172,8 +181,9 @@ said AS ({_unit_sql("(SELECT conv_id, turn, own_text AS body FROM x WHERE conv_i
 asks AS (SELECT conv_id, turn, u, min(level) AS level FROM ({_unit_sql("(SELECT m.conv_id, m.turn, r.level, r.body FROM r JOIN m USING (id) WHERE r.level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL)", "conv_id, turn, level")}) GROUP BY ALL),
 firsts AS (SELECT conv_id, u, min(turn) AS orig FROM said GROUP BY ALL),
 here AS (SELECT a.conv_id, a.turn, first(orig ORDER BY level, length(u) DESC, orig DESC) AS orig FROM asks a JOIN firsts USING (conv_id, u) WHERE orig < a.turn GROUP BY ALL),
-origin AS (SELECT u, first(conv_id ORDER BY conv_id, turn) AS c, first(turn ORDER BY conv_id, turn) AS t FROM said WHERE length(u) >= {AWAY_LETTERS} GROUP BY u),
-away AS (SELECT conv_id, turn, first(c ORDER BY level, length(u) DESC, c DESC, t DESC) AS c, first(t ORDER BY level, length(u) DESC, c DESC, t DESC) AS t FROM asks JOIN origin USING (u) WHERE c <> conv_id GROUP BY conv_id, turn),
+origin AS (SELECT a.conv_id, a.turn, a.level, a.u, first(f.conv_id ORDER BY f.conv_id) AS c, first(f.orig ORDER BY f.conv_id) AS t
+  FROM asks a JOIN firsts f ON a.u = f.u AND a.conv_id <> f.conv_id WHERE length(a.u) >= {AWAY_LETTERS} GROUP BY ALL),
+away AS (SELECT conv_id, turn, first(c ORDER BY level, length(u) DESC, c DESC, t DESC) AS c, first(t ORDER BY level, length(u) DESC, c DESC, t DESC) AS t FROM origin GROUP BY conv_id, turn),
 turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM (SELECT DISTINCT conv_id, turn FROM x WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
 tree AS (SELECT t.conv_id, t.turn, coalesce(h.orig, t.prior) AS parent, h.orig IS NOT NULL AS by_quote, a.c, a.t FROM turns t LEFT JOIN here h USING (conv_id, turn) LEFT JOIN away a USING (conv_id, turn)),
 deep AS (SELECT conv_id, turn, turn AS root_turn, 0::BIGINT AS depth FROM tree WHERE parent IS NULL

@@ -24,9 +24,8 @@ FOLDS = 5
 #: Bounds of what is learned from: labelled documents of each class; words and word beginnings with an embedding
 #: of their own.
 TOXIC_DOCS, CLEAN_DOCS, MAX_WORDS, MAX_STEMS = 1500, 3000, 30_000, 20_000
-#: Letters of a training document that are read; documents that a word or beginning must have, in samples of over
-#: SMALL documents and in smaller ones.
-TRAIN_LETTERS, LEAST_DOCS, SMALL = 100_000, (3, 2), 500
+#: Letters of a training document that are read; documents that a word or beginning must have.
+TRAIN_LETTERS, LEAST_DOCS = 100_000, 2
 WINDOW, STRIDE = 64, 32
 WORD_DIM, STEM_DIM, CHAR_DIM, HIDDEN, ATTENTION, TRIGRAMS, STEM_LETTERS = 4, 4, 6, 8, 8, 4096, 5
 EPOCHS, BATCH, RATE, SEED = (2, 2, 2), 32, 0.01, 7
@@ -184,12 +183,11 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> dict | N
     if not len(y) or y.min() == y.max():
         return None
     n = [(y == 0).sum(), (y == 1).sum()]
-    least = LEAST_DOCS[len(y) <= SMALL]
 
     def known(f: list[Counter], most: int) -> tuple[list[str], np.ndarray]:
         """The most frequent keys, and how their documents' labels lean, shrunk towards 0 where few have them."""
         total = f[0] + f[1]
-        top = sorted((k for k, v in total.items() if v >= least), key=lambda k: (-total[k], k))[:most]
+        top = sorted((k for k, v in total.items() if v >= LEAST_DOCS), key=lambda k: (-total[k], k))[:most]
         odds = [(np.log((f[1][k] + 0.5) / (n[1] + 1)) - np.log((f[0][k] + 0.5) / (n[0] + 1))) * total[k] / (total[k] + 5) for k in top]
         return top, np.array(odds, np.float32)
 
@@ -371,7 +369,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, keep: bool = F
             s = scorer.scores(texts) if scorer else [0.0] * len(texts)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names)
 
-    text = docs["text"].cast("string").alias("_text")
+    text = docs["text"].cast("string").alias(unused("_text", docs.columns))
     if keep:
         names = [*docs.columns, unused("toxic_score", docs.columns), unused("toxic_predicted", docs.columns)]
         schema = docs.select(*docs.columns, F.lit(0.0).alias(names[-2]), F.lit(0).alias(names[-1])).schema

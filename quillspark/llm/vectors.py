@@ -21,22 +21,27 @@ TOP, QUERY_MOD, SCALE = 20, 20, 64
 BLOCK, GROUP = 16_384, 8_192
 #: Cells that rows are dealt into by nearest centre at most, and rows that the centres are found from.
 CELLS, SAMPLE, SEED_CELLS = 4_096, 8_192, 3
-#: Rows of a node that is not split, children of a node at most, and rows of a leaf compared at once.
-LEAF, FANOUT, STEP = 128, 64, 1_024
+#: Blocks of other cells that a query is sent to in one round.
+FEW = 8
+#: A level's radius against the next one's; rows of a node that is not split; rows that a child must have on average; rows
+#: of a leaf compared at once.
+BASE, LEAF, ROOM, STEP = 1.1, 64, 16, 1_024
 
 
 class CoverTree:
-    """A cover tree. A node of level l has a centre among its rows and covers them all within 2**l. The centres of its
-    children, the first its own, lie more than 2**(l - 1) apart, and each row goes to the child with the nearest centre,
-    within 2**(l - 1). Levels at which a node would have one child are left out. A node whose next net would have more
-    than FANOUT centres is a leaf, as is one of at most LEAF rows: in many dimensions the last levels would give nearly
-    every row a child of its own. radius is the measured distance of the farthest row. Nodes are listed parents first;
-    rows are reordered so that a node's are consecutive."""
+    """A cover tree. A node of level l has a centre among its rows and covers them all within BASE**l. The centres of its
+    children, the first its own, lie more than BASE**(l - 1) apart, and each row goes to the child with the nearest centre,
+    within BASE**(l - 1). The small base makes many levels of few children where dimensions are many. Levels at which a
+    node would have one child are left out. A node of at most LEAF rows is a leaf, as is one whose children would have
+    fewer than ROOM rows on average: rows about equally far from each other fall into no groups, and comparing them costs
+    less than walking them. radius is the measured distance of the farthest row, longest the largest norm of a row. Nodes
+    are listed parents first; rows are reordered so that a node's are consecutive."""
 
     def __init__(self, x: np.ndarray):
         self.order = np.arange(len(x))
         self.begin, self.end, self.children, self.level = [], [], [], []
-        centres, radii = [], []
+        centres, radii, longest = [], [], []
+        norms = np.sqrt((x * x).sum(axis=1))
         mean = x.mean(axis=0)
         todo = [(0, len(x), int(np.argmin(((x - mean) ** 2).sum(axis=1))), -1)]
         while todo:
@@ -50,33 +55,36 @@ class CoverTree:
             self.children.append([])
             centres.append(x[centre])
             radii.append(radius)
-            self.level.append(math.ceil(math.log2(radius)) if radius > 0 else None)
+            longest.append(norms[rows].max())
+            self.level.append(math.ceil(math.log(radius, BASE) - 1e-9) if radius > 0 else None)
             if parent >= 0:
                 self.children[parent].append(node)
             if b - a <= LEAF or radius == 0:
                 continue
             net, nearest, owner = [centre], dist, np.zeros(b - a, np.int64)
-            while nearest.max() > 2.0 ** (self.level[node] - 1) and len(net) <= FANOUT:
+            while nearest.max() > BASE ** (self.level[node] - 1) and len(net) * ROOM <= b - a:
                 far = int(rows[np.argmax(nearest)])
                 d = np.sqrt(((x[rows] - x[far]) ** 2).sum(axis=1))
                 owner[d < nearest] = len(net)
                 nearest = np.minimum(nearest, d)
                 net.append(far)
-            if len(net) > FANOUT:
+            if len(net) * ROOM > b - a or len(net) == 1:
                 continue
             by = np.argsort(owner, kind="stable")
             self.order[a:b] = rows[by]
             at = a + np.searchsorted(owner[by], np.arange(len(net) + 1))
             todo += [(int(at[k]), int(at[k + 1]), c, node) for k, c in enumerate(net)]
-        self.centre, self.radius = np.array(centres), np.array(radii)
+        self.centre, self.radius, self.longest = np.array(centres), np.array(radii), np.array(longest)
         self.norm = np.sqrt((self.centre**2).sum(axis=1))
 
 
-def top_of_block(q: np.ndarray, q_rows: np.ndarray, p: np.ndarray, p_ids: np.ndarray, p_rows: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def top_of_block(q: np.ndarray, q_rows: np.ndarray, p: np.ndarray, p_ids: np.ndarray, p_rows: np.ndarray, k: int, least: np.ndarray | None = None, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every query's k best rows of p by inner product, ties to smaller id, never the query's own row: number of the
     query, id, score. q and p hold integers as doubles; products too large to be exact in them are taken as 64-bit
     integers. least: scores below these don't matter. Both trees are walked together: a pair of nodes is dropped if no
-    inner product below it can reach the worst k-th score of its queries."""
+    inner product below it can reach the worst k-th score of its queries. What a pair can reach follows from the covering
+    radii in two ways, by the centres' product and by the gap between the two balls; the lower one holds. seen: gets how
+    many node pairs were met, how many of them dropped, and how many products were taken."""
     tq, tp = CoverTree(q), CoverTree(p)
     q, qr, p, pi, pr = q[tq.order], q_rows[tq.order], p[tp.order], p_ids[tp.order], p_rows[tp.order]
     large = np.abs(q).max() * np.abs(p).max() * q.shape[1] >= 2.0**53
@@ -88,7 +96,9 @@ def top_of_block(q: np.ndarray, q_rows: np.ndarray, p: np.ndarray, p_ids: np.nda
 
     def most(a: int, b) -> np.ndarray:
         reach = (tq.norm[a] + tq.radius[a]) * (tp.norm[b] + tp.radius[b])
-        return tp.centre[b] @ tq.centre[a] + tq.radius[a] * tp.norm[b] + tp.radius[b] * tq.norm[a] + tq.radius[a] * tp.radius[b] + 1e-9 * reach
+        product = tp.centre[b] @ tq.centre[a] + tq.radius[a] * tp.norm[b] + tp.radius[b] * tq.norm[a] + tq.radius[a] * tp.radius[b]
+        gap = np.maximum(0.0, np.sqrt(((tp.centre[b] - tq.centre[a]) ** 2).sum(axis=-1)) * (1 - 1e-9) - tq.radius[a] - tp.radius[b])
+        return np.minimum(product, (tq.longest[a] ** 2 + tp.longest[b] ** 2 - gap * gap) / 2) + 1e-9 * reach
 
     def compare(s: slice, e: slice) -> None:
         got = q[s] @ p[e].T if not large else q[s].astype(np.int64) @ p[e].T.astype(np.int64)
@@ -110,13 +120,17 @@ def top_of_block(q: np.ndarray, q_rows: np.ndarray, p: np.ndarray, p_ids: np.nda
         best[at, place[keep]], who[at, place[keep]] = every[row[keep], col[keep]], name[keep]
 
     stack = [(0, 0, float("inf"))]
+    met = dropped = taken = 0
     while stack:
         a, b, bound = stack.pop()
+        met += 1
         if bound < floor[a]:
+            dropped += 1
             continue
         ca, cb = tq.children[a], tp.children[b]
         if not ca and not cb:
             s = slice(tq.begin[a], tq.end[a])
+            taken += (tq.end[a] - tq.begin[a]) * (tp.end[b] - tp.begin[b])
             for c in range(tp.begin[b], tp.end[b], STEP):
                 compare(s, slice(c, min(c + STEP, tp.end[b])))
             floor[a] = np.maximum(best[s, -1].astype(float), bar[s]).min()
@@ -128,6 +142,8 @@ def top_of_block(q: np.ndarray, q_rows: np.ndarray, p: np.ndarray, p_ids: np.nda
         else:
             bounds = most(a, np.array(cb))
             stack += [(a, cb[i], float(bounds[i])) for i in np.argsort(bounds)]  # the most promising comes off first
+    if seen is not None:
+        seen.update(met=met, dropped=dropped, products=taken)
     keep = best > worst
     return np.repeat(tq.order, keep.sum(axis=1)), who[keep], best[keep].astype(np.int64)
 
@@ -165,21 +181,24 @@ def exact_top_k(vectors: DataFrame, k: int = TOP, query_mod: int = QUERY_MOD, sc
     every other row: query_id, rank, vec_id, score; fewer rows if there are fewer candidates. Ties go to the smaller
     vec_id.
 
-    Vectors that are null or hold null or non-finite components take no part, nor do rows without id. Rows that share an
-    id are rows of their own: each is a candidate (also of the others), and each a query with its own ranks. Only
-    vectors of equal length meet.
+    Vectors that are null or hold null or non-finite components take no part, nor do rows without id, nor vectors with a
+    scaled component beyond sqrt(2^62 / length), whose products need more than 64 bits. Rows that share an id are rows of
+    their own: each is a candidate (also of the others), and each a query with its own ranks. Only vectors of equal length
+    meet.
 
     Rows are dealt into cells by nearest centre (of a bounded sample), cells into blocks by hash. A query is first
     searched in its own cell; its k-th score there then tells which other cells can hold better ones, by their centre and
-    radius, and only to these is it sent. A task searches one block for one group of queries with two trees; k rows per
-    query and block go on to the final ranking. Memory: a block, a group and their trees; the driver holds at most CELLS
-    centres of each length."""
+    radius. It is sent to the most promising FEW of their blocks, which may raise its k-th score, then to the next, until
+    none can hold a better row: no more than FEW copies of the queries stand on disk at once. A task searches one block
+    for one group of queries with two trees; k rows per query and block go on to the ranking. Memory: a block, a group
+    and their trees; the driver holds at most CELLS centres of each length."""
     spark = vectors.sparkSession
     ship(spark)
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     rows = rows.select(F.monotonically_increasing_id().alias("r"), "vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"), F.size("v").alias("n"))
-    rows = scratch(rows, "topk-rows")
+    first = scratch(rows.filter(F.forall("v", lambda x: F.abs(x) <= F.sqrt(F.lit(2.0**62) / F.col("n")))), "topk-rows")
+    rows = first
     totals = {x["n"]: x["c"] for x in rows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     some = rows.filter(F.pmod(F.xxhash64("r", F.lit(7)), F.lit(max(1, sum(totals.values()) // SAMPLE))) == 0).select("n", "v").collect()
     found: dict[int, list] = {}
@@ -200,6 +219,8 @@ def exact_top_k(vectors: DataFrame, k: int = TOP, query_mod: int = QUERY_MOD, sc
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], ["r", "vec_id", "v", "n", "cell", "dist"])
 
     rows = scratch(rows.mapInArrow(dealt, "r long, vec_id long, v array<double>, n int, cell int, dist double"), "topk-cells")
+    discard(first)
+    rows_held = rows
     cells = rows.groupBy("n", "cell").agg(F.max("dist").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).collect()
     sizes = spark.createDataFrame([(x["n"], x["cell"], x["blocks"]) for x in cells], "n int, cell int, blocks int")
     reach = spark.sparkContext.broadcast({n: [(x["cell"], x["radius"], x["blocks"]) for x in cells if x["n"] == n] for n in totals})
@@ -226,33 +247,48 @@ def exact_top_k(vectors: DataFrame, k: int = TOP, query_mod: int = QUERY_MOD, sc
         return pd.DataFrame({"r": a["r"].to_numpy()[x], "query_id": a["vec_id"].to_numpy()[x], "vec_id": y, "score": s})
 
     own = rows.filter(is_query).select("r", "vec_id", "v", low.alias("least"), "n", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    near = scratch(search(own), "topk-near")
-    by_score = W.partitionBy("r").orderBy(F.desc("score"))
-    worst = near.select("r", "score", F.row_number().over(by_score).alias("rank")).filter(F.col("rank") == k).select("r", F.col("score").alias("least"))
+    best_first = W.partitionBy("r").orderBy(F.desc("score"), "vec_id")
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query once for every block of the other cells that can hold one of its k best."""
+    def sent(batches: Iterator[pa.RecordBatch], done: int) -> Iterator[pa.RecordBatch]:
+        """Each query once for each of the FEW blocks after the first `done` in its own order, most promising first, that
+        can hold one of its k best. Blocks of its own cell are behind it."""
         from quillspark.llm.vectors import matrices
 
         for b in batches:
             own_cell, least = b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
             least = np.where(np.isnan(least), -np.inf, least)
             for at, x in matrices(b.column(2)):
-                norm = np.sqrt((x * x).sum(axis=1))
-                for cell, radius, blocks in reach.value[x.shape[1]]:
-                    c = shared.value[x.shape[1]][cell]
-                    most = x @ c + norm * radius
-                    go = at[(most + 1e-9 * norm * (radius + np.sqrt((c * c).sum())) >= least[at]) & (own_cell[at] != cell)]
-                    for block in range(blocks if len(go) else 0):
-                        part = b.take(pa.array(go))
-                        n = len(go)
-                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(least[go]), pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, cell, np.int32)), pa.array(np.full(n, block, np.int32))], ["r", "vec_id", "v", "least", "n", "cell", "block"])
-
-    asks = rows.filter(is_query).select("r", "vec_id", "v", "cell").join(worst, "r", "left").select("r", "vec_id", "v", "cell", F.col("least").cast("double").alias("least"))
-    asks = scratch(asks.mapInArrow(sent, "r long, vec_id long, v array<double>, least double, n int, cell int, block int"), "topk-asks")
-    found = near.unionByName(search(asks))
-    w = W.partitionBy("r").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                cells, radius, blocks = (np.array(z) for z in zip(*reach.value[x.shape[1]], strict=True))
+                unit, block = np.repeat(np.arange(len(cells)), blocks), np.concatenate([np.arange(m) for m in blocks])
+                c = shared.value[x.shape[1]][cells]
+                norm = np.sqrt((x * x).sum(axis=1))[:, None]
+                most = x @ c.T + norm * radius + 1e-9 * norm * (radius + np.sqrt((c * c).sum(axis=1)))
+                most[cells[None, :] == own_cell[at][:, None]] = -np.inf
+                most = most[:, unit]
+                next_ones = np.argsort(-most, axis=1, kind="stable")[:, done : done + FEW]
+                value = np.take_along_axis(most, next_ones, axis=1)
+                i, j = np.nonzero((value >= least[at][:, None]) & (value > -np.inf))
+                go, u = at[i], next_ones[i, j]
+                part = b.take(pa.array(go))
+                ints = (np.full(len(go), x.shape[1]), cells[unit[u]], block[u])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(least[go]), *(pa.array(z.astype(np.int32)) for z in ints)], ["r", "vec_id", "v", "least", "n", "cell", "block"])
+
+    best = scratch(search(own), "topk-best")
+    queries = rows.filter(is_query).select("r", "vec_id", "v", "cell")
+    for done in range(0, max((sum(x["blocks"] for x in cells if x["n"] == n) for n in totals), default=0), FEW):
+        bar = best.select("r", "score", F.row_number().over(best_first).alias("rank")).filter(F.col("rank") == k).select("r", F.col("score").cast("double").alias("least"))
+        asks = queries.join(bar, "r", "left").select("r", "vec_id", "v", "cell", "least")
+        asks = scratch(asks.mapInArrow(lambda batches, done=done: sent(batches, done), "r long, vec_id long, v array<double>, least double, n int, cell int, block int"), "topk-asks")
+        if asks.isEmpty():
+            discard(asks)
+            break
+        found = best.unionByName(search(asks)).withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k).drop("rank")
+        better = scratch(found, "topk-best")
+        discard(asks)
+        discard(best)
+        best = better
+    discard(rows_held)
+    return best.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_top_k(spark, sf_dir: str) -> DataFrame:
