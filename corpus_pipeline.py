@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, ngram, packing, toxicity
-from quillspark.llm.common import scratch
+from quillspark.llm.common import discard, scratch, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +32,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links of similarity >= 0.8 connect, the one with the smallest id. Where an
     id has several texts each is judged for itself. Of several rows with a group's smallest id, those of one shingle set
-    stand for it (the first hash), and of these the first in order of text and the other columns. Of rows without words,
+    stand for it (the first hash), and of these the first in order of text and of all columns as JSON. Of rows without words,
     which link with nothing, one per id and text stays. Rows without id stay."""
     numbered = docs.filter("doc_id IS NOT NULL")
     again = numbered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if again.isEmpty():
         kept = ngram.near_duplicates(docs).filter("kept").select("doc_id")
         return numbered.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    same, lead, text = (unused(n, docs.columns) for n in ("same", "lead", "whole_text"))
     kept = ngram.decided(docs).filter("kept AND same IS NOT NULL")
-    kept = kept.groupBy("component").agg(F.min("same").alias("_same"), F.min("doc_id").alias("_id"))
-    keyed = ngram.hashed(numbered.withColumn("_text", F.col("text").cast("string")), "_text").withColumnRenamed("same", "_same")
-    worded = keyed.filter("_same IS NOT NULL").join(kept, [keyed["doc_id"].cast("long") == kept["_id"], keyed["_same"] == kept["_same"]], "left_semi")
-    row = F.struct("text", *(c for c in docs.columns if c != "text"))
-    one = lambda rows, *keys: rows.groupBy(*keys).agg(F.min(row).alias("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
-    return one(worded, "doc_id", "_same").union(one(keyed.filter("_same IS NULL"), "doc_id", "text")).union(docs.filter("doc_id IS NULL"))
+    kept = kept.groupBy("component").agg(F.min("same").alias(same), F.min("doc_id").alias(lead)).drop("component")
+    keyed = ngram.hashed(numbered.withColumn(text, F.col("text").cast("string")), text, adds=f"{same} binary")
+    stands = [keyed["doc_id"].cast("long") == kept[lead], keyed[same] == kept[same]]
+    worded = keyed.filter(F.col(same).isNotNull()).join(kept, stands, "left_semi")
+    whole = F.struct(*docs.columns)  # columns of any type: only their JSON is compared
+    order = F.struct(text, F.to_json(whole))
+    one = lambda rows, *keys: rows.groupBy(*keys).agg(F.min_by(whole, order).alias("row")).select("row.*")
+    return one(worded, "doc_id", same).union(one(keyed.filter(F.col(same).isNull()), "doc_id", text)).union(docs.filter("doc_id IS NULL"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
