@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import phonetic, stemmer
 from quillspark.functions.text import cosine, count_tokens, intents, snippet_first, structure, tokens
 from quillspark.operators import index as ix
-from quillspark.operators import match, ranking, scoring
+from quillspark.operators import fuzzy, match, postings, ranking, scoring
 from quillspark.plans.query import Query, Thesaurus, parse
+from quillspark.sources import store
 
 CANDIDATES = 300
+#: Terms that a prefix is looked up as in the dictionary; with more, the dictionary is joined.
+LISTED = 1_000
+#: Postings of a term from which it is kept apart, dealt over many files.
+HOT = 1_000_000
+#: Tasks that share a hot term in a batch.
+SHARES = 16
 
 
 @dataclass
 class Index:
     """Tables: chunks (doc_id, chunk_id, content, token_count, structure, header, prev_id, next_id, ...), documents (doc_id and
-    metadata), tf (doc_id, chunk_id, term, tf, dl), df (term, df), cooc (term_a, term_b, n), stats (n, avgdl)."""
+    metadata), tf (doc_id, chunk_id, term, tf, dl, cell), df (term, df), cooc (term_a, term_b, n), stats (n, avgdl), places
+    (doc_id, chunk_id, term, positions) and words (term, df) of tokens as they are, limits (term, cell, n, most_tf, least_dl).
+    hot: of a saved index, the part of tf that is kept apart because its terms are frequent; cold: the rest. stemmed: whether
+    terms are stems, of queries too."""
 
     chunks: DataFrame
     documents: DataFrame
@@ -28,8 +40,16 @@ class Index:
     df: DataFrame
     cooc: DataFrame
     stats: DataFrame
+    places: DataFrame
+    words: DataFrame
+    limits: DataFrame
+    cold: DataFrame | None = None
+    hot: DataFrame | None = None
+    version: int | None = None
+    path: str | None = None
+    stemmed: bool = True
 
-    TABLES = ("chunks", "documents", "tf", "df", "cooc", "stats")
+    TABLES = ("chunks", "documents", "tf", "df", "cooc", "stats", "places", "words", "limits")
 
     @staticmethod
     def build(chunks: DataFrame, documents: DataFrame, stem: bool = True) -> Index:
@@ -37,30 +57,54 @@ class Index:
         have = set(chunks.columns)
         chunks = chunks.withColumns({c: F.lit(None).cast("string") for c in ("header", "prev_id", "next_id") if c not in have})
         chunks = chunks.withColumns({"token_count": count_tokens(F.col("content")), "structure": structure(F.col("content"))["kind"]})
-        tf = ix.term_frequencies(chunks.withColumn("dl", F.col("token_count")), ["doc_id", "chunk_id", "dl"], "content", stems=stem).select("doc_id", "chunk_id", "term", "tf", "dl")
-        return Index(chunks, documents, tf, ix.document_frequencies(tf, "chunk_id"), ix.cooccurrence(chunks, "content"), ix.corpus_stats(chunks, F.col("token_count")))
+        keys = ["doc_id", "chunk_id", "dl"]
+        places = postings.positional(chunks.withColumn("dl", F.col("token_count")), keys, "content")
+        tf = places.select(*keys, "term", F.size("positions").cast("long").alias("tf"))
+        if stem:
+            tf = stemmer.replaced(tf).groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
+        tf = tf.select("doc_id", "chunk_id", "term", "tf", "dl", postings.cell(F.col("dl"), F.col("chunk_id")).alias("cell"))
+        places = places.drop("dl")
+        return Index(chunks, documents, tf, ix.document_frequencies(tf, "chunk_id"), ix.cooccurrence(chunks, "content"), ix.corpus_stats(chunks, F.col("token_count")), places, ix.document_frequencies(places, "chunk_id"), postings.bounds(tf), stemmed=stem)
 
     def cached(self) -> Index:
         """With its tables kept in executors' memory or on their disks; lost parts are made anew."""
-        return Index(*(getattr(self, n).persist() for n in self.TABLES))
-
-    def save(self, path: str) -> None:
-        """Each table as Parquet; tf sorted by term, so that a term's row groups are few."""
-        for name in self.TABLES:
-            t = getattr(self, name)
-            t = t.repartitionByRange("term").sortWithinPartitions("term") if name in ("tf", "df") else t
-            t.write.mode("overwrite").parquet(f"{path}/{name}")
+        return Index(*(getattr(self, n).persist() for n in self.TABLES), stemmed=self.stemmed)
+
+    def released(self) -> None:
+        """Give back what cached() keeps."""
+        for n in self.TABLES:
+            getattr(self, n).unpersist()
+
+    def parsed(self, raw: str, thesaurus: Thesaurus | None = None) -> Query:
+        return parse(raw, thesaurus, "porter2" if self.stemmed else "none")
+
+    def save(self, path: str, hot: int = HOT, base: int | None = None) -> int:
+        """As a new version below path, current when all is written (store.commit); its number. Postings are dealt into
+        buckets by term, those of terms with over `hot` of them over as many files as there are tasks; dictionaries are
+        sorted. An index that was loaded follows the version that it was loaded from, or base: if another has become
+        current since, nothing changes and an error is raised."""
+        spark = self.chunks.sparkSession
+        often = self.df.filter(F.col("df") > hot).select("term")  # no more than all postings / hot
+        parts = {n: getattr(self, n) for n in self.TABLES if n != "tf"}
+        for n in ("df", "words", "limits"):
+            parts[n] = parts[n].repartitionByRange("term").sortWithinPartitions("term")
+        parts["cold"] = self.tf.join(F.broadcast(often), "term", "left_anti").select(*self.tf.columns)
+        parts["hot"] = self.tf.join(F.broadcast(often), "term", "left_semi").select(*self.tf.columns).repartitionByRange("term", "cell", "chunk_id").sortWithinPartitions("term", "cell")
+        return store.commit(spark, path, parts, {"cold": "term", "places": "term"}, base=self.version if base is None and path == self.path else base, about={"stemmed": self.stemmed})
 
     @staticmethod
-    def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{n}") for n in Index.TABLES))
+    def load(spark, path: str, version: int | None = None) -> Index:
+        """The current version, or an earlier one that is still there."""
+        number, t, about = store.tables(spark, path, version)
+        rest = {n: t[n] for n in Index.TABLES if n != "tf"}
+        return Index(tf=t["cold"].unionByName(t["hot"]), cold=t["cold"], hot=t["hot"], version=number, path=path, stemmed=about["stemmed"], **rest)
 
     def upserted(self, chunks: DataFrame, documents: DataFrame) -> Index:
         """With the documents in `documents` replaced by these chunks. Only their text is read: term, pair and document
         counts of what goes are taken off, those of what comes added."""
         have = set(chunks.columns)
         fresh = chunks.withColumns({c: F.lit(None).cast("string") for c in ("header", "prev_id", "next_id") if c not in have})
-        return self._changed(documents.select("doc_id").distinct(), Index.build(fresh, documents))
+        return self._changed(documents.select("doc_id").distinct(), Index.build(fresh, documents, self.stemmed))
 
     def deleted(self, gone: DataFrame) -> Index:
         return self._changed(gone.select("doc_id").distinct(), None)
@@ -68,51 +112,56 @@ class Index:
     def _changed(self, gone: DataFrame, fresh: Index | None) -> Index:
         keep = lambda t: t.join(gone, "doc_id", "left_anti")
         drop = lambda t: t.join(gone, "doc_id", "left_semi")
-        chunks, documents, tf = keep(self.chunks), keep(self.documents), keep(self.tf)
+        chunks, documents, tf, places, limits = keep(self.chunks), keep(self.documents), keep(self.tf), keep(self.places), self.limits
+        more = self.places.limit(0)
         pairs = [self.cooc, ix.cooccurrence(drop(self.chunks), "content").withColumn("n", -F.col("n"))]
         added = self.tf.limit(0)
         if fresh is not None:
             chunks, documents, tf = chunks.unionByName(fresh.chunks.select(chunks.columns)), documents.unionByName(fresh.documents), tf.unionByName(fresh.tf)
             pairs.append(fresh.cooc)
-            added = fresh.tf
+            places, limits = places.unionByName(fresh.places), postings.widened(limits, fresh.limits)
+            added, more = fresh.tf, fresh.places
         cooc = reduce(DataFrame.unionByName, pairs).groupBy("term_a", "term_b").agg(F.sum("n").alias("n")).filter("n > 0")
-        return Index(chunks, documents, tf, ix.incremental_df(self.df, added, drop(self.tf)), cooc, ix.corpus_stats(chunks, F.col("token_count")))
+        words = ix.incremental_df(self.words, more, drop(self.places))
+        return Index(chunks, documents, tf, ix.incremental_df(self.df, added, drop(self.tf)), cooc, ix.corpus_stats(chunks, F.col("token_count")), places, words, limits, version=self.version, path=self.path, stemmed=self.stemmed)
 
 
 def candidates(index: Index, q: Query, filters: dict | None = None, tags: DataFrame | None = None, scope: list | None = None) -> DataFrame:
     """chunk_ids of chunks that hold all phrases and, if there are tokens, a term of the content or the header that begins
-    with one; under filters."""
+    with one; under filters. Phrases are found by position, prefixes in the dictionary: the contents are not read."""
     docs = match.where(index.documents, filters or {}, tags, scope)
     found = index.chunks.join(docs.select("doc_id"), "doc_id", "left_semi")
     for p in q.phrases:
-        found = found.filter(match.has_phrase(F.col("content"), p))
+        found = found.join(postings.phrase(index.places, p, "chunk_id", index.words), "chunk_id", "left_semi")
     if q.tokens:
-        begins = lambda c: reduce(lambda a, t: a | c.startswith(t), {*q.stems, *q.direct, *q.concepts}, F.lit(False))
-        hits = index.tf.filter(begins(F.col("term"))).select("chunk_id")
+        begins = lambda c: reduce(lambda a, t: a | c.startswith(t), sorted({*q.stems, *q.direct, *q.concepts}), F.lit(False))
+        known = index.df.filter(begins(F.col("term"))).select("term")
+        listed = [r["term"] for r in known.limit(LISTED + 1).collect()]
+        hits = (index.tf.filter(F.col("term").isin(*listed)) if len(listed) <= LISTED else index.tf.join(known, "term", "left_semi")).select("chunk_id")
         headed = index.chunks.filter(F.exists(tokens(F.col("header")), begins)).select("chunk_id")
         found = found.join(hits.union(headed).distinct(), "chunk_id", "left_semi")
     return found.select("chunk_id", "doc_id")
 
 
 def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None, thesaurus: Thesaurus | None = None, tags: DataFrame | None = None, scope: list | None = None, dedup: bool = True, vector: list[float] | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """Ranked chunks: chunk_id, doc_id, score, norm (0 to 1), snippet. An empty query gives no rows; one without
-    candidates is answered by fallback(). Signals: BM25 of
+    """Ranked chunks: chunk_id, doc_id, score, norm (0 to 1), snippet, rank, in its order. An empty query gives no rows;
+    one without candidates is answered by fallback(). Signals: BM25 of
     stems, synonyms, concepts and co-occurring terms, structure asked for, neighbour among the candidates, header; with
     the query's vector and vectors (chunk_id, vector) also their cosine, 0 for chunks that have none."""
     spark = index.chunks.sparkSession
-    q = parse(raw, thesaurus)
-    out = "chunk_id string, doc_id {}, score double, norm double, snippet string".format(index.chunks.schema["doc_id"].dataType.simpleString())
+    q = index.parsed(raw, thesaurus)
+    out = "chunk_id string, doc_id {}, score double, norm double, snippet string, rank int".format(index.chunks.schema["doc_id"].dataType.simpleString())
     if q.empty:
         return spark.createDataFrame([], out)
     cand = candidates(index, q, filters, tags, scope).persist()  # read more than once; a few ids
     if cand.isEmpty():
         found = ranking.normalised(fallback(index, raw, limit, filters, tags=tags, scope=scope).drop("how"))
         found = found.join(index.chunks.select("chunk_id", "doc_id", "content"), "chunk_id")
-        return found.select("chunk_id", "doc_id", F.round("score", 4).alias("score"), F.round("norm", 4).alias("norm"), snippet_first(F.col("content"), q.tokens or q.phrases).alias("snippet"))
+        return _ordered(found, q)
     tf = index.tf.join(cand.select("chunk_id"), "chunk_id", "left_semi")
     signals = cand.join(index.chunks.select("chunk_id", "content", "structure", "header", "prev_id", "next_id"), "chunk_id")
     extra = [r["term"] for r in ix.cooccurring(index.cooc, q.tokens).collect()] if q.tokens else []
-    sets = {"stem": q.stems, "direct": q.direct, "concept": q.concepts, "cooc": [t for t in dict.fromkeys(stemmer.stem(x) for x in extra) if t not in {*q.stems, *q.direct, *q.concepts}]}
+    sets = {"stem": q.stems, "direct": q.direct, "concept": q.concepts, "cooc": [t for t in dict.fromkeys(stemmer.stem(x) if index.stemmed else x for x in extra) if t not in {*q.stems, *q.direct, *q.concepts}]}
     # one pass over the postings scores all signals
     ask = [(t, name) for name, terms in sets.items() for t in dict.fromkeys(terms)]
     if ask:
@@ -142,28 +191,78 @@ def search(index: Index, raw: str, limit: int = 25, filters: dict | None = None,
     if dedup:
         top = top.join(ranking.greedy_dedup(top, "content", "chunk_id", limit=CANDIDATES).persist(), "chunk_id")
     top = ranking.normalised(top.orderBy(F.desc("score"), "chunk_id").limit(limit)).persist()
-    top = ranking.adjacency_boost(top)
-    return top.select("chunk_id", "doc_id", F.round("score", 4).alias("score"), F.round("norm", 4).alias("norm"), snippet_first(F.col("content"), q.tokens or q.phrases).alias("snippet"))
+    return _ordered(ranking.adjacency_boost(top), q)
+
+
+def _ordered(top: DataFrame, q: Query) -> DataFrame:
+    """The answer's rows, a query's limit of them at most, by rank."""
+    best = [F.desc("norm"), F.desc("score"), F.asc("chunk_id")]
+    top = top.select("chunk_id", "doc_id", F.round("score", 4).alias("score"), F.round("norm", 4).alias("norm"), snippet_first(F.col("content"), q.tokens or q.phrases).alias("snippet"))
+    return top.withColumn("rank", F.row_number().over(W.orderBy(*best)).cast("int")).orderBy("rank")
+
+
+@dataclass
+class Answer:
+    """hits as search() gives them, facets (facet, value, n) of their documents, how many candidates there were, whether a
+    fallback answered, the query's intents and expansions, and milliseconds."""
+
+    hits: list
+    facets: list
+    total: int
+    used_fallback: bool
+    query: Query
+    elapsed_ms: float
+
+
+def answer(index: Index, raw: str, limit: int = 25, facets: tuple[str, ...] = (), **options) -> Answer:
+    """A whole answer: the hits in order (`limit` rows), facets of the documents hit, and the counts beside them. options
+    are search()'s."""
+    began = time.perf_counter()
+    q = index.parsed(raw, options.get("thesaurus"))
+    hits = search(index, raw, limit, **options).collect()
+    total = 0 if q.empty else candidates(index, q, options.get("filters"), options.get("tags"), options.get("scope")).count()
+    found = []
+    if hits and facets:
+        docs = index.documents.filter(F.col("doc_id").isin(*{h["doc_id"] for h in hits}))
+        found = ranking.facets(docs, list(facets)).orderBy("facet", F.desc("n"), "value").collect()
+    return Answer(hits, found, total, bool(hits) and total == 0, q, (time.perf_counter() - began) * 1000)
+
+
+def top_chunks(index: Index, raw: str, limit: int = 25) -> DataFrame:
+    """The best chunks (chunk_id, score) by BM25 of the query's stems: only cells that can hold one are scored."""
+    return postings.bounded_top_k(index.tf, index.limits, index.df, index.stats, index.parsed(raw).stems, limit)[0]
 
 
 def batch_search(index: Index, queries: DataFrame, limit: int = 25) -> DataFrame:
-    """queries (query_id, text), any number, in one job: query_id, chunk_id, score, rank. Terms are tokens' stems; the
-    postings are joined by term, which Catalyst broadcasts or shuffles by the size of the query table."""
+    """queries (query_id, text), any number, in one job: query_id, chunk_id, score, rank. Terms are tokens' stems. The
+    postings of a saved index stay in their buckets, the queries' terms come to them; postings of hot terms are dealt by
+    cell, and the queries that ask for one go to each share of it. Scores are rounded to nine places, so that equal chunks tie."""
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
-    cut = stemmer.stems(terms, "token")
-    terms = terms.join(cut, terms["token"] == cut["term"]).groupBy("query_id", F.col("stem").alias("term")).agg(F.count(F.lit(1)).alias("qtf"))
-    x = index.tf.join(terms, "term").join(index.df, "term").crossJoin(F.broadcast(index.stats))
+    terms = terms.groupBy("query_id", F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("qtf"))
+    if index.stemmed:
+        terms = stemmer.replaced(terms).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
+    terms = terms.join(index.df, "term")
+    columns = ["chunk_id", "tf", "dl", "query_id", "qtf", "df"]
+    if index.hot is None:
+        x = index.tf.join(terms, "term").select(*columns)
+    else:
+        share = F.pmod(F.xxhash64("cell", "chunk_id"), F.lit(SHARES)).cast("int")
+        often = terms.join(index.hot.select("term").distinct(), "term", "left_semi").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        x = index.cold.join(terms.repartition(store.BUCKETS, "term"), "term").select(*columns)
+        x = x.unionByName(index.hot.withColumn("share", share).join(often, ["term", "share"]).select(*columns))
+    x = x.crossJoin(F.broadcast(index.stats))
     part = F.col("qtf") * scoring.idf(F.col("n"), F.col("df")) * scoring.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return ranking.top_k_each(x.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")), limit, "query_id", "chunk_id")
+    return ranking.top_k_each(x.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score")), limit, "query_id", "chunk_id")
 
 
 def fallback(index: Index, raw: str, limit: int = 25, filters: dict | None = None, least: float = 0.6, tags: DataFrame | None = None, scope: list | None = None) -> DataFrame:
     """For queries without candidates: chunks by closest spelling, else by sound, else by containing the first token.
-    Filters apply. (chunk_id, score, how)."""
+    Filters apply. (chunk_id, score, how). Spelling: chunks with a token like one of the query's (the vocabulary is
+    compared, by its grams), scored by the partial ratio of the whole query, 0 to 1."""
     q = parse(raw)
     docs = match.where(index.documents, filters or {}, tags, scope)
     chunks = index.chunks.join(docs.select("doc_id"), "doc_id", "left_semi")
-    spelt = spelling(chunks, q.tokens, least).orderBy(F.desc("score"), "chunk_id").limit(limit)
+    spelt = misspelt(index, chunks, q.tokens, least).orderBy(F.desc("score"), "chunk_id").limit(limit)
     if q.tokens and not spelt.isEmpty():
         return spelt.withColumn("how", F.lit("spelling"))
     heard = sounding(chunks, q.tokens).orderBy(F.desc("score"), "chunk_id").limit(limit)
@@ -176,7 +275,7 @@ def fallback(index: Index, raw: str, limit: int = 25, filters: dict | None = Non
 def diagnostics(index: Index, raw: str, thesaurus: Thesaurus | None = None, filters: dict | None = None) -> DataFrame:
     """One row about a query: its intents, phrases, tokens, the first eight terms of each expansion, how many candidates it
     has, and whether the fallback would answer it."""
-    q = parse(raw, thesaurus)
+    q = index.parsed(raw, thesaurus)
     spark = index.chunks.sparkSession
     row = [(raw, q.intents, q.phrases, q.tokens, q.direct[:8], q.concepts[:8])]
     about = spark.createDataFrame(row, "query string, intents array<string>, phrases array<string>, tokens array<string>, direct array<string>, concepts array<string>")
@@ -193,6 +292,16 @@ def partial_ratio(text: Column, needle: str) -> Column:
     return F.array_max(F.transform(starts, lambda i: F.greatest(F.lit(0.0), 100 * (1 - F.levenshtein(F.substring(low, i, F.lit(n)), F.lit(needle.lower())) / n))))
 
 
+def misspelt(index: Index, chunks: DataFrame, words: list[str], least: float = 0.6) -> DataFrame:
+    """(chunk_id, score) of the chunks that hold a token with similarity >= least to a query word: the partial ratio of the
+    words, one blank between, to the content, as a share of 1."""
+    spark = chunks.sparkSession
+    asked = spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
+    like = fuzzy.similar(fuzzy.gram_index(index.words), asked, least).select("term").distinct()
+    hits = index.places.join(like, "term", "left_semi").select("chunk_id").distinct()
+    return chunks.join(hits, "chunk_id", "left_semi").select("chunk_id", (partial_ratio(F.col("content"), " ".join(words)) / 100).alias("score"))
+
+
 def spelling(chunks: DataFrame, words: list[str], least: float = 0.6, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """(key, score): the best similarity 1 - levenshtein / longer length of any token to any query word, if >= least."""
     x = chunks.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("t"))

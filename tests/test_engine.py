@@ -324,16 +324,49 @@ def test_upkeep(spark):
 
 def test_streaming(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
-    spark.createDataFrame([(1, "old", 1.0), (2, "x", 1.0), (1, "new", 2.0)], "doc_id int, text string, mtime double").coalesce(1).write.parquet(src)
-    stream = lambda: spark.readStream.schema("doc_id int, text string, mtime double").parquet(src)
-    ingest.keep_current(stream(), out, str(tmp_path / "cp")).awaitTermination(60)
-    spark.createDataFrame([(2, "y", 2.0), (3, "z", 1.0)], "doc_id int, text string, mtime double").coalesce(1).write.mode("append").parquet(src)
-    ingest.keep_current(stream(), out, str(tmp_path / "cp")).awaitTermination(60)
-    assert {tuple(r) for r in spark.read.parquet(f"{out}/v1").select("doc_id", "text").collect()} == {(1, "new"), (2, "y"), (3, "z")}
-    spark.createDataFrame([(1, "late and old", 1.5), (3, "newest", 3.0)], "doc_id int, text string, mtime double").coalesce(1).write.mode("append").parquet(src)
-    ingest.keep_current(stream(), out, str(tmp_path / "cp")).awaitTermination(60)
-    assert {tuple(r) for r in spark.read.parquet(f"{out}/v2").select("doc_id", "text").collect()} == {(1, "new"), (2, "y"), (3, "newest")}
-    assert not (tmp_path / "out" / "v0").exists()
+    kind = "doc_id int, text string, mtime double"
+    stream = lambda: spark.readStream.schema(kind).parquet(src)
+    texts = lambda: {tuple(r) for r in ingest.current(spark, out).select("doc_id", "text").collect()}
+
+    def batch(*rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+        ingest.keep_current(stream(), out, str(tmp_path / "cp"), every=3).awaitTermination(60)
+
+    batch((1, "old", 1.0), (2, "x", 1.0), (1, "new", 2.0))
+    batch((2, "y", 2.0), (3, "z", 1.0))
+    assert texts() == {(1, "new"), (2, "y"), (3, "z")}
+    batch((1, "late and old", 1.5), (3, "newest", 3.0), (2, "y", 2.0))
+    assert texts() == {(1, "new"), (2, "y"), (3, "newest")}
+    assert dict(ingest.report(spark, out).filter("batch = 2").select("status", "n").collect()) == {"ok": 1, "skipped": 2}
+    # what a batch writes is what it changes
+    assert spark.read.parquet(f"{out}/changes/batch=2").select("doc_id").collect() == [(3,)]
+    for k in range(3, 9):
+        batch((k, f"text {k}", 1.0), (1, f"version {k}", float(k)))
+    want = {(2, "y"), (1, "version 8"), *((k, f"text {k}") for k in range(4, 9)), (3, "newest")}
+    assert texts() == want and not (tmp_path / "out" / "base" / "v2").exists() and not (tmp_path / "out" / "changes" / "batch=2").exists()
+    ingest.keep_current(stream(), out, str(tmp_path / "cp"), every=3).awaitTermination(60)  # nothing new
+    assert texts() == want
+
+
+def test_streaming_of_files(spark, tmp_path):
+    """Failed files leave the last good version; the same size and time is skipped, a new size is not; odd values pass."""
+    import datetime as dt
+
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    kind = "path string, size long, mtime timestamp, text string, error string"
+    at = lambda us: dt.datetime(2024, 5, 1, 12, 0, 0, us)
+
+    def batch(*rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+        ingest.keep_current(spark.readStream.schema(kind).parquet(src), out, str(tmp_path / "cp"), key="path", size="size", error="error").awaitTermination(60)
+
+    batch(("a", 9_007_199_254_740_993, at(123_456), 'quote " \\ \n é', None), ("b", None, at(1), None, None), ("c", 5, at(1), None, "broken"), (None, 1, at(1), "x", None), ("d", 1, None, "x", None))
+    batch(("a", 9_007_199_254_740_993, at(123_456), "same", None), ("b", 3, at(1), "grown", None), ("c", 5, at(1), "mended", None))
+    batch(("c", 6, at(2), None, "broken again"), ("a", 1, at(123_455), "older", None))
+    got = {tuple(r) for r in ingest.current(spark, out, "path").select("path", "size", "mtime", "text").collect()}
+    assert got == {("a", 9_007_199_254_740_993, at(123_456), 'quote " \\ \n é'), ("b", 3, at(1), "grown"), ("c", 5, at(1), "mended")}
+    counts = {(r["batch"], r["status"]): r["n"] for r in ingest.report(spark, out).collect()}
+    assert counts == {(0, "ok"): 2, (0, "failed"): 3, (1, "skipped"): 1, (1, "ok"): 2, (2, "failed"): 1, (2, "skipped"): 1}
 
 
 def test_event_counts(spark, tmp_path):
@@ -344,3 +377,138 @@ def test_event_counts(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r["window"]["start"].minute, r["event_type"], r["n"]) for r in spark.table("counted").collect()}
     assert got == {(0, "a", 2), (5, "b", 1)}
+
+
+def test_phrases_by_position(spark):
+    """Against the plain test on token lists."""
+    import random
+
+    from quillspark.operators import match, postings
+
+    r = random.Random(2)
+    texts = ["", None, "a", "a a a", "b a a b", "x, y", "x y"] + [" ".join(r.choice("abcx") for _ in range(r.randint(0, 30))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    places = postings.positional(docs, ["doc_id"])
+    for asked in ("a", "a b", "a a", "b a a b", "x y", "A B c", "nowhere a", "a nowhere", " ", "x, y"):
+        got = sorted(x["doc_id"] for x in postings.phrase(places, asked).collect())
+        assert got == (sorted(x["doc_id"] for x in match.phrase(docs, asked).collect()) if asked.strip() else []), asked
+
+
+def test_top_k_by_bounds_is_exact(spark):
+    import random
+
+    from quillspark.operators import postings
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, str(i), " ".join(r.choice(words[: r.choice([3, 10, 60])]) for _ in range(r.randint(1, 200)))) for i in range(700)]
+    rows += [(700 + i, f"t{i}", "w1 w59 same") for i in range(30)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id string, content string")
+    index = search.Index.build(chunks, chunks.select("doc_id"), stem=False).cached()
+    skipped = 0
+    for terms, k in ((["w59"], 3), (["w1", "w59", "w59"], 10), (["w0", "w1", "w2"], 25), (["nothing"], 5), (["w58", "nothing"], 1000), ([], 3), (["same"], 7)):
+        got, report = postings.bounded_top_k(index.tf, index.limits, index.df, index.stats, terms, k)
+        every = scoring.bm25(index.tf, index.df, spark.createDataFrame([(t, terms.count(t)) for t in dict.fromkeys(terms)] or [("", 0)], "term string, qtf int"), index.stats, ["chunk_id"])
+        want = every.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "chunk_id").limit(k).collect()
+        assert [x["chunk_id"] for x in got.collect()] == [x["chunk_id"] for x in want]
+        assert all(abs(a["score"] - b["score"]) < 1e-9 for a, b in zip(got.collect(), want, strict=True))
+        skipped += report["cells"] - report["cells_read"]
+    assert skipped > 20
+
+
+def test_saved_index_reads_few_buckets_and_keeps_postings_in_place(spark, tmp_path, capsys):
+    from quillspark.sources import store
+
+    path = str(tmp_path / "index")
+    chunks = spark.createDataFrame([(i, str(i), f"word{i} common text number{i % 7}") for i in range(200)], "doc_id long, chunk_id string, content string")
+    search.Index.build(chunks, chunks.select("doc_id"), stem=False).save(path, hot=150)
+    index = search.Index.load(spark, path)
+    assert {r["term"] for r in index.hot.select("term").distinct().collect()} == {"common", "text"}
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else buckets are pruned without a word in the plan
+    index.cold.filter("term = 'word3'").explain("formatted")
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert f"SelectedBucketsCount: 1 out of {store.BUCKETS}" in capsys.readouterr().out
+    asked = spark.createDataFrame([(i, f"word{i} common") for i in range(50)] + [(99, "nothing here")], "query_id int, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = search.batch_search(index, asked, 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert [line for line in plan.splitlines() if "FileScan parquet" in line and "Bucketed: true" in line]  # no exchange between it and its join
+        got = {(r["query_id"], r["chunk_id"], r["rank"], round(r["score"], 9)) for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plain = search.Index.build(chunks, chunks.select("doc_id"), stem=False)
+    want = {(r["query_id"], r["chunk_id"], r["rank"], round(r["score"], 9)) for r in search.batch_search(plain, asked, 3).collect()}
+    assert got == want and {c for q, c, rank, _ in got if rank == 1} == {str(i) for i in range(50)}
+
+
+def test_a_job_that_dies_leaves_the_version_before(spark, tmp_path):
+    from quillspark.sources import store
+
+    path = str(tmp_path / "index")
+    index = library(spark)
+    assert index.save(path) == 1
+    old = search.Index.load(spark, path)
+    broken = old.upserted(spark.createDataFrame([(2, "c", "All new words here")], "doc_id int, chunk_id string, content string"), old.documents.filter("doc_id = 2"))
+    whole = broken.stats
+    broken.stats = whole.select(F.raise_error(F.lit("killed")).cast("double").alias("n"), "avgdl")
+    with pytest.raises(Exception, match="killed"):
+        broken.save(path)
+    again = search.Index.load(spark, path)
+    assert store.versions(spark, path) == [1] and rows_of(again.tf.collect()) == rows_of(index.tf.collect())
+    assert [r["chunk_id"] for r in search.search(again, "tea").collect()] == ["c"]
+    broken.stats = whole
+    assert broken.save(path) == 2 and search.search(search.Index.load(spark, path), "new").first()["chunk_id"] == "c"
+    with pytest.raises(RuntimeError, match="not the current one"):
+        broken.save(path)  # follows version 1 still
+    assert [r["chunk_id"] for r in search.search(search.Index.load(spark, path, 1), "tea").collect()] == ["c"]
+    assert store.vacuum(spark, path, keep=1) == 2 and store.versions(spark, path) == [2]
+    assert search.search(search.Index.load(spark, path), "new").count() == 1
+    with pytest.raises(FileNotFoundError):
+        store.tables(spark, path, 1)
+
+
+def test_misspelt_words_against_every_term(spark):
+    import random
+
+    from quillspark.operators import fuzzy
+
+    r = random.Random(8)
+    terms = sorted({"".join(r.choice("abcde") for _ in range(r.randint(1, 9))) for _ in range(400)} | {"aa", "aaaa", "banana", "bananas"})
+    words = ["abc", "banana", "bananan", "aaaa", "e", "abcdeabcde", "zzz"]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for least in (0.6, 0.8, 0.34):
+        got = {(x["word"], x["term"]) for x in fuzzy.similar(fuzzy.gram_index(spark.createDataFrame([(t,) for t in terms], "term string")), spark.createDataFrame([(w,) for w in words], "word string"), least).collect()}
+        assert got == {(w, t) for w in words for t in terms if 1 - distance(w, t) / max(len(w), len(t)) >= least - 1e-12}
+
+
+def test_fallback_ranks_by_partial_ratio(spark):
+    chunks = spark.createDataFrame([(1, "a", "the okapi algorithm ranks"), (2, "b", "an okapy algorithm"), (3, "c", "nothing like it"), (4, "d", "okapi")], "doc_id int, chunk_id string, content string")
+    index = search.Index.build(chunks, chunks.select("doc_id"))
+    got = search.fallback(index, "okapy algoritm").collect()
+    assert [r["chunk_id"] for r in got[:1]] == ["b"] and {r["chunk_id"] for r in got} == {"a", "b", "d"} and all(r["how"] == "spelling" and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_answer(spark):
+    index = library(spark)
+    got = search.answer(index, "BM25 probabilistic", facets=("year", "title"))
+    assert [h["chunk_id"] for h in got.hits] == ["a"] and [h["rank"] for h in got.hits] == [1] and got.total == 1 and not got.used_fallback and got.elapsed_ms > 0
+    assert [tuple(f) for f in got.facets] == [("title", "Test Document", 1), ("year", "2023", 1)]
+    assert search.answer(index, "Okapy").used_fallback and search.answer(index, " ").hits == []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        norms = [r["norm"] for r in search.search(index, "the algorithm networks tea").collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert norms == sorted(norms, reverse=True)
