@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import phonetic, stemmer, text
-from quillspark.operators import chunking, fuzzy, match, postings, ranking, scoring
+from quillspark.operators import boundaries, chunking, fuzzy, match, postings, ranking, scoring
 from quillspark.operators import index as ix
 from quillspark.plans import search
 from quillspark.plans.query import Thesaurus, parse
@@ -803,6 +803,69 @@ def misspelt_terms(spark, d):
     return found.select("word", "term", F.round("similarity", 6).alias("similarity"))
 
 
+# ------------------------------------------------------------------ sentence boundaries learned from the corpus
+
+
+def _core_sql(c: str) -> str:
+    before, after = (m.replace("'", "''") for m in (boundaries.BEFORE, boundaries.AFTER))
+    return f"regexp_replace(regexp_replace({c}, '^{before}', ''), '{after}$', '')"
+
+
+def _ratio_sql(a: str, b: str, both: str) -> str:
+    part = lambda n, p: f"CASE WHEN {n} > 0 THEN ({n}) * ln({p}) ELSE 0 END"
+    apart = " + ".join([part(both, f"{both} / {a}"), part(f"{a} - {both}", f"1 - {both} / {a}"), part(f"{b} - {both}", f"({b} - {both}) / greatest(n - {a}, 1)"), part(f"n - {a} - {b} + {both}", f"1 - ({b} - {both}) / greatest(n - {a}, 1)")])
+    return f"2 * ({apart} - ({part(b, f'{b} / n')}) - ({part(f'n - {b}', f'1 - {b} / n')}))"
+
+
+_CORES = f"""raw AS (SELECT regexp_extract_all(text, '[^ \\t\\r\\n\\f]+') AS p FROM documents),
+w0 AS (SELECT unnest(p) AS c, unnest(p[2:]) AS nx FROM raw),
+w AS (SELECT {_core_sql('c')} AS c, {_core_sql('nx')} AS nx FROM w0 WHERE c IS NOT NULL),
+x AS (SELECT lower(regexp_replace(c, '{boundaries.LAST}', '')) AS term, suffix(c, '.') AND NOT regexp_matches(c, '[!?][.!?]*$') AS dot, regexp_matches(c, '[.!?]$') AS fin, lower(regexp_replace(nx, '{boundaries.LAST}', '')) AS after FROM w),
+each AS (SELECT term, sum(dot::INT)::DOUBLE AS n_dot, sum((NOT dot)::INT)::DOUBLE AS n_bare FROM x GROUP BY term),
+t AS (SELECT sum(n_dot + n_bare) AS n, sum(n_dot) AS n_dots FROM each),
+pairs AS (SELECT term, dot, after, count(*)::DOUBLE AS m FROM x WHERE fin AND after IS NOT NULL GROUP BY ALL),
+abbr AS (SELECT term, n_dot, n_bare, 2 * (n_dot * ln(0.99 / least(n_dots / n, 1 - 1e-9)) + n_bare * ln((1 - 0.99) / (1 - least(n_dots / n, 1 - 1e-9))))
+  * exp(-(len(replace(term, '.', '')))::DOUBLE) * (1 + len(term) - len(replace(term, '.', ''))) * pow(len(replace(term, '.', ''))::DOUBLE, -n_bare) AS score FROM each, t WHERE n_dot > 0 AND lower(term) <> upper(term))""".replace("\\\\", "\\")
+
+
+def _words(spark, d):
+    w = boundaries.words(documents(spark, d))
+    return boundaries.counts(w), boundaries.ends(w)
+
+
+@query(f"WITH {_CORES} SELECT term, n_dot::BIGINT AS n_dot, n_bare::BIGINT AS n_bare, round(score, 6) AS score FROM abbr")
+def abbreviation_scores(spark, d):
+    """How like an abbreviation each word with a period is."""
+    return boundaries.abbreviation_scores(_words(spark, d)[0]).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_CORES}, f AS (SELECT after AS term, sum(m) AS nf FROM pairs WHERE NOT (dot AND term IN (SELECT term FROM abbr WHERE score >= 0.3)) GROUP BY 1),
+b AS (SELECT sum(nf) AS breaks FROM f), s AS (SELECT term, n_dot + n_bare AS nt, nf, n, breaks FROM f JOIN each USING (term), t, b WHERE lower(term) <> upper(term))
+SELECT term, nt::BIGINT AS n, nf::BIGINT AS n_first, round({_ratio_sql('breaks', 'nt', 'nf')}, 5) AS score FROM s WHERE nf * n > breaks * nt""")
+def sentence_starters(spark, d):
+    """Words that follow the ends of sentences more often than chance."""
+    each, pairs = _words(spark, d)
+    short = boundaries.abbreviation_scores(each).filter(F.col("score") >= boundaries.ABBREVIATION)
+    return boundaries.starter_scores(each, pairs, short).withColumn("score", F.round("score", 5))
+
+
+@query(f"""WITH {_CORES}, s AS (SELECT pairs.term, after, m, a.n_dot + a.n_bare AS a, b.n_dot + b.n_bare AS b, n FROM pairs JOIN each a ON pairs.term = a.term JOIN each b ON after = b.term, t
+WHERE dot AND m > 1 AND lower(pairs.term) <> upper(pairs.term) AND lower(after) <> upper(after))
+SELECT term, after, m::BIGINT AS n, round({_ratio_sql('a', 'b', 'm')}, 5) AS score FROM s WHERE m * n > a * b""")
+def period_collocations(spark, d):
+    """Pairs of words that a period doesn't part."""
+    each, pairs = _words(spark, d)
+    return boundaries.collocation_scores(each, pairs).withColumn("score", F.round("score", 5))
+
+
+@query()
+def sentences_learned(spark, d):
+    """Whole texts in sentences, by what the same texts teach."""
+    docs = documents(spark, d)
+    found = boundaries.split(docs.select("doc_id", "text"), boundaries.Boundaries.learn(docs))
+    return found.select("doc_id", F.posexplode("sentences").alias("number", "sentence"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return topk_normalised(spark, d)
 

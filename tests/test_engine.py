@@ -1,6 +1,8 @@
 """The search engine: facts that must hold, and every query against its DuckDB oracle on the smallest tables."""
 
 import io
+import math
+import re
 import sys
 import types
 import zipfile
@@ -13,7 +15,7 @@ import __spark_entry__ as entry
 from quillspark import catalog
 from quillspark.functions import phonetic, text
 from quillspark.functions.stemmer import stem
-from quillspark.operators import chunking, ranking, scoring
+from quillspark.operators import boundaries, chunking, ranking, scoring
 from quillspark.operators import index as ix
 from quillspark.plans import search
 from quillspark.plans.query import Thesaurus, parse, single_intent
@@ -512,3 +514,71 @@ def test_answer(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert norms == sorted(norms, reverse=True)
+
+
+def plain_words(t):
+    """Cores of a text's words by plain Python: what the learned boundaries count."""
+    out = []
+    for w in re.findall(r"[^ \t\r\n\f]+", t or ""):
+        out.append(re.sub(boundaries.AFTER + "$", "", re.sub("^" + boundaries.BEFORE, "", w)))
+    return out
+
+
+def plain_term(c):
+    return re.sub(boundaries.LAST, "", c).lower()
+
+
+LETTERS = [
+    "We met Dr. Smith at noon. He spoke of Prof. Jones, who met Dr. Brown. The talk went on.",
+    "Dr. Green came, e.g. for tea. The tea was hot! The cups (of Mr. Hill) were cold... He left. The end",
+    'Did the doctor see Mr. Hill? "The man left." The rest saw Prof. Gray and Mr. Gray. The noon bell rang.',
+    "He saw e.g. the man. Mr. Smith saw Dr. Hill. The tea of Prof. Hill and J. Brown, etc. The doctor knew the end.\n\nHe left, etc.",
+    "", None, "   \n ", "one", "the tea. the tea. THE TEA!? x", "Dr.",
+]
+
+
+def test_boundaries_count_as_by_hand(spark):
+    texts = spark.createDataFrame([(t,) for t in LETTERS], "text string")
+    w = boundaries.words(texts)
+    want, after = {}, {}
+    for t in LETTERS:
+        cores = plain_words(t)
+        for i, c in enumerate(cores):
+            dot = c.endswith(".") and not re.search(r"[!?][.!?]*$", c)
+            n = want.setdefault(plain_term(c), [0, 0, 0, 0])
+            n[0 if dot else 1] += 1
+            n[2] += c[:1].islower()
+            n[3] += c[:1].isupper() and i > 0 and not re.search(r"[.!?]$", cores[i - 1])
+            if re.search(r"[.!?]$", c) and i + 1 < len(cores):
+                k = (plain_term(c), dot, plain_term(cores[i + 1]))
+                after[k] = after.get(k, 0) + 1
+    assert {r["term"]: [*r[1:]] for r in boundaries.counts(w).collect()} == want
+    assert {(r["term"], r["dot"], r["after"]): r["m"] for r in boundaries.ends(w).collect()} == after
+    n, dots = sum(a + b for a, b, *_ in want.values()), sum(v[0] for v in want.values())
+    scores = {r["term"]: r["score"] for r in boundaries.abbreviation_scores(boundaries.counts(w)).collect()}
+    for t, (d, b, *_) in want.items():
+        if d and t.lower() != t.upper():
+            k = len(t.replace(".", ""))
+            ratio = -2 * (d * math.log(dots / n) + b * math.log(1 - dots / n) - d * math.log(0.99) - b * math.log(0.01))
+            assert math.isclose(scores.pop(t), ratio * math.exp(-k) * (t.count(".") + 1) * k**-b, rel_tol=1e-9, abs_tol=1e-12)
+    assert not scores
+
+
+def test_boundaries_split(spark, tmp_path):
+    texts = spark.createDataFrame(list(enumerate(LETTERS * 3)), "_id long, text string")
+    model = boundaries.Boundaries.learn(texts)
+    model.save(str(tmp_path))
+    again = boundaries.Boundaries.load(spark, str(tmp_path))
+    assert {"dr", "mr", "e.g"} <= {r["term"] for r in again.abbreviations.collect()}
+    got = {r["_id"]: r["sentences"] for r in boundaries.split(texts, again).collect()}
+    assert len(got) == 3 * len(LETTERS) and all(got[i] == got[i + len(LETTERS)] for i in range(len(LETTERS)))
+    assert got[0] == ["We met Dr. Smith at noon.", "He spoke of Prof. Jones, who met Dr. Brown.", "The talk went on."]
+    assert got[1] == ["Dr. Green came, e.g. for tea.", "The tea was hot!", "The cups (of Mr. Hill) were cold... He left.", "The end"]
+    assert got[2][:2] == ["Did the doctor see Mr. Hill?", '"The man left."'] and "The rest saw Prof. Gray and Mr. Gray." in got[2]
+    assert got[4] == got[5] == got[6] == [] and got[7] == ["one"] and got[9] == ["Dr."]
+    for i, t in enumerate(LETTERS):  # nothing is lost, nothing twice
+        assert "".join("".join(got[i]).split()) == "".join((t or "").split())
+    nothing = spark.createDataFrame([], "text string")
+    assert boundaries.split(nothing, boundaries.Boundaries.learn(nothing)).count() == 0
+    long = spark.createDataFrame([("Dr. Smith met Mr. Hill. " * 20000,)], "text string")
+    assert len(boundaries.split(long, again).first()["sentences"]) == 20000
