@@ -49,24 +49,37 @@ def _reading_order(z: zipfile.ZipFile) -> list[str]:
     return list(dict.fromkeys(spine + rest))
 
 
+def book_chapters(z: zipfile.ZipFile, read: bool = True, first: int = 0, of: int = 1) -> Iterator[tuple[str | None, str | None]]:
+    """(html, error) of every `of`-th chapter file in reading order, from `first` on, one at a time; a broken or missing
+    chapter has an error, not the book. read: else nothing is unpacked and both are null."""
+    for name in _reading_order(z)[first::of]:
+        if not read:
+            yield None, None
+            continue
+        try:
+            yield z.read(name).decode("utf-8"), None
+        except OSError:  # of the file system, not the book
+            raise
+        except Exception as e:  # noqa: BLE001
+            yield "", f"{name}: {e}"
+
+
+def book_metadata(z: zipfile.ZipFile) -> dict[str, str]:
+    """Title and author that a book's package names."""
+    package, _ = _package(z)
+    found = {} if package is None else {k: package.findtext(f".//{{*}}metadata/{{*}}{tag}") for k, tag in (("title", "title"), ("author", "creator"))}
+    return {k: v.strip() for k, v in found.items() if v and v.strip()}
+
+
 def epub_chapters(data: bytes) -> list[tuple[str, str | None]]:
-    """(html, error) of each chapter file in reading order; a broken or missing chapter has an error, not the book."""
-    out = []
+    """book_chapters() of a whole book."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in _reading_order(z):
-            try:
-                out.append((z.read(name).decode("utf-8"), None))
-            except Exception as e:  # noqa: BLE001
-                out.append(("", f"{name}: {e}"))
-    return out
+        return list(book_chapters(z))
 
 
 def epub_metadata(data: bytes) -> dict[str, str]:
-    """Title and author that a book's package names."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        package, _ = _package(z)
-    found = {} if package is None else {k: package.findtext(f".//{{*}}metadata/{{*}}{tag}") for k, tag in (("title", "title"), ("author", "creator"))}
-    return {k: v.strip() for k, v in found.items() if v and v.strip()}
+        return book_metadata(z)
 
 
 def _with_pdfplumber(data: bytes) -> tuple[dict, list[tuple[str, str | None]]]:
@@ -153,13 +166,21 @@ def pages(files: DataFrame, keep_empty: bool = True) -> DataFrame:
                 rows += [(path, i + 1, text, error) for i, (text, error) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["path", "page_num", "raw", "error"])
 
-    x = files.select("path", "content").mapInPandas(run, PAGES).withColumn("file_type", file_type(F.col("path")))
+    return with_text(files.select("path", "content").mapInPandas(run, PAGES), keep_empty)
+
+
+def with_text(x: DataFrame, keep_empty: bool = True) -> DataFrame:
+    """Raw pages (path, page_num, raw, error[, title, ...]) with file_type, text, heading, year and, where it is null, the
+    title of the file's name; raw goes."""
+    x = x.withColumn("file_type", file_type(F.col("path")))
     html = F.col("file_type").isin("epub", "html", "htm", "xhtml")
     x = x.withColumn("text", F.when(html, html_to_text(F.col("raw"))).otherwise(F.col("raw"))).withColumn("heading", F.when(html, html_heading(F.col("raw"))).otherwise(heading(F.col("text"))))
-    x = x.withColumn("title", title_from_path(F.col("path"))).withColumn("year", year_guess(F.col("title"), F.col("text")))
+    named = title_from_path(F.col("path"))
+    x = x.withColumn("title", F.coalesce("title", named) if "title" in x.columns else named).withColumn("year", year_guess(named, F.col("text")))
     if not keep_empty:
         x = x.filter(F.length(F.trim("text")) > 0)
-    return x.select("path", "title", "file_type", "page_num", "text", "heading", "year", "error")
+    first = ["path", "title", "file_type", "page_num", "text", "heading", "year", "error"]
+    return x.select(*first, *(c for c in x.columns if c not in {*first, "raw"}))
 
 
 def page_counts(x: DataFrame, key: str = "path") -> DataFrame:

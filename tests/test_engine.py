@@ -2,14 +2,17 @@
 
 import io
 import math
+import random
 import re
 import sys
+import time
 import types
 import zipfile
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import __spark_entry__ as entry
 from quillspark import catalog
@@ -19,7 +22,7 @@ from quillspark.operators import boundaries, chunking, ranking, scoring
 from quillspark.operators import index as ix
 from quillspark.plans import search
 from quillspark.plans.query import Thesaurus, parse, single_intent
-from quillspark.sources import files
+from quillspark.sources import books, files
 from quillspark.streaming import ingest
 
 D = "/root/testdata/sf0.001"
@@ -582,3 +585,80 @@ def test_boundaries_split(spark, tmp_path):
     assert boundaries.split(nothing, boundaries.Boundaries.learn(nothing)).count() == 0
     long = spark.createDataFrame([("Dr. Smith met Mr. Hill. " * 20000,)], "text string")
     assert len(boundaries.split(long, again).first()["sentences"]) == 20000
+
+
+def shelf(folder):
+    folder.mkdir()
+    (folder / "sub").mkdir()
+    big = {"META-INF/container.xml": BOX, "OPS/book.opf": OPF, "OPS/a.xhtml": "<h1>Second</h1>", "OPS/z first.xhtml": "<p>first &amp; foremost</p>"}
+    big |= {f"OPS/n{i:03d}.html": f"<p>note {i} {random.Random(i).random()}</p>" for i in range(40)}
+    (folder / "Great Book 1984.epub").write_bytes(zipped(**big))
+    (folder / "sub" / "broken.epub").write_bytes(b"no zip")
+    (folder / "sub" / "page.HTML").write_text("<title>t</title><h2>Chapter</h2><p>body</p>")
+    (folder / "note.txt").write_bytes(b"")
+    (folder / "_draft.txt").write_text("hidden")
+    (folder / "other.bin").write_text("no book")
+    return folder
+
+
+def test_books_as_a_data_source(spark, tmp_path):
+    folder = shelf(tmp_path / "my books")
+    plain = books.pages(spark, str(folder)).collect()
+    assert len(plain) == 46 and plain[0].asDict().keys() >= {"author", "size", "mtime", "text", "heading", "year", "error"}
+    size = (folder / "Great Book 1984.epub").stat().st_size
+    for split in (size // 7, size // 60, 10 * size):  # several tasks a book, more tasks than chapters, all files in one
+        x = books.pages(spark, str(folder), split=split)
+        assert rows_of(x.collect()) == rows_of(plain)
+    assert spark.read.format("quillspark_books").option("split", size // 7).load(str(folder)).rdd.getNumPartitions() >= 7
+    assert rows_of(books.pages(spark, f"file://{folder}").drop("path").collect()) == rows_of([[v for k, v in r.asDict().items() if k != "path"] for r in plain])
+    book = sorted((r for r in plain if r["file_type"] == "epub" and "Great" in r["path"]), key=lambda r: r["page_num"])
+    assert [r["page_num"] for r in book] == list(range(1, 44)) and {(r["title"], r["author"], r["year"]) for r in book} == {("A Book", "Some Body", 1984)}
+    assert book[0]["text"] == "first & foremost" and book[1]["error"] and book[2]["heading"] == "Second" and "note 39 " in book[-1]["text"]
+    rest = {r["path"].rsplit("/", 1)[1]: r for r in plain if r["page_num"] == 1}
+    assert rest["broken.epub"]["error"] and rest["page.HTML"]["heading"] == "Chapter" and rest["note.txt"]["text"] == "" and rest["broken.epub"]["title"] == "broken"
+    old = files.pages(files.listing(spark, str(folder), "*.{epub,HTML}")).collect()  # the reader of whole files agrees
+    assert rows_of((r["page_num"], r["text"], r["heading"]) for r in old if not r["error"]) == rows_of((r["page_num"], r["text"], r["heading"]) for r in plain if not r["error"] and r["file_type"] != "txt")
+    assert books.pages(spark, str(folder), keep_empty=False).count() == 43
+    (tmp_path / "bare").mkdir()
+    assert books.pages(spark, str(tmp_path / "bare")).count() == 0
+
+
+def test_books_read_only_what_is_asked(spark, tmp_path, monkeypatch):
+    folder = shelf(tmp_path / "in")
+    found = books.listing(spark, str(folder)).collect()
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in found) == ["Great Book 1984.epub", "broken.epub", "note.txt", "page.HTML"] and all(r["mtime"] > 1e9 for r in found)
+    opened, unpacked = [], []
+    plain, read = books.Folder.open, zipfile.ZipFile.read
+    monkeypatch.setattr(books.Folder, "open", lambda self, path: opened.append(path) or plain(self, path))
+    monkeypatch.setattr(zipfile.ZipFile, "read", lambda self, name, *a: unpacked.append(name) or read(self, name, *a))
+
+    def rows(columns, **options):
+        opened.clear(), unpacked.clear()
+        reader = books.BookReader(StructType.fromDDL(columns), {"path": str(folder), **options})
+        return [r for p in reader.partitions() for r in reader.read(p)]
+
+    assert len(rows("path string, mtime double, size long", rows="files")) == 4 and not opened
+    assert ("A Book",) in rows("title string", rows="files") and not [n for n in unpacked if n.endswith("html")]
+    assert len(rows("path string, page_num int")) == 46 and not [n for n in unpacked if n.endswith("html")]
+    assert len(rows("raw string")) == 46 and len([n for n in unpacked if n.endswith("html")]) == 43
+    for columns, options in (("nothing string", {}), ("path string", {"rows": "lines"}), ("path string", {"split": "0"})):
+        with pytest.raises(ValueError):
+            rows(columns, **options)
+
+
+def test_books_as_a_stream(spark, tmp_path):
+    folder, out = shelf(tmp_path / "in"), tmp_path / "out"
+
+    def step():
+        x = books.page_stream(spark, str(folder)).select("path", "page_num", "text", "mtime")
+        x.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(out)).awaitTermination()
+        return spark.read.schema("path string, page_num int, text string, mtime double").parquet(str(out))
+
+    assert step().count() == 46 and step().count() == 46  # nothing twice
+    time.sleep(0.01)
+    (folder / "late.txt").write_text("late")
+    (folder / "note.txt").write_text("changed")
+    got = step()
+    assert got.count() == 48 and {r["text"] for r in got.filter("path LIKE '%note.txt' OR path LIKE '%late.txt'").collect()} == {"", "changed", "late"}
+    (folder / "late.txt").unlink()
+    assert step().count() == 48
