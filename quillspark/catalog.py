@@ -761,10 +761,17 @@ def search_diagnostics(spark, d):
 def search_spelling_and_sound(spark, d):
     """Both fallbacks' scores for a misspelt query, where either finds something."""
     index, words = _saved(spark, d), parse("erstt tionn").tokens
-    a, b = search.spelling(index.chunks, words).withColumnRenamed("score", "spelt"), search.sounding(index.chunks, words).withColumnRenamed("score", "heard")
+    a, b = search.spelling(index.chunks, words).withColumnRenamed("score", "spelt"), search.sounding_like(index, index.chunks, words).withColumnRenamed("score", "heard")
     return a.join(b, "chunk_id", "full")
 
 
+@query()
+def sound_index(spark, d):
+    """How many words and chunks' postings share each sound, on the saved index."""
+    index = _saved(spark, d, stem=False)
+    return index.sounds.join(index.words, "term").groupBy("key").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"), F.min("term").alias("first_term"))
+
+
 @query()
 def batch_search(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")

@@ -30,7 +30,8 @@ SHARES = 16
 class Index:
     """Tables: chunks (doc_id, chunk_id, content, token_count, structure, header, prev_id, next_id, ...), documents (doc_id and
     metadata), tf (doc_id, chunk_id, term, tf, dl, cell), df (term, df), cooc (term_a, term_b, n), stats (n, avgdl), places
-    (doc_id, chunk_id, term, positions) and words (term, df) of tokens as they are, limits (term, cell, n, most_tf, least_dl).
+    (doc_id, chunk_id, term, positions) and words (term, df) of tokens as they are, limits (term, cell, n, most_tf, least_dl),
+    sounds (key, term) of the words of three letters or more.
     hot: of a saved index, the part of tf that is kept apart because its terms are frequent; cold: the rest. stemmed: whether
     terms are stems, of queries too."""
 
@@ -43,13 +44,14 @@ class Index:
     places: DataFrame
     words: DataFrame
     limits: DataFrame
+    sounds: DataFrame
     cold: DataFrame | None = None
     hot: DataFrame | None = None
     version: int | None = None
     path: str | None = None
     stemmed: bool = True
 
-    TABLES = ("chunks", "documents", "tf", "df", "cooc", "stats", "places", "words", "limits")
+    TABLES = ("chunks", "documents", "tf", "df", "cooc", "stats", "places", "words", "limits", "sounds")
 
     @staticmethod
     def build(chunks: DataFrame, documents: DataFrame, stem: bool = True) -> Index:
@@ -64,7 +66,8 @@ class Index:
             tf = stemmer.replaced(tf).groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
         tf = tf.select("doc_id", "chunk_id", "term", "tf", "dl", postings.cell(F.col("dl"), F.col("chunk_id")).alias("cell"))
         places = places.drop("dl")
-        return Index(chunks, documents, tf, ix.document_frequencies(tf, "chunk_id"), ix.cooccurrence(chunks, "content"), ix.corpus_stats(chunks, F.col("token_count")), places, ix.document_frequencies(places, "chunk_id"), postings.bounds(tf), stemmed=stem)
+        words = ix.document_frequencies(places, "chunk_id")
+        return Index(chunks, documents, tf, ix.document_frequencies(tf, "chunk_id"), ix.cooccurrence(chunks, "content"), ix.corpus_stats(chunks, F.col("token_count")), places, words, postings.bounds(tf), sounds(words), stemmed=stem)
 
     def cached(self) -> Index:
         """With its tables kept in executors' memory or on their disks; lost parts are made anew."""
@@ -88,6 +91,7 @@ class Index:
         parts = {n: getattr(self, n) for n in self.TABLES if n != "tf"}
         for n in ("df", "words", "limits"):
             parts[n] = parts[n].repartitionByRange("term").sortWithinPartitions("term")
+        parts["sounds"] = self.sounds.repartitionByRange("key").sortWithinPartitions("key", "term")
         parts["cold"] = self.tf.join(F.broadcast(often), "term", "left_anti").select(*self.tf.columns)
         parts["hot"] = self.tf.join(F.broadcast(often), "term", "left_semi").select(*self.tf.columns).repartitionByRange("term", "cell", "chunk_id").sortWithinPartitions("term", "cell")
         return store.commit(spark, path, parts, {"cold": "term", "places": "term"}, base=self.version if base is None and path == self.path else base, about={"stemmed": self.stemmed})
@@ -96,6 +100,8 @@ class Index:
     def load(spark, path: str, version: int | None = None) -> Index:
         """The current version, or an earlier one that is still there."""
         number, t, about = store.tables(spark, path, version)
+        if "sounds" not in t:  # a version from before there were any
+            t["sounds"] = sounds(t["words"])
         rest = {n: t[n] for n in Index.TABLES if n != "tf"}
         return Index(tf=t["cold"].unionByName(t["hot"]), cold=t["cold"], hot=t["hot"], version=number, path=path, stemmed=about["stemmed"], **rest)
 
@@ -123,7 +129,9 @@ class Index:
             added, more = fresh.tf, fresh.places
         cooc = reduce(DataFrame.unionByName, pairs).groupBy("term_a", "term_b").agg(F.sum("n").alias("n")).filter("n > 0")
         words = ix.incremental_df(self.words, more, drop(self.places))
-        return Index(chunks, documents, tf, ix.incremental_df(self.df, added, drop(self.tf)), cooc, ix.corpus_stats(chunks, F.col("token_count")), places, words, limits, version=self.version, path=self.path, stemmed=self.stemmed)
+        known = self.sounds.join(words.select("term"), "term", "left_semi").select("key", "term")
+        heard = known.unionByName(sounds(words.join(self.sounds.select("term"), "term", "left_anti")))  # keys are made of new words alone
+        return Index(chunks, documents, tf, ix.incremental_df(self.df, added, drop(self.tf)), cooc, ix.corpus_stats(chunks, F.col("token_count")), places, words, limits, heard, version=self.version, path=self.path, stemmed=self.stemmed)
 
 
 def candidates(index: Index, q: Query, filters: dict | None = None, tags: DataFrame | None = None, scope: list | None = None) -> DataFrame:
@@ -265,7 +273,7 @@ def fallback(index: Index, raw: str, limit: int = 25, filters: dict | None = Non
     spelt = misspelt(index, chunks, q.tokens, least).orderBy(F.desc("score"), "chunk_id").limit(limit)
     if q.tokens and not spelt.isEmpty():
         return spelt.withColumn("how", F.lit("spelling"))
-    heard = sounding(chunks, q.tokens).orderBy(F.desc("score"), "chunk_id").limit(limit)
+    heard = sounding_like(index, chunks, q.tokens).orderBy(F.desc("score"), "chunk_id").limit(limit)
     if q.tokens and not heard.isEmpty():
         return heard.withColumn("how", F.lit("sound"))
     first = q.tokens[0] if q.tokens else "\x00"
@@ -317,6 +325,22 @@ def sounding(chunks: DataFrame, words: list[str], key: str = "chunk_id", text: s
     return x.join(k, "term").groupBy(key).agg(F.count_distinct("key").cast("double").alias("score"))
 
 
+def sounds(words: DataFrame) -> DataFrame:
+    """(key, term) of the terms of three letters or more of a vocabulary (term, ...)."""
+    return phonetic.keys(words.filter(F.length("term") >= 3)).select("key", "term")
+
+
+def sounding_like(index: Index, chunks: DataFrame, words: list[str], head: int = 500) -> DataFrame:
+    """sounding() of the chunks that the sound index knows of: keys give terms, terms their postings, and only the chunks
+    found are read, for whether the word stands at their head."""
+    asked = sorted({phonetic.key(w) for w in words}) or [""]
+    like = index.sounds.filter(F.col("key").isin(*asked)).select("key", "term")
+    hits = index.places.join(like.select("term"), "term", "left_semi").select("chunk_id").distinct()
+    own = chunks.join(hits, "chunk_id", "left_semi")
+    x = own.select("chunk_id", F.explode(F.array_distinct(F.filter(tokens(F.substring("content", 1, head)), lambda t: F.length(t) >= 3))).alias("term"))
+    return x.join(like, "term").groupBy("chunk_id").agg(F.count_distinct("key").cast("double").alias("score"))
+
+
 def containing(chunks: DataFrame, words: list[str], key: str = "chunk_id", text: str = "content") -> DataFrame:
     hit = F.lit(False)
     for w in words:

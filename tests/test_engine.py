@@ -662,3 +662,19 @@ def test_books_as_a_stream(spark, tmp_path):
     assert got.count() == 48 and {r["text"] for r in got.filter("path LIKE '%note.txt' OR path LIKE '%late.txt'").collect()} == {"", "changed", "late"}
     (folder / "late.txt").unlink()
     assert step().count() == 48
+
+
+def test_sound_index(spark, tmp_path):
+    rows = [(1, "a", "Shakespeare wrote of Smyth"), (2, "b", "smith and shakespear"), (3, "c", "nothing"), (4, "d", "x " * 300 + "smith"), (5, "e", "no of"), (6, "f", None), (7, "g", "")]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id string, content string")
+    index = search.Index.build(chunks, chunks.select("doc_id"))
+    index.save(str(tmp_path / "index"))
+    for i in (index, search.Index.load(spark, str(tmp_path / "index"))):
+        for asked in (["shakespeer", "smithe"], ["smeth"], ["zzzz"], ["no"], ["of", "of"], []):
+            assert rows_of(search.sounding_like(i, i.chunks, asked).collect()) == rows_of(search.sounding(chunks, asked).collect())
+    assert {r["chunk_id"]: r["score"] for r in search.sounding_like(index, index.chunks, ["shakespeer", "smithe"]).collect()} == {"a": 2.0, "b": 2.0}
+    more = spark.createDataFrame([(2, "b", "a knight rode"), (8, "h", "night and nite")], "doc_id long, chunk_id string, content string")
+    for changed, left in ((index.upserted(more, more.select("doc_id")), chunks.filter("doc_id <> 2").union(more)), (index.deleted(spark.createDataFrame([(1,)], "doc_id long")), chunks.filter("doc_id <> 1"))):
+        assert rows_of(changed.sounds.collect()) == rows_of(search.Index.build(left, left.select("doc_id")).sounds.collect())
+    plan = search.sounding_like(search.Index.load(spark, str(tmp_path / "index")), index.chunks, ["smith"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(key", plan)  # the sorted keys are read, not the contents' words
