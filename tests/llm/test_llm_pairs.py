@@ -153,6 +153,23 @@ def test_components_chain(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 100}
 
 
+def test_components_without_hubs_ask_for_no_broadcast(spark, monkeypatch):
+    """op2: a broadcast of hot keys in every round filled the driver; edges of a hub are still spread."""
+    from quillspark.llm import common
+
+    asked, attach = [], common.attached
+    monkeypatch.setattr(common, "attached", lambda *a, **k: asked.append(1) or attach(*a, **k))
+    edges = [(i, i * 7 % 300) for i in range(300) if i % 5] + [(i + 1_000, i // 2 + 1_000) for i in range(1, 90)]
+    links = {x: [] for e in edges for x in e}
+    for a, b in edges:
+        links[a].append(b)
+        links[b].append(a)
+    rows = lambda e: spark.createDataFrame(e, "a long, b long")
+    assert dict(components(rows(edges)).collect()) == brute_components(links) and not asked
+    hub = [(5_000, 5_000 + i) for i in range(1, 400)] + [(5_001, 4_000)]
+    assert set(components(rows(hub)).toPandas()["component"]) == {4_000} and asked
+
+
 def test_tiles_meet_once(spark):
     rows = [("hot", i) for i in range(50)] + [("one", 99), ("two", 1), ("two", 2)]
     got = tiled(spark.createDataFrame(rows, "g string, id long"), ["g"], "id", 7, [])[0].collect()
